@@ -101,36 +101,109 @@ def slots(plan: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int, i
 # ---------------------------------------------------------------- token ids
 
 
+class Codes(dict):
+    """Numbers for words in the order in which they are first asked for; fresh holds those not looked up before."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
+#: Characters that are neither letters nor numbers nor white space, in ASCII.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class WordIds:
     """Ids of white-space separated words, which the tokenizer reads independently of each other.
 
-    Holds the ids of words seen so far in flat arrays and starts anew above max_words, so memory has a bound.
+    A word is letters (Latin-1, for which lower-casing is all that the normalizer does) and then marks, or anything
+    else. Letters are read by the tokenizer's own merges, many words at a time: the last token of each says that a
+    word ends. Marks and all other words go through the whole tokenizer. The ids of all words seen lie in one flat
+    array, and start anew above max_words, so memory has a bound.
     """
 
     def __init__(self, path: str, max_words: int = 800_000, slice_chars: int = 1_000_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks of an executor already use its cores
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.max_words, self.slice_chars = Tokenizer.from_file(path), max_words, slice_chars
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.whole.get_vocab_size() + 1, bool)
+        for token, i in self.whole.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.max_words, self.slice_chars = max_words, slice_chars
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
-        self.ids, self.first, self.n_ids = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), 0
+        self.code, self.tails = Codes(), {"": (0, 0)}
+        self.ids, self.n_ids = np.zeros(1 << 20, np.uint32), 0
+        #: of each word: start and number of its first ids, start and number of its last ids
+        self.place = np.zeros((1 << 18, 4), np.int64)
+
+    def keep(self, ids: np.ndarray) -> int:
+        start = self.n_ids
+        while start + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[start : start + len(ids)] = ids
+        self.n_ids += len(ids)
+        return start
+
+    def keep_each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Start and number of the ids of words that the whole tokenizer reads."""
+        got = [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
+        lens = np.fromiter(map(len, got), np.int64, len(got))
+        start = self.keep(np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum())))
+        return start + np.cumsum(lens) - lens, lens
 
     def learn(self, words: list[str]) -> None:
-        base, n = len(self.code), len(words)
-        self.code.update(zip(words, range(base, base + n), strict=True))
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lens = np.fromiter(map(len, got), np.int64, n)
-        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum()))
-        while self.n_ids + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while base + n + 1 > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-        self.ids[self.n_ids : self.n_ids + len(flat)] = flat
-        self.first[base + 1 : base + n + 1] = self.n_ids + np.cumsum(lens)
-        self.n_ids += len(flat)
+        first, n = len(self.code) - len(words), len(words)
+        while first + n > len(self.place):
+            self.place = np.concatenate([self.place, np.zeros_like(self.place)])
+        new: dict[str, int] = {}
+        lettered, core_of, tail_of, other = [], [], [], []
+        for k, word in enumerate(words):
+            core = word.rstrip(MARKS)
+            if core.isalpha() and (core.isascii() or max(core) <= "\xff"):
+                lettered.append(first + k)
+                core_of.append(new.setdefault(core.lower(), len(new)))
+                tail_of.append(word[len(core) :])
+            else:
+                other.append(k)
+        if new:
+            got = self.letters.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids
+            got = np.array(got, np.uint32)
+            stops = np.flatnonzero(self.ends[got]) + 1
+            assert len(stops) == len(new), "a word of letters has one last token"
+            start = self.keep(got)
+            starts = np.concatenate([[0], stops[:-1]])
+            core = np.array(core_of)
+            at = np.array(lettered)
+            self.place[at, 0], self.place[at, 1] = start + starts[core], (stops - starts)[core]
+            if unknown := list({t for t in tail_of if t not in self.tails}):
+                self.tails.update(zip(unknown, zip(*(x.tolist() for x in self.keep_each(unknown)), strict=True), strict=True))
+            self.place[at, 2:] = [self.tails[t] for t in tail_of]
+        if other:
+            at = first + np.array(other)
+            self.place[at, 0], self.place[at, 1] = self.keep_each([words[k] for k in other])
+            self.place[at, 2:] = 0
+
+    def looked_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words in turn, number of ids up to the end of each word)"""
+        if len(self.code) > self.max_words:
+            self.clear()
+        at = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        if self.code.fresh:
+            self.learn(self.code.fresh)
+            self.code.fresh = []
+        place = self.place[at]
+        start, lens = place[:, ::2].ravel(), place[:, 1::2].ravel()
+        stops = np.cumsum(lens)
+        return self.ids[np.arange(stops[-1]) + np.repeat(start - stops + lens, lens)], stops[1::2]
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text; of a very long one slice by slice, each ending at a space or line end."""
@@ -142,41 +215,24 @@ class WordIds:
                 end = min(ends, default=len(text))
             out.append(self.looked_up(text[at:end].replace("\n", " ").split(" "))[0])
             at = end
-        return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, np.uint32)
-
-    def looked_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of the words in turn, number of ids up to the end of each word)"""
-        if missing := list(set(words) - self.code.keys()):
-            if self.code and len(self.code) + len(missing) > self.max_words:
-                self.clear()
-                missing = list(set(words))
-            self.learn(missing)
-        at = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
-        start = self.first[at]
-        lens = self.first[at + 1] - start
-        stops = np.cumsum(lens)
-        return self.ids[np.arange(stops[-1]) + np.repeat(start - stops + lens, lens)], stops
+        return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
     def encode_many(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The same for many texts; the words of about slice_chars characters are looked up at once."""
-        held: list[str] = []
+        held: list[list[str]] = []
         size = 0
         for text in chain(texts, [None]):
             if held and (text is None or size + len(text) > self.slice_chars):
-                words: list[str] = []
-                ends = []
-                for x in held:
-                    words += x.replace("\n", " ").split(" ")
-                    ends.append(len(words))
-                flat, stops = self.looked_up(words)
-                yield from np.split(flat, stops[np.array(ends[:-1], np.int64) - 1]) if len(ends) > 1 else [flat]
+                flat, stops = self.looked_up(list(chain.from_iterable(held)))
+                ends = np.cumsum([len(words) for words in held])
+                yield from np.split(flat, stops[ends[:-1] - 1])
                 held, size = [], 0
             if text is None:
                 return
             if len(text) > self.slice_chars:
                 yield self.encode(text)
             else:
-                held.append(text)
+                held.append(text.replace("\n", " ").split(" "))
                 size += len(text)
 
 
