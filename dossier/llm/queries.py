@@ -14,6 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(mod: int):
+    """The fold of a document: crc32 of its id as text."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    scored = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), allowed=fold(3) != 1)
+    return scored.select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import suffix_dedup
 
@@ -40,6 +52,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), window=13, with_text=False).drop("kept_text")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), allowed=fold(4) != 2, threshold=0.3)
+    return scored.select("doc_id", (fold(4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import decontaminate
 
