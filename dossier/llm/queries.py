@@ -46,6 +46,13 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")), capacity=2048, end_id=0)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    found = identify(table(spark, sf_dir, "documents"), allowed=fold(4) != 2)
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
