@@ -199,15 +199,8 @@ def cleaned(w: Windows, late: np.ndarray, with_text: bool) -> pa.Table:
     return pa.table({n: pa.array(c, t) for n, c, t in zip(names, out, [pa.int64()] * 4 + [pa.string()] * 2, strict=True)})
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, anchor: int = 5, with_text: bool = True, chunk_bytes: int = 8 * MB, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document with the number of its words, of those removed, and what is left.
-
-    Exchanges: the texts once (the three readings of a chunk share it), the anchors, the candidate windows, and the two
-    answers. All are spread by hash; a window of a hot group is sent once by each chunk.
-    """
-    docs = text_rows(docs, id_col, text_col)
-    n_chunks, n_buckets = chunk_plan(docs, chunk_bytes)
-    chunks = chunked(docs, n_chunks)
+def late_by_chunk(chunks: DataFrame, n_buckets: int, window: int, anchor: int) -> DataFrame:
+    """(chunk, payload): the windows of each chunk that a smaller document of another chunk has."""
 
     def anchors(_: int, texts: pa.Table, __: None) -> list[tuple[int, bytes]]:
         return cut_hashes(np.unique(Windows(texts, window, anchor).anchors()), n_buckets)
@@ -218,13 +211,54 @@ def substring_dedup(docs: DataFrame, window: int = 13, anchor: int = 5, with_tex
         first, second = w.keys(which)
         return cut_run(*smallest(first, second, w.ids[w.text[which]]), n_buckets)
 
+    return gather(scatter(chunks, candidates, gather(scatter(chunks, anchors), shared_hashes)), owned_elsewhere)
+
+
+def substring_dedup(docs: DataFrame, window: int = 13, anchor: int = 5, with_text: bool = True, chunk_bytes: int = 8 * MB, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each document with the number of its words, of those removed, and what is left.
+
+    Exchanges: the texts once (the three readings of a chunk share it), the anchors, the candidate windows, and the two
+    answers. All are spread by hash; a window of a hot group is sent once by each chunk.
+    """
+    docs = text_rows(docs, id_col, text_col)
+    n_chunks, n_buckets = chunk_plan(docs, chunk_bytes)
+    chunks = chunked(docs, n_chunks)
+
     def finished(texts: pa.Table, answers: pa.Table) -> pa.Table:
         w = Windows(texts, window, anchor)
         return cleaned(w, late_windows(w, answers.column("payload").to_pylist()), with_text)
 
-    shared = gather(scatter(chunks, anchors), shared_hashes)
-    late = gather(scatter(chunks, candidates, shared), owned_elsewhere)
-    return chunks.groupBy("chunk").cogroup(late.groupBy("chunk")).applyInArrow(finished, RESULT)
+    return chunks.groupBy("chunk").cogroup(late_by_chunk(chunks, n_buckets, window, anchor).groupBy("chunk")).applyInArrow(finished, RESULT)
+
+
+def substring_dedup_rows(docs: DataFrame, window: int = 13, anchor: int = 5, chunk_bytes: int = 8 * MB) -> DataFrame:
+    """The documents themselves, with all their columns, and what is left of their texts.
+
+    A text that loses nothing stays as it is, another becomes its kept words joined by one space (n_chars, if there is such
+    a column, follows); a document that loses all its words goes.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    texts = text_rows(docs).schema
+    rest = F.struct(*(F.col(f"`{c}`") for c in others), F.lit(True).alias("_row_"))
+    n_chunks, n_buckets = chunk_plan(docs.select("text"), chunk_bytes)
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
+    chunks = named.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int").alias("chunk"), "doc_id", "text", "rest")
+    schema = texts.add("rest", named.schema["rest"].dataType).add("changed", "boolean")
+
+    def finished(held: pa.Table, answers: pa.Table) -> pa.Table:
+        w = Windows(held, window, anchor)
+        done = cleaned(w, late_windows(w, answers.column("payload").to_pylist()), True)
+        removed, words = done.column("n_removed").to_numpy(), done.column("n_words").to_numpy()
+        stays = pa.array((removed == 0) | (removed < words))
+        changed = pa.array(removed > 0)
+        text = [new if gone else old for gone, new, old in zip((removed > 0).tolist(), done.column("kept_text").to_pylist(), held.column("text").to_pylist(), strict=True)]
+        return pa.table({"doc_id": held.column("doc_id"), "text": pa.array(text, pa.string()), "rest": held.column("rest"), "changed": changed}).filter(stays)
+
+    out = chunks.groupBy("chunk").cogroup(late_by_chunk(chunks, n_buckets, window, anchor).groupBy("chunk")).applyInArrow(finished, schema)
+    kept = {c: F.col(f"rest.`{c}`") for c in others}
+    if "n_chars" in kept:
+        kept["n_chars"] = F.when(F.col("changed"), F.length("text")).otherwise(kept["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(kept[c].alias(c) if c in kept else F.col(c) for c in docs.columns))
 
 
 class FingerprintIndex:

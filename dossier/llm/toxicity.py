@@ -39,7 +39,7 @@ class Ftrl:
     l1: float = 6.0
     l2: float = 0.0
     epochs: int = 5
-    train_rows: int = 16_000
+    train_rows: int = 10_000
 
 
 def grams(raws: list[bytes | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +112,7 @@ def packed_features(sample: DataFrame, bits: int) -> list[tuple[np.ndarray, int]
 
     held = sample.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, features binary").collect()
     held.sort(key=lambda r: (r.doc_id, r.label, r.features))
-    return [(np.frombuffer(r.features, "<u4").astype(np.int64), r.label) for r in held]
+    return [(np.frombuffer(r.features, "<u4"), r.label) for r in held]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, label: str = "toxic", threshold: float = 0.3, how: Ftrl | None = None) -> DataFrame:
