@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import scoring
+from . import logs, scoring  # noqa: F401  the modules register their queries
 from .registry import QUERIES, SQL, Query
 
 

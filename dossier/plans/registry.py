@@ -11,13 +11,13 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with its SQL if there is any."""
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's or another name, with its SQL if there is any."""
 
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[name or f.__name__] = sql
         return f
 
     return add
