@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,7 +33,6 @@ def first_object(c: Column | str) -> Column:
 
     Balance is not a regular property, so this is an Arrow function.
     """
-    import pandas as pd
 
     @F.pandas_udf("string")
     def found(s: pd.Series) -> pd.Series:

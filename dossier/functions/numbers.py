@@ -35,7 +35,7 @@ def recall_of(matched: Column | str, predicted: Column | str, gold: Column | str
 
 
 def unit(c: Column | str) -> Column:
-    return F.least(F.greatest(col(c), F.lit(0.0)), F.lit(1.0))
+    return F.when(col(c).isNotNull(), F.least(F.greatest(col(c), F.lit(0.0)), F.lit(1.0)))
 
 
 def structure_score(view_f1: Column | str, capability_f1: Column | str) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +26,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is used: a lambda's variable is not inlined."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def blank_to_null(c: Column | str) -> Column:
     return F.nullif(col(c), F.lit(""))
 
@@ -44,7 +52,6 @@ def compare_form(c: Column | str) -> Column:
 
 def nfkc(c: Column | str) -> Column:
     """Unicode compatibility composition, which has no built-in; pure ASCII batches pass through unchanged."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def composed(s: pd.Series) -> pd.Series:
@@ -100,25 +107,30 @@ def caption_start(text: Column | str, number: Column | str) -> Column:
 
 def from_caption_start(text: Column | str, number: Column | str) -> Column:
     """The squeezed text from its label on, or all of it."""
-    whole = squeeze(text)
-    at = caption_start(whole, number)
-    return F.when(at.isNull(), whole).otherwise(F.trim(F.substr(whole, (at + 1).cast("int"))))
+
+    def cut(whole: Column) -> Column:
+        return let(F.coalesce(caption_start(whole, number), F.lit(0)), lambda at: F.trim(F.substr(whole, (at + 1).cast("int"))))
+
+    return let(squeeze(text), cut)
 
 
 def caption_flags(caption: Column | str, number: Column | str) -> Column:
     """Names of all defects of a caption, in a fixed order; an empty caption has that defect alone."""
-    text, own = squeeze(caption), number_in(caption)
-    found = F.filter(
-        F.array(
-            F.when(~has_figure_prefix(text), "caption_prefix_unexpected"),
-            F.when(own != col(number), "caption_number_mismatch"),
-            F.when(F.length(text) < 15, "caption_too_short"),
-            F.when(F.length(text) > 1200, "caption_too_long"),
-            F.when(text.rlike(BODY_TEXT), "caption_contains_body_text"),
-        ),
-        lambda f: f.isNotNull(),
-    )
-    return F.when(text == "", F.array(F.lit("empty_caption"))).otherwise(found)
+
+    def defects(text: Column) -> Column:
+        found = F.filter(
+            F.array(
+                F.when(~has_figure_prefix(text), "caption_prefix_unexpected"),
+                F.when(number_in(text) != col(number), "caption_number_mismatch"),
+                F.when(F.length(text) < 15, "caption_too_short"),
+                F.when(F.length(text) > 1200, "caption_too_long"),
+                F.when(text.rlike(BODY_TEXT), "caption_contains_body_text"),
+            ),
+            lambda f: f.isNotNull(),
+        )
+        return F.when(text == "", F.array(F.lit("empty_caption"))).otherwise(found)
+
+    return let(squeeze(caption), defects)
 
 
 def caption_quality(flags: Column | str) -> Column:
@@ -129,10 +141,13 @@ def caption_quality(flags: Column | str) -> Column:
 
 def backfilled(caption: Column | str, number: Column | str, candidate: Column | str) -> Column:
     """The caption itself if it starts with its label; else the candidate if that is strictly better or there is none."""
-    own, other = from_caption_start(caption, number), from_caption_start(candidate, number)
-    better = caption_quality(caption_flags(other, number)) < caption_quality(caption_flags(own, number))
-    keep = (caption_start(own, number) == 0) | col(number).isNull() | (squeeze(candidate) == "")
-    return F.when(F.coalesce(keep, F.lit(False)), own).when(better | (own == ""), other).otherwise(own)
+
+    def chosen(own: Column, other: Column) -> Column:
+        better = caption_quality(caption_flags(other, number)) < caption_quality(caption_flags(own, number))
+        keep = (caption_start(own, number) == 0) | col(number).isNull() | (other == "")
+        return F.when(F.coalesce(keep, F.lit(False)), own).when(better | (own == ""), other).otherwise(own)
+
+    return let(from_caption_start(caption, number), lambda own: let(from_caption_start(candidate, number), lambda other: chosen(own, other)))
 
 
 def merged_captions(parts: Column | str) -> Column:
@@ -161,7 +176,7 @@ def labelled_score(text: Column | str, label: str) -> Column:
     """The number after a label and a colon, as a score from 0 to 1."""
     plain = F.regexp_extract(col(text), f"(?i)`?{label}`?\\s*[:：]\\s*([01](?:\\.\\d+)?)", 1)
     quoted = F.regexp_extract(col(text), f'(?i)"{label}"\\s*[:：]\\s*([01](?:\\.\\d+)?)', 1)
-    return F.least(F.greatest(F.coalesce(blank_to_null(plain), blank_to_null(quoted)).cast("double"), F.lit(0.0)), F.lit(1.0))
+    return let(F.coalesce(blank_to_null(plain), blank_to_null(quoted)).cast("double"), lambda x: F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))))
 
 
 def paired(category: str, inner: str) -> Column:
@@ -187,9 +202,10 @@ def abstract(c: Column | str) -> Column:
     lines = F.regexp_replace(F.regexp_replace(col(c), "\r\n?", "\n"), "[ \t]+", " ")
     tidy = strip(F.regexp_replace(lines, "\n{3,}", "\n\n"))
     rest = blank_to_null(F.regexp_extract(tidy, r"(?is)(?:^|\n)([^\n]*\babstract\b.*)$", 1))
-    body = F.regexp_replace(rest, r"(?i)\A\s*(abstract|摘要)\s*[:：\-—]*\s*", "")
-    ends = [F.nullif(F.regexp_instr(body, F.lit(rf"(?im)^\s*{p}\b")), F.lit(0)) for p in ABSTRACT_ENDS]
-    cut = F.coalesce(*ends)
-    text = strip(F.when(cut.isNull(), body).otherwise(F.substr(body, F.lit(1), cut - 1)))
-    text = strip(F.regexp_replace(text, r"\s*\n\s*", " "))
-    return F.when(F.length(text) >= 20, text)
+
+    def ended(body: Column) -> Column:
+        ends = [F.nullif(F.regexp_instr(body, F.lit(rf"(?im)^\s*{p}\b")), F.lit(0)) for p in ABSTRACT_ENDS]
+        return F.substr(body, F.lit(1), F.coalesce(*ends, F.length(body) + 1) - 1)
+
+    body = let(F.regexp_replace(rest, r"(?i)\A\s*(abstract|摘要)\s*[:：\-—]*\s*", ""), ended)
+    return let(strip(F.regexp_replace(strip(body), r"\s*\n\s*", " ")), lambda text: F.when(F.length(text) >= 20, text))
