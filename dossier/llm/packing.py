@@ -126,7 +126,7 @@ class WordIds:
     array, and start anew above max_words, so memory has a bound.
     """
 
-    def __init__(self, path: str, max_words: int = 800_000, slice_chars: int = 1_000_000) -> None:
+    def __init__(self, path: str, max_words: int = 600_000, slice_chars: int = 1_000_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks of an executor already use its cores
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -256,6 +256,7 @@ def cut(tokenizer_path: str, capacity: int, end_id: int):
                     for c, v in zip(cols, (doc, piece, start, len(own), zlib.crc32(own.tobytes())), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        words.clear()  # the process may serve other stages next
 
     return run
 

@@ -214,7 +214,7 @@ def late_by_chunk(chunks: DataFrame, n_buckets: int, window: int, anchor: int) -
     return gather(scatter(chunks, candidates, gather(scatter(chunks, anchors), shared_hashes)), owned_elsewhere)
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, anchor: int = 5, with_text: bool = True, chunk_bytes: int = 8 * MB, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, anchor: int = 5, with_text: bool = True, chunk_bytes: int = 4 * MB, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document with the number of its words, of those removed, and what is left.
 
     Exchanges: the texts once (the three readings of a chunk share it), the anchors, the candidate windows, and the two
@@ -231,7 +231,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, anchor: int = 5, with_tex
     return chunks.groupBy("chunk").cogroup(late_by_chunk(chunks, n_buckets, window, anchor).groupBy("chunk")).applyInArrow(finished, RESULT)
 
 
-def substring_dedup_rows(docs: DataFrame, window: int = 13, anchor: int = 5, chunk_bytes: int = 8 * MB) -> DataFrame:
+def substring_dedup_rows(docs: DataFrame, window: int = 13, anchor: int = 5, chunk_bytes: int = 4 * MB) -> DataFrame:
     """The documents themselves, with all their columns, and what is left of their texts.
 
     A text that loses nothing stays as it is, another becomes its kept words joined by one space (n_chars, if there is such
@@ -281,7 +281,7 @@ class FingerprintIndex:
         runs = self.runs()
         return self.spark.read.parquet(*runs).select("bucket", F.lit(-1).alias("chunk"), "payload") if runs else None
 
-    def add(self, docs: DataFrame, with_text: bool = True, chunk_bytes: int = 8 * MB) -> DataFrame:
+    def add(self, docs: DataFrame, with_text: bool = True, chunk_bytes: int = 4 * MB) -> DataFrame:
         from .common import materialized
 
         docs, window, n_buckets = text_rows(docs), self.window, self.n_buckets
