@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import figures, logs, scoring, texts  # noqa: F401  the modules register their queries
+from . import figures, logs, scoring, specs, texts  # noqa: F401  the modules register their queries
 from .registry import QUERIES, SQL, Query
 
 
