@@ -237,15 +237,15 @@ class WordIds:
 
 
 @lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, max_words: int) -> WordIds:
+    return WordIds(path, max_words)
 
 
-def cut(tokenizer_path: str, capacity: int, end_id: int):
+def cut(tokenizer_path: str, capacity: int, end_id: int, max_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        words, end = word_ids(tokenizer_path), np.array([end_id], "<u4")
+        words, end = word_ids(tokenizer_path, max_words), np.array([end_id], "<u4")
         for batch in batches:
             cols: list[list[int]] = [[], [], [], [], []]
             texts = [x or "" for x in batch.column("text").to_pylist()]
@@ -261,15 +261,15 @@ def cut(tokenizer_path: str, capacity: int, end_id: int):
     return run
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token pieces of every document: only documents longer than a sequence are cut."""
-    return text_rows(docs, id_col, text_col).mapInArrow(cut(tokenizer_path, capacity, end_id), PIECES)
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", max_words: int = 600_000) -> DataFrame:
+    """Token pieces of every document: only documents longer than a sequence are cut. max_words bounds a task's table of known words."""
+    return text_rows(docs, id_col, text_col).mapInArrow(cut(tokenizer_path, capacity, end_id, max_words), PIECES)
 
 
 # ---------------------------------------------------------------- the operator
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, rows_per_salt: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, rows_per_salt: int = 200_000, id_col: str = "doc_id", text_col: str = "text", max_words: int = 600_000) -> DataFrame:
     """Each piece with its sequence and its place there.
 
     The pieces (numbers only, no texts) are written once, so that a lost executor cannot make ranks and counts differ.
@@ -277,7 +277,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     `capacity` alone. The number of salts follows the most frequent length.
     """
     spark = docs.sparkSession
-    made = materialized(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
+    made = materialized(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, max_words), "pieces")
     histogram = {r[0]: r[1] for r in made.groupBy("length").count().collect()}
     plan = minimum_slack(histogram, capacity)
     table = spark.sparkContext.broadcast(slot_arrays(slots(plan)))
