@@ -47,7 +47,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the remaining documents with their sequence and place."""
-    return pack(docs, str(public_tokenizers.path("word_bpe_49k.json")), capacity=2048, end_id=0)
+    return pack(docs, str(public_tokenizers.path("word_bpe_49k.json")), capacity=2048, end_id=0, max_words=250_000)
 
 
 STAGES = [
