@@ -87,7 +87,7 @@ def slots(plan: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int, i
     out, used, sequence = [], {}, 0
     for lengths, times in plan:
         offset, counted = 0, {}
-        for length in lengths:
+        for length in sorted(lengths, reverse=True):  # pieces of a length lie side by side
             counted.setdefault(length, [0, offset])[0] += 1
             offset += length
         for length, (n, at) in counted.items():

@@ -6,7 +6,7 @@ estimated from unlabelled text less the positives in it, and is kept from fallin
 would start to fit noise. Where it is below zero, a step goes the other way, as the estimator's authors propose.
 
 The prior is estimated: from the share of good ones among all labels of the fold if there are labels of both kinds, else
-from a positive-against-unlabelled classifier (the mean score of unlabelled text over that of positives).
+from a positive-against-unlabelled classifier (one over the density ratio at typical positives).
 
 The threshold is set so that the prior's share of the unlabelled sample passes, but at most `positives_lost` of the trusted
 positives fail.
@@ -119,13 +119,15 @@ def adam(model: Additive, steps: int, rate: float, l2: float, gradient) -> None:
 
 
 def prior_of(positive: np.ndarray, unlabelled: np.ndarray, how: NonNegative) -> float:
-    """Share of positives in unlabelled text: a classifier of the two scores positives c on average, and unlabelled text c times the share."""
+    """Share of positives in unlabelled text. Where only positives are, their density is that of unlabelled text over the
+    share; so the share is one over the density ratio at typical positives, as a classifier of the two tells it on rows
+    that it wasn't fitted to."""
     model = Additive(np.concatenate([positive, unlabelled]), how.bins)
     p, u = model.active(positive), model.active(unlabelled)
-    adam(model, 300, how.rate, how.l2, lambda: model.gradient(p, (sigmoid(model.margin(p)) - 1) / len(p)) + model.gradient(u, sigmoid(model.margin(u)) / len(u)))
-    odds = lambda a: (s := sigmoid(model.margin(a))) / (1 - s + 1e-9)  # noqa: E731  density of positives over that of unlabelled text
-    highest = np.quantile(odds(u), 0.95)
-    return float(np.clip(1 / max(highest, 1e-9), 0.05, 0.95))
+    fp, fu = p[::2], u[::2]
+    adam(model, 200, how.rate, 1e-2, lambda: model.gradient(fp, (sigmoid(model.margin(fp)) - 1) / len(fp)) + model.gradient(fu, sigmoid(model.margin(fu)) / len(fu)))
+    ratio = np.median(np.exp(np.clip(model.margin(p[1::2] if len(p) > 1 else p), -5, 5)))
+    return float(np.clip(1 / ratio, 0.05, 0.95))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, how: NonNegative) -> Additive:
