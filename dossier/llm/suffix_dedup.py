@@ -349,3 +349,122 @@ def suffix_dedup(docs: DataFrame, least: int = 400, hot: int = 2000, with_text:
         return cleaned(chunk, covered_bytes(chunk, [p for a, p in held if a], [p for a, p in held if not a]), with_text)
 
     return chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(finished, RESULT)
+
+
+# ---------------------------------------------------------------- the groups themselves
+
+GROUPS = "repeat_id string, length long, doc_id long, start long"
+
+
+def named(right: bytes, left: bytes) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(left[::-1] + right)
+
+
+def group_repeats(contexts: list[tuple[bytes, bytes]], several: list[bool], least: int) -> Iterator[tuple[int, int, int, int]]:
+    """(context, name, bytes to the left, bytes to the right) of every maximal repeat of one anchor's contexts; a context that
+    occurs several times is a repeat by itself."""
+    array = SuffixArray([c[0] for c in contexts], [c[1] for c in contexts])
+    for left, right, members in array.maximal_repeats(least):
+        name = named(contexts[members[0]][0][:right], contexts[members[0]][1][:left])
+        for k in members:
+            yield k, name, left, right
+    for k, (right, left) in enumerate(contexts):
+        if several[k]:
+            yield k, named(right, left), len(left), len(right)
+
+
+def gathered_groups(least: int):
+    """Bucket work: for each chunk the repeats that its contexts take part in."""
+
+    def work(chunk_ids: list[int], payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        import zstandard
+
+        open_ = zstandard.ZstdDecompressor().decompress
+        groups: dict[int, dict[tuple[bytes, bytes], list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        hot = [(c, p) for c, p in zip(chunk_ids, payloads, strict=True) if p[:1] == b"h"]
+        for chunk, payload in zip(chunk_ids, payloads, strict=True):
+            if payload[:1] == b"c":
+                keys, rank, right, left, blob = unparts(payload[1:])
+                blob, at = open_(blob), 0
+                for key, r, n, m in zip(unpack_sorted(keys).tolist(), unpack(rank).tolist(), unpack(right).tolist(), unpack(left).tolist(), strict=True):
+                    groups[key][blob[at : at + n], blob[at + n : at + n + m]].append((chunk, r))
+                    at += n + m
+        answers: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
+        for own in groups.values():
+            places = list(own.values())
+            for k, name, left, right in group_repeats(list(own), [len(p) > 1 for p in places], least):
+                for chunk, r in places[k]:
+                    answers[chunk].append((r, name, left, right))
+        for chunk, found in answers.items():
+            rank, name, left, right = zip(*found, strict=True)
+            yield chunk, b"c" + parts(pack(np.array(rank)), np.array(name, "<u8").tobytes(), pack(np.array(left)), pack(np.array(right)))
+        if hot:
+            yield from gathered(least)([c for c, _ in hot], [p for _, p in hot])
+
+    return work
+
+
+def repeat_groups(docs: DataFrame, least: int = 400, hot: int = 2000, chunk_bytes: int = 4 * MB, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(repeat_id, length, doc_id, start) of all occurrences of all maximal repeats of at least `least` bytes.
+
+    A repeat is seen from each anchor in it, as far as the windows of that anchor reach; one much longer than `least` is
+    therefore told by several overlapping groups over the same documents. Hot anchors tell groups of exactly `least` bytes.
+    Exchanges are those of `suffix_dedup`; occurrences never meet in one task.
+    """
+    docs = text_rows(docs, id_col, text_col)
+    n_chunks, n_buckets = chunk_plan(docs, chunk_bytes)
+    chunks = chunked(docs, n_chunks)
+    anchors = gather(scatter(chunks, lambda _, t, __: sent_anchors(Anchored(t, least), n_buckets)), repeated_anchors(hot))
+    found = gather(scatter(chunks, lambda _, t, a: sent_contexts(Anchored(t, least), a.column("payload").to_pylist(), n_buckets), anchors), gathered_groups(least))
+    both = anchors.selectExpr("chunk", "true as anchor", "payload").unionByName(found.selectExpr("chunk", "false as anchor", "payload"))
+
+    def finished(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        chunk = Anchored(texts, least)
+        held = list(zip(answers.column("anchor").to_pylist(), answers.column("payload").to_pylist(), strict=True))
+        told = list(occurrences(chunk, [p for a, p in held if a], [p for a, p in held if not a]))
+        columns = list(zip(*told, strict=True)) or [[], [], [], []]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("repeat_id", "length", "doc_id", "start"), columns, kinds, strict=True)})
+
+    return chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(finished, GROUPS)
+
+
+def occurrences(chunk: Anchored, anchors: list[bytes], answers: list[bytes]) -> Iterator[tuple[str, int, int | None, int]]:
+    starts = np.array([at for _, _, at, _ in chunk.segments], np.int64)
+
+    def place(at: int) -> tuple[int | None, int]:
+        text, off, first, _ = chunk.segments[int(np.searchsorted(starts, at, side="right")) - 1]
+        return chunk.ids[text], off + at - first
+
+    shared, hot = answered_anchors(anchors)
+    known = chunk.contexts(np.flatnonzero(member(chunk.key, shared)))
+    local: dict[tuple[int, int, int], set[int]] = defaultdict(set)
+    for raw in answers:
+        if raw[:1] == b"c":
+            rank, name, left, right = unparts(raw[1:])
+            for r, n, a, b in zip(unpack(rank).tolist(), np.frombuffer(name, "<u8").tolist(), unpack(left).tolist(), unpack(right).tolist(), strict=True):
+                local[n, a, b].update(known[r][2])
+    for _, (right, left), runs in known:  # copies that only this chunk has of a context
+        if len(runs) > 1:
+            local[named(right, left), len(left), len(right)].update(runs)
+    own = chunk.repeated_keys()
+    own = own[~member(own, shared) & ~member(own, hot)]
+    groups: dict[int, list[tuple[tuple[bytes, bytes], list[int]]]] = defaultdict(list)
+    for key, context, runs in chunk.contexts(np.flatnonzero(member(chunk.key, own))):
+        groups[key].append((context, runs))
+    for group in groups.values():
+        for k, name, left, right in group_repeats([c for c, _ in group], [len(r) > 1 for _, r in group], chunk.least):
+            local[name, left, right].update(group[k][1])
+    for (name, left, right), runs in local.items():
+        for run in sorted(runs):
+            yield f"{name:016x}", left + right, *place(int(chunk.at[run]) - left)
+    if len(hot):
+        at, first, second = chunk.windows(np.flatnonzero(member(chunk.key, hot)))
+        a, b, times = unique_pairs(first, second)
+        elsewhere = [unparts(raw[1:]) for raw in answers if raw[:1] == b"h"]
+        a = np.concatenate([a[times > 1], *(unpack_sorted(x) for x, _ in elsewhere)])
+        b = np.concatenate([b[times > 1], *(np.frombuffer(y, "<u4").astype(np.uint64) for _, y in elsewhere)])
+        for k in np.flatnonzero(in_pairs(first, second, a, b)):
+            yield f"{int(first[k]):016x}", chunk.least, *place(int(at[k]))

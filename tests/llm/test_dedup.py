@@ -12,7 +12,7 @@ from dossier.llm.esa import SuffixArray, maximal_repeats
 from dossier.llm.exchange import pack, pack_sorted, unpack, unpack_sorted
 from dossier.llm.simhash import fingerprint, near_duplicates
 from dossier.llm.substring_dedup import FingerprintIndex, substring_dedup, substring_dedup_rows
-from dossier.llm.suffix_dedup import suffix_dedup
+from dossier.llm.suffix_dedup import repeat_groups, suffix_dedup
 
 from .fixtures import docs, texts
 
@@ -129,6 +129,32 @@ def test_suffix_dedup(spark, least, hot, chunk_bytes):
 
 def test_suffix_dedup_empty(spark):
     assert suffix_dedup(docs(spark, [])).count() == 0
+    assert repeat_groups(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_repeat_groups(spark, hot):
+    """A group's places all hold the same string, no other place holds it, and together the groups cover what is removed."""
+    rows = sorted({r[0]: r for r in texts() if r[0] is not None and r[0] != 41}.values())
+    raws = {i: (t or "").encode() for i, t in rows}
+    groups = {}
+    for r in repeat_groups(docs(spark, rows), least=300, hot=hot, chunk_bytes=6000).collect():
+        groups.setdefault((r.repeat_id, r.length), set()).add((r.doc_id, r.start))
+    cover = {i: np.zeros(len(b), bool) for i, b in raws.items()}
+    for (_, n), places in groups.items():
+        held = {raws[i][a : a + n] for i, a in places}
+        assert len(held) == 1 and n >= 300
+        body, every = held.pop(), set()
+        for i, b in raws.items():
+            at = b.find(body)
+            while at >= 0:
+                every.add((i, at))
+                at = b.find(body, at + 1)
+        assert places == every and len(every) > 1
+        for i, a in places:
+            cover[i][a : a + n] = True
+    want = {r[0]: r[2] for r in brute_bytes(rows, 300)}
+    assert {i: int(c.sum()) for i, c in cover.items()} == want and sum(want.values()) > 5000
 
 
 @settings(max_examples=60, deadline=None)
