@@ -34,7 +34,7 @@ def json_document(spark: SparkSession, path: str, schema: T.StructType | str | N
 
 def json_list(spark: SparkSession, path: str) -> DataFrame:
     """(file, items VARIANT list, error) of documents that must be lists."""
-    held = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), parsed(F.regexp_replace("value", "^﻿", "")).alias("v"))
+    held = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), parsed(F.regexp_replace("value", r"^\x{FEFF}", "")).alias("v"))
     ok = is_list("v")
     return held.select("file", F.when(ok, F.try_variant_get("v", "$", "array<variant>")).alias("items"), F.when(~ok, "not a list").alias("error"))
 
@@ -54,7 +54,7 @@ def optional_csv(spark: SparkSession, path: str, schema: str, numbers: list[str]
 
 def figure_metadata(spark: SparkSession, path: str, tables: bool = False) -> DataFrame:
     """(file, pos, figure VARIANT) of metadata that is a list of figures or has lists of figures and tables."""
-    held = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), parsed("value").alias("v"))
+    held = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), parsed("value").alias("v"))
     part = lambda p: F.coalesce(F.try_variant_get("v", p, "array<variant>"), F.array().cast("array<variant>"))
     items = F.when(is_list("v"), part("$")).otherwise(F.concat(part("$.figures"), part("$.tables")))
     rows = held.select("file", F.posexplode(items).alias("pos", "figure"))
