@@ -126,7 +126,7 @@ class WordIds:
     array, and start anew above max_words, so memory has a bound.
     """
 
-    def __init__(self, path: str, max_words: int = 600_000, slice_chars: int = 1_000_000) -> None:
+    def __init__(self, path: str, max_words: int = 1_500_000, slice_chars: int = 1_000_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks of an executor already use its cores
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -167,11 +167,13 @@ class WordIds:
         new: dict[str, int] = {}
         lettered, core_of, tail_of, other = [], [], [], []
         for k, word in enumerate(words):
-            core = word.rstrip(MARKS)
-            if core.isalpha() and (core.isascii() or max(core) <= "\xff"):
+            core = word
+            if not (plain := word.isalpha()):
+                core = word.rstrip(MARKS)
+            if (plain or core.isalpha()) and (core.isascii() or max(core) <= "\xff"):
                 lettered.append(first + k)
                 core_of.append(new.setdefault(core.lower(), len(new)))
-                tail_of.append(word[len(core) :])
+                tail_of.append("" if plain else word[len(core) :])
             else:
                 other.append(k)
         if new:
@@ -256,12 +258,11 @@ def cut(tokenizer_path: str, capacity: int, end_id: int, max_words: int):
                     for c, v in zip(cols, (doc, piece, start, len(own), zlib.crc32(own.tobytes())), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-        words.clear()  # the process may serve other stages next
 
     return run
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", max_words: int = 600_000) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", max_words: int = 1_500_000) -> DataFrame:
     """Token pieces of every document: only documents longer than a sequence are cut. max_words bounds a task's table of known words."""
     return text_rows(docs, id_col, text_col).mapInArrow(cut(tokenizer_path, capacity, end_id, max_words), PIECES)
 
@@ -269,7 +270,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
 # ---------------------------------------------------------------- the operator
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, rows_per_salt: int = 200_000, id_col: str = "doc_id", text_col: str = "text", max_words: int = 600_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, rows_per_salt: int = 200_000, id_col: str = "doc_id", text_col: str = "text", max_words: int = 1_500_000) -> DataFrame:
     """Each piece with its sequence and its place there.
 
     The pieces (numbers only, no texts) are written once, so that a lost executor cannot make ranks and counts differ.
