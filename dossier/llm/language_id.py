@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from .common import bounded_batches
 from .exchange import mixed
 
 #: Whether a code point below 0x3000 is a letter; the scripts above count as letters.
@@ -81,7 +82,7 @@ def add_counts(out: np.ndarray, held: list[tuple[int, str]]) -> None:
 
 
 def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts) * idf
+    x = counts * idf
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return x / np.where(norm > 0, norm, 1)
 
@@ -142,7 +143,8 @@ def fit(docs: DataFrame, how: Centroids) -> dict | None:
     held = learning_sample(docs, how.per_language).mapInArrow(run, "lang string, counts binary").collect()
     if not held:
         return None
-    idf = (np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32)
+    # plain counts and the root of the usual weight: in a text of two languages the longer part decides
+    idf = np.sqrt(np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32)
     centres, langs, radius = [], [], []
     for lang in sorted({r.lang for r in held}):
         packed = sorted(r.counts for r in held if r.lang == lang)
@@ -160,7 +162,7 @@ def fit(docs: DataFrame, how: Centroids) -> dict | None:
 def identify(docs: DataFrame, allowed: Column | None = None, how: Centroids | None = None) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) of every document, learned from the rows for which `allowed` holds."""
     how = how or Centroids()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = fit(rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if allowed is None else allowed)), how)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
