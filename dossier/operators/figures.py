@@ -92,9 +92,12 @@ def manifests(figures: DataFrame) -> DataFrame:
     """(doc, interface_figure, needs_manual_review): the best figure whose role is interface; a look is needed if there is
     none, if the best score is below 0.5 or if it leads by less than 0.12 (documents with several figures)."""
     main = F.when(F.col("primary_role") == "interface", F.struct("interface", -F.col("pos")))
-    own = figures.groupBy("doc").agg(F.max_by("fig_id", main).alias("interface_figure"), F.slice(F.sort_array(F.collect_list("interface"), asc=False), 1, 2).alias("top"), F.count("*").alias("n"))
-    top, second = F.col("top")[0], F.get("top", 1)
-    close = (F.col("n") > 1) & ((top < 0.5) | (top - second < 0.12))
+    best = figures.groupBy("doc").agg(F.max_by("fig_id", main).alias("interface_figure"))
+    # the two best scores: a limit in each group, which is applied before the shuffle as well
+    place = F.row_number().over(W.Window.partitionBy("doc").orderBy(F.desc("interface"), "pos"))
+    two = figures.select("doc", "interface", "pos").withColumn("place", place).where("place <= 2").groupBy("doc").agg(F.max("interface").alias("top"), F.min("interface").alias("second"), F.count("*").alias("n"))
+    own = best.join(two, "doc")
+    close = (F.col("n") > 1) & ((F.col("top") < 0.5) | (F.col("top") - F.col("second") < 0.12))
     return own.select("doc", "interface_figure", (F.col("interface_figure").isNull() | F.coalesce(close, F.lit(False))).alias("needs_manual_review"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from ..functions.geometry import above_caption, clipped, is_box, is_visual_text, pixel_box, rect
 from ..functions.text import backfilled, caption_flags, caption_quality, caption_start, figure_number, from_caption_start, id_number, merged_captions
@@ -182,14 +183,12 @@ def fallback_insert(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY round_even(l_extendedprice / 7, 1), l_discount, l_linenumber)::int AS place FROM lineitem""")
 def reading_order(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import window as W
-
     order = W.Window.partitionBy("l_orderkey").orderBy(F.bround(F.col("l_extendedprice") / 7, 1), "l_discount", "l_linenumber")
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(order).alias("place"))
 
 
-@query("""SELECT p_brand AS doc, string_agg('fig_' || p_size, ',' ORDER BY p_size, p_partkey) AS figures FROM part GROUP BY 1""")
+@query("""SELECT p_brand AS doc, p_partkey, 'fig_' || p_size AS fig_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey)::int AS place FROM part""")
 def numeric_suffix_sort(spark: SparkSession, d: str) -> DataFrame:
+    """Figures of a document by the number in their id, not by its digits."""
     own = table(spark, d, "part").select(F.col("p_brand").alias("doc"), "p_partkey", F.concat(F.lit("fig_"), F.col("p_size")).alias("fig_id"))
-    grouped = own.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(id_number("fig_id").alias("n"), "p_partkey", "fig_id"))).alias("f"))
-    return grouped.select("doc", F.array_join(F.transform("f", lambda x: x["fig_id"]), ",").alias("figures"))
+    return own.withColumn("place", F.row_number().over(W.Window.partitionBy("doc").orderBy(id_number("fig_id"), "p_partkey")))
