@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,22 @@ from pyspark.sql import functions as F
 WHITESPACE = b" \t\n\r\x0b\x0c"
 
 
+#: Bytes of an Arrow batch: what a task holds twice, in the JVM and in Python, however long the texts are.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches have at most BATCH_BYTES (a lower limit of the session's own stays)."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", str(conf.get(key)).lower()).groups()
+    if int(number) << 10 * " kmgt".index(unit or " ") > BATCH_BYTES:
+        conf.set(key, BATCH_BYTES)
+    return df
+
+
 def text_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id LONG, text STRING) of a table, whatever other columns it has."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return bounded_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
@@ -37,8 +51,3 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
 def remove_path(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def hash_fold(id_col: str, mod: int):
-    """crc32 of the id written as text, modulo mod: the fold of a document."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(mod)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_rows
+from .common import bounded_batches, text_rows
 
 MATCH = "struct<item_id: string, doc_start: long, item_start: long, n_words: long>"
 RESULT = f"doc_id long, n_words long, n_hit long, hit_spans array<struct<start: long, end: long>>, matches array<{MATCH}>, items array<string>"
@@ -211,7 +211,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words:
         for batch, told in grouped(batches, searching(shared, window)):
             yield pd.Series(np.concatenate([t.column("n_hit").to_numpy() for t in told]) if told else np.zeros(0, np.int64), range(batch))
 
-    return docs.where(hits(F.col(text_col).cast("string")) == 0)
+    return bounded_batches(docs).where(hits(F.col(text_col).cast("string")) == 0)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], run) -> Iterator[tuple[int, list[pa.RecordBatch]]]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_rows
+from .common import bounded_batches, text_rows
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -39,7 +39,7 @@ class Bands:
     chunk_bytes: int = 4096
     max_bad_chunks: float = 0.5
     limits: tuple[tuple[int | None, float, float], ...] = field(
-        default=((300, 0.40, 2.60), (1000, 1.05, 2.30), (3000, 1.20, 2.50), (10000, 1.35, 2.70), (None, 1.45, 3.00))
+        default=((300, 0.40, 2.30), (1000, 1.05, 2.20), (3000, 1.20, 2.35), (10_000, 1.35, 2.50), (40_000, 1.45, 2.70), (None, 1.50, 3.00))
     )
 
     def of(self, n_bytes: int) -> tuple[float, float]:
@@ -148,4 +148,4 @@ def filtered(docs: DataFrame, bands: Bands | None = None) -> DataFrame:
         compress = zstandard.ZstdCompressor(level=rules.level).compress
         return pd.Series([_row(None if t is None else t.encode(), rules, compress)[6] for t in texts], dtype=bool)
 
-    return docs.where(kept(F.col("text").cast("string")))
+    return bounded_batches(docs).where(kept(F.col("text").cast("string")))
