@@ -167,6 +167,11 @@ def safe_name(c: Column | str) -> Column:
     return F.regexp_replace(col(c), r"[^\p{L}\p{N}_-]", "_")
 
 
+def padded(number: Column | str, digits: int) -> Column:
+    """A number with leading zeros; longer ones keep all their digits."""
+    return let(col(number).cast("string"), lambda s: F.lpad(s, F.greatest(F.lit(digits), F.length(s)), F.lit("0")))
+
+
 def view_id(c: Column | str) -> Column:
     """view-7 for 7; other ids without white space at the ends."""
     return F.when(strip(c).rlike(r"^\d+$"), F.concat(F.lit("view-"), strip(c))).otherwise(strip(c))

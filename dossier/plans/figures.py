@@ -8,7 +8,8 @@ from pyspark.sql import window as W
 
 from ..functions.geometry import above_caption, clipped, is_box, is_visual_text, pixel_box, rect
 from ..functions.text import backfilled, caption_flags, caption_quality, caption_start, figure_number, from_caption_start, id_number, merged_captions
-from ..operators.figures import ROLES, best_captions, best_of, clusters, manifests, primary_role, ranked, review, teaser_score, with_fallbacks
+from ..operators.extraction import chosen_figures, exported
+from ..operators.figures import ROLES, best_captions, best_of, clusters, front_page_score, label_box, manifests, primary_role, ranked, review, teaser_score, with_fallbacks
 from .registry import query, table
 
 
@@ -192,3 +193,44 @@ def numeric_suffix_sort(spark: SparkSession, d: str) -> DataFrame:
     """Figures of a document by the number in their id, not by its digits."""
     own = table(spark, d, "part").select(F.col("p_brand").alias("doc"), "p_partkey", F.concat(F.lit("fig_"), F.col("p_size")).alias("fig_id"))
     return own.withColumn("place", F.row_number().over(W.Window.partitionBy("doc").orderBy(id_number("fig_id"), "p_partkey")))
+
+
+@query(f"""WITH {PAGE}, s AS (SELECT *, greatest(x1-x0,0)*greatest(y1-y0,0) AS a, CASE l_returnflag WHEN 'A' THEN 20.0::double WHEN 'N' THEN 18.0 ELSE 26.0 END AS k FROM geo),
+t AS (SELECT *, CASE WHEN a >= 4000 AND y0 <= 0.68::double * 792 THEN k + least(40.0::double, a / 5000) + CASE WHEN y0 >= 100 THEN 20.0::double ELSE -15.0 END +
+  CASE WHEN l_linenumber % 3 = 0 THEN -abs(y0 - 0.4::double * 792) / 6 WHEN y1 <= cy0 + 24 THEN 25.0::double - greatest(0, cy0 - y1) / 3 WHEN least(cx1 + 12, x1) > greatest(cx0 - 12, x0) AND least(cy1 + 12, y1) > greatest(cy0 - 12, y0) THEN 12.0::double ELSE -least(40.0::double, abs(y0 - cy0) / 5) END END AS score FROM s)
+SELECT l_orderkey, l_linenumber, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_linenumber) AS n FROM t WHERE score IS NOT NULL) WHERE n = 1""")
+def front_page_top1(spark: SparkSession, d: str) -> DataFrame:
+    """The best cluster of a first page; every third line has no abstract on its page."""
+    kinds = F.when(F.col("l_returnflag") == "A", "image").when(F.col("l_returnflag") == "N", "drawing").otherwise("image,text")
+    abstract = F.when(F.col("l_linenumber") % 3 != 0, F.col("caption"))
+    scored = page_boxes(spark, d).withColumn("score", front_page_score(F.col("region"), kinds, F.lit(100.0), abstract, F.lit(792.0)))
+    return best_of(scored, "l_orderkey", "score", "l_linenumber").select("l_orderkey", "l_linenumber", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {ANNOTATED}, docs AS (SELECT DISTINCT doc FROM fig), m AS (SELECT doc, (SELECT f.fig_id FROM fig f WHERE f.doc = docs.doc AND f.primary_role = 'interface' ORDER BY f.interface DESC, f.pos LIMIT 1) AS fig_id FROM docs)
+SELECT m.doc, m.fig_id, CASE WHEN m.fig_id IS NULL THEN 'none_selected' WHEN f.pos % 4 = 0 THEN 'not_found' WHEN f.pos % 4 = 1 THEN 'no_image_path' WHEN f.pos % 4 = 2 THEN 'no_caption' ELSE 'ok' END AS status FROM m LEFT JOIN fig f ON f.doc = m.doc AND f.fig_id = m.fig_id""")
+def interface_lookup(spark: SparkSession, d: str) -> DataFrame:
+    own, k = annotated(spark, d), F.col("pos") % 4
+    files = own.where(k != 0).select("doc", "fig_id", F.when(k != 1, "path").alias("image_path"), F.when(k != 2, "caption").alias("caption"))
+    return chosen_figures(manifests(own), files)
+
+
+@query("""SELECT l_orderkey AS page, l_linenumber AS number, min(l_quantity) AS x0, min(l_discount) AS y0, max(l_quantity + 10) AS x1, max(l_discount + 1) AS y1 FROM lineitem WHERE l_partkey % 5 <> 4 GROUP BY 1, 2""")
+def label_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes around all places of a label; it is spelled in four ways, and a fifth one is none."""
+    li, k, n = table(spark, d, "lineitem"), F.col("l_partkey") % 5, F.col("l_linenumber").cast("string")
+    text = F.concat(F.when(k == 0, "see Fig. ").when(k == 1, "Fig ").when(k == 2, "Figure ").when(k == 3, "FIG. ").otherwise("Table "), n)
+    hits = li.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("number"), text.alias("text"), F.col("l_quantity").alias("x0"), F.col("l_discount").alias("y0"), (F.col("l_quantity") + 10).alias("x1"), (F.col("l_discount") + 1).alias("y1"))
+    return label_box(hits)
+
+
+@query(f"""WITH {CAPTION}, g AS (SELECT *, p_partkey * 7 % 500 AS x, p_partkey * 13 % 600 AS y FROM flags)
+SELECT doc, p_partkey AS "index", own AS number, CASE WHEN p_partkey % 6 = 0 THEN caption WHEN own = number AND p_partkey % 7 = 5 THEN t[12:] ELSE t END AS caption, CASE WHEN p_partkey % 6 <> 0 THEN greatest(x - 8, 0)::double END AS x0, CASE WHEN p_partkey % 6 <> 0 THEN greatest(y - 8, 0)::double END AS y0,
+CASE WHEN p_partkey % 6 <> 0 THEN least(x + 208, 612)::double END AS x1, CASE WHEN p_partkey % 6 <> 0 THEN least(y + 108, 792)::double END AS y1, CASE WHEN p_partkey % 6 <> 0 THEN lpad(p_partkey::varchar, greatest(3, length(p_partkey::varchar))::int, '0') || '_' || regexp_replace(p_name, '[^\\p{{L}}\\p{{N}}_-]', '_', 'g') || '.png' END AS file,
+CASE WHEN p_partkey % 6 = 0 THEN 'missing_region_boundary' ELSE 'ok' END AS status FROM (SELECT g.*, p_name FROM g JOIN part USING (p_partkey))""")
+def exported_figures(spark: SparkSession, d: str) -> DataFrame:
+    x, y = F.col("p_partkey") * 7 % 500, F.col("p_partkey") * 13 % 600
+    raw = captions(spark, d).join(table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name")), "p_partkey").select(
+        "doc", F.col("p_partkey").alias("index"), "name", "caption", F.when(F.col("p_partkey") % 6 != 0, rect(x, y, x + 200, y + 100)).alias("region"), F.lit(None).cast("struct<x0: double, y0: double, x1: double, y1: double>").alias("caption_box"), F.lit("").alias("candidate")
+    )
+    return exported(raw, rect(F.lit(0), F.lit(0), F.lit(612), F.lit(792))).select("doc", "index", "number", "caption", "box.x0", "box.y0", "box.x1", "box.y1", "file", "status")
