@@ -23,11 +23,16 @@ def last_results(lines: DataFrame, key: str = "sample_id", order: str = "line_no
 
 
 def log_counters(lines: DataFrame, key: str = "sample_id") -> DataFrame:
-    """One row: line errors, rows without an id, duplicates, rows kept."""
+    """One row: lines that aren't objects, objects, those without an id, and those that replace an earlier row."""
     held = classified(lines).withColumn("_key", F.when(~F.col("line_error"), string_field("row", key)))
-    no_id = F.count_if(~F.col("line_error") & F.col("_key").isNull())
-    out = held.agg(F.count_if(F.col("line_error")).alias("line_error_count"), no_id.alias("missing_id_count"), F.count("_key").alias("_with"), F.count_distinct("_key").alias("row_count"))
-    return out.select("line_error_count", "missing_id_count", (F.col("_with") - F.col("row_count")).alias("duplicate_count"), "row_count")
+    good = ~F.col("line_error")
+    out = held.agg(F.count_if(F.col("line_error")).alias("errors"), F.count_if(good).alias("rows"), F.count("_key").alias("named"), F.count_distinct("_key").alias("different"))
+    return out.select(
+        F.col("errors").alias("result_line_parse_error_count"),
+        (F.col("rows") - F.col("named")).alias("result_rows_without_sample_id_count"),
+        (F.col("named") - F.col("different")).alias("duplicate_result_row_count"),
+        F.col("rows").alias("result_row_count"),
+    )
 
 
 def evaluation_status(found: Column, status: Column, prediction: Column, valid: Column) -> Column:

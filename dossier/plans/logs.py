@@ -29,8 +29,8 @@ def result_log_last_wins(spark: SparkSession, d: str) -> DataFrame:
     return last_results(log_lines(spark, d)).select("sample_id", "line_no", F.try_variant_get("row", "$.status", "string").alias("status"))
 
 
-@query(f"""WITH {LOG} SELECT count_if(bad AND NOT blank)::bigint AS line_error_count, count_if(NOT bad AND NOT blank AND no_id)::bigint AS missing_id_count,
-count_if(NOT bad AND NOT blank AND NOT no_id)::bigint - count(DISTINCT CASE WHEN NOT bad AND NOT blank AND NOT no_id THEN user_id END) AS duplicate_count, count(DISTINCT CASE WHEN NOT bad AND NOT blank AND NOT no_id THEN user_id END) AS row_count FROM log""")
+@query(f"""WITH {LOG} SELECT count_if(bad)::bigint AS result_line_parse_error_count, count_if(NOT bad AND NOT blank AND no_id)::bigint AS result_rows_without_sample_id_count,
+count_if(NOT bad AND NOT blank AND NOT no_id)::bigint - count(DISTINCT CASE WHEN NOT bad AND NOT blank AND NOT no_id THEN user_id END) AS duplicate_result_row_count, count_if(NOT bad AND NOT blank)::bigint AS result_row_count FROM log""")
 def result_log_stats(spark: SparkSession, d: str) -> DataFrame:
     return log_counters(log_lines(spark, d))
 
