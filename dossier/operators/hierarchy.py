@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions.frames import small
+
 
 def capability_dimension(tree: DataFrame) -> DataFrame:
     """(record_id, view_id, subview_id, capability_id) of nested views; the last of repeated ids wins."""
@@ -24,9 +26,10 @@ def view_dimension(capabilities: DataFrame) -> DataFrame:
 
 
 def supported_views(used: DataFrame, dimension: DataFrame) -> DataFrame:
-    """(sample_id, id) of every view or subview that a workflow's uses support: used itself, its view is used, or (for a
-    view) one of its subviews is used."""
-    known = used.join(dimension, "id", "left")
-    children = used.select("sample_id", F.col("id").alias("view_id")).join(dimension, "view_id").select("sample_id", "id")
-    parents = known.where("view_id is not null").select("sample_id", F.col("view_id").alias("id"))
-    return used.select("sample_id", "id").union(parents).union(children).distinct()
+    """(sample_id, id), perhaps repeated, of every view or subview that a workflow's uses support: used itself, its view is
+    used, or (for a view) one of its subviews is used. One join: the dimension lists what each id supports."""
+    children = dimension.groupBy(F.col("view_id").alias("id")).agg(F.collect_set("id").alias("down"))
+    up = dimension.where("id <> view_id").select("id", F.array("id", "view_id").alias("up"))
+    closure = up.join(children, "id", "full").select("id", F.array_union(F.coalesce("up", F.array()), F.coalesce("down", F.array())).alias("supports"))
+    reached = used.select("sample_id", "id").join(small(closure), "id", "left")
+    return reached.select("sample_id", F.explode(F.array_union(F.array("id"), F.coalesce("supports", F.array()))).alias("id"))

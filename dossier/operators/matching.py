@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import small
 from ..functions.numbers import f1, precision_of, recall_of
 
 
-def sided(items: DataFrame, id_col: str) -> DataFrame:
-    """One row for each id of a sample with p and g (1 or 0): predicted, gold."""
+def sided(items: DataFrame, *keys: str) -> DataFrame:
+    """One row for each id of a sample with p and g (1 or 0): predicted, gold. Rows of a sample are in one partition."""
     flag = lambda side: F.max(F.when(F.col("side") == side, 1).otherwise(0)).cast("long")
-    return items.repartition("sample_id").groupBy("sample_id", id_col).agg(flag("pred").alias("p"), flag("gold").alias("g"))
+    return items.repartition("sample_id").groupBy("sample_id", *keys).agg(flag("pred").alias("p"), flag("gold").alias("g"))
 
 
 def strict_matches(items: DataFrame, id_col: str) -> DataFrame:
@@ -26,11 +27,13 @@ def strict_matches(items: DataFrame, id_col: str) -> DataFrame:
 
 
 def capability_matches(items: DataFrame, dimension: DataFrame) -> DataFrame:
-    """(sample_id, n_pred, n_gold, exact, matched) of capability ids; an id that the dimension lacks matches only itself."""
-    own = sided(items, "capability_id").join(dimension, "capability_id", "left")
+    """(sample_id, n_pred, n_gold, exact, matched) of capability ids; an id that the dimension lacks matches only itself.
+
+    The dimension is joined before rows are dealt by sample: by broadcast while it is small, else by a shuffle of its own.
+    """
     alone = F.concat(F.lit("?"), F.col("capability_id"))
-    own = own.withColumn("view_id", F.coalesce("view_id", alone)).withColumn("subview_id", F.coalesce("subview_id", alone))
-    both = F.col("p") * F.col("g")
+    placed = items.join(small(dimension), "capability_id", "left").withColumn("view_id", F.coalesce("view_id", alone)).withColumn("subview_id", F.coalesce("subview_id", alone))
+    own, both = sided(placed, "view_id", "subview_id", "capability_id"), F.col("p") * F.col("g")
     totals = [F.sum(c).alias(c) for c in ("n_pred", "n_gold", "exact", "half")]
     subs = own.groupBy("sample_id", "view_id", "subview_id").agg(
         F.sum("p").alias("n_pred"), F.sum("g").alias("n_gold"), F.sum(both).alias("exact"), F.sum(F.col("p") - both).alias("p"), F.sum(F.col("g") - both).alias("g")
@@ -44,7 +47,8 @@ def capability_matches(items: DataFrame, dimension: DataFrame) -> DataFrame:
 
 def view_matches(items: DataFrame, dimension: DataFrame) -> DataFrame:
     """The same for ids of views and subviews: half credit between a view and one of its own subviews, none between subviews."""
-    own = sided(items, "id").join(dimension, "id", "left").withColumn("view_id", F.coalesce("view_id", F.concat(F.lit("?"), F.col("id"))))
+    placed = items.join(small(dimension), "id", "left").withColumn("view_id", F.coalesce("view_id", F.concat(F.lit("?"), F.col("id"))))
+    own = sided(placed, "view_id", "id")
     is_view, both = F.col("id") == F.col("view_id"), F.col("p") * F.col("g")
     count = lambda side, of: F.sum(F.when(of, F.col(side) - both).otherwise(0))
     views = own.groupBy("sample_id", "view_id").agg(
@@ -55,6 +59,13 @@ def view_matches(items: DataFrame, dimension: DataFrame) -> DataFrame:
     return out.select("sample_id", "n_pred", "n_gold", F.col("exact").cast("double").alias("exact"), (F.col("exact") + 0.5 * F.col("half")).cast("double").alias("matched"))
 
 
+def support_counts(predicted: DataFrame, supported: DataFrame, id_col: str) -> DataFrame:
+    """(sample_id, n_pred, n_supported): how many predicted ids of a sample are among the supported ones; one shuffle for both."""
+    rows = predicted.select("sample_id", id_col, F.lit("pred").alias("side")).unionByName(supported.select("sample_id", id_col, F.lit("gold").alias("side")))
+    own = sided(rows, id_col)
+    return own.groupBy("sample_id").agg(F.sum("p").alias("n_pred"), F.sum(F.col("p") * F.col("g")).alias("n_supported"))
+
+
 def scored(samples: DataFrame, matches: DataFrame, matched: str = "matched", prefix: str = "", suffix: str = "") -> DataFrame:
     """Samples with precision, recall and F1; a sample without any item scores 1."""
     joined = samples.join(matches, "sample_id", "left").fillna(0, ["n_pred", "n_gold", matched])

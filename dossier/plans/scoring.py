@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import same_set
+from ..functions.frames import small
 from ..functions.numbers import f1, next_move_score, precision_of, ratio, recall_of, structure_score
 from ..operators.hierarchy import supported_views, view_dimension
-from ..operators.matching import capability_matches, scored, strict_matches, view_matches
+from ..operators.matching import capability_matches, scored, strict_matches, support_counts, view_matches
 from ..operators.summaries import review_reasons, summary
 from .registry import query, table
 
@@ -86,15 +87,14 @@ def used(spark: SparkSession, d: str) -> DataFrame:
 
 def supports(spark: SparkSession, d: str) -> DataFrame:
     """Counts of what workflows support and of capabilities whose parent is predicted, too."""
-    pv = views(spark, d).where("side = 'pred'").select("sample_id", "id").distinct()
-    pc = capabilities(spark, d).where("side = 'pred'").select("sample_id", "capability_id").distinct()
+    pv = views(spark, d).where("side = 'pred'").select("sample_id", "id")
+    pc = capabilities(spark, d).where("side = 'pred'").select("sample_id", "capability_id")
     use = used(spark, d)
-    good_v = pv.join(supported_views(use.select("sample_id", "id").distinct(), views_of(spark, d)).withColumn("ok", F.lit(1)), ["sample_id", "id"], "left")
-    v = good_v.groupBy("sample_id").agg(F.count("*").alias("predicted_view_count"), F.count("ok").alias("workflow_view_supported_count"))
-    good_c = pc.join(use.select("sample_id", "capability_id").distinct().withColumn("ok", F.lit(1)), ["sample_id", "capability_id"], "left")
-    c = good_c.groupBy("sample_id").agg(F.count("*").alias("predicted_capability_count"), F.count("ok").alias("workflow_capability_supported_count"))
+    named = lambda df, kind: df.select("sample_id", F.col("n_pred").alias(f"predicted_{kind}_count"), F.col("n_supported").alias(f"workflow_{kind}_supported_count"))
+    v = named(support_counts(pv, supported_views(use.select("sample_id", "id"), views_of(spark, d)), "id"), "view")
+    c = named(support_counts(pc, use.select("sample_id", "capability_id"), "capability_id"), "capability")
     listed = pv.groupBy("sample_id").agg(F.collect_set("id").alias("ids"))
-    parent = pc.join(dimension(spark, d), "capability_id", "left").join(listed, "sample_id", "left")
+    parent = pc.join(small(dimension(spark, d)), "capability_id", "left").repartition("sample_id").distinct().join(listed, "sample_id", "left")
     inside = F.coalesce(F.array_contains("ids", F.col("subview_id")) | F.array_contains("ids", F.col("view_id")), F.lit(False))
     i = parent.groupBy("sample_id").agg(F.count_if(inside).alias("internal_consistency_supported_count"))
     counts = ("predicted_view_count", "workflow_view_supported_count", "predicted_capability_count", "workflow_capability_supported_count", "internal_consistency_supported_count")

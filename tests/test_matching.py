@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.operators.hierarchy import capability_dimension, supported_views, view_dimension
-from dossier.operators.matching import best_matching, capability_matches, scored, strict_matches, view_matches, weighted_matches
+from dossier.operators.matching import best_matching, capability_matches, scored, strict_matches, support_counts, view_matches, weighted_matches
 
 CAPS = [(f"v{v}.s{s}.c{c}", f"v{v}.s{s}", f"v{v}") for v in range(2) for s in range(2) for c in range(3)]
 PARENT = {c: (s, v) for c, s, v in CAPS}
@@ -93,4 +93,7 @@ def test_dimension_and_support(spark):
     used = spark.createDataFrame([(1, "v1.s1"), (2, "v1"), (3, "zz")], "sample_id long, id string")
     got = {(r.sample_id, r.id) for r in supported_views(used, views).collect()}
     assert got == {(1, "v1.s1"), (1, "v1"), (2, "v1"), (2, "v1.s1"), (2, "v1.s2"), (3, "zz")}
+    predicted = spark.createDataFrame([(1, "v1"), (1, "v2"), (2, "v1.s2"), (4, "x")], "sample_id long, id string")
+    counts = {r.sample_id: (r.n_pred, r.n_supported) for r in support_counts(predicted, supported_views(used, views), "id").collect()}
+    assert counts == {1: (2, 1), 2: (1, 1), 3: (0, 0), 4: (1, 0)}
     assert dim.where(F.col("view_id").isNull()).count() == 0
