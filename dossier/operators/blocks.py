@@ -118,11 +118,10 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, a: str, b: str, threshold: float = 0.92) -> DataFrame:
-    """Pairs whose similarity reaches the threshold.
+    """Pairs whose similarity reaches the threshold, of those that share a run of four words.
 
-    Texts that alike share long blocks: of the words of each, cut into runs of four, at least one run is the same in both
-    at some place if the ratio is 0.92 or more and texts are not very short; pairs meet by such runs (all runs of one
-    side, every fourth of the other), which is an equi-join.
+    All runs of one side and every fourth run of the other are the keys of an equi-join, so that only pairs with a common
+    passage are compared. That is a choice of candidates, not a guarantee: texts alike in scattered words only don't meet.
     """
     form = lambda c: F.split(compare_form(nfkc(c)), " ")
     runs = lambda w, step: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 4, F.lit(0)), F.lit(step)), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, 4), " ")))
