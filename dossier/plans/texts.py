@@ -177,7 +177,7 @@ def abstract_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def similar_passages(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of documents and benchmark items that are much alike; both sides meet by their first words and length."""
+    """Lines of documents and benchmark items that are much alike: every pair that reaches the threshold."""
     lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("text")).where("text <> ''").distinct()
     items = table(spark, d, "benchmark").select("item_id", F.regexp_replace("text", "\n", " ").alias("text"))
     pairs = similar_pairs(lines.withColumnRenamed("text", "a"), items.withColumnRenamed("text", "b"), "a", "b")

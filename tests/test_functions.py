@@ -248,6 +248,30 @@ def test_similar_pairs(spark):
     assert [(r.i, r.j) for r in blocks.similar_pairs(a, b, "a", "b").collect()] == [(1, 7)]
 
 
+def test_similar_pairs_are_all_pairs(spark):
+    """Short texts, edits in the first words, an edited letter in every word or so, against all pairs by the reference's rule."""
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdeéß") for _ in range(rng.randrange(3, 9))) for _ in range(60)]
+    items = ["alpha beta gamma delta", "alpha", *(" ".join(rng.choices(words, k=rng.choice([1, 2, 5, 7, 30, 90]))) for _ in range(60))]
+    lines = ["alpha beta gamma deltas", "alphas", "", None]
+    for t in items:
+        for every in (9, 14, 25, 40):
+            lines.append("".join(rng.choice("xyz") if k % every == 1 else c for k, c in enumerate(t)))
+        lines += [t, t + "!", "x" + t]
+    a = spark.createDataFrame(list(enumerate(lines)), "i long, a string").repartition(3)
+    b = spark.createDataFrame([*enumerate(items), (900, ""), (901, None)], "j long, b string")
+    ratio = lambda x, y: SequenceMatcher(None, x, y).ratio()
+    near = lambda x, y: abs(len(x) - len(y)) <= 0.25 * max(len(x), len(y))
+    want = {(i, j) for i, x in enumerate(lines) if x for j, y in enumerate(items) if near(x, y) and ratio(x, y) >= 0.92}
+    for size in (4_000_000, 500):
+        got = [(r.i, r.j) for r in blocks.similar_pairs(a, b, "a", "b", block_chars=size).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert (0, 0) in want and len(want) > 200
+
+
 def test_prefixes(spark):
     episodes = spark.createDataFrame([("c", 1, "a"), ("c", 2, "b")], "case_id string, episode int, v string")
     ask = lambda p: spark.createDataFrame([("s", "c", p)], "sample_id string, case_id string, prefix array<int>")
