@@ -204,13 +204,14 @@ ABSTRACT_ENDS = (
 
 def abstract(c: Column | str) -> Column:
     """The abstract in a text: from the first line with that word to the first heading that ends it; null below 20 characters."""
+    space = r"[\s\x1c-\x1f]"
     lines = F.regexp_replace(F.regexp_replace(col(c), "\r\n?", "\n"), "[ \t]+", " ")
     tidy = strip(F.regexp_replace(lines, "\n{3,}", "\n\n"))
-    rest = blank_to_null(F.regexp_extract(tidy, r"(?is)(?:^|\n)([^\n]*\babstract\b.*)$", 1))
+    rest = blank_to_null(F.regexp_extract(tidy, r"(?isdU)(?:^|\n)([^\n]*\babstract\b.*)$", 1))
 
     def ended(body: Column) -> Column:
-        ends = [F.nullif(F.regexp_instr(body, F.lit(rf"(?im)^\s*{p}\b")), F.lit(0)) for p in ABSTRACT_ENDS]
+        ends = [F.nullif(F.regexp_instr(body, F.lit(rf"(?imdU)^\s*{p}\b".replace(r"\s", space))), F.lit(0)) for p in ABSTRACT_ENDS]
         return F.substr(body, F.lit(1), F.coalesce(*ends, F.length(body) + 1) - 1)
 
-    body = let(F.regexp_replace(rest, r"(?i)\A\s*(abstract|摘要)\s*[:：\-—]*\s*", ""), ended)
-    return let(strip(F.regexp_replace(strip(body), r"\s*\n\s*", " ")), lambda text: F.when(F.length(text) >= 20, text))
+    body = let(F.regexp_replace(rest, r"(?iU)\A\s*(abstract|摘要)\s*[:：\-—]*\s*".replace(r"\s", space), ""), ended)
+    return let(strip(F.regexp_replace(strip(body), r"(?U)\s*\n\s*".replace(r"\s", space), " ")), lambda text: F.when(F.length(text) >= 20, text))

@@ -1,4 +1,5 @@
 import random
+import re
 import unicodedata
 
 import pandas as pd
@@ -68,6 +69,50 @@ def test_abstract(spark):
     assert one(spark, "abstract: text of enough length\nRelated work\nthen more\nIntroduction\nx", "string", text.abstract) == "text of enough length Related work then more"
 
 
+ENDS = (
+    r"\bkeywords?\b", r"\bkey\s*words?\b", r"\bindex\b", r"\bindex\s*terms?\b", r"\bindexing\s*terms?\b", r"\bintroduction\b", r"\bbackground\b",
+    r"\brelated\s+work\b", r"^\s*1\s*[\.\)]\s*", r"^\s*i\s*[\.\)]\s*", r"^\s*section\s+1\b", r"^\s*chapter\s+1\b",
+)
+
+
+def brute_abstract(raw):
+    """The rule line by line, as the reference has it."""
+    tidy = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", raw.replace("\r\n", "\n").replace("\r", "\n"))).strip()
+    lines = tidy.split("\n")
+    start = next((k for k, x in enumerate(lines) if re.search(r"\babstract\b", x.strip(), re.I)), None)
+    if start is None:
+        return None
+    rest = re.sub(r"^\s*(abstract|摘要)\s*[:：\-—]*\s*", "", "\n".join(lines[start:]), flags=re.I)
+    found = next((m for p in ENDS if (m := re.search(rf"(?m)^\s*{p}\b", rest, re.I))), None)
+    out = re.sub(r"\s*\n\s*", " ", rest[: found.start()].strip() if found else rest.strip()).strip()
+    return out if len(out) >= 20 else None
+
+
+def test_abstract_queries_over_all_documents(spark, tmp_path):
+    """Documents with words of the rule in their own text get rows, too, and the right ones."""
+    from dossier.plans import catalog
+
+    rng = random.Random(8)
+    heads = ["Keywords: a", "key  words b", "Index", "index terms: x", "Indexing terms", "INTRODUCTION", " Background", "Related  work", "Related", "1. Start", " 1 ) Start", "i. one", "I) one", "1 . x"]
+    heads += ["Section 1", "section 10", "Chapter 1 of", "keywordsy", "introductions", "a", "1.5 m", "in 1.", "sectioned", "", "\t", "\r\nIndex", "\r1.x", "Abstract", "abstract: again", "Abstractly", "x-abstract y"]
+    heads += ["\u00a0index", "\u3000Introduction", "1.é", "keywordsé", "éabstract", "abstractß", "x\u2028index", "x\x85background", "x\x0bindex"]
+    texts = [None, "", "abstract", "摘要：abstract of a text that is long enough", "Abstract"]
+    for _ in range(600):
+        body = ["Some words of a text.", rng.choice(["ABSTRACT — ", "Abstract:", " abstract\t-- of", "The abstract of", "摘要 abstract", ""]) + " what we did, at length, é 世界"]
+        body += [rng.choice([*heads, "more of the text in a line"]) for _ in range(rng.randrange(6))] + ["The end of it"]
+        texts.append("\n".join(body))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def made(i, t):
+        return t if t is None or i % 3 == 0 else f"Some title\nAbstract: {t}" + ("\nIntroduction follows\nx" if i % 3 == 1 else "")
+
+    for name, own in (("abstract_finder", made), ("document_abstracts", lambda _, t: t)):
+        got = {r.doc_id: r.abstract for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
+        want = {i: None if own(i, t) is None else brute_abstract(own(i, t)) for i, t in enumerate(texts)}
+        assert {i: (texts[i], got.get(i, "no row"), w) for i, w in want.items() if got.get(i, "no row") != w} == {}
+        assert len({w for w in want.values() if w}) > 200
+
+
 def test_small_texts(spark):
     assert one(spark, " a |b|| ", "string", text.pipe_list) == ["a", "b"] and one(spark, None, "string", text.pipe_list) == []
     assert one(spark, " 12 ", "string", text.view_id) == "view-12" and one(spark, " v1\t", "string", text.view_id) == "v1"
@@ -250,7 +295,6 @@ def test_similar_pairs(spark):
 
 def test_similar_pairs_are_all_pairs(spark):
     """Short texts, edits in the first words, an edited letter in every word or so, against all pairs by the reference's rule."""
-    import random
     from difflib import SequenceMatcher
 
     rng = random.Random(5)
