@@ -142,13 +142,19 @@ def group_cover(contexts: list[tuple[bytes, bytes]], least: int) -> dict[int, tu
 
 
 def repeated_anchors(hot: int):
-    """Bucket work: the anchors that several chunks have, and whether they have more than `hot` different contexts."""
+    """Bucket work: the anchors that several chunks have, and whether they have more than `hot` different contexts. If the
+    chunks sent hashes of contexts, one that several chunks have counts once, else once for each chunk."""
 
     def work(chunk_ids: list[int], payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
-        held = [(unpack_sorted(a), unpack(b)) for a, b in map(unparts, payloads)]
+        sent = [unparts(p) for p in payloads]
+        held = [(unpack_sorted(p[0]), unpack(p[1])) for p in sent]
         keys, counts = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
         every, back, times = np.unique(keys, return_inverse=True, return_counts=True)
-        shared, total = every[times > 1], np.bincount(back, counts)[times > 1]
+        total = np.bincount(back, counts)
+        if len(sent[0]) > 2:
+            hashes = np.concatenate([np.frombuffer(p[2], "<u8") for p in sent])
+            total = np.bincount(np.searchsorted(every, unique_pairs(np.repeat(keys, counts), hashes)[0]), minlength=len(every))
+        shared, total = every[times > 1], total[times > 1]
         if len(shared):
             for chunk, (own, _) in zip(chunk_ids, held, strict=True):
                 found = own[member(own, shared)]
@@ -239,6 +245,16 @@ def sent_anchors(chunk: Anchored, n_buckets: int) -> list[tuple[int, bytes]]:
     return [(b, parts(pack_sorted(keys[i:j]), pack(counts[i:j]))) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
 
 
+def sent_anchors_and_contexts(chunk: Anchored, n_buckets: int) -> list[tuple[int, bytes]]:
+    """As sent_anchors, with a hash of each different context."""
+    found = chunk.contexts(np.arange(len(chunk.key)))
+    keys, first, counts = np.unique(np.array([f[0] for f in found], np.uint64), return_index=True, return_counts=True)
+    hashes = np.array([named(*f[1]) for f in found], "<u8")
+    first = np.append(first, len(found))
+    edges = bucket_edges(keys, n_buckets)
+    return [(b, parts(pack_sorted(keys[i:j]), pack(counts[i:j]), hashes[first[i] : first[j]].tobytes())) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
+
+
 def sent_contexts(chunk: Anchored, answers: list[bytes], n_buckets: int) -> list[tuple[int, bytes]]:
     import zstandard
 
@@ -410,13 +426,14 @@ def repeat_groups(docs: DataFrame, least: int = 400, hot: int = 2000, chunk_byte
     """(repeat_id, length, doc_id, start) of all occurrences of all maximal repeats of at least `least` bytes.
 
     A repeat is seen from each anchor in it, as far as the windows of that anchor reach; one much longer than `least` is
-    therefore told by several overlapping groups over the same documents. Hot anchors tell groups of exactly `least` bytes.
-    Exchanges are those of `suffix_dedup`; occurrences never meet in one task.
+    therefore told by several overlapping groups over the same documents. Anchors with more than `hot` different contexts,
+    however many documents have each, tell groups of exactly `least` bytes. Exchanges are those of `suffix_dedup` and 8 bytes
+    more for each context; occurrences never meet in one task.
     """
     docs = text_rows(docs, id_col, text_col)
     n_chunks, n_buckets = chunk_plan(docs, chunk_bytes)
     chunks = chunked(docs, n_chunks)
-    anchors = gather(scatter(chunks, lambda _, t, __: sent_anchors(Anchored(t, least), n_buckets)), repeated_anchors(hot))
+    anchors = gather(scatter(chunks, lambda _, t, __: sent_anchors_and_contexts(Anchored(t, least), n_buckets)), repeated_anchors(hot))
     found = gather(scatter(chunks, lambda _, t, a: sent_contexts(Anchored(t, least), a.column("payload").to_pylist(), n_buckets), anchors), gathered_groups(least))
     both = anchors.selectExpr("chunk", "true as anchor", "payload").unionByName(found.selectExpr("chunk", "false as anchor", "payload"))
 

@@ -14,7 +14,7 @@ from dossier.llm.simhash import fingerprint, near_duplicates
 from dossier.llm.substring_dedup import FingerprintIndex, substring_dedup, substring_dedup_rows
 from dossier.llm.suffix_dedup import repeat_groups, suffix_dedup
 
-from .fixtures import docs, texts
+from .fixtures import docs, prose, texts
 
 
 def as_rows(df):
@@ -157,6 +157,17 @@ def test_repeat_groups(spark, hot):
     assert {i: int(c.sum()) for i, c in cover.items()} == want and sum(want.values()) > 5000
 
 
+def test_copies_in_many_chunks_are_one_context(spark):
+    """A text that all chunks have is no reason to leave the interval tree: its groups are as long as in few chunks."""
+    rng = random.Random(12)
+    text = prose(rng, 200)
+    rows = [(i, text) for i in range(60)]
+    few, many = (
+        {(r.repeat_id, r.length, r.doc_id, r.start) for r in repeat_groups(docs(spark, rows), least=300, hot=hot, chunk_bytes=2000).collect()} for hot in (2000, 3)
+    )
+    assert few == many and max(r[1] for r in many) > 300 and len({r[2] for r in many}) == 60
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab", max_size=24), min_size=1, max_size=4))
 def test_maximal_repeats(raw):
