@@ -4,7 +4,8 @@ A text is judged twice. The whole document has a compression ratio (bytes over c
 fixed-size chunk of it. Repetitive text compresses too well, random text hardly at all, and what is usual depends on
 the length, since a short input pays for the frame and a long one profits from its own history. Each band therefore
 states the least and the greatest ratio for texts of its length. Whole documents are held against the band of their
-length, chunks against the band of the chunk size; a document is kept if its own ratio is inside and at most
+length, chunks against the band of the chunk size. Where bytes remain behind the last whole chunk, one more chunk ends at
+the text's end and shares bytes with the one before, so that every byte is judged; a document is kept if its own ratio is inside and at most
 `max_bad_chunks` of its chunks (as a share) are outside.
 
 Defined results: a null text has no words, no lines and no ratio (null) and fails the base rules; so does an empty
@@ -111,7 +112,7 @@ def _row(raw: bytes | None, bands: Bands, compress) -> tuple:
     failed = n < 50 or 100 * repeat > 50 * n
     ratio = len(raw) / len(compress(raw)) if raw else None
     view, size = memoryview(raw), bands.chunk_bytes
-    starts = range(0, len(raw) - size + 1, size) if len(raw) > size else ()
+    starts = [*range(0, len(raw) - size, size), len(raw) - size] if len(raw) > size else ()
     low, high = bands.of(size)
     bad = 0
     for s in starts:

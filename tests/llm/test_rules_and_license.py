@@ -42,6 +42,24 @@ def test_bands(spark):
     assert quality_rules(docs(spark, [])).count() == 0 and filtered(docs(spark, [])).count() == 0
 
 
+def test_chunks_reach_the_end(spark):
+    """Bytes behind the last whole chunk are judged, too, and the order of a text's halves doesn't matter."""
+    rng = random.Random(6)
+    good = lambda n: prose(rng, n).encode("ascii", "replace").decode()[:n].ljust(n, "a")
+    junk = lambda n: "".join(chr(rng.randrange(33, 127)) if k % 9 else " " for k in range(n))
+    g, j, tail = good(4095), junk(4096), junk(4008)
+    rows = [(1, g + j), (2, j + g), (3, good(4096) + j + tail), (4, good(4096)), (5, j + "a"), (6, good(4096) + j), (7, good(8192) + good(100))]
+    bands = Bands(limits=((None, 1.3, 6.0),))
+    got = {r.doc_id: r for r in quality_rules(docs(spark, rows), bands).collect()}
+    assert {i: (r.n_chunks, r.n_bad_chunks) for i, r in got.items()} == {1: (2, 1), 2: (2, 1), 3: (3, 2), 4: (0, 0), 5: (2, 2), 6: (2, 1), 7: (3, 0)}
+    only = Bands(limits=((4097, 1.3, 6.0), (None, 0.1, 9.0)))
+    texts_ = {1: True, 2: True, 3: False, 5: False}
+    got = {r.doc_id: r for r in quality_rules(docs(spark, rows), only).collect()}
+    assert {i: got[i].reason != "bad_chunks" for i in texts_} == texts_
+    kept = {r.doc_id for r in filtered(docs(spark, rows), only).collect()}
+    assert kept == {i for i, r in got.items() if r.kept} and 3 not in kept
+
+
 def words(text):
     out, w = [], ""
     for c in (text or "").lower() + " ":
