@@ -30,7 +30,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that with the smallest doc_id. Rows without an id stay."""
+    """One document of each group of near-duplicates stays: that with the smallest doc_id. Rows without an id stay.
+
+    Rows are kept by their id: repeated rows with a kept id all stay, also in the substring stage, which compares ids only;
+    and a row whose id is kept for another text stays whatever its own group is."""
     kept = near_duplicates(docs, radius=2, shingle=3, seed=42).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
 
