@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +37,12 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; only where none is set (tests), one below the warehouse."""
-    base = checkpoint_dir(spark) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+    """A new path in the folder that all executors share. Where none is set, a session in one process uses one below its
+    warehouse; on a cluster that may be a local disk, so it is an error."""
+    base = checkpoint_dir(spark)
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -48,6 +54,18 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the jobs inside go as soon as each has ended, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

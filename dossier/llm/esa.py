@@ -42,51 +42,35 @@ class SuffixArray:
             if not stack or stack[-1][0] < here:
                 stack.append((here, first))
 
-    def left_extended(self, first: int, end: int) -> tuple[list[int], list[int]]:
-        """An interval's members in the order of their left sides, and how far each left side is shared with the one before."""
-        members = sorted(self.order[first:end], key=self.lefts.__getitem__)
-        own = [self.lefts[i] for i in members]
-        return members, [0, *map(common_prefix, own, own[1:])]
-
-    def covered(self, least: int) -> dict[int, tuple[int, int]]:
-        """For each suffix that shares `least` bytes around its start with another: bytes shared to its left and right, at most.
-
-        All pairs of an interval share its common prefix, so the longest shared left side of a member there is that with
-        a neighbour in the order of left sides.
-        """
-        out: dict[int, tuple[int, int]] = {}
-        for depth, first, end in self.intervals():
-            members, shared = self.left_extended(first, end)
-            for k, i in enumerate(members):
-                left = max(shared[k], shared[k + 1] if k + 1 < len(members) else 0)
-                if left + depth >= least:
-                    old = out.get(i, (0, 0))
-                    out[i] = (max(old[0], left), max(old[1], depth))
-        return out
-
     def maximal_repeats(self, least: int) -> Iterator[tuple[int, int, list[int]]]:
-        """(bytes to the left, bytes to the right, all members) of each repeat that neither side can extend.
+        """(bytes to the left, bytes to the right, all members) of each repeat of `least` bytes that neither side can extend.
 
-        Right-maximal: an interval's members differ behind its common prefix. Left-maximal: they share `left` bytes and
-        the bytes before those are not all the same. Left sides are scanned with a stack, as the suffixes are.
+        An inner node's members share its common prefix. Their left sides, sorted, have common prefixes themselves, and a
+        stack scan of those gives the parts of the node that share `left` bytes to the left. A part counts if its left
+        extensions are diverse and its members don't all go on alike to the right (a part may share more than its node).
         """
         for depth, first, end in self.intervals():
-            members, shared = self.left_extended(first, end)
+            members = sorted(self.order[first:end], key=self.lefts.__getitem__)
+            own = [self.lefts[i] for i in members]
+            if depth + max(map(len, own)) < least:
+                continue
+            shared = [0, *map(common_prefix, own, own[1:])]
             stack, at = [(0, 0)], len(members)
             for k in range(1, at + 1):
                 here, start = (shared[k] if k < at else -1), k - 1
                 while stack and stack[-1][0] > here:
                     left, start = stack.pop()
                     group = members[start:k]
-                    if left + depth >= least and self._diverse(group, depth):
+                    if left + depth >= least and diverse(self.lefts, group, left) and diverse(self.suffixes, group, depth):
                         yield left, depth, sorted(group)
                 if not stack or stack[-1][0] < here:
                     stack.append((here, start))
 
-    def _diverse(self, group: list[int], depth: int) -> bool:
-        """Whether a group's members still differ behind the common prefix (a part of an interval may share more)."""
-        after = {self.suffixes[i][depth : depth + 1] for i in group}
-        return len(after) > 1 or b"" in after
+
+def diverse(sides: list[bytes], group: list[int], shared: int) -> bool:
+    """Whether a group's members differ behind the bytes they share on one side; an end differs from everything."""
+    after = {sides[i][shared : shared + 1] for i in group}
+    return len(after) > 1 or b"" in after
 
 
 def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[int, list[tuple[int, int]]]]:

@@ -1,44 +1,53 @@
-"""Log-structured fingerprint index for repeated word windows, whole corpora at once or batch by batch.
+"""Log-structured fingerprint index for repeated word windows.
 
-Every run is sorted by hash, cut into hash buckets and never changed: it holds, for each window of `window` words, two
-independent hashes and the smallest document that has it. A new batch is merge-joined bucket by bucket with the runs
-there are; a window is removed where a smaller document of the batch or of a run has it. Compaction merges runs.
+The index is a folder of runs. A run is the sorted window hashes of one batch, cut into hash buckets and never changed; each
+bucket of it is one row of a bucketed table, so that a bucket of all runs is read by one task without a shuffle. A batch's
+own windows are dealt to the buckets, each chunk of texts sending its sorted, different windows; there they are merge-joined
+with the runs of history and with each other. A window is removed where history has it, or where a smaller document of the
+batch has it. A match of the 64-bit hash is verified by a second hash of 24 bits that is computed independently. Windows that
+no run has become the batch's own run. Compaction merges runs of like age, so that their number grows with the logarithm of
+the number of batches.
 
-`substring_dedup` takes a whole corpus as one job: each chunk of documents makes its own sorted run and the buckets
-merge-join the runs of all chunks. To keep the runs small, a first exchange finds the windows that can occur twice: a
-window's anchor is the least hash of its five-word sequences, equal windows have equal anchors, and only windows whose
-anchor another document has enter the runs. A match of the first hash is verified by the second before anything is
-removed. `FingerprintIndex` keeps the runs of all windows in a folder, for batches that come later.
+`substring_dedup` and `substring_dedup_rows` feed a whole corpus to such an index in batches of rising doc_id, so that what
+history has always has a smaller id. `FingerprintIndex.add` takes batches that come later, by themselves. A bucket answers a
+chunk with one bit for each window that the chunk sent, so answers are small, and the texts are cut once all are known.
 
 Defined results: null and empty texts and those shorter than a window keep all their words. Rows with the same doc_id are
 one document to each other: they never remove each other's words. A null doc_id counts as larger than every id. Very
-long texts are handled whole. Other columns are ignored. An empty table gives no rows.
+long texts are handled whole. Other columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_rows
-from .exchange import MB, bucket_edges, chunk_plan, chunked, gather, member, mixed, pack, pack_sorted, scatter, shared_hashes, unpack, unpack_sorted
+from .common import materialized, remove_path, scratch_path, shuffles_removed, text_rows
+from .exchange import MB, by_bucket, chunk_plan, chunked, mixed, pack, pack_sorted, parts, placed, rows, sizes, unpack, unpack_sorted, unparts
 
 NO_ID = (1 << 63) - 1
 RESULT = "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+SENT = "bucket int, chunk int, payload binary"
+#: The chunk of rows that are a run's own; other rows of a run's table answer a chunk of its batch.
+RUN = -1
 
 
 class Windows:
-    """The words of a chunk's texts, one after the other, and hashes of their windows."""
+    """The words of a chunk's texts, one after the other, and the hashes of their windows."""
 
-    def __init__(self, texts: pa.Table, window: int, anchor: int) -> None:
+    def __init__(self, texts: pa.Table, window: int) -> None:
         from xxhash import xxh3_64_intdigest
 
-        self.window, self.anchor = window, anchor
+        self.window = window
         self.ids = np.array([NO_ID if i is None else i for i in texts.column("doc_id").to_pylist()], np.int64)
         self.words: list[bytes] = []
         ends = []
@@ -48,135 +57,119 @@ class Windows:
             ends.append(len(self.words))
         self.ends = np.array(ends, np.int64)
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64) if ends else self.ends
-        self.hashes = np.fromiter(map(xxh3_64_intdigest, self.words), np.uint64, len(self.words))
+        hashes = np.fromiter(map(xxh3_64_intdigest, self.words), np.uint64, len(self.words))
         counts = np.maximum(self.ends - self.starts - window + 1, 0)
-        #: first words of windows, and the number of the text that each lies in
-        self.text = np.repeat(np.arange(len(counts)), counts)
+        #: first words of windows, and the id of the document that each lies in
         self.at = np.arange(counts.sum()) + np.repeat(self.starts - np.cumsum(counts) + counts, counts)
-
-    def sums(self, size: int, seed: int) -> np.ndarray:
-        """A hash of the `size` words from each word on (the last ones are cut short and mean nothing)."""
-        n = max(len(self.hashes) - size + 1, 0)
-        out = np.zeros(n, np.uint64)
-        factors = mixed(np.arange(seed * 64 + 1, seed * 64 + 1 + size, dtype=np.uint64)) | np.uint64(1)
-        with np.errstate(over="ignore"):
-            for j in range(size):
-                out += mixed_lightly(self.hashes[j : j + n], seed) * factors[j]
+        self.owner = np.repeat(self.ids, counts)
+        #: 64 bits and, independently, 24
+        self.first = self._sums(hashes, 2)[self.at] if len(self.at) else np.zeros(0, np.uint64)
+        self.second = self._sums((hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15), 3)[self.at] >> np.uint64(40) if len(self.at) else np.zeros(0, np.uint64)
+        self.keys = Keys(self.first, self.second)
+
+    def _sums(self, hashes: np.ndarray, seed: int) -> np.ndarray:
+        """A hash of the window from each word on."""
+        out = np.zeros(len(hashes) - self.window + 1, np.uint64)
+        factors = mixed(np.arange(seed * 64 + 1, seed * 64 + 1 + self.window, dtype=np.uint64)) | np.uint64(1)
+        for j in range(self.window):
+            out += hashes[j : j + len(out)] * factors[j]
         return mixed(out)
 
-    def anchors(self) -> np.ndarray:
-        """The anchor of each window."""
-        grams = self.sums(self.anchor, 1)
-        out = grams[self.at]
-        for j in range(1, self.window - self.anchor + 1):
-            np.minimum(out, grams[self.at + j], out=out)
-        return mixed(out + np.uint64(1))
-
-    def keys(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Both hashes of some windows: 64 and 32 bits."""
-        at = self.at[which]
-        first, second = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-        with np.errstate(over="ignore"):
-            for out, seed in ((first, 2), (second, 3)):
-                factors = mixed(np.arange(seed * 64 + 1, seed * 64 + 1 + self.window, dtype=np.uint64)) | np.uint64(1)
-                for j in range(self.window):
-                    out += mixed_lightly(self.hashes[at + j], seed) * factors[j]
-        return mixed(first), mixed(second) >> np.uint64(32)
-
-
-def mixed_lightly(x: np.ndarray, seed: int) -> np.ndarray:
-    """Other bits for another seed, so that sums with different seeds don't fail together."""
-    return x if seed < 3 else (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-
-
-def smallest(first: np.ndarray, second: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each key once, rising, with its smallest id."""
-    order = np.lexsort((ids, second, first))
-    first, second, ids = first[order], second[order], ids[order]
-    new = np.ones(len(first), bool)
-    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
-    return first[new], second[new], ids[new]
-
-
-def pack_run(first: np.ndarray, second: np.ndarray, ids: np.ndarray) -> bytes:
-    """A run's part for one bucket; first is rising, perhaps with repeats."""
-    parts = [pack_sorted(first), second.astype("<u4").tobytes(), pack(ids)]
-    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
-
-
-def unpack_run(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    parts, at = [], 0
-    while at < len(raw):
-        n = int.from_bytes(raw[at : at + 4], "little")
-        parts.append(raw[at + 4 : at + 4 + n])
-        at += 4 + n
-    return unpack_sorted(parts[0]), np.frombuffer(parts[1], "<u4").astype(np.uint64), unpack(parts[2])
-
-
-def cut_run(first: np.ndarray, second: np.ndarray, ids: np.ndarray, n_buckets: int) -> list[tuple[int, bytes]]:
-    edges = bucket_edges(first, n_buckets)
-    return [(b, pack_run(first[i:j], second[i:j], ids[i:j])) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
-
-
-def cut_hashes(hashes: np.ndarray, n_buckets: int) -> list[tuple[int, bytes]]:
-    edges = bucket_edges(hashes, n_buckets)
-    return [(b, pack_sorted(hashes[i:j])) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
-
-
-def owned_elsewhere(chunk_ids: list[int], payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
-    """Merge-join the runs of a bucket: for each run the keys that another one has with a smaller document."""
-    runs = [unpack_run(p) for p in payloads]
-    first, second, ids = (np.concatenate(x) for x in zip(*runs, strict=True))
-    source = np.repeat(np.arange(len(runs)), [len(r[0]) for r in runs])
-    order = np.lexsort((ids, second, first))
-    first, second, ids, source = first[order], second[order], ids[order], source[order]
-    new = np.ones(len(first), bool)
-    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
-    owner = ids[new][np.cumsum(new) - 1]
-    late = np.flatnonzero(ids > owner)
-    late = late[np.argsort(source[late], kind="stable")]  # stays sorted by key within each run
-    for own in np.split(late, np.flatnonzero(np.diff(source[late])) + 1):
-        if len(own) and (chunk := chunk_ids[source[own[0]]]) >= 0:
-            yield chunk, pack_run(first[own], second[own], np.zeros(1, np.int64))
-
-
-def returned_hashes(answers: pa.Table) -> np.ndarray:
-    got = [unpack_sorted(p) for p in answers.column("payload").to_pylist()]
-    return np.sort(np.concatenate(got)) if got else np.zeros(0, np.uint64)
-
-
-def in_pairs(first: np.ndarray, second: np.ndarray, of_first: np.ndarray, of_second: np.ndarray) -> np.ndarray:
-    """Which (first, second) are among the pairs (of_first, of_second)."""
-    out = member(first, np.unique(of_first))
-    here = np.flatnonzero(out)
-    if len(here):
-        kind = np.dtype([("a", "<u8"), ("b", "<u8")])
-        mine, theirs = np.empty(len(here), kind), np.empty(len(of_first), kind)
-        mine["a"], mine["b"], theirs["a"], theirs["b"] = first[here], second[here], of_first, of_second
-        out[here] = np.isin(mine, theirs)
-    return out
 
+class Keys:
+    """Windows in the order of their hashes, and the different ones among them."""
 
-def late_windows(w: Windows, answers: list[bytes]) -> np.ndarray:
-    """Windows that a smaller document has: of the chunk itself, or of another one as the answers tell."""
-    first, second = w.keys(np.arange(len(w.at)))
-    late = np.zeros(len(first), bool)
-    if answers:
-        runs = [unpack_run(p) for p in answers]
-        late |= in_pairs(first, second, np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]))
-    order = np.argsort(first, kind="stable")
-    same = first[order][1:] == first[order][:-1]
-    if same.any():
-        repeated = np.zeros(len(first), bool)
-        repeated[order[1:][same]] = repeated[order[:-1][same]] = True
-        which = np.flatnonzero(repeated)
-        ids = w.ids[w.text[which]]
-        inner = np.lexsort((ids, second[which], first[which]))
-        a, b, i = first[which][inner], second[which][inner], ids[inner]
+    def __init__(self, first: np.ndarray, second: np.ndarray) -> None:
+        order = np.argsort(first, kind="stable")
+        a, b = first[order], second[order]
+        if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():  # one first hash for two windows
+            order = np.lexsort((second, first))
+            a, b = first[order], second[order]
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        late[which[inner[i > i[new][np.cumsum(new) - 1]]]] = True
-    return late
+        self.order, self.starts, self.number = order, np.flatnonzero(new), np.cumsum(new) - 1
+        self.first, self.second = a[self.starts], b[self.starts]
+
+    def least(self, ids: np.ndarray) -> np.ndarray:
+        """The smallest id of each different window."""
+        return np.minimum.reduceat(ids[self.order], self.starts) if len(self.starts) else ids[:0]
+
+    def late(self, ids: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Which windows are known from elsewhere or have a larger id than another one here."""
+        out = np.zeros(len(ids), bool)
+        out[self.order] = known[self.number] | (ids[self.order] > self.least(ids)[self.number])
+        return out
+
+
+def pack_run(first: np.ndarray, second: np.ndarray) -> bytes:
+    return parts(pack_sorted(first), second.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes())
+
+
+def unpack_run(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    first, second, *_ = unparts(raw)
+    wide = np.zeros((len(second) // 3, 4), np.uint8)
+    wide[:, :3] = np.frombuffer(second, np.uint8).reshape(-1, 3)
+    return unpack_sorted(first), wide.view("<u4").ravel().astype(np.uint64)
+
+
+def sent_run(w: Windows, n_buckets: int) -> list[tuple[int, bytes]]:
+    """What a chunk sends: its different windows with the smallest document of each."""
+    k, least = w.keys, w.keys.least(w.owner)
+    return [(b, parts(pack_run(k.first[i:j], k.second[i:j]), pack(least[i:j]))) for b, i, j in by_bucket(k.first, n_buckets)]
+
+
+def in_run(first: np.ndarray, second: np.ndarray, run: bytes) -> np.ndarray:
+    """Merge-join of rising keys with a run: which of them it has. Equal first hashes are verified by the second ones."""
+    theirs, verify = unpack_run(run)
+    out = np.zeros(len(first), bool)
+    at = np.searchsorted(theirs, first)
+    while len(left := np.flatnonzero((at < len(theirs)) & ~out)):
+        left = left[theirs[at[left]] == first[left]]
+        if not len(left):
+            break
+        out[left] = verify[at[left]] == second[left]
+        rest = left[~out[left]]
+        at, kept = np.full(len(first), len(theirs)), at[rest] + 1
+        at[rest] = kept
+    return out
+
+
+def judged(sent: pa.Table, history: pa.Table) -> pa.Table:
+    """Work on a bucket of a batch: a bit for each window that a chunk sent, 1 if history or a smaller document has it; and
+    the batch's own run, of the windows that history doesn't have."""
+    if not sent.num_rows:
+        return rows({"bucket": ([], pa.int32()), "chunk": ([], pa.int32()), "payload": ([], pa.binary())})
+    runs, ids = [], []
+    for raw in sent.column("payload").to_pylist():
+        run, owners = unparts(raw)
+        runs.append(unpack_run(run))
+        ids.append(unpack(owners))
+    keys = Keys(np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]))
+    known = np.zeros(len(keys.first), bool)
+    for raw in history.column("payload").to_pylist():
+        known |= in_run(keys.first, keys.second, raw)
+    late = keys.late(np.concatenate(ids), known)
+    ends = np.cumsum([len(i) for i in ids]).tolist()
+    bits = [late[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+    told = [(chunk, np.packbits(own).tobytes()) for chunk, own in zip(sent.column("chunk").to_pylist(), bits, strict=True) if own.any()]
+    told.append((RUN, pack_run(keys.first[~known], keys.second[~known])))
+    return rows({"bucket": (sent.column("bucket").to_pylist()[:1] * len(told), pa.int32()), "chunk": ([c for c, _ in told], pa.int32()), "payload": ([p for _, p in told], pa.binary())})
+
+
+def merged(table: pa.Table) -> pa.Table:
+    """Work on a bucket of some runs: one run of all of them."""
+    runs = [unpack_run(p) for p in table.column("payload").to_pylist()]
+    keys = Keys(np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]))
+    return rows({"bucket": (table.column("bucket").to_pylist()[:1], pa.int32()), "chunk": ([RUN], pa.int32()), "payload": ([pack_run(keys.first, keys.second)], pa.binary())})
+
+
+def late_windows(w: Windows, answers: pa.Table, n_buckets: int) -> np.ndarray:
+    """Which windows of a chunk go, by the bits that the buckets answered."""
+    known, edges = np.zeros(len(w.keys.first), bool), {b: (i, j) for b, i, j in by_bucket(w.keys.first, n_buckets)}
+    for b, raw in zip(answers.column("bucket").to_pylist(), answers.column("payload").to_pylist(), strict=True):
+        i, j = edges[b]
+        known[i:j] = np.unpackbits(np.frombuffer(raw, np.uint8), count=j - i)
+    return w.keys.late(w.owner, known)
 
 
 def cleaned(w: Windows, late: np.ndarray, with_text: bool) -> pa.Table:
@@ -199,140 +192,204 @@ def cleaned(w: Windows, late: np.ndarray, with_text: bool) -> pa.Table:
     return pa.table({n: pa.array(c, t) for n, c, t in zip(names, out, [pa.int64()] * 4 + [pa.string()] * 2, strict=True)})
 
 
-def late_by_chunk(chunks: DataFrame, n_buckets: int, window: int, anchor: int) -> DataFrame:
-    """(chunk, payload): the windows of each chunk that a smaller document of another chunk has."""
+@dataclass(frozen=True)
+class Run:
+    """A run of the batches first to last, and where it is."""
 
-    def anchors(_: int, texts: pa.Table, __: None) -> list[tuple[int, bytes]]:
-        return cut_hashes(np.unique(Windows(texts, window, anchor).anchors()), n_buckets)
+    path: str
+    first: int
+    last: int
+    n_buckets: int
 
-    def candidates(_: int, texts: pa.Table, answers: pa.Table) -> list[tuple[int, bytes]]:
-        w = Windows(texts, window, anchor)
-        which = np.flatnonzero(member(w.anchors(), returned_hashes(answers)))
-        first, second = w.keys(which)
-        return cut_run(*smallest(first, second, w.ids[w.text[which]]), n_buckets)
 
-    return gather(scatter(chunks, candidates, gather(scatter(chunks, anchors), shared_hashes)), owned_elsewhere)
-
-
-def substring_dedup(docs: DataFrame, window: int = 13, anchor: int = 5, with_text: bool = True, chunk_bytes: int = 4 * MB, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document with the number of its words, of those removed, and what is left.
+class FingerprintIndex:
+    """Runs of all windows seen so far, in a folder that all executors share.
 
-    Exchanges: the texts once (the three readings of a chunk share it), the anchors, the candidate windows, and the two
-    answers. All are spread by hash; a window of a hot group is sent once by each chunk.
+    Each batch adds one run. Runs are levelled by how many batches they hold: before a batch is added, `fan` neighbouring runs
+    that hold equally many are merged. A run is written elsewhere and moved to its name when it is complete, so that a batch
+    that failed can be added again and one that is there can't be added twice. One batch is added at a time. The number of
+    buckets is set by the first batch and stays; give one that suits the size the index will have.
     """
-    docs = text_rows(docs, id_col, text_col)
-    n_chunks, n_buckets = chunk_plan(docs, chunk_bytes)
-    chunks = chunked(docs, n_chunks)
 
+    def __init__(self, spark: SparkSession, folder: str, window: int = 13, n_buckets: int | None = None, fan: int = 2) -> None:
+        self.spark, self.folder, self.window, self.fan = spark, folder.rstrip("/"), window, fan
+        self._asked = n_buckets
+
+    def _hadoop(self, path: str):
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found, found.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def runs(self) -> list[Run]:
+        """Complete runs, oldest first; those that a merged run holds as well are left out."""
+        path, system = self._hadoop(f"{self.folder}/run-*/_SUCCESS")
+        named = (str(f.getPath().getParent()) for f in system.globStatus(path) or ())
+        found = [Run(p, *map(int, re.fullmatch(r"run-(\d+)-(\d+)-b(\d+)", p.rpartition("/")[2]).groups())) for p in named]
+        out: list[Run] = []
+        for run in sorted(found, key=lambda r: (r.first, -r.last)):
+            if not out or run.last > out[-1].last:
+                out.append(run)
+        return out
+
+    def n_buckets(self) -> int:
+        return next((r.n_buckets for r in self.runs()), self._asked or 64)
+
+    def add(self, docs: DataFrame, batch: int | None = None, with_text: bool = True, chunk_bytes: int = 4 * MB) -> DataFrame:
+        """The batch's documents as `substring_dedup` returns them, judged by all earlier batches and the batch itself: a window
+        of an earlier batch goes whatever its id, since that batch is already out. `batch` is its number, by default the next."""
+        docs = text_rows(docs)
+        n_chunks, wanted = chunk_plan(docs, chunk_bytes)
+        self._asked = self._asked or wanted
+        chunks, window, n_buckets = chunked(docs, n_chunks), self.window, self.n_buckets()
+        answers = self.absorb(chunks, batch)
+        finished = finishing(window, n_buckets, with_text)
+        with shuffles_removed(self.spark):
+            return materialized(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finished, RESULT), "cleaned")
+
+    def absorb(self, chunks: DataFrame, batch: int | None = None) -> DataFrame:
+        """Take the windows of (chunk, doc_id, text) rows into the index; (bucket, chunk, payload) with the bits of windows that go."""
+        runs, window, n_buckets = self.runs(), self.window, self.n_buckets()
+        number = max((r.last for r in runs), default=-1) + 1 if batch is None else batch
+        if any(r.last >= number for r in runs):
+            raise ValueError(f"batch {number} or a later one is in the index")
+        runs = self._levelled(runs)
+
+        def sent(key: tuple, texts: pa.Table) -> pa.Table:
+            got = sent_run(Windows(texts, window), n_buckets)
+            return rows({"bucket": ([b for b, _ in got], pa.int32()), "chunk": ([key[0].as_py()] * len(got), pa.int32()), "payload": ([p for _, p in got], pa.binary())})
+
+        mine = chunks.groupBy("chunk").applyInArrow(sent, SENT)
+        with self._tables(runs) as tables:
+            work = mine.groupBy("bucket").cogroup(self._rows(tables).groupBy("bucket"))
+            path = self._written(work.applyInArrow(judged, SENT), number, number, n_buckets)
+        answers = self.spark.read.schema(SENT).parquet(path).where(F.col("chunk") != RUN)
+        return materialized(answers, "answers")
+
+    def compact(self) -> None:
+        """Merge all runs into one; the old ones go after the new one is complete."""
+        if len(runs := self.runs()) > 1:
+            self._merge(runs)
+
+    def _levelled(self, runs: list[Run]) -> list[Run]:
+        while len(tail := runs[-self.fan :]) == self.fan > 1 and len({r.last - r.first for r in tail}) == 1:
+            runs = [*runs[: -self.fan], self._merge(tail)]
+        return runs
+
+    def _merge(self, old: list[Run]) -> Run:
+        first, last, n_buckets = old[0].first, old[-1].last, old[0].n_buckets
+        with self._tables(old) as tables:
+            path = self._written(self._rows(tables).groupBy("bucket").applyInArrow(merged, SENT), first, last, n_buckets)
+        for run in old:
+            remove_path(self.spark, run.path)
+        return Run(path, first, last, n_buckets)
+
+    def _tables(self, runs: list[Run]) -> Tables:
+        return Tables(self.spark, [(r.path, r.n_buckets) for r in runs])
+
+    def _rows(self, tables: list[str]) -> DataFrame:
+        """The runs' own rows; tables of the same buckets stay where they are."""
+        every = [self.spark.table(t) for t in tables] or [self.spark.createDataFrame([], SENT)]
+        return reduce(DataFrame.unionAll, every).where(F.col("chunk") == RUN)
+
+    def _written(self, df: DataFrame, first: int, last: int, n_buckets: int) -> str:
+        """Write a run beside the index and move it to its name."""
+        part, whole = f"{self.folder}/part-{uuid.uuid4().hex}", f"{self.folder}/run-{first:06d}-{last:06d}-b{n_buckets}"
+        with Tables(self.spark, [(part, n_buckets)]) as (table,), shuffles_removed(self.spark):
+            df.write.insertInto(table)
+        (source, system), (target, _) = self._hadoop(part), self._hadoop(whole)
+        if system.exists(target) or not system.rename(source, target):
+            raise ValueError(f"{whole} is already there")
+        return whole
+
+
+class Tables:
+    """Folders as bucketed tables of the session's catalog, by new names, for as long as they are needed; the folders stay."""
+
+    def __init__(self, spark: SparkSession, folders: list[tuple[str, int]]) -> None:
+        self.spark, self.folders = spark, folders
+        self.names = [f"run_{uuid.uuid4().hex}" for _ in folders]
+
+    def __enter__(self) -> list[str]:
+        for name, (path, n_buckets) in zip(self.names, self.folders, strict=True):
+            self.spark.sql(f"CREATE TABLE {name} (bucket INT, chunk INT, payload BINARY) USING parquet CLUSTERED BY (bucket) INTO {n_buckets} BUCKETS LOCATION '{path}'")
+        return self.names
+
+    def __exit__(self, *_: object) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def finishing(window: int, n_buckets: int, with_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def finished(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        w = Windows(texts, window, anchor)
-        return cleaned(w, late_windows(w, answers.column("payload").to_pylist()), with_text)
+        w = Windows(texts, window)
+        return cleaned(w, late_windows(w, answers, n_buckets), with_text)
+
+    return finished
+
+
+def batched(docs: DataFrame, batches: int, chunk_bytes: int) -> tuple[DataFrame, list[Column], int, Column]:
+    """docs whose rows have places, the condition of each batch (rising doc_id, about as many rows each), the number of
+    buckets, and the chunk of each row."""
+    shares = [k / batches for k in range(1, batches)]
+    total, edges = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))), F.percentile_approx(F.col("doc_id").cast("long"), shares or [0.5])).first()
+    n_chunks, n_buckets = sizes(total or 0, chunk_bytes)
+    edges = sorted(set(edges or ())) if batches > 1 else []
+    own, per = F.col("doc_id").cast("long"), -(-n_chunks // (len(edges) + 1))
+    conditions = [F.lit(True) if low is None else own > low for low in (None, *edges)]
+    conditions = [c if high is None else c & (own <= high) for c, high in zip(conditions, (*edges, None), strict=True)]
+    if edges:
+        conditions[-1] = conditions[-1] | own.isNull()
+    docs, place = placed(docs)
+    number = reduce(lambda rest, k: F.when(conditions[k], k).otherwise(rest), range(len(conditions)), F.lit(0))
+    return docs, conditions, n_buckets, (number * per + F.pmod(place, F.lit(per))).cast("int")
+
+
+def answers_of(docs: DataFrame, conditions: list[Column], chunk: Column, n_buckets: int, window: int) -> DataFrame:
+    """Feed the batches to an index of their own; the bits that all buckets answer. The index goes when it has answered."""
+    spark = docs.sparkSession
+    index = FingerprintIndex(spark, scratch_path(spark, "index"), window, n_buckets)
+    texts = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    answers = [index.absorb(docs.where(c).select(chunk.alias("chunk"), *texts), k) for k, c in enumerate(conditions)]
+    remove_path(spark, index.folder)
+    return reduce(DataFrame.unionAll, answers)
+
+
+def substring_dedup(docs: DataFrame, window: int = 13, batches: int = 4, with_text: bool = True, chunk_bytes: int = 4 * MB, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each document with the number of its words, of those removed, and what is left.
 
-    return chunks.groupBy("chunk").cogroup(late_by_chunk(chunks, n_buckets, window, anchor).groupBy("chunk")).applyInArrow(finished, RESULT)
+    The corpus goes through a `FingerprintIndex` in `batches` batches of rising ids. For each batch its texts are dealt to
+    chunks and its windows, about 11 bytes each, to buckets; history is read in place. At last the texts meet the answers.
+    """
+    docs, conditions, n_buckets, chunk = batched(text_rows(docs, id_col, text_col), batches, chunk_bytes)
+    answers = answers_of(docs, conditions, chunk, n_buckets, window)
+    chunks = docs.select(chunk.alias("chunk"), "doc_id", "text")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finishing(window, n_buckets, with_text), RESULT)
 
 
-def substring_dedup_rows(docs: DataFrame, window: int = 13, anchor: int = 5, chunk_bytes: int = 4 * MB) -> DataFrame:
+def substring_dedup_rows(docs: DataFrame, window: int = 13, batches: int = 4, chunk_bytes: int = 4 * MB) -> DataFrame:
     """The documents themselves, with all their columns, and what is left of their texts.
 
     A text that loses nothing stays as it is, another becomes its kept words joined by one space (n_chars, if there is such
     a column, follows); a document that loses all its words goes.
     """
+    text_rows(docs)
+    docs, conditions, n_buckets, chunk = batched(docs, batches, chunk_bytes)
+    answers = answers_of(docs, conditions, chunk, n_buckets, window)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    texts = text_rows(docs).schema
-    rest = F.struct(*(F.col(f"`{c}`") for c in others), F.lit(True).alias("_row_"))
-    n_chunks, n_buckets = chunk_plan(docs.select("text"), chunk_bytes)
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
-    chunks = named.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int").alias("chunk"), "doc_id", "text", "rest")
-    schema = texts.add("rest", named.schema["rest"].dataType).add("changed", "boolean")
+    rest = F.struct(F.lit(True).alias("_"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)))
+    chunks = docs.select(chunk.alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
+    schema = chunks.select("doc_id", "text", "rest").schema.add("changed", "boolean")
 
     def finished(held: pa.Table, answers: pa.Table) -> pa.Table:
-        w = Windows(held, window, anchor)
-        done = cleaned(w, late_windows(w, answers.column("payload").to_pylist()), True)
+        w = Windows(held, window)
+        done = cleaned(w, late_windows(w, answers, n_buckets), True)
         removed, words = done.column("n_removed").to_numpy(), done.column("n_words").to_numpy()
         stays = pa.array((removed == 0) | (removed < words))
         changed = pa.array(removed > 0)
         text = [new if gone else old for gone, new, old in zip((removed > 0).tolist(), done.column("kept_text").to_pylist(), held.column("text").to_pylist(), strict=True)]
         return pa.table({"doc_id": held.column("doc_id"), "text": pa.array(text, pa.string()), "rest": held.column("rest"), "changed": changed}).filter(stays)
 
-    out = chunks.groupBy("chunk").cogroup(late_by_chunk(chunks, n_buckets, window, anchor).groupBy("chunk")).applyInArrow(finished, schema)
-    kept = {c: F.col(f"rest.`{c}`") for c in others}
+    out = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finished, schema)
+    kept = {c: F.col(f"rest.c{k}") for k, c in enumerate(others)}
     if "n_chars" in kept:
         kept["n_chars"] = F.when(F.col("changed"), F.length("text")).otherwise(kept["n_chars"]).cast(docs.schema["n_chars"].dataType)
     return out.select(*(kept[c].alias(c) if c in kept else F.col(c) for c in docs.columns))
-
-
-class FingerprintIndex:
-    """Runs of all windows seen so far, in a folder that all executors share.
-
-    Each batch adds one run; a run's rows are (bucket, payload) in Parquet. add() returns the batch's documents as
-    `substring_dedup` does, judged against all earlier batches and the batch itself: a window of an earlier batch is
-    removed whatever its id, since that batch is already out.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str, window: int = 13, n_buckets: int = 64) -> None:
-        self.spark, self.folder, self.window, self.n_buckets = spark, folder.rstrip("/"), window, n_buckets
-
-    def runs(self) -> list[str]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/run-*/_SUCCESS")
-        found = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(hadoop)
-        return sorted(str(f.getPath().getParent()) for f in found)
-
-    def _history(self) -> DataFrame | None:
-        runs = self.runs()
-        return self.spark.read.parquet(*runs).select("bucket", F.lit(-1).alias("chunk"), "payload") if runs else None
-
-    def add(self, docs: DataFrame, with_text: bool = True, chunk_bytes: int = 4 * MB) -> DataFrame:
-        from .common import materialized
-
-        docs, window, n_buckets = text_rows(docs), self.window, self.n_buckets
-        chunks = chunked(docs, chunk_plan(docs, chunk_bytes)[0])
-
-        def run_of(_: int, texts: pa.Table, __: None) -> list[tuple[int, bytes]]:
-            w = Windows(texts, window, 5)
-            first, second = w.keys(np.arange(len(w.at)))
-            return cut_run(*smallest(first, second, w.ids[w.text]), n_buckets)
-
-        def finished(texts: pa.Table, answers: pa.Table) -> pa.Table:
-            w = Windows(texts, window, 5)
-            return cleaned(w, late_windows(w, answers.column("payload").to_pylist()), with_text)
-
-        batch = materialized(scatter(chunks, run_of), "batch")
-        history = self._history()
-        sent = batch if history is None else batch.unionByName(history.select("bucket", "chunk", older("payload").alias("payload")))
-        late = gather(sent, owned_elsewhere)
-        result = materialized(chunks.groupBy("chunk").cogroup(late.groupBy("chunk")).applyInArrow(finished, RESULT), "cleaned")
-        self._write(batch)
-        return result
-
-    def compact(self) -> None:
-        """Merge all runs into one; the old ones go after the new one is complete."""
-        from .common import remove_path
-
-        old = self.runs()
-        if len(old) > 1:
-            self._write(self._history())
-            for path in old:
-                remove_path(self.spark, path)
-
-    def _write(self, sent: DataFrame) -> None:
-        def merged(table: pa.Table) -> pa.Table:
-            runs = [unpack_run(p) for p in table.column("payload").to_pylist()]
-            first, second, ids = (np.concatenate(x) for x in zip(*runs, strict=True))
-            return pa.table({"bucket": table.column("bucket")[:1], "payload": pa.array([pack_run(*smallest(first, second, ids))], pa.binary())})
-
-        number = max([int(r.rpartition("run-")[2]) for r in self.runs()], default=0) + 1
-        sent.groupBy("bucket").applyInArrow(merged, "bucket int, payload binary").write.parquet(f"{self.folder}/run-{number:08d}")
-
-
-def older(column: str):
-    """A run of an earlier batch: its windows come before every id of the new one."""
-
-    @F.pandas_udf("binary")
-    def marked(payloads):
-        def one(raw: bytes) -> bytes:
-            first, second, ids = unpack_run(raw)
-            return pack_run(first, second, np.full(len(ids), -(1 << 63), np.int64))
-
-        return payloads.map(one)
-
-    return marked(F.col(column))

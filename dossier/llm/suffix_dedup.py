@@ -4,12 +4,15 @@ A string of `least` bytes has an anchor: the place in it whose 32-byte sequence
 have equal anchors at equal distances, so they meet when anchors meet. A chunk of documents sends the hashes of its
 anchors; those that occur twice in the corpus come back, and for them the chunk sends the bytes around the anchor, each
 different context once. All contexts of an anchor form a sparse enhanced suffix array: the stack scan of its
-common-prefix interval tree gives the groups that share bytes to the right, and within a group the diversity of left
-extensions tells how far its members share bytes to the left. What is shared by two contexts on both sides together, if
-it has `least` bytes, is covered in all documents that have the context.
+common-prefix interval tree gives the groups that share bytes to the right, and the diversity of left extensions tells
+which parts of a group share how many bytes to the left. Each part that has `least` bytes and that neither side can
+extend is a maximal repeat, with all its members. `suffix_dedup` removes what the repeats cover; `repeat_groups` returns
+them, those that adjoining anchors tell of the same occurrences as one.
 
-An anchor with more than `hot` different contexts is not gathered: its windows are compared by two independent hashes
-(96 bits), each sent once by a chunk, which gives the same bytes.
+An anchor with more than `hot` different contexts is not gathered in one task: its contexts are split into their windows,
+which meet by two independent hashes (96 bits), each sent once by a chunk. A window that occurs twice is a repeat of
+`least` bytes with all its occurrences. The removed bytes are the same either way, and so are groups of adjoining windows
+with the same occurrences.
 
 Defined results: a null text is empty; texts shorter than `least` keep all bytes. Copies and repeated rows cover each
 other. Very long texts are cut into overlapping segments and joined again. Other columns are ignored; null ids are
@@ -25,36 +28,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .common import text_rows
+from .common import materialized, text_rows
 from .esa import SuffixArray, common_prefix
-from .exchange import MB, bucket_edges, chunk_plan, chunked, gather, member, mixed, pack, pack_sorted, scatter, unpack, unpack_sorted
-from .substring_dedup import in_pairs
+from .exchange import MB, by_bucket, chunk_plan, chunked, gather, member, mixed, pack, pack_sorted, parts, scatter, unpack, unpack_sorted, unparts
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>, kept_text string"
 GRAM = 32
 PLACE = np.uint64((1 << 28) - 1)
 
 
-def parts(*raw: bytes) -> bytes:
-    return b"".join(len(p).to_bytes(4, "little") + p for p in raw)
-
-
-def unparts(raw: bytes) -> list[bytes]:
-    out, at = [], 0
-    while at < len(raw):
-        n = int.from_bytes(raw[at : at + 4], "little")
-        out.append(raw[at + 4 : at + 4 + n])
-        at += 4 + n
-    return out
-
-
 class Anchored:
     """A chunk's bytes in one buffer, and the runs of windows that have the same anchor."""
 
-    def __init__(self, texts: pa.Table, least: int, segment: int = 2 * MB) -> None:
+    def __init__(self, texts: pa.Table, least: int, segment: int = 2 * MB, block: int = 128 * MB) -> None:
         self.least = least
         self.ids = texts.column("doc_id").to_pylist()
+        self.rows = texts.column("row").to_pylist() if "row" in texts.column_names else []
         self.raw = [t or b"" for t in texts.column("text").cast(pa.binary()).to_pylist()]
         #: (text, offset in it, start in the buffer, bytes)
         self.segments: list[tuple[int, int, int, int]] = []
@@ -66,12 +58,12 @@ class Anchored:
                 self.segments.append((t, off, at, len(own)))
                 at += len(own)
         self.buffer = b"".join(held)
-        self._runs()
+        self._runs(block)
 
-    def grams(self, size: int, seed: int) -> np.ndarray:
-        """A hash of the `size` (any sum of powers of two) bytes from each byte on."""
+    def grams(self, size: int, seed: int, at: int = 0, end: int | None = None) -> np.ndarray:
+        """A hash of the `size` (any sum of powers of two) bytes from each byte of a part of the buffer on."""
         factors = mixed(np.arange(seed * 64 + 1, seed * 64 + 33, dtype=np.uint64)) | np.uint64(1)
-        own = mixed(np.arange(256, dtype=np.uint64) + np.uint64(1000 + seed * 256))[np.frombuffer(self.buffer, np.uint8)]
+        own = mixed(np.arange(256, dtype=np.uint64) + np.uint64(1000 + seed * 256))[np.frombuffer(self.buffer, np.uint8)[at:end]]
         out, have, width, k = None, 0, 1, 0
         with np.errstate(over="ignore"):
             while True:
@@ -88,12 +80,20 @@ class Anchored:
                 width *= 2
                 k += 1
 
-    def _runs(self) -> None:
-        n, empty = len(self.buffer), np.zeros(0, np.int64)
-        self.lo, self.hi, self.at, self.key = empty, empty, empty, np.zeros(0, np.uint64)
-        if n < self.least:
-            return
-        hashes = self.grams(GRAM, 1)
+    def _runs(self, block: int) -> None:
+        """Runs of all windows; the buffer in blocks of whole segments, so that a place in a block has PLACE bits."""
+        done, first = [], 0
+        for k, (_, _, at, size) in enumerate(self.segments):
+            last = k + 1 == len(self.segments)
+            if last or at + size + self.segments[k + 1][3] - self.segments[first][2] > block:
+                done.append(self._runs_of(self.segments[first : k + 1]))
+                first = k + 1
+        kinds = (np.int64, np.int64, np.int64, np.uint64)
+        self.lo, self.hi, self.at, self.key = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, t) for t in kinds)
+
+    def _runs_of(self, segments: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, ...]:
+        begin, end = segments[0][2], segments[-1][2] + segments[-1][3]
+        hashes = self.grams(GRAM, 1, begin, end)
         least = (hashes & ~PLACE) | np.arange(len(hashes), dtype=np.uint64)
         wide, width = self.least - GRAM + 1, 1
         while 2 * width <= wide:
@@ -102,12 +102,11 @@ class Anchored:
         if width < wide:
             least = np.minimum(least[: len(least) - (wide - width)], least[wide - width :])
         place = (least & PLACE).astype(np.int64)
-        starts = np.concatenate([np.arange(at, at + size - self.least + 1) for _, _, at, size in self.segments])
-        place = place[starts]
+        starts = np.concatenate([np.arange(at, at + size - self.least + 1) for _, _, at, size in segments])
+        place = place[starts - begin]
         new = np.flatnonzero(np.diff(place)) + 1
-        self.lo, self.hi = starts[np.concatenate([[0], new])], starts[np.concatenate([new - 1, [len(starts) - 1]])]
-        self.at = place[np.concatenate([[0], new])]
-        self.key = mixed(hashes[self.at] + np.uint64(1))
+        own = place[np.concatenate([[0], new])]
+        return starts[np.concatenate([[0], new])], starts[np.concatenate([new - 1, [len(starts) - 1]])], own + begin, mixed(hashes[own] + np.uint64(1))
 
     def context(self, run: int) -> tuple[bytes, bytes]:
         """The bytes right of the anchor's start, and those left of it, reversed."""
@@ -132,13 +131,41 @@ class Anchored:
         return starts, self.grams(self.least, 2)[starts], self.grams(self.least, 3)[starts] >> np.uint64(32)
 
 
-def group_cover(contexts: list[tuple[bytes, bytes]], least: int) -> dict[int, tuple[int, int]]:
-    """Which contexts of one anchor are covered, and how far to the left and right."""
-    if len(contexts) == 2:
-        (a, b), (c, d) = contexts
-        right, left = common_prefix(a, c), common_prefix(b, d)
-        return {0: (left, right), 1: (left, right)} if left + right >= least else {}
-    return SuffixArray([c[0] for c in contexts], [c[1] for c in contexts]).covered(least)
+Context = tuple[bytes, bytes]
+
+
+def group_repeats(contexts: list[Context], several: list[bool], least: int) -> Iterator[tuple[list[int], int, int]]:
+    """(members, bytes to the left, bytes to the right) of every maximal repeat of one anchor's different contexts; a context
+    that occurs several times is a repeat by itself."""
+    if len(contexts) > 1:
+        array = SuffixArray([c[0] for c in contexts], [c[1] for c in contexts])
+        for left, right, members in array.maximal_repeats(least):
+            yield members, left, right
+    for k, (right, left) in enumerate(contexts):
+        if several[k]:
+            yield [k], len(left), len(right)
+
+
+def reaches(contexts: list[Context], several: list[bool], least: int) -> dict[int, tuple[int, int]]:
+    """How far the repeats that each context takes part in reach to the left and right of the anchor."""
+    out: dict[int, tuple[int, int]] = {}
+    for members, left, right in group_repeats(contexts, several, least):
+        for k in members:
+            a, b = out.get(k, (0, 0))
+            out[k] = (max(a, left), max(b, right))
+    return out
+
+
+def in_pairs(first: np.ndarray, second: np.ndarray, of_first: np.ndarray, of_second: np.ndarray) -> np.ndarray:
+    """Which (first, second) are among the pairs (of_first, of_second)."""
+    out = member(first, np.unique(of_first))
+    here = np.flatnonzero(out)
+    if len(here):
+        kind = np.dtype([("a", "<u8"), ("b", "<u8")])
+        mine, theirs = np.empty(len(here), kind), np.empty(len(of_first), kind)
+        mine["a"], mine["b"], theirs["a"], theirs["b"] = first[here], second[here], of_first, of_second
+        out[here] = np.isin(mine, theirs)
+    return out
 
 
 def repeated_anchors(hot: int):
@@ -173,52 +200,51 @@ def answered_anchors(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.sort(keys[~hot]), np.sort(keys[hot])
 
 
-def gathered(least: int):
-    """Bucket work: suffix arrays of all contexts of an anchor; windows of hot anchors that several chunks have."""
+def received(chunk_ids: list[int], payloads: list[bytes]) -> Iterator[dict[Context, list[tuple[int, int]]]]:
+    """For each anchor of a bucket its different contexts, and the (chunk, number) of each."""
+    import zstandard
 
-    def work(chunk_ids: list[int], payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
-        import zstandard
-
-        open_ = zstandard.ZstdDecompressor().decompress
-        groups: dict[int, list[tuple[int, int, tuple[bytes, bytes]]]] = defaultdict(list)
-        hot: list[tuple[int, np.ndarray, np.ndarray]] = []
-        for chunk, payload in zip(chunk_ids, payloads, strict=True):
-            kind, body = payload[:1], payload[1:]
-            if kind == b"h":
-                first, second = unparts(body)
-                hot.append((chunk, unpack_sorted(first), np.frombuffer(second, "<u4").astype(np.uint64)))
-                continue
-            keys, rank, right, left, blob = unparts(body)
+    open_ = zstandard.ZstdDecompressor().decompress
+    groups: dict[int, dict[Context, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+    for chunk, payload in zip(chunk_ids, payloads, strict=True):
+        if payload[:1] == b"c":
+            keys, rank, right, left, blob = unparts(payload[1:])
             blob, at = open_(blob), 0
             for key, r, n, m in zip(unpack_sorted(keys).tolist(), unpack(rank).tolist(), unpack(right).tolist(), unpack(left).tolist(), strict=True):
-                groups[key].append((chunk, r, (blob[at : at + n], blob[at + n : at + n + m])))
+                groups[key][blob[at : at + n], blob[at + n : at + n + m]].append((chunk, r))
                 at += n + m
+    yield from groups.values()
+
+
+def repeated_windows(chunk_ids: list[int], payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """For each chunk the windows of hot anchors that another chunk has, too."""
+    hot = [(c, *unparts(p[1:])) for c, p in zip(chunk_ids, payloads, strict=True) if p[:1] == b"h"]
+    if hot:
+        held = [(unpack_sorted(a), np.frombuffer(b, "<u4").astype(np.uint64)) for _, a, b in hot]
+        first, second = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        order = np.lexsort((second, first))
+        same = (first[order][1:] == first[order][:-1]) & (second[order][1:] == second[order][:-1])
+        several = np.zeros(len(first), bool)
+        several[order[1:][same]] = several[order[:-1][same]] = True
+        ends = np.cumsum([len(h[0]) for h in held]).tolist()
+        for (chunk, *_), i, j in zip(hot, [0, *ends[:-1]], ends, strict=True):
+            if several[i:j].any():
+                yield chunk, b"h" + parts(pack_sorted(first[i:j][several[i:j]]), second[i:j][several[i:j]].astype("<u4").tobytes())
+
+
+def gathered(least: int):
+    """Bucket work: interval trees of all contexts of an anchor; each chunk gets how far repeats reach in its contexts."""
+
+    def work(chunk_ids: list[int], payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
         answers: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for own in groups.values():
-            different: dict[tuple[bytes, bytes], list[tuple[int, int]]] = defaultdict(list)
-            for chunk, r, context in own:
-                different[context].append((chunk, r))
-            contexts = list(different)
-            cover = group_cover(contexts, least) if len(contexts) > 1 else {}
-            for k, (context, places) in enumerate(different.items()):
-                reach = (len(context[1]), len(context[0])) if len(places) > 1 else cover.get(k)
-                if reach:
-                    for chunk, r in places:
-                        answers[chunk].append((r, *reach))
+        for different in received(chunk_ids, payloads):
+            places = list(different.values())
+            for k, (left, right) in reaches(list(different), [len(p) > 1 for p in places], least).items():
+                for chunk, r in places[k]:
+                    answers[chunk].append((r, left, right))
         for chunk, found in answers.items():
-            columns = np.array(found, np.int64).T
-            yield chunk, b"c" + parts(*map(pack, columns))
-        if hot:
-            first, second = np.concatenate([h[1] for h in hot]), np.concatenate([h[2] for h in hot])
-            source = np.repeat(np.arange(len(hot)), [len(h[1]) for h in hot])
-            order = np.lexsort((second, first))
-            same = (first[order][1:] == first[order][:-1]) & (second[order][1:] == second[order][:-1])
-            several = np.zeros(len(first), bool)
-            several[order[1:][same]] = several[order[:-1][same]] = True
-            for k, (chunk, *_) in enumerate(hot):
-                own = np.flatnonzero(several & (source == k))
-                if len(own):
-                    yield chunk, b"h" + parts(pack_sorted(first[own]), second[own].astype("<u4").tobytes())
+            yield chunk, b"c" + parts(*map(pack, np.array(found, np.int64).T))
+        yield from repeated_windows(chunk_ids, payloads)
 
     return work
 
@@ -241,8 +267,7 @@ def sent_anchors(chunk: Anchored, n_buckets: int) -> list[tuple[int, bytes]]:
             counts[np.searchsorted(keys, np.uint64(key))] += 1
         counts[member(keys, repeated)] -= 1
         del found
-    edges = bucket_edges(keys, n_buckets)
-    return [(b, parts(pack_sorted(keys[i:j]), pack(counts[i:j]))) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
+    return [(b, parts(pack_sorted(keys[i:j]), pack(counts[i:j]))) for b, i, j in by_bucket(keys, n_buckets)]
 
 
 def sent_anchors_and_contexts(chunk: Anchored, n_buckets: int) -> list[tuple[int, bytes]]:
@@ -251,8 +276,7 @@ def sent_anchors_and_contexts(chunk: Anchored, n_buckets: int) -> list[tuple[int
     keys, first, counts = np.unique(np.array([f[0] for f in found], np.uint64), return_index=True, return_counts=True)
     hashes = np.array([named(*f[1]) for f in found], "<u8")
     first = np.append(first, len(found))
-    edges = bucket_edges(keys, n_buckets)
-    return [(b, parts(pack_sorted(keys[i:j]), pack(counts[i:j]), hashes[first[i] : first[j]].tobytes())) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
+    return [(b, parts(pack_sorted(keys[i:j]), pack(counts[i:j]), hashes[first[i] : first[j]].tobytes())) for b, i, j in by_bucket(keys, n_buckets)]
 
 
 def sent_contexts(chunk: Anchored, answers: list[bytes], n_buckets: int) -> list[tuple[int, bytes]]:
@@ -263,23 +287,20 @@ def sent_contexts(chunk: Anchored, answers: list[bytes], n_buckets: int) -> list
     out = []
     found = chunk.contexts(np.flatnonzero(member(chunk.key, shared)))
     keys = np.array([f[0] for f in found], np.uint64)
-    edges = bucket_edges(keys, n_buckets)
-    for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        if j > i:
-            own = [f[1] for f in found[i:j]]
-            right, left = np.array([len(c[0]) for c in own]), np.array([len(c[1]) for c in own])
-            blob = press(b"".join(x for c in own for x in c))
-            out.append((b, b"c" + parts(pack_sorted(keys[i:j]), pack(np.arange(i, j)), pack(right), pack(left), blob)))
+    for b, i, j in by_bucket(keys, n_buckets):
+        own = [f[1] for f in found[i:j]]
+        right, left = np.array([len(c[0]) for c in own]), np.array([len(c[1]) for c in own])
+        blob = press(b"".join(x for c in own for x in c))
+        out.append((b, b"c" + parts(pack_sorted(keys[i:j]), pack(np.arange(i, j)), pack(right), pack(left), blob)))
     if len(hot):
         _, first, second = chunk.windows(np.flatnonzero(member(chunk.key, hot)))
         first, second, _ = unique_pairs(first, second)
-        edges = bucket_edges(first, n_buckets)
-        out += [(b, b"h" + parts(pack_sorted(first[i:j]), second[i:j].astype("<u4").tobytes())) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
+        out += [(b, b"h" + parts(pack_sorted(first[i:j]), second[i:j].astype("<u4").tobytes())) for b, i, j in by_bucket(first, n_buckets)]
     return out
 
 
-def covered_bytes(chunk: Anchored, anchors: list[bytes], reaches: list[bytes]) -> np.ndarray:
-    """Which bytes of the buffer lie in a string of `least` bytes that starts anywhere else, too."""
+def covered_bytes(chunk: Anchored, anchors: list[bytes], answers: list[bytes]) -> np.ndarray:
+    """Which bytes of the buffer the repeats cover."""
     change = np.zeros(len(chunk.buffer) + 1, np.int64)
 
     def mark(runs: list[int], left: int, right: int) -> None:
@@ -288,16 +309,16 @@ def covered_bytes(chunk: Anchored, anchors: list[bytes], reaches: list[bytes]) -
         np.add.at(change, at + right, -1)
 
     shared, hot = answered_anchors(anchors)
-    reach = {}
-    for raw in reaches:
+    told = {}
+    for raw in answers:
         if raw[:1] == b"c":
             for rank, left, right in zip(*(unpack(p).tolist() for p in unparts(raw[1:])), strict=True):
-                reach[rank] = (left, right)
+                told[rank] = (left, right)
     for rank, (_, (right, left), runs) in enumerate(chunk.contexts(np.flatnonzero(member(chunk.key, shared)))):
         if len(runs) > 1:
             mark(runs, len(left), len(right))
-        elif rank in reach:
-            mark(runs, *reach[rank])
+        elif rank in told:
+            mark(runs, *told[rank])
     # anchors that only this chunk has
     own = chunk.repeated_keys()
     own = own[~member(own, shared) & ~member(own, hot)]
@@ -305,16 +326,12 @@ def covered_bytes(chunk: Anchored, anchors: list[bytes], reaches: list[bytes]) -
     for key, context, runs in chunk.contexts(np.flatnonzero(member(chunk.key, own))):
         groups[key].append((context, runs))
     for group in groups.values():
-        cover = group_cover([c for c, _ in group], chunk.least) if len(group) > 1 else {}
-        for k, ((right, left), runs) in enumerate(group):
-            if len(runs) > 1:
-                mark(runs, len(left), len(right))
-            elif k in cover:
-                mark(runs, *cover[k])
+        for k, reach in reaches([c for c, _ in group], [len(r) > 1 for _, r in group], chunk.least).items():
+            mark(group[k][1], *reach)
     if len(hot):
         starts, first, second = chunk.windows(np.flatnonzero(member(chunk.key, hot)))
         a, b, times = unique_pairs(first, second)
-        elsewhere = [unparts(raw[1:]) for raw in reaches if raw[:1] == b"h"]
+        elsewhere = [unparts(raw[1:]) for raw in answers if raw[:1] == b"h"]
         a = np.concatenate([a[times > 1], *(unpack_sorted(x) for x, _ in elsewhere)])
         b = np.concatenate([b[times > 1], *(np.frombuffer(y, "<u4").astype(np.uint64) for _, y in elsewhere)])
         found = starts[in_pairs(first, second, a, b)]
@@ -356,8 +373,8 @@ def suffix_dedup(docs: DataFrame, least: int = 400, hot: int = 2000, with_text:
     n_chunks, n_buckets = chunk_plan(docs, chunk_bytes)
     chunks = chunked(docs, n_chunks)
     anchors = gather(scatter(chunks, lambda _, t, __: sent_anchors(Anchored(t, least), n_buckets)), repeated_anchors(hot))
-    reaches = gather(scatter(chunks, lambda _, t, a: sent_contexts(Anchored(t, least), a.column("payload").to_pylist(), n_buckets), anchors), gathered(least))
-    both = anchors.selectExpr("chunk", "true as anchor", "payload").unionByName(reaches.selectExpr("chunk", "false as anchor", "payload"))
+    answers = gather(scatter(chunks, lambda _, t, a: sent_contexts(Anchored(t, least), a.column("payload").to_pylist(), n_buckets), anchors), gathered(least))
+    both = anchors.selectExpr("chunk", "true as anchor", "payload").unionByName(answers.selectExpr("chunk", "false as anchor", "payload"))
 
     def finished(texts: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = Anchored(texts, least)
@@ -369,7 +386,7 @@ def suffix_dedup(docs: DataFrame, least: int = 400, hot: int = 2000, with_text:
 
 # ---------------------------------------------------------------- the groups themselves
 
-GROUPS = "repeat_id string, length long, doc_id long, start long"
+GROUPS = "repeat_id string, length long, doc_id long, start long, row long"
 
 
 def named(right: bytes, left: bytes) -> int:
@@ -378,61 +395,44 @@ def named(right: bytes, left: bytes) -> int:
     return xxh3_64_intdigest(left[::-1] + right)
 
 
-def group_repeats(contexts: list[tuple[bytes, bytes]], several: list[bool], least: int) -> Iterator[tuple[int, int, int, int]]:
-    """(context, name, bytes to the left, bytes to the right) of every maximal repeat of one anchor's contexts; a context that
-    occurs several times is a repeat by itself."""
-    array = SuffixArray([c[0] for c in contexts], [c[1] for c in contexts])
-    for left, right, members in array.maximal_repeats(least):
+def named_repeats(contexts: list[Context], several: list[bool], least: int) -> Iterator[tuple[int, int, int, int]]:
+    """(context, name, bytes to the left, bytes to the right) for each member of each repeat."""
+    for members, left, right in group_repeats(contexts, several, least):
         name = named(contexts[members[0]][0][:right], contexts[members[0]][1][:left])
         for k in members:
             yield k, name, left, right
-    for k, (right, left) in enumerate(contexts):
-        if several[k]:
-            yield k, named(right, left), len(left), len(right)
 
 
 def gathered_groups(least: int):
     """Bucket work: for each chunk the repeats that its contexts take part in."""
 
     def work(chunk_ids: list[int], payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
-        import zstandard
-
-        open_ = zstandard.ZstdDecompressor().decompress
-        groups: dict[int, dict[tuple[bytes, bytes], list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        hot = [(c, p) for c, p in zip(chunk_ids, payloads, strict=True) if p[:1] == b"h"]
-        for chunk, payload in zip(chunk_ids, payloads, strict=True):
-            if payload[:1] == b"c":
-                keys, rank, right, left, blob = unparts(payload[1:])
-                blob, at = open_(blob), 0
-                for key, r, n, m in zip(unpack_sorted(keys).tolist(), unpack(rank).tolist(), unpack(right).tolist(), unpack(left).tolist(), strict=True):
-                    groups[key][blob[at : at + n], blob[at + n : at + n + m]].append((chunk, r))
-                    at += n + m
         answers: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
-        for own in groups.values():
-            places = list(own.values())
-            for k, name, left, right in group_repeats(list(own), [len(p) > 1 for p in places], least):
+        for different in received(chunk_ids, payloads):
+            places = list(different.values())
+            for k, name, left, right in named_repeats(list(different), [len(p) > 1 for p in places], least):
                 for chunk, r in places[k]:
                     answers[chunk].append((r, name, left, right))
         for chunk, found in answers.items():
             rank, name, left, right = zip(*found, strict=True)
             yield chunk, b"c" + parts(pack(np.array(rank)), np.array(name, "<u8").tobytes(), pack(np.array(left)), pack(np.array(right)))
-        if hot:
-            yield from gathered(least)([c for c, _ in hot], [p for _, p in hot])
+        yield from repeated_windows(chunk_ids, payloads)
 
     return work
 
 
 def repeat_groups(docs: DataFrame, least: int = 400, hot: int = 2000, chunk_bytes: int = 4 * MB, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(repeat_id, length, doc_id, start) of all occurrences of all maximal repeats of at least `least` bytes.
+    """(repeat_id, length, doc_id, start) of all occurrences of repeats of at least `least` bytes that can't be extended.
 
-    A repeat is seen from each anchor in it, as far as the windows of that anchor reach; one much longer than `least` is
-    therefore told by several overlapping groups over the same documents. Anchors with more than `hot` different contexts,
-    however many documents have each, tell groups of exactly `least` bytes. Exchanges are those of `suffix_dedup` and 8 bytes
-    more for each context; occurrences never meet in one task.
+    An anchor tells repeats as far as its windows reach, and adjoining anchors that tell the same occurrences are put together,
+    however long the repeat is. A repeat is cut only where a part of it, longer than an anchor's windows reach (some
+    2 x `least` bytes), occurs elsewhere, too: that part is a group with all its occurrences, and so is what lies on either
+    side, with as much of the part as the anchors there see. Exchanges are those of `suffix_dedup`, 8 bytes more for each
+    context, and the occurrences twice, by repeat; a frequent one is split by the adaptive planner.
     """
     docs = text_rows(docs, id_col, text_col)
     n_chunks, n_buckets = chunk_plan(docs, chunk_bytes)
-    chunks = chunked(docs, n_chunks)
+    chunks = chunked(docs, n_chunks, row="row")
     anchors = gather(scatter(chunks, lambda _, t, __: sent_anchors_and_contexts(Anchored(t, least), n_buckets)), repeated_anchors(hot))
     found = gather(scatter(chunks, lambda _, t, a: sent_contexts(Anchored(t, least), a.column("payload").to_pylist(), n_buckets), anchors), gathered_groups(least))
     both = anchors.selectExpr("chunk", "true as anchor", "payload").unionByName(found.selectExpr("chunk", "false as anchor", "payload"))
@@ -441,19 +441,35 @@ def repeat_groups(docs: DataFrame, least: int = 400, hot: int = 2000, chunk_byte
         chunk = Anchored(texts, least)
         held = list(zip(answers.column("anchor").to_pylist(), answers.column("payload").to_pylist(), strict=True))
         told = list(occurrences(chunk, [p for a, p in held if a], [p for a, p in held if not a]))
-        columns = list(zip(*told, strict=True)) or [[], [], [], []]
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("repeat_id", "length", "doc_id", "start"), columns, kinds, strict=True)})
-
-    return chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(finished, GROUPS)
-
-
-def occurrences(chunk: Anchored, anchors: list[bytes], answers: list[bytes]) -> Iterator[tuple[str, int, int | None, int]]:
+        columns = list(zip(*told, strict=True)) or [[], [], [], [], []]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("repeat_id", "length", "doc_id", "start", "row"), columns, kinds, strict=True)})
+
+    return joined_groups(materialized(chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(finished, GROUPS), "repeats"))
+
+
+def joined_groups(told: DataFrame) -> DataFrame:
+    """Repeats that overlap or adjoin in their first occurrence and have the same occurrences, relative to it, as one."""
+    home = told.groupBy("repeat_id", "length").agg(F.min(F.struct("row", "start")).alias("home"), F.count("*").alias("n"))
+    away = F.xxhash64("row", F.col("start") - F.col("home.start"))
+    marked = told.join(home, ["repeat_id", "length"]).groupBy("repeat_id", "length", "home", "n").agg(F.bit_xor(away).alias("mark"))
+    # a repeat belongs to the ones before it unless it starts behind the end of all of them
+    alike = W.partitionBy("home.row", "n", "mark").orderBy("home.start", "length", "repeat_id")
+    end = F.max(F.col("home.start") + F.col("length")).over(alike.rowsBetween(W.unboundedPreceding, -1))
+    numbered = marked.withColumn("begins", F.coalesce(F.col("home.start") > end, F.lit(True)).cast("long")).withColumn("island", F.sum("begins").over(alike.rowsBetween(W.unboundedPreceding, 0)))
+    first = F.min(F.struct("home.start", "length", "repeat_id")).alias("first")
+    islands = numbered.groupBy("home.row", "n", "mark", "island").agg(first, F.max(F.col("home.start") + F.col("length")).alias("end"))
+    kept = islands.select(F.col("first.repeat_id").alias("repeat_id"), F.col("first.length").alias("length"), (F.col("end") - F.col("first.start")).alias("whole"))
+    # the first of an island starts where the island does, in every occurrence
+    return told.join(kept, ["repeat_id", "length"]).select("repeat_id", F.col("whole").alias("length"), "doc_id", "start")
+
+
+def occurrences(chunk: Anchored, anchors: list[bytes], answers: list[bytes]) -> Iterator[tuple[str, int, int | None, int, int]]:
     starts = np.array([at for _, _, at, _ in chunk.segments], np.int64)
 
-    def place(at: int) -> tuple[int | None, int]:
+    def place(at: int) -> tuple[int | None, int, int]:
         text, off, first, _ = chunk.segments[int(np.searchsorted(starts, at, side="right")) - 1]
-        return chunk.ids[text], off + at - first
+        return chunk.ids[text], off + at - first, chunk.rows[text]
 
     shared, hot = answered_anchors(anchors)
     known = chunk.contexts(np.flatnonzero(member(chunk.key, shared)))
@@ -468,20 +484,22 @@ def occurrences(chunk: Anchored, anchors: list[bytes], answers: list[bytes]) ->
             local[named(right, left), len(left), len(right)].update(runs)
     own = chunk.repeated_keys()
     own = own[~member(own, shared) & ~member(own, hot)]
-    groups: dict[int, list[tuple[tuple[bytes, bytes], list[int]]]] = defaultdict(list)
+    groups: dict[int, list[tuple[Context, list[int]]]] = defaultdict(list)
     for key, context, runs in chunk.contexts(np.flatnonzero(member(chunk.key, own))):
         groups[key].append((context, runs))
     for group in groups.values():
-        for k, name, left, right in group_repeats([c for c, _ in group], [len(r) > 1 for _, r in group], chunk.least):
+        for k, name, left, right in named_repeats([c for c, _ in group], [len(r) > 1 for _, r in group], chunk.least):
             local[name, left, right].update(group[k][1])
+    told: set[tuple[int, int, int]] = set()
     for (name, left, right), runs in local.items():
-        for run in sorted(runs):
-            yield f"{name:016x}", left + right, *place(int(chunk.at[run]) - left)
+        told.update((name, left + right, int(chunk.at[run]) - left) for run in runs)
     if len(hot):
         at, first, second = chunk.windows(np.flatnonzero(member(chunk.key, hot)))
         a, b, times = unique_pairs(first, second)
         elsewhere = [unparts(raw[1:]) for raw in answers if raw[:1] == b"h"]
         a = np.concatenate([a[times > 1], *(unpack_sorted(x) for x, _ in elsewhere)])
         b = np.concatenate([b[times > 1], *(np.frombuffer(y, "<u4").astype(np.uint64) for _, y in elsewhere)])
-        for k in np.flatnonzero(in_pairs(first, second, a, b)):
-            yield f"{int(first[k]):016x}", chunk.least, *place(int(at[k]))
+        told.update((int(first[k]), chunk.least, int(at[k])) for k in np.flatnonzero(in_pairs(first, second, a, b)))
+    # a long text's segments overlap: what lies in two is told once
+    for name, length, doc, start, row in sorted({(f"{name:016x}", length, *place(at)) for name, length, at in told}, key=repr):
+        yield name, length, doc, start, row

@@ -8,11 +8,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from dossier.llm.components import connected_components
-from dossier.llm.esa import SuffixArray, maximal_repeats
+from dossier.llm.esa import maximal_repeats
 from dossier.llm.exchange import pack, pack_sorted, unpack, unpack_sorted
 from dossier.llm.simhash import fingerprint, near_duplicates
-from dossier.llm.substring_dedup import FingerprintIndex, substring_dedup, substring_dedup_rows
-from dossier.llm.suffix_dedup import repeat_groups, suffix_dedup
+from dossier.llm.substring_dedup import FingerprintIndex, Keys, in_run, merged, pack_run, substring_dedup, substring_dedup_rows
+from dossier.llm.suffix_dedup import Anchored, reaches, repeat_groups, suffix_dedup
 
 from .fixtures import docs, prose, texts
 
@@ -59,13 +59,23 @@ def brute_words(rows, window):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("window,chunk_bytes", [(13, 4 << 20), (13, 2000), (6, 3000)])
-def test_substring_dedup(spark, window, chunk_bytes):
+@pytest.mark.parametrize("window,batches,chunk_bytes", [(13, 4, 4 << 20), (13, 1, 2000), (13, 7, 2000), (6, 3, 3000)])
+def test_substring_dedup(spark, window, batches, chunk_bytes):
     rows = texts()
-    got = substring_dedup(docs(spark, rows), window=window, chunk_bytes=chunk_bytes).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    got = substring_dedup(docs(spark, rows), window=window, batches=batches, chunk_bytes=chunk_bytes).select("doc_id", "n_words", "n_removed", "kept_sha256")
     assert as_rows(got) == brute_words(rows, window)
 
 
+def test_two_windows_with_one_first_hash():
+    """The second hash tells them apart, in a batch, in a run and in what is sent."""
+    a, b = np.array([5, 9, 5, 5], np.uint64), np.array([1, 2, 7, 1], np.uint64)
+    keys = Keys(a, b)
+    assert keys.first.tolist() == [5, 5, 9] and keys.second.tolist() == [1, 7, 2]
+    assert keys.late(np.array([3, 3, 3, 8]), np.array([False, False, True])).tolist() == [False, True, False, True]
+    run = pack_run(np.array([5, 5, 9], np.uint64), np.array([1, 7, 3], np.uint64))
+    assert in_run(keys.first, keys.second, run).tolist() == [True, True, False]
+
+
 def test_substring_dedup_empty(spark):
     assert substring_dedup(docs(spark, []), 13).count() == 0
     assert substring_dedup_rows(docs(spark, []), 13).count() == 0
@@ -92,13 +102,36 @@ def test_index_by_batches(spark, tmp_path):
     rows = sorted({r[0]: r for r in rows}.values())
     index = FingerprintIndex(spark, str(tmp_path / "index"), window=13, n_buckets=8)
     got = []
-    for k in range(0, len(rows), 12):
-        got += as_rows(index.add(docs(spark, rows[k : k + 12]), chunk_bytes=4000).select("doc_id", "n_words", "n_removed", "kept_sha256"))
-        if k == 12:
-            assert len(index.runs()) == 2
-            index.compact()
-            assert len(index.runs()) == 1
+    for k in range(0, len(rows), 7):
+        index = FingerprintIndex(spark, str(tmp_path / "index"), window=13, n_buckets=8)
+        got += as_rows(index.add(docs(spark, rows[k : k + 7]), chunk_bytes=4000).select("doc_id", "n_words", "n_removed", "kept_sha256"))
     assert sorted(got, key=repr) == brute_words(rows, 13)
+    assert 2 <= len(index.runs()) <= 3 and index.runs()[0].first == 0
+    last = index.runs()[-1].last
+    with pytest.raises(ValueError, match="in the index"):
+        index.add(docs(spark, rows[:3]), batch=last)
+    index.compact()
+    assert [(r.first, r.last) for r in index.runs()] == [(0, last)]
+    again = index.add(docs(spark, [(10_000 + i, t) for i, t in rows]), batch=last + 1).collect()
+    assert all(r.n_removed == r.n_words or r.n_words < 13 for r in again)
+
+
+def test_runs_are_read_where_they_are(spark, tmp_path):
+    """History is not shuffled: a bucket of all runs is read by one task."""
+    index = FingerprintIndex(spark, str(tmp_path / "index"), n_buckets=4)
+    for k in range(2):
+        index.add(docs(spark, [(k, prose(random.Random(k), 60))]))
+    with index._tables(index.runs()) as tables:
+        plan = index._rows(tables).groupBy("bucket").applyInArrow(merged, "bucket int, chunk int, payload binary")
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_columns_of_any_name(spark):
+    names = ["_", "c0", "chunk", "rest", "changed", "bucket", "_row_", "doc_id", "text"]
+    text = prose(random.Random(3), 40)
+    df = spark.createDataFrame([(*"abcdefg", i, text) for i in (1, 2)], ", ".join(f"`{n}` string" for n in names[:7]) + ", doc_id long, text string")
+    got = substring_dedup_rows(df).collect()
+    assert [tuple(r) for r in got] == [(*"abcdefg", 1, text)]
 
 
 # ---------------------------------------------------------------- byte strings
@@ -168,6 +201,35 @@ def test_copies_in_many_chunks_are_one_context(spark):
     assert few == many and max(r[1] for r in many) > 300 and len({r[2] for r in many}) == 60
 
 
+@pytest.mark.parametrize("hot,chunk_bytes", [(2000, 4 << 20), (2000, 9000), (1, 9000)])
+def test_groups_are_the_maximal_repeats(spark, hot, chunk_bytes):
+    """Whole copies of 10 KB, passages with other surroundings, a passage twice in a text, and a short one within a long one."""
+    rng = random.Random(21)
+    whole, passage, inner = prose(rng, 1800), prose(rng, 150), prose(rng, 70)
+    long = f"{prose(rng, 200)} {inner} {prose(rng, 200)}"
+    rows = [(1, whole), (2, whole), (3, f"{prose(rng, 40)} {whole}"), (4, f"{prose(rng, 60)} {passage} {prose(rng, 30)}"), (5, f"{passage} {prose(rng, 30)}")]
+    rows += [(6, f"{prose(rng, 20)} {passage} {prose(rng, 90)} {passage}"), (7, f"{prose(rng, 50)} {long}"), (8, f"{long} {prose(rng, 50)}"), (9, f"{prose(rng, 50)} {inner} {prose(rng, 50)}")]
+    assert len(whole.encode()) > 10_000
+    want = {(n, tuple(sorted((rows[t][0], s) for t, s in at))) for n, at in maximal_repeats([t.encode() for _, t in rows], 300)}
+    got = {}
+    for r in repeat_groups(docs(spark, rows), least=300, hot=hot, chunk_bytes=chunk_bytes).collect():
+        got.setdefault((r.repeat_id, r.length), []).append((r.doc_id, r.start))
+    found = {(n, tuple(sorted(at))) for (_, n), at in got.items()}
+    # with every context split into windows, a repeat is told without the part that has more occurrences
+    assert found == want if hot > 1 else {x for x in want if x[0] > 5000} <= found
+
+
+def test_places_in_blocks():
+    """However a buffer is cut into blocks, its windows have the same anchors."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    table = pa.table({"doc_id": [1, 2, 3], "text": [prose(rng, 900), prose(rng, 20), prose(rng, 500)]})
+    whole, cut = Anchored(table, 100, segment=1500), Anchored(table, 100, segment=1500, block=4000)
+    for name in ("lo", "hi", "at", "key"):
+        assert (getattr(whole, name) == getattr(cut, name)).all()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab", max_size=24), min_size=1, max_size=4))
 def test_maximal_repeats(raw):
@@ -201,7 +263,7 @@ def test_cover_is_that_of_all_pairs(pairs):
             if i != j and left + right >= 5:
                 a, b = want.get(i, (0, 0))
                 want[i] = (max(a, left), max(b, right))
-    assert SuffixArray(rights, lefts).covered(5) == want
+    assert reaches(list(zip(rights, lefts, strict=True)), [False] * len(pairs), 5) == want
 
 
 # ---------------------------------------------------------------- fingerprints
