@@ -89,11 +89,11 @@ def chunk_plan(docs: DataFrame, chunk_bytes: int, least: int = 24) -> tuple[int,
     return sizes(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, chunk_bytes, least)
 
 
-def sizes(total: int, chunk_bytes: int, least: int = 24) -> tuple[int, int]:
-    """Chunks have chunk_bytes up to 800 GB of text; from there on eight times that at most, as each chunk writes to many buckets."""
+def sizes(total: int, chunk_bytes: int, least: int = 24, per_bucket: int = 4) -> tuple[int, int]:
+    """(chunks, buckets) for so many bytes, with some chunks for each bucket. Chunks have chunk_bytes up to 800 GB of text; from there on eight times that at most, as each chunk writes to many buckets."""
     size = min(max(chunk_bytes, total // 200_000), 8 * chunk_bytes)
     n_chunks = max(least, -(-total // size))
-    return n_chunks, max(least, n_chunks // 4)
+    return n_chunks, max(least, n_chunks // per_bucket)
 
 
 def placed(df: DataFrame) -> tuple[DataFrame, Column]:

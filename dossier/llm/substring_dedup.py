@@ -37,8 +37,8 @@ from .exchange import MB, by_bucket, chunk_plan, chunked, mixed, pack, pack_sort
 NO_ID = (1 << 63) - 1
 RESULT = "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 SENT = "bucket int, chunk int, payload binary"
-#: The chunk of rows that are a run's own; other rows of a run's table answer a chunk of its batch.
-RUN = -1
+#: A run's table has the run itself in rows of no chunk, and in a column of their own the answers to its batch's chunks.
+KEPT = f"{SENT}, answer binary"
 
 
 class Windows:
@@ -138,7 +138,7 @@ def judged(sent: pa.Table, history: pa.Table) -> pa.Table:
     """Work on a bucket of a batch: a bit for each window that a chunk sent, 1 if history or a smaller document has it; and
     the batch's own run, of the windows that history doesn't have."""
     if not sent.num_rows:
-        return rows({"bucket": ([], pa.int32()), "chunk": ([], pa.int32()), "payload": ([], pa.binary())})
+        return kept_rows(0, [], None)
     runs, ids = [], []
     for raw in sent.column("payload").to_pylist():
         run, owners = unparts(raw)
@@ -152,21 +152,28 @@ def judged(sent: pa.Table, history: pa.Table) -> pa.Table:
     ends = np.cumsum([len(i) for i in ids]).tolist()
     bits = [late[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
     told = [(chunk, np.packbits(own).tobytes()) for chunk, own in zip(sent.column("chunk").to_pylist(), bits, strict=True) if own.any()]
-    told.append((RUN, pack_run(keys.first[~known], keys.second[~known])))
-    return rows({"bucket": (sent.column("bucket").to_pylist()[:1] * len(told), pa.int32()), "chunk": ([c for c, _ in told], pa.int32()), "payload": ([p for _, p in told], pa.binary())})
+    return kept_rows(sent.column("bucket")[0].as_py(), told, pack_run(keys.first[~known], keys.second[~known]))
+
+
+def kept_rows(bucket: int, answers: list[tuple[int, bytes]], run: bytes | None) -> pa.Table:
+    chunks, told = [c for c, _ in answers], [p for _, p in answers]
+    if run is not None:
+        chunks, told = [*chunks, None], [*told, None]
+    payload = [None] * len(answers) + [run] * (run is not None)
+    return rows({"bucket": ([bucket] * len(chunks), pa.int32()), "chunk": (chunks, pa.int32()), "payload": (payload, pa.binary()), "answer": (told, pa.binary())})
 
 
 def merged(table: pa.Table) -> pa.Table:
     """Work on a bucket of some runs: one run of all of them."""
     runs = [unpack_run(p) for p in table.column("payload").to_pylist()]
     keys = Keys(np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]))
-    return rows({"bucket": (table.column("bucket").to_pylist()[:1], pa.int32()), "chunk": ([RUN], pa.int32()), "payload": ([pack_run(keys.first, keys.second)], pa.binary())})
+    return kept_rows(table.column("bucket")[0].as_py(), [], pack_run(keys.first, keys.second))
 
 
 def late_windows(w: Windows, answers: pa.Table, n_buckets: int) -> np.ndarray:
     """Which windows of a chunk go, by the bits that the buckets answered."""
     known, edges = np.zeros(len(w.keys.first), bool), {b: (i, j) for b, i, j in by_bucket(w.keys.first, n_buckets)}
-    for b, raw in zip(answers.column("bucket").to_pylist(), answers.column("payload").to_pylist(), strict=True):
+    for b, raw in zip(answers.column("bucket").to_pylist(), answers.column("answer").to_pylist(), strict=True):
         i, j = edges[b]
         known[i:j] = np.unpackbits(np.frombuffer(raw, np.uint8), count=j - i)
     return w.keys.late(w.owner, known)
@@ -246,7 +253,7 @@ class FingerprintIndex:
             return materialized(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finished, RESULT), "cleaned")
 
     def absorb(self, chunks: DataFrame, batch: int | None = None) -> DataFrame:
-        """Take the windows of (chunk, doc_id, text) rows into the index; (bucket, chunk, payload) with the bits of windows that go."""
+        """Take the windows of (chunk, doc_id, text) rows into the index; (bucket, chunk, answer) with the bits of windows that go."""
         runs, window, n_buckets = self.runs(), self.window, self.n_buckets()
         number = max((r.last for r in runs), default=-1) + 1 if batch is None else batch
         if any(r.last >= number for r in runs):
@@ -260,9 +267,9 @@ class FingerprintIndex:
         mine = chunks.groupBy("chunk").applyInArrow(sent, SENT)
         with self._tables(runs) as tables:
             work = mine.groupBy("bucket").cogroup(self._rows(tables).groupBy("bucket"))
-            path = self._written(work.applyInArrow(judged, SENT), number, number, n_buckets)
-        answers = self.spark.read.schema(SENT).parquet(path).where(F.col("chunk") != RUN)
-        return materialized(answers, "answers")
+            path = self._written(work.applyInArrow(judged, KEPT), number, number, n_buckets)
+        answers = self.spark.read.schema(KEPT).parquet(path).where("chunk is not null")
+        return materialized(answers.select("bucket", "chunk", "answer"), "answers")
 
     def compact(self) -> None:
         """Merge all runs into one; the old ones go after the new one is complete."""
@@ -277,7 +284,7 @@ class FingerprintIndex:
     def _merge(self, old: list[Run]) -> Run:
         first, last, n_buckets = old[0].first, old[-1].last, old[0].n_buckets
         with self._tables(old) as tables:
-            path = self._written(self._rows(tables).groupBy("bucket").applyInArrow(merged, SENT), first, last, n_buckets)
+            path = self._written(self._rows(tables).groupBy("bucket").applyInArrow(merged, KEPT), first, last, n_buckets)
         for run in old:
             remove_path(self.spark, run.path)
         return Run(path, first, last, n_buckets)
@@ -287,8 +294,8 @@ class FingerprintIndex:
 
     def _rows(self, tables: list[str]) -> DataFrame:
         """The runs' own rows; tables of the same buckets stay where they are."""
-        every = [self.spark.table(t) for t in tables] or [self.spark.createDataFrame([], SENT)]
-        return reduce(DataFrame.unionAll, every).where(F.col("chunk") == RUN)
+        every = [self.spark.table(t).select("bucket", "chunk", "payload") for t in tables] or [self.spark.createDataFrame([], SENT)]
+        return reduce(DataFrame.unionAll, every).where("chunk is null")
 
     def _written(self, df: DataFrame, first: int, last: int, n_buckets: int) -> str:
         """Write a run beside the index and move it to its name."""
@@ -310,7 +317,7 @@ class Tables:
 
     def __enter__(self) -> list[str]:
         for name, (path, n_buckets) in zip(self.names, self.folders, strict=True):
-            self.spark.sql(f"CREATE TABLE {name} (bucket INT, chunk INT, payload BINARY) USING parquet CLUSTERED BY (bucket) INTO {n_buckets} BUCKETS LOCATION '{path}'")
+            self.spark.sql(f"CREATE TABLE {name} ({KEPT}) USING parquet OPTIONS (compression 'uncompressed', 'parquet.enable.dictionary' 'false') CLUSTERED BY (bucket) INTO {n_buckets} BUCKETS LOCATION '{path}'")
         return self.names
 
     def __exit__(self, *_: object) -> None:
@@ -331,7 +338,7 @@ def batched(docs: DataFrame, batches: int, chunk_bytes: int) -> tuple[DataFrame,
     buckets, and the chunk of each row."""
     shares = [k / batches for k in range(1, batches)]
     total, edges = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))), F.percentile_approx(F.col("doc_id").cast("long"), shares or [0.5])).first()
-    n_chunks, n_buckets = sizes(total or 0, chunk_bytes)
+    n_chunks, n_buckets = sizes(total or 0, chunk_bytes, per_bucket=2)
     edges = sorted(set(edges or ())) if batches > 1 else []
     own, per = F.col("doc_id").cast("long"), -(-n_chunks // (len(edges) + 1))
     conditions = [F.lit(True) if low is None else own > low for low in (None, *edges)]
@@ -344,7 +351,7 @@ def batched(docs: DataFrame, batches: int, chunk_bytes: int) -> tuple[DataFrame,
 
 
 def answers_of(docs: DataFrame, conditions: list[Column], chunk: Column, n_buckets: int, window: int) -> DataFrame:
-    """Feed the batches to an index of their own; the bits that all buckets answer. The index goes when it has answered."""
+    """Feed the batches to an index of their own; (bucket, chunk, answer) of all batches. The index goes when it has answered."""
     spark = docs.sparkSession
     index = FingerprintIndex(spark, scratch_path(spark, "index"), window, n_buckets)
     texts = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")

@@ -11,7 +11,7 @@ from dossier.llm.components import connected_components
 from dossier.llm.esa import maximal_repeats
 from dossier.llm.exchange import pack, pack_sorted, unpack, unpack_sorted
 from dossier.llm.simhash import fingerprint, near_duplicates
-from dossier.llm.substring_dedup import FingerprintIndex, Keys, in_run, merged, pack_run, substring_dedup, substring_dedup_rows
+from dossier.llm.substring_dedup import KEPT, FingerprintIndex, Keys, in_run, merged, pack_run, substring_dedup, substring_dedup_rows
 from dossier.llm.suffix_dedup import Anchored, reaches, repeat_groups, suffix_dedup
 
 from .fixtures import docs, prose, texts
@@ -122,7 +122,7 @@ def test_runs_are_read_where_they_are(spark, tmp_path):
     for k in range(2):
         index.add(docs(spark, [(k, prose(random.Random(k), 60))]))
     with index._tables(index.runs()) as tables:
-        plan = index._rows(tables).groupBy("bucket").applyInArrow(merged, "bucket int, chunk int, payload binary")
+        plan = index._rows(tables).groupBy("bucket").applyInArrow(merged, KEPT)
         assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
