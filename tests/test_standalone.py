@@ -5,18 +5,21 @@ import shutil
 import subprocess
 import sys
 
+import pytest
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
-def test_without_the_subpackage(tmp_path):
-    for name in ("dossier", "__spark_entry__.py", "bench.py"):
-        src = os.path.join(ROOT, name)
-        if os.path.isdir(src):
-            shutil.copytree(src, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
-        else:
-            shutil.copy(src, tmp_path / name)
+@pytest.mark.parametrize("also", [(), ("corpus_pipeline.py",)])
+def test_without_the_subpackage(tmp_path, also):
+    """The repository with exactly the two folders deleted, and with the pipeline's file gone as well."""
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache", ".hypothesis"))
+    for folder in ("dossier/llm", "tests/llm"):
+        shutil.rmtree(tmp_path / "repo" / folder, ignore_errors=True)
+    for name in also:
+        (tmp_path / "repo" / name).unlink(missing_ok=True)
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 70 and set(o) <= set(q) and not any(k.startswith('op') and k[2].isdigit() for k in q) and 'pipeline' not in q"
-    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env={**os.environ, "PYTHONPATH": str(tmp_path / "repo")}, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
 
 
