@@ -1,14 +1,15 @@
 """Benchmark decontamination by suffix arrays of the training text.
 
-Each shard of training documents has a suffix array over its words. Every suffix of every test item is binary-searched
-in it, which gives the longest verbatim match and all places of it. An item matches a document where `window`
-consecutive words agree (an item with fewer words must agree as a whole). Suffixes that cannot match are left out of
-the array: a training word that no item has is a break, and a suffix stays only if its first words (as many as the
-shortest searched suffix has, three at most) are the first words of some test suffix. The shards are the batches that
-a task reads, so there is no shuffle: texts are read once and stay where they are.
+Each shard of training documents, some MB of text, has a suffix array over all its words: the places of all words in the
+order of the words that follow, made by doubling the sorted length until it is at least `window` words. Every suffix of
+every test item is binary-searched in it, which gives all places that agree in as many words as are needed; from there
+the longest verbatim match is followed word by word. An item matches a document where `window` consecutive words agree
+(an item with fewer words must agree as a whole). The shards are parts of the batches that a task reads, so there is no
+shuffle: texts are read once and stay where they are.
 
-The test items are a stated query set. They are sent to all tasks in blocks of at most `block_words` words, whose size is
-therefore bounded; with more items than that a task searches its shard block by block.
+The test items are a stated query set. They are sent to all tasks in blocks of at most `block_words` words. There is one
+pass over the texts for each block, and only its block is held by driver and tasks; with several, what is found in each
+pass is written to the shared folder and put together by row.
 
 Words are runs of ASCII letters and digits and of all other non-ASCII characters, with A-Z in lower case.
 
@@ -19,202 +20,275 @@ ignored in the list of items. Other columns are ignored. An empty table on eithe
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_rows
+from .common import bounded_batches, materialized, text_rows
+from .exchange import MB, placed
 
+SPAN = "struct<start: long, end: long>"
 MATCH = "struct<item_id: string, doc_start: long, item_start: long, n_words: long>"
-RESULT = f"doc_id long, n_words long, n_hit long, hit_spans array<struct<start: long, end: long>>, matches array<{MATCH}>, items array<string>"
+RESULT = f"doc_id long, n_words long, n_hit long, hit_spans array<{SPAN}>, matches array<{MATCH}>, items array<string>"
+SHARD = 8 * MB
 #: Bytes that separate words become spaces, A-Z become a-z.
 FOLD = bytes(32 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
+Block = list[tuple[str | None, bytes]]
+
 
 def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(FOLD).split()
 
 
 class Searched:
-    """A block of test items as codes of its own vocabulary, and their suffixes."""
+    """A block of test items: their words one after the other, and all suffixes that are as long as needed."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int) -> None:
-        self.window, self.code = window, {}
-        self.items: list[tuple[str, np.ndarray]] = []
+    def __init__(self, items: Block, window: int) -> None:
+        self.ids: list[str | None] = []
+        self.words: list[bytes] = []
+        ends = []
         for item, raw in items:
-            if words := words_of(raw):
-                self.items.append((item, np.array([self.code.setdefault(w, len(self.code) + 1) for w in words], ">u4")))
-        #: (codes as bytes, needed bytes, item number, start) of each suffix that has a whole window
-        self.suffixes: list[tuple[bytes, int, int, int]] = []
-        for k, (_, codes) in enumerate(self.items):
-            need, raw = min(window, len(codes)), codes.tobytes()
-            self.suffixes += [(raw[4 * s :], 4 * need, k, s) for s in range(len(codes) - need + 1)]
-        self.longest = max((len(raw) for raw, *_ in self.suffixes), default=0)
-        self.heads = {}
-        for raw, need, _, _ in self.suffixes:
-            n = min(need // 4, 3)
-            self.heads.setdefault(n, set()).add(head(np.frombuffer(raw, ">u4", n)[None])[0])
-        self.heads = {n: np.sort(np.array(list(h), np.uint64)) for n, h in self.heads.items()}
-
-
-def head(codes: np.ndarray) -> np.ndarray:
-    """Up to three codes of 21 bits in one number."""
-    out = np.zeros(len(codes), np.uint64)
-    for column in codes.T:
-        out = out << np.uint64(21) | column.astype(np.uint64)
-    return out
-
-
-def shared_prefix(a: bytes, b: bytes) -> int:
-    """Whole codes that two code strings share."""
-    n = min(len(a), len(b)) // 4
-    differ = np.flatnonzero(np.frombuffer(a, ">u4", n) != np.frombuffer(b, ">u4", n))
-    return int(differ[0]) if len(differ) else n
+            if own := words_of(raw):
+                self.ids.append(item)
+                self.words += own
+                ends.append(len(self.words))
+        self.ends = np.array(ends, np.int64)
+        counts = np.diff(self.ends, prepend=0)
+        need = np.minimum(counts, window)
+        suffixes = counts - need + 1
+        #: item number, first word and needed words of each suffix
+        self.item = np.repeat(np.arange(len(counts)), suffixes)
+        self.at = np.arange(suffixes.sum()) + np.repeat(self.ends - counts - np.cumsum(suffixes) + suffixes, suffixes)
+        self.need = need[self.item]
 
 
 class ShardSuffixes:
-    """The suffix array of one shard: its suffixes that can match, sorted; a suffix ends with its document."""
+    """The suffix array of one shard of documents. Codes are the words' numbers; 0 stands behind each document."""
 
-    def __init__(self, docs: list[bytes], searched: Searched) -> None:
-        get = searched.code.get
+    def __init__(self, docs: list[bytes], depth: int) -> None:
+        self.code: dict[bytes, int] = {}
         counts, codes = [], []
+        add = self.code.setdefault
         for raw in docs:
             words = words_of(raw)
             counts.append(len(words))
-            codes += [get(w, 0) for w in words]
-        self.counts = counts
-        self.ends = np.cumsum(np.array(counts, np.int64))
-        array = np.array(codes, ">u4")
-        keep = np.zeros(len(array), bool)
-        padded = np.concatenate([array, np.zeros(3, ">u4")])
-        for n, heads in searched.heads.items():
-            own = head(np.stack([padded[j : j + len(array)] for j in range(n)], axis=1)) if len(array) else np.zeros(0, np.uint64)
-            keep |= heads[np.minimum(np.searchsorted(heads, own), len(heads) - 1)] == own
-        at = np.flatnonzero(keep)
-        self.doc = np.searchsorted(self.ends, at, side="right")
-        raw, limit = array.tobytes(), searched.longest
-        suffixes = [raw[4 * a : min(4 * a + limit, 4 * e)] for a, e in zip(at.tolist(), self.ends[self.doc].tolist(), strict=True)]
-        order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
-        self.sorted = [suffixes[i] for i in order]
-        self.at, self.doc = at[order], self.doc[order]
-
-    def find(self, suffix: bytes, need: int) -> list[tuple[int, int]]:
-        """(place in the array, words that agree) of all suffixes that agree in the needed bytes or more."""
-        out, k, prefix = [], bisect_left(self.sorted, suffix[:need]), suffix[:need]
-        while k < len(self.sorted) and self.sorted[k].startswith(prefix):
-            out.append((k, shared_prefix(self.sorted[k], suffix)))
+            codes += [add(w, len(self.code) + 1) for w in words]
+            codes.append(0)
+        self.counts = np.array(counts, np.int64)
+        self.ends = np.cumsum(self.counts + 1) - 1
+        self.codes = np.array(codes, np.int64)
+        self.order = self._sorted(depth)
+
+    def _sorted(self, depth: int) -> np.ndarray:
+        """Places in the order of the next `depth` words or more."""
+        rank, width, n = self.codes.astype(np.uint64), 1, len(self.codes)
+        order = np.argsort(rank, kind="stable")
+        while width < depth:
+            key = rank << np.uint64(32)
+            key[: max(n - width, 0)] |= rank[width:]
+            order = np.argsort(key, kind="stable")
+            new = np.ones(n, bool)
+            new[1:] = key[order[1:]] != key[order[:-1]]
+            rank[order] = np.cumsum(new).astype(np.uint64)
+            width *= 2
+        return order
+
+    def codes_of(self, searched: Searched) -> np.ndarray:
+        """The items' words in this shard's numbers; -1 for words that it doesn't have."""
+        get = self.code.get
+        return np.fromiter((get(w, -1) for w in searched.words), np.int64, len(searched.words))
+
+    def range_of(self, wanted: np.ndarray, searched: Searched) -> tuple[np.ndarray, np.ndarray]:
+        """Binary search of all test suffixes at once: which part of the array agrees with each in the words it needs."""
+        bounds = []
+        for upper in (False, True):
+            low, high = np.zeros(len(searched.at), np.int64), np.full(len(searched.at), len(self.order))
+            while len(open_ := np.flatnonzero(low < high)):
+                mid = (low[open_] + high[open_]) // 2
+                before = self._compared(self.order[mid], wanted, searched.at[open_], searched.need[open_]) < (1 if upper else 0)
+                low[open_[before]] = mid[before] + 1
+                high[open_[~before]] = mid[~before]
+            bounds.append(low)
+        return bounds[0], bounds[1]
+
+    def _compared(self, place: np.ndarray, wanted: np.ndarray, at: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """-1, 0 or 1: how the suffixes at some places compare with needed words of test suffixes."""
+        out, left, k = np.zeros(len(place), np.int64), np.arange(len(place)), 0
+        while len(left):
+            mine = self.codes[np.minimum(place[left] + k, len(self.codes) - 1)]
+            differ = np.sign(mine - wanted[at[left] + k])
+            out[left] = differ
             k += 1
+            left = left[(differ == 0) & (need[left] > k)]
         return out
 
-
-def searching(shared: list, window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = Searched(shared[0].value, window) if len(shared) == 1 else None
-        for batch in batches:
-            ids, raws, at = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), 0
-            while at < len(ids):
-                size, end = 0, at
-                while end < len(ids) and (end == at or size + len(raws[end] or b"") <= 8 << 20):
-                    size += len(raws[end] or b"")
-                    end += 1
-                shard = Shard([r or b"" for r in raws[at:end]])
-                for block in [only] if only else (Searched(b.value, window) for b in shared):
-                    shard.search(block)
-                yield shard.told(ids[at:end])
-                at = end
-
-    return run
+    def longest(self, place: np.ndarray, wanted: np.ndarray, at: np.ndarray, end: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """How many words agree from some places on, given that the needed ones do."""
+        out, left = need.copy(), np.arange(len(place))
+        while len(left := left[at[left] + out[left] < end[left]]):
+            left = left[self.codes[place[left] + out[left]] == wanted[at[left] + out[left]]]
+            out[left] += 1
+        return out
 
 
 class Shard:
-    """What is found in the documents of one shard; each block of items has a suffix array of its own vocabulary."""
+    """What the suffixes of a block of items find in the documents of one shard."""
 
-    def __init__(self, docs: list[bytes]) -> None:
-        self.docs, self.counts = docs, [0] * len(docs)
-        self.spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    def __init__(self, docs: list[bytes], searched: Searched, window: int) -> None:
+        array = ShardSuffixes(docs, window)
+        self.counts = array.counts.tolist()
         self.matches: dict[int, list[dict]] = defaultdict(list)
-
-    def search(self, searched: Searched) -> None:
-        array = ShardSuffixes(self.docs, searched)
-        self.counts = array.counts
-        starts = array.ends - np.array(array.counts, np.int64)
-        diagonals: dict[tuple[int, int, int], list[tuple[int, int, int]]] = defaultdict(list)
-        for suffix, need, item, item_start in searched.suffixes:
-            for k, n in array.find(suffix, need):
-                doc = int(array.doc[k])
-                place = int(array.at[k] - starts[doc])
-                self.spans[doc].append((place, place + n))
-                diagonals[doc, item, place - item_start].append((place, item_start, n))
+        covered = np.zeros(len(array.codes) + 1, np.int64)
+        wanted = array.codes_of(searched)
+        first, last = array.range_of(wanted, searched)
+        each = last - first
+        suffix = np.repeat(np.arange(len(each)), each)
+        place = array.order[np.arange(each.sum()) + np.repeat(first - np.cumsum(each) + each, each)]
+        item = searched.item[suffix]
+        n = array.longest(place, wanted, searched.at[suffix], searched.ends[item], searched.need[suffix])
+        np.add.at(covered, place, 1)
+        np.add.at(covered, place + n, -1)
+        gone = np.cumsum(covered[:-1]) > 0
+        starts = array.ends - array.counts
+        doc = np.searchsorted(array.ends, place)
+        item_start = searched.at[suffix] - np.concatenate([[0], searched.ends[:-1]])[item] if len(item) else item
         # along a diagonal a match is told once, from its first word on
-        for (doc, item, _), places in diagonals.items():
-            reached = -1
-            for place, item_start, n in sorted(places):
-                if place + n > reached:
-                    self.matches[doc].append({"item_id": searched.items[item][0], "doc_start": place, "item_start": item_start, "n_words": n})
-                    reached = place + n
+        order = np.lexsort((place, place - item_start, item, doc))
+        reached, along = -1, None
+        for d, i, p, s, k in zip(*(x[order].tolist() for x in (doc, item, place, item_start, n)), strict=True):
+            if (d, i, p - s) != along:
+                reached, along = -1, (d, i, p - s)
+            if p + k > reached:
+                self.matches[d].append({"item_id": searched.ids[i], "doc_start": p - int(starts[d]), "item_start": s, "n_words": k})
+                reached = p + k
+        self.spans = [spans_of(gone[a:b]) for a, b in zip(starts.tolist(), array.ends.tolist(), strict=True)]
 
     def told(self, ids: list[int | None]) -> pa.RecordBatch:
-        hit, matches, items, n_hit = [], [], [], []
-        for doc in range(len(ids)):
-            merged: list[dict[str, int]] = []
-            for a, b in sorted(self.spans.get(doc, ())):
-                if merged and a <= merged[-1]["end"]:
-                    merged[-1]["end"] = max(merged[-1]["end"], b)
-                else:
-                    merged.append({"start": a, "end": b})
-            hit.append(merged)
-            n_hit.append(sum(m["end"] - m["start"] for m in merged))
-            matches.append(self.matches.get(doc, []))
-            items.append(sorted({m["item_id"] for m in matches[-1] if m["item_id"] is not None}))
+        n_hit = [sum(x["end"] - x["start"] for x in own) for own in self.spans]
+        matches = [self.matches.get(doc, []) for doc in range(len(ids))]
+        items = [sorted({m["item_id"] for m in own if m["item_id"] is not None}) for own in matches]
         long, text = pa.int64(), pa.string()
         kinds = [long, long, long, pa.list_(pa.struct([("start", long), ("end", long)])), pa.list_(pa.struct([("item_id", text), ("doc_start", long), ("item_start", long), ("n_words", long)])), pa.list_(text)]
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((ids, self.counts, n_hit, hit, matches, items), kinds, strict=True)], ["doc_id", "n_words", "n_hit", "hit_spans", "matches", "items"])
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((ids, self.counts, n_hit, self.spans, matches, items), kinds, strict=True)], ["doc_id", "n_words", "n_hit", "hit_spans", "matches", "items"])
+
+
+def spans_of(flags: np.ndarray) -> list[dict[str, int]]:
+    if not flags.any():
+        return []
+    edges = np.flatnonzero(np.diff(flags, prepend=False, append=False)).tolist()
+    return [{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2], strict=True)]
+
+
+def searched_batch(searched: Searched, window: int, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Search a block of items in a batch with columns doc_id and text, shard by shard; other columns come after the result's."""
+    ids, raws, at = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), 0
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(raws), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    others = [c for c in batch.schema.names if c not in ("doc_id", "text")]
+    while at < len(ids):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SHARD, side="right")))
+        told = Shard([r or b"" for r in raws.slice(at, end - at).to_pylist()], searched, window).told(ids[at:end])
+        yield pa.RecordBatch.from_arrays([*told.columns, *(batch.column(c).slice(at, end - at) for c in others)], [*told.schema.names, *others])
+        at = end
 
 
-def blocks(benchmark: DataFrame, block_words: int, item_col: str, text_col: str) -> Iterator[list[tuple[str | None, bytes]]]:
-    """The test items in blocks; one block is held at a time."""
-    block: list[tuple[str | None, bytes]] = []
-    size = 0
+def searching(block: Broadcast, window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searched = Searched(block.value, window)
+        for batch in batches:
+            yield from searched_batch(searched, window, batch)
+
+    return run
+
+
+def blocks(benchmark: DataFrame, block_words: int, item_col: str, text_col: str) -> Iterator[Block]:
+    """The test items in blocks, at least one; one block is held at a time."""
+    block: Block = []
+    size, some = 0, False
     for item, text in benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).where(F.col(text_col).isNotNull()).toLocalIterator():
         raw = text.encode()
         n = len(raw) // 2 + 1
         if block and size + n > block_words:
             yield block
-            block, size = [], 0
+            block, size, some = [], 0, True
         block.append((item, raw))
         size += n
-    if block:
+    if block or not some:
         yield block
 
 
+def followed(found: Iterator[Block]) -> Iterator[tuple[Block, bool]]:
+    """Each block, and whether it is the only one or the last."""
+    held = next(found)
+    for block in found:
+        yield held, False
+        held = block
+    yield held, True
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 2_000_000, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Each document with its words, how many of them and which spans items hit, the longest matches and the items found."""
-    context = docs.sparkSession.sparkContext
-    shared = [context.broadcast(block) for block in blocks(benchmark, block_words, item_col, text_col)] or [context.broadcast([])]
-    return text_rows(docs, id_col, text_col).mapInArrow(searching(shared, window), RESULT)
+    context, texts, done = docs.sparkSession.sparkContext, text_rows(docs, id_col, text_col), []
+    for block, last in followed(blocks(benchmark, block_words, item_col, text_col)):
+        shared = context.broadcast(block)
+        if last and not done:
+            return texts.mapInArrow(searching(shared, window), RESULT)
+        if not done:
+            texts, _ = placed(texts)
+            place = texts.metadataColumn("_metadata")
+            texts = texts.select("doc_id", "text", F.xxhash64(place.getField("file_path")).alias("file"), place.getField("row_index").alias("row"))
+        done.append(materialized(texts.mapInArrow(searching(shared, window), f"{RESULT}, file long, row long"), "hits"))
+        shared.destroy()
+    return together(done)
+
+
+def together(done: list[DataFrame]) -> DataFrame:
+    """What several passes found, by row. Spans of a row that overlap or adjoin become one."""
+
+    def joined(spans):
+        def step(held, x):
+            last = F.element_at(held, -1)
+            longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+            return F.when((F.size(held) > 0) & (x["start"] <= F.get(held, F.size(held) - 1)["end"]), F.concat(F.slice(held, 1, F.size(held) - 1), F.array(longer))).otherwise(F.concat(held, F.array(x)))
+
+        return F.aggregate(F.sort_array(spans), F.array().cast(f"array<{SPAN}>"), step)
+
+    every = done[0]
+    for df in done[1:]:
+        every = every.union(df)
+    lists = {c: F.flatten(F.collect_list(c)).alias(c) for c in ("hit_spans", "matches", "items")}
+    rows = every.groupBy("file", "row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *lists.values())
+    rows = rows.withColumn("hit_spans", joined(F.col("hit_spans")))
+    n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), "hit_spans", "matches", F.array_sort(F.array_distinct("items")).alias("items"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 2_000_000, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """The documents without a hit, with all their columns; the search runs as a column, so no join is needed."""
-    context = docs.sparkSession.sparkContext
-    shared = [context.broadcast(block) for block in blocks(benchmark, block_words, item_col, text_col)] or [context.broadcast([])]
+    context, docs = docs.sparkSession.sparkContext, bounded_batches(docs)
+    for block, last in followed(blocks(benchmark, block_words, item_col, text_col)):
+        shared = context.broadcast(block)
+        docs = docs.where(hits_of(shared, window)(F.col(text_col).cast("string")) == 0)
+        if not last:
+            docs = materialized(docs, "clean")
+            shared.destroy()
+    return docs
+
 
+def hits_of(block: Broadcast, window: int):
     @F.pandas_udf("long")
     def hits(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        batches = (pa.RecordBatch.from_arrays([pa.array(np.arange(len(s))), pa.array(s, pa.string())], ["doc_id", "text"]) for s in series)
-        for batch, told in grouped(batches, searching(shared, window)):
-            yield pd.Series(np.concatenate([t.column("n_hit").to_numpy() for t in told]) if told else np.zeros(0, np.int64), range(batch))
-
-    return bounded_batches(docs).where(hits(F.col(text_col).cast("string")) == 0)
-
+        searched = Searched(block.value, window)
+        for s in series:
+            batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(s))), pa.array(s, pa.string())], ["doc_id", "text"])
+            told = [t.column("n_hit").to_numpy() for t in searched_batch(searched, window, batch)]
+            yield pd.Series(np.concatenate(told) if told else np.zeros(0, np.int64))
 
-def grouped(batches: Iterator[pa.RecordBatch], run) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
-    """The rows and the results of each batch."""
-    for batch in batches:
-        yield batch.num_rows, list(run(iter([batch])))
+    return hits

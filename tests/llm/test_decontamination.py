@@ -1,8 +1,9 @@
+import random
 import re
 
 import pytest
 
-from dossier.llm.decontamination import clean, decontaminate
+from dossier.llm.decontamination import Searched, ShardSuffixes, clean, decontaminate
 
 from .fixtures import docs, texts
 
@@ -59,10 +60,25 @@ def test_matches_are_longest_and_verbatim(spark):
     assert told > 5
 
 
-def test_clean_and_empty(spark):
+def test_suffix_array():
+    """All places, in the order of the words that follow; a search gives every place that agrees."""
+    rng = random.Random(8)
+    docs = [" ".join(rng.choice("abc") for _ in range(rng.randrange(0, 60))).encode() for _ in range(9)]
+    array = ShardSuffixes(docs, 4)
+    following = [array.codes[p : p + 4].tolist() for p in array.order.tolist()]
+    assert following == sorted(following) and sorted(array.order.tolist()) == list(range(len(array.codes)))
+    searched = Searched([("x", b"a b c a"), ("y", b"c c"), ("z", b"d a")], 4)
+    first, last = array.range_of(array.codes_of(searched), searched)
+    words = [d.decode().split() for d in docs]
+    want = [sum(w[k : k + len(q)] == q for w in words for k in range(len(w))) for q in (["a", "b", "c", "a"], ["c", "c"], ["d", "a"])]
+    assert (last - first).tolist() == want and want[1] > 0
+
+
+@pytest.mark.parametrize("block_words", [2_000_000, 20])
+def test_clean_and_empty(spark, block_words):
     rows = texts()
     bench = spark.createDataFrame(items(rows), "item_id long, text string")
-    kept = sorted((r.doc_id for r in clean(docs(spark, rows), bench).collect()), key=repr)
+    kept = sorted((r.doc_id for r in clean(docs(spark, rows), bench, block_words=block_words).collect()), key=repr)
     assert kept == sorted((i for i, _, n, _ in brute(rows, items(rows)) if not n), key=repr)
     none = spark.createDataFrame([], "item_id long, text string")
     assert clean(docs(spark, rows), none).count() == len(rows)
