@@ -1,12 +1,15 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk estimator.
 
-Trusted positives are labelled documents of good quality; everything else about the corpus enters as unlabelled web text.
+Trusted positives are documents labelled good. The corpus itself, whatever its labels, is the unlabelled web text; labels of
+bad documents are not read.
 With the class prior p, the risk of a scorer g is p R_P(g) + max(0, R_U(-g) - p R_P(-g)): the part for negatives is
 estimated from unlabelled text less the positives in it, and is kept from falling below zero, where a flexible model
 would start to fit noise. Where it is below zero, a step goes the other way, as the estimator's authors propose.
 
-The prior is estimated: from the share of good ones among all labels of the fold if there are labels of both kinds, else
-from a positive-against-unlabelled classifier (one over the density ratio at typical positives).
+The prior is estimated from positives and unlabelled text alone, by the best bin: a classifier of the two orders texts, each
+by a model that wasn't fitted to it; where only positives are, unlabelled text has the prior's share of the positives'
+density, so the prior is the least ratio of the shares of both above some score, with a bound for chance that keeps small
+shares from being chosen.
 
 The threshold is set so that the prior's share of the unlabelled sample passes, but at most `positives_lost` of the trusted
 positives fail.
@@ -14,8 +17,8 @@ positives fail.
 The scorer is additive: a text has numeric properties (lengths, shares of symbols, capitals, digits and marks,
 repetition of words, word triples and lines, compression), and each is a one-hot bin between quantiles of the sample.
 
-Fitting takes at most `positives` and `unlabelled` documents, those with the smallest hash of their id; that bound is a
-parameter. Scoring reads every whole text once, with a model of some hundred numbers.
+Fitting takes at most `positives` and `unlabelled` documents, those with the smallest hash of their id; both bounds are
+parameters. Scoring reads every whole text once, with a model of some hundred numbers.
 
 Defined results: null and empty texts have the properties of a text without words and are scored, too. Labels that are
 null or neither 0 nor 1 are left out. Without positives every score is 0.5. Repeated rows are scored each. Very long texts
@@ -44,7 +47,7 @@ PROPERTIES = ("words", "bytes_per_word", "symbols", "capitals", "digits", "marks
 @dataclass(frozen=True)
 class NonNegative:
     positives: int = 8_000
-    unlabelled: int = 16_000
+    unlabelled: int = 32_000
     bins: int = 12
     steps: int = 1500
     rate: float = 0.05
@@ -118,33 +121,40 @@ def adam(model: Additive, steps: int, rate: float, l2: float, gradient) -> None:
         model.weights -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
 
 
-def prior_of(positive: np.ndarray, unlabelled: np.ndarray, how: NonNegative) -> float:
-    """Share of positives in unlabelled text. Where only positives are, their density is that of unlabelled text over the
-    share; so the share is one over the density ratio at typical positives, as a classifier of the two tells it on rows
-    that it wasn't fitted to."""
+def prior_of(positive: np.ndarray, unlabelled: np.ndarray, how: NonNegative, chance: float = 0.1) -> float:
+    """Share of positives in unlabelled text: the least ratio of shares above a score, by scores of models that haven't seen
+    the row."""
+    p, u = np.zeros(len(positive)), np.zeros(len(unlabelled))
     model = Additive(np.concatenate([positive, unlabelled]), how.bins)
-    p, u = model.active(positive), model.active(unlabelled)
-    fp, fu = p[::2], u[::2]
-    adam(model, 200, how.rate, 1e-2, lambda: model.gradient(fp, (sigmoid(model.margin(fp)) - 1) / len(fp)) + model.gradient(fu, sigmoid(model.margin(fu)) / len(fu)))
-    ratio = np.median(np.exp(np.clip(model.margin(p[1::2] if len(p) > 1 else p), -5, 5)))
-    return float(np.clip(1 / ratio, 0.05, 0.95))
+    of_p, of_u = model.active(positive), model.active(unlabelled)
+    for half in (0, 1):
+        model.weights[:] = 0
+        fp, fu = of_p[1 - half :: 2], of_u[1 - half :: 2]
+        if len(fp) and len(fu):
+            adam(model, 200, how.rate, 1e-2, lambda: model.gradient(fp, (sigmoid(model.margin(fp)) - 1) / len(fp)) + model.gradient(fu, sigmoid(model.margin(fu)) / len(fu)))
+        p[half::2], u[half::2] = model.margin(of_p[half::2]), model.margin(of_u[half::2])
+    cuts = np.quantile(p, np.linspace(0, 0.99, 100))
+    above_p, above_u = (1 - np.searchsorted(np.sort(x), cuts) / len(x) for x in (p, u))
+    bound = np.sqrt(np.log(4 / chance) / 2) * (1 / np.sqrt(len(p)) + 1 / np.sqrt(len(u)))
+    best = np.argmin((above_u + bound) / above_p)
+    return float(np.clip(above_u[best] / above_p[best], 0.05, 0.95))
+
+
+def risk_gradient(model: Additive, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """Slope of the non-negative risk with the logistic loss; where the part for negatives is below zero, of that part away from it."""
+    gp, gu = model.margin(p), model.margin(u)
+    negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    d_negative = model.gradient(u, sigmoid(gu) / len(u)) - prior * model.gradient(p, sigmoid(gp) / len(p))
+    if negative < 0:
+        return -d_negative
+    return prior * model.gradient(p, (sigmoid(gp) - 1) / len(p)) + d_negative
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, how: NonNegative) -> Additive:
-    """Minimise the non-negative risk with the logistic loss."""
+    """Minimise the non-negative risk."""
     model = Additive(np.concatenate([positive, unlabelled]), how.bins)
     p, u = model.active(positive), model.active(unlabelled)
-
-    def gradient() -> np.ndarray:
-        gp, gu = model.margin(p), model.margin(u)
-        loss = lambda margin: np.logaddexp(0, -margin)
-        negative = loss(-gu).mean() - prior * loss(-gp).mean()
-        d_negative = model.gradient(u, sigmoid(gu) / len(u)) - prior * model.gradient(p, sigmoid(gp) / len(p))
-        if negative < 0:
-            return -d_negative
-        return prior * model.gradient(p, (sigmoid(gp) - 1) / len(p)) + d_negative
-
-    adam(model, how.steps, how.rate, how.l2, gradient)
+    adam(model, how.steps, how.rate, how.l2, lambda: risk_gradient(model, p, u, prior))
     # as many unlabelled texts as the prior says pass the threshold of one half, unless trusted positives would fail it
     shift = min(np.quantile(model.margin(u), 1 - prior), np.quantile(model.margin(p), how.positives_lost))
     model.weights[-1] -= max(shift, 0.0)
@@ -166,14 +176,10 @@ def quality(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, l
     """(doc_id, score, predicted) of every document, by a model of the labels for which `allowed` holds."""
     how, docs = how or NonNegative(), text_rows(docs)
     allowed = F.lit(True) if allowed is None else allowed
-    trusted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & allowed)
-    good, every = trusted.agg(F.count_if(F.col("label") == 1), F.count("*")).first()
-    positive = sampled(docs, nearest_ids(trusted.where("label = 1").select("doc_id"), how.positives))
+    trusted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where((F.col("label") == 1) & allowed)
+    positive = sampled(docs, nearest_ids(trusted.select("doc_id"), how.positives))
     unlabelled = sampled(docs, nearest_ids(docs.select("doc_id").where(allowed), how.unlabelled))
-    model = None
-    if len(positive) and len(unlabelled):
-        prior = good / every if 0 < good < every else prior_of(positive, unlabelled, how)
-        model = fit(positive, unlabelled, prior, how)
+    model = fit(positive, unlabelled, prior_of(positive, unlabelled, how), how) if len(positive) and len(unlabelled) else None
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
