@@ -6,7 +6,9 @@ of the centroid with the greatest cosine. Each centroid also has a radius: a tex
 own sample is marked as rejected (the nearest language is given all the same, as a result needs one).
 
 Document frequencies are counted over all documents of the learning fold. The sample for the centroids is bounded:
-`per_language` documents of each language, chosen by the hash of the id at a rate that follows from the language's count.
+`per_language` documents of each language and `sample` in all, chosen by the hash of the id at a rate that follows from the
+language's count. What is learned are the `languages` most frequent values of lang, so that centroids stay small enough to
+be sent to all tasks however many stray values there are.
 
 Defined results: null texts and texts without a letter are `und` with score 0. Texts of a null language are not learned
 from. With no known language every text is `und`. Repeated rows are judged each. Very long texts are read whole, in
@@ -35,6 +37,8 @@ LETTER = np.array([chr(i).isalpha() for i in range(0x3000)] + [True])
 class Centroids:
     dims: int = 4096
     per_language: int = 1_200
+    sample: int = 20_000
+    languages: int = 500
     clusters: int = 4
     rounds: int = 12
     reject: float = 0.001
@@ -119,15 +123,16 @@ def document_frequencies(docs: DataFrame, dims: int) -> tuple[np.ndarray, int]:
     return np.array([counted.get(k, 0) for k in range(dims)], np.float64), counted.get(-1, 0)
 
 
-def learning_sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """At most per_language rows of each language: a hash rate of a little more first, so no window holds a whole language."""
-    counts = {r[0]: r[1] for r in docs.groupBy("lang").count().collect()}
-    rate = F.lit(0)
-    for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, F.lit(min(1 << 30, (per_language * 3 << 30) // (2 * n)))).otherwise(rate)
-    near = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate)
+def learning_sample(docs: DataFrame, how: Centroids) -> DataFrame:
+    """(lang, text) of a bounded number of rows of each language: a hash rate of a little more first, so no window holds a whole
+    language. The counts of the most frequent languages, a bounded number, are what is joined."""
+    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(how.languages)
+    n_languages = counts.count()
+    per = max(1, min(how.per_language, how.sample // max(n_languages, 1)))
+    rate = F.least(F.lit(1 << 30), F.floor(F.lit(3 * per << 30) / (2 * F.col("count"))))
+    near = docs.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate)
     order = W.Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).select("lang", "text")
+    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per).select("lang", "text")
 
 
 def fit(docs: DataFrame, how: Centroids) -> dict | None:
@@ -140,7 +145,7 @@ def fit(docs: DataFrame, how: Centroids) -> dict | None:
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(packed, pa.binary())], ["lang", "counts"])
 
     df, n = document_frequencies(docs, how.dims)
-    held = learning_sample(docs, how.per_language).mapInArrow(run, "lang string, counts binary").collect()
+    held = learning_sample(docs, how).mapInArrow(run, "lang string, counts binary").collect()
     if not held:
         return None
     # plain counts and the root of the usual weight: in a text of two languages the longer part decides
@@ -149,6 +154,9 @@ def fit(docs: DataFrame, how: Centroids) -> dict | None:
     for lang in sorted({r.lang for r in held}):
         packed = sorted(r.counts for r in held if r.lang == lang)
         x = vectors(np.stack([np.frombuffer(zlib.decompress(p), "<u2") for p in packed]).astype(np.float32), idf)
+        x = x[x.any(axis=1)]  # a text without a letter tells nothing
+        if not len(x):
+            continue
         own = k_means(x, how.clusters, how.rounds)
         near = x @ own.T
         for k in range(len(own)):
@@ -156,6 +164,8 @@ def fit(docs: DataFrame, how: Centroids) -> dict | None:
             centres.append(own[k])
             langs.append(lang)
             radius.append(float(np.quantile(mine, how.reject)) if len(mine) else 0.0)
+    if not langs:
+        return None
     return {"idf": idf, "centres": np.stack(centres).astype(np.float32), "langs": langs, "radius": np.array(radius)}
 
 

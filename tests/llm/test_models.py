@@ -1,10 +1,15 @@
+import math
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from dossier.llm.language_id import Centroids, identify
-from dossier.llm.quality import NonNegative, quality
+from dossier.llm.exchange import mixed
+from dossier.llm.language_id import Centroids, gram_counts, identify, vectors
+from dossier.llm.quality import Additive, NonNegative, prior_of, quality, risk_gradient
 from dossier.llm.toxicity import Ftrl, toxicity
+from dossier.llm.toxicity import fit as fit_ftrl
 
 from .fixtures import docs, prose, texts
 
@@ -35,9 +40,43 @@ def test_quality_learns_from_positives_and_unlabelled(spark):
     held = split(rows, got)
     right = sum(r.predicted == int("!!" not in rows[i][1]) for i, r in held.items() if i < 600)
     assert right / sum(i < 600 for i in held) > 0.95
-    # only positives known: the prior is estimated from the two samples
-    only = quality(docs(spark, rows), table.where("quality = 1"), learned(), how=how).where("doc_id < 600").collect()
-    assert sum(r.predicted == int("!!" not in rows[r.doc_id][1]) for r in only) / 600 > 0.85
+    # labels of bad documents are not read
+    only = quality(docs(spark, rows), table.where("quality = 1"), learned(), how=how).collect()
+    assert {r.doc_id: r.score for r in only} == {i: r.score for i, r in got.items()}
+
+
+def test_prior_from_positives_and_unlabelled():
+    rng = np.random.default_rng(3)
+    for prior in (0.3, 0.6, 0.85):
+        positive, n = rng.normal(0, 1, (4000, 3)), 8000
+        mixed = np.where(rng.random((n, 1)) < prior, rng.normal(0, 1, (n, 3)), rng.normal(2.5, 1, (n, 3)))
+        assert abs(prior_of(positive, mixed, NonNegative()) - prior) < 0.06
+
+
+def plain_risk(weights, p, u, prior):
+    """The two parts of the non-negative risk, row by row."""
+    loss = lambda rows, sign: sum(math.log1p(math.exp(-sign * sum(weights[k] for k in row))) for row in rows) / len(rows)
+    return prior * loss(p, 1), loss(u, -1) - prior * loss(p, -1)
+
+
+def test_steps_of_the_non_negative_risk():
+    """A step follows the risk's slope, and the other way where the negative part is below zero."""
+    rng = np.random.default_rng(5)
+    model = Additive(rng.normal(size=(60, 2)), 3)
+    p, u = model.active(rng.normal(1, 1, (15, 2))), model.active(rng.normal(0, 1, (25, 2)))
+    below = 0
+    for prior in (0.2, 0.9):
+        for scale in (0.1, 6):
+            model.weights = rng.normal(0, scale, len(model.weights))
+            own, negative = plain_risk(model.weights, p.tolist(), u.tolist(), prior)
+            whole, below = (lambda parts: -parts[1]) if negative < 0 else sum, below + (negative < 0)
+            slope = risk_gradient(model, p, u, prior)
+            for k in range(len(model.weights)):
+                up, down = model.weights.copy(), model.weights.copy()
+                up[k], down[k] = up[k] + 1e-5, down[k] - 1e-5
+                want = (whole(plain_risk(up, p.tolist(), u.tolist(), prior)) - whole(plain_risk(down, p.tolist(), u.tolist(), prior))) / 2e-5
+                assert abs(slope[k] - want) < 1e-5
+    assert below
 
 
 def test_toxicity(spark):
@@ -60,6 +99,74 @@ def test_toxicity(spark):
     assert {r.score for r in got if r.doc_id in (9000, 9001)} == {next(r.score for r in got if r.doc_id == 9000)}
 
 
+def test_ftrl_against_a_plain_version():
+    rng = random.Random(4)
+    how = Ftrl(bits=6, alpha=0.5, beta=1.0, l1=0.4, l2=0.1, epochs=3)
+    samples = [(np.array(sorted(rng.sample(range(64), rng.randrange(0, 9))), np.uint32), rng.randrange(2)) for _ in range(40)]
+    z, n, order = [0.0] * 65, [0.0] * 65, np.random.default_rng(7)
+
+    def weight(i):
+        l1 = 0 if i == 64 else how.l1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((how.beta + math.sqrt(n[i])) / how.alpha + how.l2)
+
+    for _ in range(how.epochs):
+        for k in order.permutation(40):
+            features, label = samples[k]
+            at = [*map(int, features), 64]
+            w = [weight(i) for i in at]
+            g = 1 / (1 + math.exp(-sum(w))) - label
+            for i, own in zip(at, w, strict=True):
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / how.alpha * own
+                n[i] += g * g
+    kept, weights, bias = fit_ftrl(samples, how)
+    want = {i: weight(i) for i in range(64) if weight(i)}
+    assert kept.tolist() == sorted(want) and np.allclose(weights, [want[i] for i in sorted(want)]) and math.isclose(bias, weight(64))
+    assert 0 < len(want) < 64
+
+
+def plain_grams(text, dims):
+    """Runs of one to three characters, other characters than letters as spaces; a run's middle stays a letter."""
+    out, line = [0] * dims, [" ", *(c if c.isalpha() or ord(c) >= 0x3000 else " " for c in text.lower()), " "]
+    for size, salt in ((1, 1), (2, 2), (3, 3)):
+        for k in range(len(line) - size + 1):
+            own = line[k : k + size]
+            if (own[0] != " ") if size == 1 else (own[0] != " " or own[1] != " ") if size == 2 else (own[1] != " " and (own[0] != " " or own[2] != " ")):
+                code = 0
+                for c in own:
+                    code = code * 0x110000 + ord(c)
+                out[int(mixed(np.array([(code + (salt << 60)) % 2**64], np.uint64))[0]) % dims] += 1
+    return out
+
+
+def test_vectors_and_nearest_centroid():
+    """Counts in blocks of any size, TF-IDF and cosines against plain loops."""
+    rng = random.Random(6)
+    texts_ = ["".join(rng.choice("abcé 日Z1.") for _ in range(rng.randrange(0, 50))) for _ in range(12)]
+    for block in (1_000_000, 17):
+        joined = gram_counts(texts_, 256, block=block)
+        if block > 50:
+            assert joined.astype(int).tolist() == [plain_grams(t, 256) for t in texts_]
+    idf = np.array([rng.random() + 0.1 for _ in range(256)], np.float32)
+    x = vectors(gram_counts(texts_, 256), idf)
+    for t, row in zip(texts_, x, strict=True):
+        weighted = [c * float(w) for c, w in zip(plain_grams(t, 256), idf, strict=True)]
+        norm = math.sqrt(sum(v * v for v in weighted))
+        assert np.allclose(row, [v / norm if norm else 0 for v in weighted], atol=1e-5)
+
+
+@pytest.mark.parametrize("extra", ["x", "score", "label", "lang", "count", "place", "predicted"])
+def test_long_texts_and_other_columns(spark, extra):
+    """Models read whole texts, and columns named as theirs don't get in the way."""
+    rng = random.Random(11)
+    long = " ".join(prose(rng, 50, 3000) for _ in range(1500))
+    rows = [(i, prose(rng, 60, 3000), "aa") for i in range(40)] + [(77, long, "aa"), (78, None, None), (79, "", "bb")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn(extra, F.lit("aa"))
+    table = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    small = NonNegative(positives=20, unlabelled=40, steps=20)
+    for got in (quality(frame, table, how=small), toxicity(frame, table, how=Ftrl(bits=12)), identify(frame, how=Centroids(dims=256, clusters=2))):
+        assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, *_ in rows)
+
+
 def test_language(spark):
     rng = random.Random(8)
     parts = {"aa": ("ka", "lo", "mi", "tu"), "bb": ("schr", "eng", "ung", "heit"), "cc": ("ção", "nho", "lhe", "qua")}
