@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the
 columns of `documents`; `run` writes each stage to the folder that all executors share and reads it again, so that a
-lost executor costs one stage at most.
+lost executor costs one stage at most. What a stage has read goes when the next one is written.
 """
 
 from __future__ import annotations
@@ -11,11 +11,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm.common import materialized
+from dossier.llm.common import remove_path, scratch_path
 from dossier.llm.decontamination import clean
 from dossier.llm.packing import pack
 from dossier.llm.quality_rules import filtered
-from dossier.llm.simhash import near_duplicates
+from dossier.llm.simhash import one_of_each
 from dossier.llm.substring_dedup import substring_dedup_rows
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,12 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that with the smallest doc_id. Rows without an id stay.
-
-    Rows are kept by their id: repeated rows with a kept id all stay, also in the substring stage, which compares ids only;
-    and a row whose id is kept for another text stays whatever its own group is."""
-    kept = near_duplicates(docs, radius=2, shingle=3, seed=42).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
+    """One document of each group of near-duplicates stays: that with the smallest doc_id, of repeated rows one."""
+    return one_of_each(docs, radius=2, shingle=3, seed=42).select(*COLUMNS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +59,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS), ""
     for name, stage in STAGES[:-1]:
-        docs = materialized(stage(spark, docs, sf_dir).withColumn("n_chars", F.col("n_chars").cast("long")), name)
+        path, made = scratch_path(spark, name), stage(spark, docs, sf_dir).withColumn("n_chars", F.col("n_chars").cast("long"))
+        made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before:
+            remove_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

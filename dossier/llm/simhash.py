@@ -4,10 +4,9 @@ The fingerprint's 64 bits form 32 segments of two. The popcounts of the segments
 dimensions, and the Manhattan distance there never exceeds the number of differing bits. Written in unary (0, 1, 2 as
 00, 01, 11), the popcounts fill 64 bits again, so that their Manhattan distance is the bit count of an exclusive or.
 
-Two points at distance r or less differ in at most r of r + 3 groups of dimensions, so they share a grid cell in some
+Two points at distance r (up to 2) or less differ in at most r of r + 3 groups of dimensions, so they share a grid cell in some
 projection to three of the groups. The join on those cells keeps pairs by Manhattan distance and verifies them by the
-bits. A cell of more than `cell_cap` fingerprints isn't joined with itself: for radius 2 or less its fingerprints are
-linked through common neighbours at one bit, 65 rows each, which finds the same links without pairs. Only different
+bits. A cell of more than `cell_cap` fingerprints isn't joined with itself: its fingerprints are linked through common neighbours at one bit, 65 rows each, which finds the same links without pairs. Only different
 fingerprints take part; copies are counted at their fingerprint and come back at the end.
 
 Defined results: null, empty and white-space texts have fingerprint zero and are linked like others. Repeated rows come
@@ -26,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialized, text_rows
+from .common import bounded_batches, materialized, remove_path, scratch_path, text_rows
 from .components import connected_components
+from .exchange import placed
 
 LOW = 0x5555555555555555
 
@@ -62,15 +62,17 @@ def bit_sums(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp LONG) of whole texts."""
+def fingerprints(texts: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """The rows with fp LONG, of the whole text, instead of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([fingerprint(t.as_py(), shingle, seed) for t in texts], pa.int64())], ["doc_id", "fp"])
+            raws = batch.column("text").cast(pa.binary())
+            made = pa.array([fingerprint(t.as_py(), shingle, seed) for t in raws], pa.int64())
+            others = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), made], [*others, "fp"])
 
-    return text_rows(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts.mapInArrow(run, texts.drop("text").schema.add("fp", "long"))
 
 
 def signed(bits: int) -> int:
@@ -88,14 +90,18 @@ def group_masks(groups: int) -> list[int]:
     return [sum(3 << (2 * s) for s in range(g, 32, groups)) for g in range(groups)]
 
 
-def linked(fps: DataFrame, radius: int = 2, cell_cap: int = 64) -> DataFrame:
-    """(a, b) links that connect all different fingerprints with `radius` or fewer differing bits, directly or in steps."""
+def linked(fps: DataFrame, path: str, radius: int = 2, cell_cap: int = 64) -> DataFrame:
+    """(a, b) links that connect all different fingerprints with `radius` or fewer differing bits, directly or in steps. What
+    fingerprints share cells is written to the path and read from there."""
+    if not 0 <= radius <= 2:
+        raise ValueError("radius must be 0, 1 or 2")
     masks = group_masks(radius + 3)
     cells = [F.struct(F.lit(c).cast("byte").alias("c"), F.col("u").bitwiseAND(F.lit(signed(reduce(int.__or__, own)))).alias("at")) for c, own in enumerate(combinations(masks, 3))]
-    placed = fps.select("fp", embedded(F.col("fp")).alias("u")).select("fp", "u", F.explode(F.array(*cells)).alias("cell")).select("cell.c", "cell.at", "fp", "u")
-    counted = placed.groupBy("c", "at").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialized(placed.join(counted, ["c", "at"]), "cells")
-    small = met.where(F.col("n") <= cell_cap) if radius <= 2 else met
+    at_cells = fps.select("fp", embedded(F.col("fp")).alias("u")).select("fp", "u", F.explode(F.array(*cells)).alias("cell")).select("cell.c", "cell.at", "fp", "u")
+    counted = at_cells.groupBy("c", "at").agg(F.count("*").alias("n")).where("n > 1")
+    at_cells.join(counted, ["c", "at"]).write.parquet(path)
+    met = fps.sparkSession.read.parquet(path)
+    small = met.where(F.col("n") <= cell_cap)
     x, y = small.alias("x"), small.alias("y")
     near = (
         (F.col("x.c") == F.col("y.c"))
@@ -105,8 +111,6 @@ def linked(fps: DataFrame, radius: int = 2, cell_cap: int = 64) -> DataFrame:
         & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= radius)
     )
     pairs = x.join(y, near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    if radius > 2:
-        return pairs
     crowd = met.where(F.col("n") > cell_cap).select("fp").distinct()
     return pairs.union(midpoints(crowd, radius))
 
@@ -124,13 +128,34 @@ def midpoints(fps: DataFrame, radius: int) -> DataFrame:
     return around.join(hubs, "mid").where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
 
 
+def grouped(texts: DataFrame, radius: int, shingle: int, seed: int, cell_cap: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with their fingerprints instead of texts; and (fp, least, root): for each fingerprint the smallest id, and the
+    smallest fingerprint reachable."""
+    made = materialized(fingerprints(texts, shingle, seed), "fingerprints")
+    fps = made.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    spark, cells = texts.sparkSession, scratch_path(texts.sparkSession, "cells")
+    links = connected_components(linked(fps.select("fp"), cells, radius, cell_cap))
+    remove_path(spark, cells)
+    return made, fps.join(links.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, seed: int = 42, cell_cap: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, fingerprint, component_id) of every document."""
-    made = materialized(fingerprints(text_rows(docs, id_col, text_col), shingle, seed), "fingerprints")
-    fps = made.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    links = connected_components(linked(fps.select("fp"), radius, cell_cap))
-    placed = fps.join(links.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(smallest, "root").select("fp", "component_id")
+    made, placed_fps = grouped(text_rows(docs, id_col, text_col), radius, shingle, seed, cell_cap)
+    smallest = placed_fps.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = placed_fps.join(smallest, "root").select("fp", "component_id")
     text = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return made.join(named, "fp").select("doc_id", "fp", text.alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = 2, shingle: int = 3, seed: int = 42, cell_cap: int = 64) -> DataFrame:
+    """One row of each group of near-duplicates, with all its columns: that with the smallest doc_id (null is larger than every
+    id), of repeated rows any one. Rows are told apart by their places in the input."""
+    name = next(n for n in ("row", *(f"row{k}" for k in range(len(docs.columns)))) if n not in docs.columns)
+    docs, place = placed(docs)
+    keyed = docs.select("*", place.alias(name))
+    texts = bounded_batches(keyed).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(name).alias("row"))
+    made, fps = grouped(texts, radius, shingle, seed, cell_cap)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")).alias("first")
+    kept = made.join(fps, "fp").groupBy("root").agg(first).select(F.col("first.row").alias(name))
+    return keyed.join(kept, name, "left_semi").select(*docs.columns)

@@ -6,11 +6,12 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from dossier.llm.components import connected_components
 from dossier.llm.esa import maximal_repeats
 from dossier.llm.exchange import pack, pack_sorted, unpack, unpack_sorted
-from dossier.llm.simhash import fingerprint, near_duplicates
+from dossier.llm.simhash import fingerprint, near_duplicates, one_of_each
 from dossier.llm.substring_dedup import KEPT, FingerprintIndex, Keys, in_run, merged, pack_run, substring_dedup, substring_dedup_rows
 from dossier.llm.suffix_dedup import Anchored, reaches, repeat_groups, suffix_dedup
 
@@ -281,7 +282,8 @@ def brute_print(text, size=3):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
 
-def brute_components(rows, radius):
+def brute_groups(rows, radius):
+    """The number of each row's group."""
     fp = [brute_print(t) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -294,11 +296,28 @@ def brute_components(rows, radius):
         for j in range(i):
             if (fp[i] ^ fp[j]).bit_count() <= radius:
                 root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(k) for k in range(len(rows))]
+
+
+def brute_components(rows, radius):
+    group = brute_groups(rows, radius)
     least = {}
-    for k, (i, _) in enumerate(rows):
-        r = find(k)
-        least[r] = i if least.get(r) is None else least[r] if i is None else min(least[r], i)
-    return sorted(((i, f"{fp[k]:016x}", least[find(k)]) for k, (i, _) in enumerate(rows)), key=repr)
+    for (i, _), g in zip(rows, group, strict=True):
+        least[g] = i if least.get(g) is None else least[g] if i is None else min(least[g], i)
+    return sorted(((i, f"{brute_print(t):016x}", least[g]) for (i, t), g in zip(rows, group, strict=True)), key=repr)
+
+
+def test_one_of_each(spark):
+    """Of repeated rows and of rows without an id one stays, too."""
+    rows = [*texts(), (None, "no id " * 30), (None, "alone and without an id"), (None, "alone and without an id")]
+    df = docs(spark, rows).withColumn("row", F.lit("mine"))
+    got = one_of_each(df)
+    assert got.columns == df.columns
+    best = {}
+    for (i, t), g in zip(rows, brute_groups(rows, 2), strict=True):
+        key = (i is None, i or 0)
+        best[g] = min(best.get(g, (key, i, t)), (key, i, t), key=lambda x: x[0])
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(((i, t) for _, i, t in best.values()), key=repr)
 
 
 @pytest.mark.parametrize("cap", [64, 1])

@@ -6,31 +6,34 @@ import public_tokenizers
 import zstandard
 from tokenizers import Tokenizer
 
-from dossier.llm.quality_rules import Bands
+from dossier.llm.quality_rules import Bands, quality_rules
 
 from .fixtures import docs, prose, texts
 from .test_decontamination import brute as brute_hits
-from .test_dedup import brute_components
+from .test_dedup import brute_groups
 from .test_rules_and_license import brute_rules
 
 
-def expected(rows, bench):
-    """(doc_id, text) after the first four stages, by hand."""
+def kept_by_bands(text):
+    """The whole verdict of the quality rules, by their default bands."""
     bands, squeeze = Bands(), zstandard.ZstdCompressor(level=3).compress
+    if text is None or brute_rules(text)[5]:
+        return False
+    raw = text.encode()
+    low, high = bands.of(len(raw))
+    # the last chunk ends with the text
+    chunks = [raw[k : k + 4096] if k + 4096 <= len(raw) else raw[-4096:] for k in range(0, len(raw), 4096)] if len(raw) > 4096 else []
+    lo, hi = bands.of(4096)
+    bad = sum(not lo <= 4096 / len(squeeze(c)) <= hi for c in chunks)
+    return low <= len(raw) / len(squeeze(raw)) <= high and bad <= 0.5 * len(chunks)
 
-    def kept(text):
-        if text is None or brute_rules(text)[5]:
-            return False
-        raw = text.encode()
-        low, high = bands.of(len(raw))
-        chunks = [raw[k : k + 4096] for k in range(0, len(raw) - 4095, 4096)] if len(raw) > 4096 else []
-        lo, hi = bands.of(4096)
-        bad = sum(not lo <= 4096 / len(squeeze(c)) <= hi for c in chunks)
-        return low <= len(raw) / len(squeeze(raw)) <= high and bad <= 0.5 * len(chunks)
 
-    rows = [(i, t) for i, t in rows if kept(t)]
-    lead = {i for i, _, c in brute_components(rows, 2) if i == c}
-    rows = [(i, t) for i, t in rows if i in lead or i is None]
+def expected(rows, bench):
+    """(doc_id, text) after the first four stages, by hand."""
+    rows, best = [(i, t) for i, t in rows if kept_by_bands(t)], {}
+    for k, ((i, _), g) in enumerate(zip(rows, brute_groups(rows, 2), strict=True)):
+        best[g] = min(best.get(g, (True, 1 << 70, k)), (i is None, i or 0, k))
+    rows = [rows[k] for _, _, k in best.values()]
     owner, out = {}, []
     for i, t in rows:
         w = t.split()
@@ -76,6 +79,18 @@ def test_pipeline(spark, tmp_path):
     assert sorted(((r.doc_id, r.text) for r in stage.collect()), key=repr) == want
 
 
+def test_default_bands(spark):
+    """`kept` of the registered query's bands, on texts of many lengths."""
+    rng = random.Random(15)
+    noise = "".join(chr(rng.randrange(33, 127)) if rng.random() < 0.8 else " " for _ in range(30_000))
+    rows = [(i, prose(rng, n, 5000)) for i, n in enumerate((60, 200, 700, 2500, 9000))] + [(i + 10, noise[:n]) for i, n in enumerate((400, 5000, 30_000))]
+    rows += [(i + 20, " ".join(f"{w} {k % 7}" for k in range(n) for w in ("alpha", "beta", "gamma", f"d{k}"))) for i, n in enumerate((30, 300, 3000))]
+    rows += [(30, rows[3][1] + noise[:9000]), (31, noise[:3000] + rows[3][1]), (32, rows[2][1] + "\n" + "same line again\n" * 40), *texts()]
+    got = {(r.doc_id, r.n_words): r.kept for r in quality_rules(docs(spark, rows)).collect()}
+    assert got == {(i, len((t or "").split())): kept_by_bands(t) for i, t in rows}
+    assert {got[i, len(t.split())] for i, t in rows[:14]} == {True, False}
+
+
 def test_names():
     import __spark_entry__
 
