@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.arrays import distinct_stripped, or_empty
+from ..functions.frames import matched_rows
 from ..functions.text import blank_to_null
 
 
@@ -42,11 +43,9 @@ def workflow_context(stages: DataFrame, transitions: DataFrame) -> tuple[DataFra
 
 
 def first_match(rows: DataFrame, wanted: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """wanted with the first row of the same keys; raises if one has none."""
+    """wanted with the first row of the same keys; one without is an error when it is read."""
     first = rows.withColumn("_n", F.row_number().over(W.Window.partitionBy(*keys).orderBy(order))).where("_n = 1").drop("_n")
-    if missing := wanted.join(first, keys, "left_anti").take(1):
-        raise KeyError(f"no row for {missing[0].asDict()}")
-    return wanted.join(first, keys)
+    return matched_rows(wanted, first, keys, "no row for ")
 
 
 def nth(items: Column, n: Column) -> Column:
@@ -64,12 +63,11 @@ def steps_by_ref(episodes: DataFrame) -> DataFrame:
 def prefix_episodes(samples: DataFrame, episodes: DataFrame, strict: bool = True) -> DataFrame:
     """(sample_id, place, episode...) of each sample's prefix; samples: (sample_id, case_id, prefix array<int>), episodes: (case_id, episode, ...).
 
-    An episode that the case lacks is an error; strict=False leaves it out.
+    An episode that the case lacks is an error when it is read; strict=False leaves it out.
     """
     asked = samples.select("sample_id", "case_id", F.posexplode("prefix").alias("place", "episode"))
-    if strict and (missing := asked.join(episodes, ["case_id", "episode"], "left_anti").take(1)):
-        raise KeyError(f"no episode for {missing[0].asDict()}")
-    return asked.join(episodes, ["case_id", "episode"])
+    keys = ["case_id", "episode"]
+    return matched_rows(asked, episodes, keys, "no episode for ") if strict else asked.join(episodes, keys)
 
 
 def attached(images: Column) -> Column:

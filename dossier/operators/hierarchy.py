@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..functions.frames import small
-
 
 def capability_dimension(tree: DataFrame) -> DataFrame:
     """(record_id, view_id, subview_id, capability_id) of nested views; the last of repeated ids wins."""
@@ -31,5 +29,5 @@ def supported_views(used: DataFrame, dimension: DataFrame) -> DataFrame:
     children = dimension.groupBy(F.col("view_id").alias("id")).agg(F.collect_set("id").alias("down"))
     up = dimension.where("id <> view_id").select("id", F.array("id", "view_id").alias("up"))
     closure = up.join(children, "id", "full").select("id", F.array_union(F.coalesce("up", F.array()), F.coalesce("down", F.array())).alias("supports"))
-    reached = used.select("sample_id", "id").join(small(closure), "id", "left")
+    reached = used.select("sample_id", "id").join(closure, "id", "left")
     return reached.select("sample_id", F.explode(F.array_union(F.array("id"), F.coalesce("supports", F.array()))).alias("id"))

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import small
 from ..functions.numbers import f1, precision_of, recall_of
 
 
@@ -29,10 +28,10 @@ def strict_matches(items: DataFrame, id_col: str) -> DataFrame:
 def capability_matches(items: DataFrame, dimension: DataFrame) -> DataFrame:
     """(sample_id, n_pred, n_gold, exact, matched) of capability ids; an id that the dimension lacks matches only itself.
 
-    The dimension is joined before rows are dealt by sample: by broadcast while it is small, else by a shuffle of its own.
+    The dimension is joined before rows are dealt by sample; how, the planner decides by its size.
     """
     alone = F.concat(F.lit("?"), F.col("capability_id"))
-    placed = items.join(small(dimension), "capability_id", "left").withColumn("view_id", F.coalesce("view_id", alone)).withColumn("subview_id", F.coalesce("subview_id", alone))
+    placed = items.join(dimension, "capability_id", "left").withColumn("view_id", F.coalesce("view_id", alone)).withColumn("subview_id", F.coalesce("subview_id", alone))
     own, both = sided(placed, "view_id", "subview_id", "capability_id"), F.col("p") * F.col("g")
     totals = [F.sum(c).alias(c) for c in ("n_pred", "n_gold", "exact", "half")]
     subs = own.groupBy("sample_id", "view_id", "subview_id").agg(
@@ -47,7 +46,7 @@ def capability_matches(items: DataFrame, dimension: DataFrame) -> DataFrame:
 
 def view_matches(items: DataFrame, dimension: DataFrame) -> DataFrame:
     """The same for ids of views and subviews: half credit between a view and one of its own subviews, none between subviews."""
-    placed = items.join(small(dimension), "id", "left").withColumn("view_id", F.coalesce("view_id", F.concat(F.lit("?"), F.col("id"))))
+    placed = items.join(dimension, "id", "left").withColumn("view_id", F.coalesce("view_id", F.concat(F.lit("?"), F.col("id"))))
     own = sided(placed, "view_id", "id")
     is_view, both = F.col("id") == F.col("view_id"), F.col("p") * F.col("g")
     count = lambda side, of: F.sum(F.when(of, F.col(side) - both).otherwise(0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import matched_rows
 from ..functions.jsonx import is_object, parsed, payload, string_field
 from .summaries import last_wins
 
@@ -52,7 +53,5 @@ def pending(samples: DataFrame, log: DataFrame, overwrite: bool = False, key: st
 
 
 def checked_join(records: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
-    """records with their manifest rows; raises if one has none (the check stops at the first)."""
-    if missing := records.join(manifest, key, "left_anti").select(key).take(1):
-        raise ValueError(f"no manifest row for {missing[0][0]!r}")
-    return records.join(manifest, key)
+    """records with their manifest rows; one without is an error when it is read."""
+    return matched_rows(records, manifest, key, "no manifest row for ")

@@ -34,8 +34,8 @@ def summary(scores: DataFrame, group: str | None = None) -> DataFrame:
     parts: list[Column] = [F.count("*").alias("sample_count")]
     parts += [true(c).alias(f"_n_{c}") for c in COUNTS]
     parts += [total(c).alias(f"_s_{c}") for c in SUMS]
-    parts += [F.count_if(own("goal_judge_status") == "judge_not_configured").alias("goal_judge_not_configured_count")]
-    parts += [F.count_if(own("goal_judge_run_count").cast("long") > 1).alias("goal_judge_multi_run_count"), true("needs_review").alias("review_queue_count")]
+    parts += [F.count_if(own("goal_judge_status").isin("judge_not_configured", "multi_run_not_configured")).alias("goal_judge_not_configured_count")]
+    parts += [F.count_if(F.startswith(own("goal_judge_status").cast("string"), F.lit("multi_run_"))).alias("goal_judge_multi_run_count"), true("needs_review").alias("review_queue_count")]
     parts += [true(f"{k}_exact_match").alias(f"_n_{k}_exact_match") for k in ("view", "capability", "joint")]
     parts += [F.avg(own(m)).alias(m) for m in MEANS]
     if group:

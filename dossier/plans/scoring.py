@@ -11,11 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import same_set
-from ..functions.frames import small
-from ..functions.numbers import f1, next_move_score, precision_of, ratio, recall_of, structure_score
+from ..operators.evaluation import computed, with_matches, with_reviews, with_structure, with_support
 from ..operators.hierarchy import supported_views, view_dimension
 from ..operators.matching import capability_matches, scored, strict_matches, support_counts, view_matches
-from ..operators.summaries import review_reasons, summary
+from ..operators.summaries import summary
 from .registry import query, table
 
 
@@ -63,68 +62,58 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
     return own.join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sample_id")), "sample_id", "left_semi")
 
 
+def sets(spark: SparkSession, d: str) -> DataFrame:
+    """Each order with a line, and lists of what its lines predict, what is gold and what its workflow uses: one pass over the
+    lines and one shuffle of them, by sample."""
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    own = lines(spark, d).join(s, F.col("l_suppkey") == F.col("s_suppkey"), "left").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    line = F.struct("pred", "gold", (F.col("l_linenumber") % 2 == 1).alias("odd"), (F.col("l_quantity").cast("long") % 2 == 1).alias("odd_quantity"), (F.col("l_quantity") <= 25).alias("used"), "l_suppkey", "n_nationkey", "n_regionkey")
+    of_sample = own.groupBy("sample_id").agg(F.collect_list(line).alias("_lines"))
+    nation, region, supplier = (lambda x, c=c, k=k: F.concat(F.lit(f"{k}:"), x[c]) for c, k in (("n_nationkey", "n"), ("n_regionkey", "r"), ("l_suppkey", "s")))
+    capability = lambda x: F.struct(supplier(x).alias("id"), nation(x).alias("subview_id"), region(x).alias("view_id"))
+    view = lambda odd: lambda x: F.struct(F.when(x[odd], nation(x)).otherwise(region(x)).alias("id"), region(x).alias("view_id"))
+    each = lambda rule, value: F.array_distinct(F.transform(F.filter("_lines", rule), value))
+    listed = {
+        "pred_capability": each(lambda x: x["pred"], capability),
+        "gold_capability": each(lambda x: x["gold"], capability),
+        "all_capability": F.array_distinct(F.transform("_lines", capability)),
+        "pred_view": each(lambda x: x["pred"], view("odd")),
+        "gold_view": each(lambda x: x["gold"], view("odd_quantity")),
+        "used_view": each(lambda x: x["used"], lambda x: F.struct(nation(x).alias("id"), region(x).alias("view_id"))),
+        "used_capability": each(lambda x: x["used"], lambda x: supplier(x)),
+        "_bad_view": each(lambda x: x["pred"] & (x["l_suppkey"] % 11 == 0), lambda x: x["l_suppkey"]),
+        "_bad_capability": each(lambda x: x["pred"] & (x["l_suppkey"] % 13 == 0), lambda x: x["l_suppkey"]),
+    }
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    about = o.select(F.col("o_orderkey").alias("sample_id"), F.col("c_mktsegment").alias("paper_name"), F.col("o_orderpriority").alias("prefix_length"), F.col("o_orderstatus").alias("segmentation_mode"))
+    return computed(about.join(of_sample, "sample_id"), listed).drop("_lines")
+
+
 def bundle(spark: SparkSession, d: str) -> DataFrame:
     """All scores of the two set predictions of each sample, strict and relaxed."""
-    out = samples(spark, d)
-    for kind, got in (("view", view_matches(views(spark, d), views_of(spark, d))), ("capability", capability_matches(capabilities(spark, d), dimension(spark, d)))):
-        own = got.select("sample_id", *(F.col(c).alias(f"{kind}_{c}") for c in ("n_pred", "n_gold", "exact", "matched")))
-        out = out.join(own, "sample_id", "left").fillna(0, [f"{kind}_{c}" for c in ("n_pred", "n_gold", "exact", "matched")])
-        for how, matched in (("strict", f"{kind}_exact"), ("relaxed", f"{kind}_matched")):
-            p, r = precision_of(matched, f"{kind}_n_pred", f"{kind}_n_gold"), recall_of(matched, f"{kind}_n_pred", f"{kind}_n_gold")
-            out = out.withColumn(f"{kind}_precision_{how}", p).withColumn(f"{kind}_recall_{how}", r)
-            out = out.withColumn(f"{kind}_f1_{how}", f1(f"{kind}_precision_{how}", f"{kind}_recall_{how}"))
-        exact = (F.col(f"{kind}_exact") == F.col(f"{kind}_n_pred")) & (F.col(f"{kind}_exact") == F.col(f"{kind}_n_gold"))
-        out = out.withColumn(f"{kind}_exact_match", exact)
-    out = out.withColumn("joint_exact_match", F.col("view_exact_match") & F.col("capability_exact_match"))
-    return out.withColumn("structure_score", structure_score("view_f1_relaxed", "capability_f1_relaxed"))
+    return with_structure(with_matches(sets(spark, d)))
 
 
 def used(spark: SparkSession, d: str) -> DataFrame:
-    """(sample_id, l_suppkey, n, r) of the lines with a quantity up to 25: what the workflow of a sample uses."""
-    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat(F.lit("n:"), F.col("s_nationkey")).alias("id"))
-    return lines(spark, d).where("l_quantity <= 25").join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("sample_id", "id", cap_id("l_suppkey").alias("capability_id"))
-
-
-def supports(spark: SparkSession, d: str) -> DataFrame:
-    """Counts of what workflows support and of capabilities whose parent is predicted, too."""
-    pv = views(spark, d).where("side = 'pred'").select("sample_id", "id")
-    pc = capabilities(spark, d).where("side = 'pred'").select("sample_id", "capability_id")
-    use = used(spark, d)
-    named = lambda df, kind: df.select("sample_id", F.col("n_pred").alias(f"predicted_{kind}_count"), F.col("n_supported").alias(f"workflow_{kind}_supported_count"))
-    v = named(support_counts(pv, supported_views(use.select("sample_id", "id"), views_of(spark, d)), "id"), "view")
-    c = named(support_counts(pc, use.select("sample_id", "capability_id"), "capability_id"), "capability")
-    listed = pv.groupBy("sample_id").agg(F.collect_set("id").alias("ids"))
-    parent = pc.join(small(dimension(spark, d)), "capability_id", "left").repartition("sample_id").distinct().join(listed, "sample_id", "left")
-    inside = F.coalesce(F.array_contains("ids", F.col("subview_id")) | F.array_contains("ids", F.col("view_id")), F.lit(False))
-    i = parent.groupBy("sample_id").agg(F.count_if(inside).alias("internal_consistency_supported_count"))
-    counts = ("predicted_view_count", "workflow_view_supported_count", "predicted_capability_count", "workflow_capability_supported_count", "internal_consistency_supported_count")
-    out = samples(spark, d).select("sample_id").join(v, "sample_id", "left").join(c, "sample_id", "left").join(i, "sample_id", "left").fillna(0, list(counts))
-    return out.select(
-        "sample_id", *counts, F.col("predicted_capability_count").alias("internal_consistency_total_count"),
-        ratio("workflow_view_supported_count", "predicted_view_count").alias("workflow_view_support_rate"),
-        ratio("workflow_capability_supported_count", "predicted_capability_count").alias("workflow_capability_support_rate"),
-        ratio("internal_consistency_supported_count", "predicted_capability_count").alias("internal_consistency_rate"),
-    )
+    """(sample_id, id) of the lines with a quantity up to 25: what the workflow of a sample uses."""
+    s = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("n:"), F.col("s_nationkey")).alias("id"))
+    return lines(spark, d).where("l_quantity <= 25").join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("sample_id", "id")
 
 
 def score_rows(spark: SparkSession, d: str) -> DataFrame:
     """Score rows with the columns that summaries and reviews read. Goal scores come from the order key (a judge's 0 to 4,
     none for every seventh); ids are invalid for every eleventh and thirteenth supplier key."""
-    bad = lines(spark, d).where("pred").groupBy("sample_id").agg(
-        F.count_distinct(F.when(F.col("l_suppkey") % 11 == 0, F.col("l_suppkey"))).alias("invalid_view_id_count"),
-        F.count_distinct(F.when(F.col("l_suppkey") % 13 == 0, F.col("l_suppkey"))).alias("invalid_capability_id_count"),
-    )
-    rows = bundle(spark, d).join(supports(spark, d), "sample_id").join(bad, "sample_id", "left").fillna(0, ["invalid_view_id_count", "invalid_capability_id_count"])
+    rows = with_support(bundle(spark, d))
     k = F.col("sample_id")
     judged = k % 7 != 0
     rows = rows.select(
-        "*", F.lit(True).alias("completion"), (k % 5 != 0).alias("json_valid"), (k % 4 != 0).alias("schema_valid"), judged.alias("goal_score_available"), judged.alias("goal_judge_sample_ok"),
+        "*", F.size("_bad_view").cast("long").alias("invalid_view_id_count"), F.size("_bad_capability").cast("long").alias("invalid_capability_id_count"),
+        F.lit(True).alias("completion"), (k % 5 != 0).alias("json_valid"), (k % 4 != 0).alias("schema_valid"), judged.alias("goal_score_available"), judged.alias("goal_judge_sample_ok"),
         F.when(judged, (k % 5).cast("double") / 4).alias("goal_score"), F.when(judged, "ok").otherwise("judge_not_configured").alias("goal_judge_status"),
         F.when(judged, 1).otherwise(0).cast("long").alias("goal_judge_ok_count"), F.when(judged, 0).otherwise(1).cast("long").alias("goal_judge_error_count"), F.lit(1).cast("long").alias("goal_judge_run_count"),
         F.col("view_n_pred").alias("raw_predicted_view_count"), F.col("capability_n_pred").alias("raw_predicted_capability_count"),
     )
-    rows = rows.withColumn("next_move_score", next_move_score("view_f1_relaxed", "capability_f1_relaxed", "goal_score")).withColumn("review_reasons", review_reasons())
-    return rows.withColumn("needs_review", F.size("review_reasons") > 0)
+    return with_reviews(rows)
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -226,9 +215,8 @@ def prf(spark: SparkSession, d: str, matches: DataFrame, matched: str = "matched
 
 @query(f"WITH {DIM}, {scores_sql('x', 'cm')} SELECT coalesce(paper_name,'None') AS paper_name, count(*) AS sample_count, round(avg(p),6) AS precision, round(avg(r),6) AS recall, round(avg(f),6) AS f1 FROM x GROUP BY 1")
 def flagship_capability_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = scored(samples(spark, d), capability_matches(capabilities(spark, d), dimension(spark, d)))
-    grouped = rows.groupBy(F.coalesce(F.col("paper_name").cast("string"), F.lit("None")).alias("paper_name"))
-    return rounded(grouped.agg(F.count("*").alias("sample_count"), *(F.avg(c).alias(c) for c in ("precision", "recall", "f1")))).orderBy("paper_name")
+    grouped = bundle(spark, d).groupBy(F.coalesce(F.col("paper_name").cast("string"), F.lit("None")).alias("paper_name"))
+    return rounded(grouped.agg(F.count("*").alias("sample_count"), *(F.avg(f"capability_{c}_relaxed").alias(c) for c in ("precision", "recall", "f1")))).orderBy("paper_name")
 
 
 @query(prf_sql("cm"))
@@ -260,9 +248,22 @@ def structure_bundle(spark: SparkSession, d: str) -> DataFrame:
     return bundle(spark, d).select("sample_id", *BUNDLE_COLUMNS)
 
 
+SUPPORTED = (
+    "predicted_view_count", "workflow_view_supported_count", "predicted_capability_count", "workflow_capability_supported_count", "internal_consistency_supported_count",
+    "internal_consistency_total_count", "workflow_view_support_rate", "workflow_capability_support_rate", "internal_consistency_rate",
+)
+
+
 @query(f"WITH {DIM}, {SUPPORT} SELECT * FROM support")
 def support_rates(spark: SparkSession, d: str) -> DataFrame:
-    return supports(spark, d)
+    return with_support(with_matches(sets(spark, d))).select("sample_id", *SUPPORTED)
+
+
+@query(f"WITH {DIM}, {SUPPORT} SELECT sample_id, predicted_view_count AS n_pred, workflow_view_supported_count AS n_supported FROM support WHERE predicted_view_count > 0 OR EXISTS (SELECT 1 FROM used WHERE used.sample_id = support.sample_id)")
+def supported_view_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The same count from tables of ids, for samples whose lists don't fit a row."""
+    pv = views(spark, d).where("side = 'pred'").select("sample_id", "id")
+    return support_counts(pv, supported_views(used(spark, d), views_of(spark, d)), "id")
 
 
 @query("""WITH pair AS (SELECT DISTINCT s_nationkey, p_size // 10 AS stage FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE year(l_shipdate) = 1995),

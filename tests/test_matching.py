@@ -97,3 +97,16 @@ def test_dimension_and_support(spark):
     counts = {r.sample_id: (r.n_pred, r.n_supported) for r in support_counts(predicted, supported_views(used, views), "id").collect()}
     assert counts == {1: (2, 1), 2: (1, 1), 3: (0, 0), 4: (1, 0)}
     assert dim.where(F.col("view_id").isNull()).count() == 0
+
+
+def test_one_pass_for_scores(spark):
+    """All scores of all samples read the lines once and deal them once."""
+    import os
+
+    from dossier.plans import catalog
+
+    data = "/root/testdata/sf0.001"
+    if os.path.isdir(data):
+        for name in ("summary_by_paper", "support_rates", "review_queue", "flagship_capability_summary"):
+            plan = catalog.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("/lineitem.parquet") == 1 and plan.count("Exchange hashpartitioning") <= 3, name
