@@ -156,6 +156,7 @@ def one_of_each(docs: DataFrame, radius: int = 2, shingle: int = 3, seed: int =
     keyed = docs.select("*", place.alias(name))
     texts = bounded_batches(keyed).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(name).alias("row"))
     made, fps = grouped(texts, radius, shingle, seed, cell_cap)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")).alias("first")
-    kept = made.join(fps, "fp").groupBy("root").agg(first).select(F.col("first.row").alias(name))
+    # copies collapse before anything is joined, so that a fingerprint of many rows is one row
+    first = made.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")).alias("first"))
+    kept = first.join(fps.select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(name))
     return keyed.join(kept, name, "left_semi").select(*docs.columns)
