@@ -18,11 +18,13 @@ def distinct_stripped(c: Column | str) -> Column:
 
 
 def distinct_ignoring_case(c: Column | str) -> Column:
-    """As distinct_stripped, but spellings that differ in case are one, the first stays, and an empty list is null."""
+    """As distinct_stripped, but spellings that differ in case are one, the first stays, and an empty list is null. By sorting, so
+    that a long list costs little more than a short one for each entry."""
     own = F.filter(F.transform(or_empty(c), strip), lambda x: x.isNotNull() & (x != ""))
-    lowered = F.transform(own, lambda x: F.lower(x))
-    first = F.filter(own, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
-    return F.when(F.size(first) > 0, first)
+    placed = F.array_sort(F.transform(own, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x"))))
+    first = F.flatten(F.transform(F.array(placed), lambda s: F.filter(s, lambda e, i: (i == 0) | (e["k"] != F.get(s, i - 1)["k"]))))
+    kept = F.transform(F.array_sort(F.transform(first, lambda e: F.struct(e["i"], e["x"]))), lambda e: e["x"])
+    return F.when(F.size(kept) > 0, kept)
 
 
 def strings_of(variant: Column | str) -> Column:

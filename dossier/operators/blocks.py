@@ -15,15 +15,22 @@ from pyspark.sql import window as W
 from ..functions.text import compare_form, nfkc, squeeze
 
 SKIPPED = r"(?is)<(script|style|nav|footer|header|head)[ >].*?</(script|style|nav|footer|header|head)>|<!--.*?-->"
-BLOCK = r"(?is)<(?:h[1-6]|p)(?: [^>]*)?>[^<]*"
+#: Tags that end a block, opening or closing; all others are inside one.
+LIMITS = (
+    "address", "article", "aside", "blockquote", "body", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "form", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html",
+    "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+)
+BLOCK = rf"(?is)<(?:h[1-6]|p|li)(?:\s[^>]*)?>.*?(?=</?(?:{'|'.join(LIMITS)})[\s>/]|\z)"
 
 
 def html_blocks(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(id, pos, type, text): headings are titles, p is a paragraph, up to the next tag; scripts, navigation and the like are skipped."""
+    """(id, pos, type, text): headings are titles, p and li paragraphs, up to the next tag of a block, with the text of all tags
+    inside them; a line break is a space. Scripts, navigation and the like are skipped."""
     body = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), SKIPPED, " ")
     found = pages.select(id_col, F.posexplode(F.regexp_extract_all(body, F.lit(BLOCK), F.lit(0))).alias("pos", "m"))
     kind = F.when(F.lower(F.substring("m", 2, 1)) == "h", "title").otherwise("paragraph")
-    return found.select(id_col, F.col("pos").cast("long").alias("pos"), kind.alias("type"), squeeze(F.regexp_replace("m", "^<[^>]*>", "")).alias("text")).where("text <> ''")
+    text = F.regexp_replace(F.regexp_replace("m", r"(?i)<br\b[^>]*>", " "), "<[^>]*>", "")
+    return found.select(id_col, F.col("pos").cast("long").alias("pos"), kind.alias("type"), squeeze(text).alias("text")).where("text <> ''")
 
 
 def tei_blocks(documents: DataFrame, id_col: str, xml_col: str) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.arrays import distinct_ignoring_case
 from ..functions.text import blank_to_null
+from .summaries import first_wins
 
 VIOLATION = "entity_id string, rule string, message string"
 
@@ -31,9 +35,18 @@ def normalized_evidence(rows: DataFrame) -> DataFrame:
     return out.withColumn("has_evidence", some("passage_ids") | some("figure_refs") | some("quotes"))
 
 
-def any_given(*columns: str) -> Column:
-    """Whether a text is not empty or a list has an entry."""
-    return F.greatest(*(F.coalesce(F.length(F.col(c).cast("string")) > 0, F.lit(False)) for c in columns))
+def any_given(rows: DataFrame, *columns: str) -> Column:
+    """Whether a text is not empty, a list has an entry or a struct is there; columns that the rows lack count as missing."""
+
+    def given(name: str) -> Column:
+        kind = rows.schema[name].dataType
+        if isinstance(kind, T.ArrayType | T.MapType):
+            return F.coalesce(F.size(name) > 0, F.lit(False))
+        if isinstance(kind, T.StringType):
+            return F.coalesce(F.length(name) > 0, F.lit(False))
+        return F.col(name).isNotNull()
+
+    return reduce(Column.__or__, (given(c) for c in columns if c in rows.columns), F.lit(False))
 
 
 def category_pair_ok(outer: Column, inner: Column) -> Column:
@@ -48,14 +61,137 @@ def either_style(kind: Column, style: Column, other: Column) -> Column:
     return F.when(visual, style.isNotNull() & other.isNull()).otherwise(other.isNotNull() & style.isNull())
 
 
-def step_rules() -> dict[str, tuple[Column, Column]]:
-    semantic = ("intent", "strategy", "operation", "observations", "decision", "outcome")
+#: The fields of a step of which one at least must say something.
+SEMANTIC = (
+    "question_events", "hypothesis_events", "intent_canonical", "intent_text", "strategy_canonical", "strategy_text", "operation_canonical", "operation_text", "used_capabilities", "observations",
+    "produced_insights", "decision", "outcome_summary",
+)
+
+
+def step_rules(rows: DataFrame) -> dict[str, tuple[Column, Column]]:
+    """Rules of steps (narrative, evidence and the columns SEMANTIC)."""
     return {
         "narrative_or_evidence": (F.col("narrative").isNull() & F.col("evidence").isNull(), F.lit("a step needs a narrative or evidence")),
-        "semantic_field": (~any_given(*semantic), F.lit("a step needs a semantic field")),
+        "semantic_field": (~any_given(rows, *SEMANTIC), F.lit("a step needs a semantic field")),
     }
 
 
+def coordination_rules() -> dict[str, tuple[Column, Column]]:
+    """Rules of coordinations: source and targets (structs view_id, subview_id) and their capabilities (with capability_id) are
+    known (lists known_views and known_capabilities of the same record), and a capability is one of its own end's."""
+    same = lambda x, y, fields: reduce(Column.__and__, (x[f].eqNullSafe(y[f]) for f in fields))
+    place, part = ("view_id", "subview_id"), ("view_id", "subview_id", "capability_id")
+    among = lambda x, items, fields: F.coalesce(F.exists(items, lambda k: same(k, x, fields)), F.lit(False))
+    name = lambda x, fields: F.concat_ws("/", *(F.coalesce(x[f], F.lit("-")) for f in fields))
+    outside = lambda items, rule: F.filter(F.coalesce(F.col(items), F.array()), lambda x: ~rule(x))
+    source, own = F.col("source"), F.col("source_capability")
+    bad = {
+        "target": (outside("targets", lambda x: among(x, "known_views", place)), place),
+        "target_capability": (outside("target_capabilities", lambda x: among(x, "known_capabilities", part)), part),
+        "target_capability_parent": (outside("target_capabilities", lambda x: among(x, "targets", place)), part),
+    }
+    told = {k: (F.size(items) > 0, F.array_join(transformed(items, name, fields), ",")) for k, (items, fields) in bad.items()}
+    return {
+        "source": (~among(source, "known_views", place), name(source, place)),
+        "source_capability": (own.isNotNull() & ~among(own, "known_capabilities", part), name(own, part)),
+        "source_capability_parent": (own.isNotNull() & ~same(own, source, place), name(own, part)),
+        **told,
+    }
+
+
+def transformed(items: Column, name, fields: tuple[str, ...]) -> Column:
+    return F.transform(items, lambda x: name(x, fields))
+
+
+def workflow_violations(workflows: DataFrame, stages: DataFrame, transitions: DataFrame) -> DataFrame:
+    """Workflows (workflow_id) without a stage, stages (workflow_id, stage_id, pos, stage_index) whose index isn't their place, and
+    transitions (workflow_id, source_stage_id, target_stage_id) from or to a stage that the workflow lacks."""
+    entity = F.concat_ws("/", "workflow_id", "stage_id")
+    misplaced = violations(stages, entity, {"stage_index": (F.col("stage_index") != F.col("pos"), F.concat_ws(" is not ", F.col("stage_index").cast("string"), F.col("pos").cast("string")))})
+    out = childless(workflows.withColumnRenamed("workflow_id", "_w"), stages.withColumnRenamed("workflow_id", "_w"), "_w").unionByName(misplaced)
+    for end in ("source", "target"):
+        refs = transitions.select(F.col("workflow_id").alias("entity_id"), "workflow_id", F.col(f"{end}_stage_id").alias("stage_id"))
+        out = out.unionByName(unknown_refs(refs, stages, ["workflow_id", "stage_id"], f"{end}_stage"))
+    return out
+
+
+def distinct_transitions(transitions: DataFrame, order: str) -> DataFrame:
+    """The first of the transitions of a workflow that agree in both ends and kind."""
+    return first_wins(transitions, ["workflow_id", "source_stage_id", "target_stage_id", "transition_type"], order)
+
+
+#: Where a step and its state refer to questions and hypotheses.
+STEP_REFS = (
+    ("question", "questions_addressed", "questions_addressed"), ("hypothesis", "hypotheses_touched", "hypotheses_touched"), ("question", "unresolved_question_ids", "unresolved_question_ids"),
+    ("question", "state_before.active_questions", "state_before.active_question_ids"), ("hypothesis", "state_before.active_hypotheses", "state_before.active_hypothesis_ids"),
+    ("question", "state_after.active_questions", "state_after.active_question_ids"), ("hypothesis", "state_after.active_hypotheses", "state_after.active_hypothesis_ids"),
+    ("question", "decision", "decision.target_question_ids"),
+)
+
+
+def case_references(cases: DataFrame) -> DataFrame:
+    """(case_id, entity_id, kind, label, ref) of every reference in case studies to a question, a hypothesis or a step of the same
+    episode. cases: case_id, hypotheses, episodes (with steps and transitions), final_outcome; parts that the schema lacks are
+    left out."""
+
+    def has(kind: T.DataType, path: str) -> bool:
+        for field in path.split("."):
+            kind = kind.elementType if isinstance(kind, T.ArrayType) else kind
+            if not isinstance(kind, T.StructType) or field not in kind.names:
+                return False
+            kind = kind[field].dataType
+        return True
+
+    def told(rows: DataFrame, entity: Column, refs: list[tuple[str, str, Column]]) -> DataFrame:
+        kind = "array<struct<kind: string, label: string, refs: array<string>>>"
+        every = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(label).alias("label"), ids.cast("array<string>").alias("refs")) for k, label, ids in refs)) if refs else F.array().cast(kind)
+        flat = rows.select("case_id", entity.cast("string").alias("entity_id"), F.explode(every).alias("r"))
+        return flat.select("case_id", "entity_id", "r.kind", "r.label", F.explode("r.refs").alias("ref"))
+
+    schema, of = cases.schema, lambda item, path: reduce(lambda c, f: c[f], path.split("."), item)
+    hypotheses = cases.select("case_id", F.explode("hypotheses").alias("h"))
+    out = told(hypotheses, F.col("h.hypothesis_id"), [("question", "related_questions", F.col("h.related_question_ids"))])
+    episodes = cases.select("case_id", F.explode("episodes").alias("e"))
+    found = [("question", "focus_questions", F.col("e.focus_question_ids"))] if has(schema["episodes"].dataType, "focus_question_ids") else []
+    if has(schema["episodes"].dataType, "transitions"):
+        found += [("step of episode", f"{end}_step", F.transform("e.transitions", of_end(end))) for end in ("source", "target")]
+    out = out.unionByName(told(episodes, F.col("e.episode_id"), found))
+    steps = episodes.select("case_id", F.explode("e.steps").alias("s"))
+    kind = steps.schema["s"].dataType
+    found = [(k, label, of(F.col("s"), path)) for k, label, path in STEP_REFS if has(kind, path)]
+    found += [(k, f"insight.{k}", F.flatten(F.transform("s.produced_insights", of_list(f"related_{k}_ids")))) for k in ("question", "hypothesis") if has(kind, f"produced_insights.related_{k}_ids")]
+    out = out.unionByName(told(steps, F.col("s.step_id"), found))
+    if "final_outcome" in cases.columns:
+        kind, last = schema["final_outcome"].dataType, []
+        for k, label, path in (("question", "unresolved", "unresolved_question_ids"), ("question", "final_insight", "final_insights.related_question_ids"), ("hypothesis", "final_insight", "final_insights.related_hypothesis_ids"), ("question", "final_decision", "final_decisions.target_question_ids")):
+            if has(kind, path):
+                head, _, rest = path.partition(".")
+                last.append((k, label, F.flatten(F.transform(f"final_outcome.{head}", of_list(rest))) if rest else F.col(f"final_outcome.{head}")))
+        out = out.unionByName(told(cases, F.col("case_id"), last))
+    return out
+
+
+def of_end(end: str):
+    return lambda t: t[f"{end}_step_id"]
+
+
+def of_list(field: str):
+    return lambda x: F.coalesce(x[field], F.array().cast("array<string>"))
+
+
+def unknown_case_references(cases: DataFrame) -> DataFrame:
+    """Violations of `case_references`: ids that the case (for steps: the episode) doesn't have."""
+    refs = case_references(cases)
+    questions = cases.select("case_id", F.explode("questions.question_id").alias("ref"))
+    hypotheses = cases.select("case_id", F.explode("hypotheses.hypothesis_id").alias("ref"))
+    steps = cases.select("case_id", F.explode("episodes").alias("e")).select("case_id", F.col("e.episode_id").cast("string").alias("scope"), F.explode("e.steps.step_id").alias("ref"))
+    named = lambda df, kind: df.select("case_id", F.lit("").alias("scope"), F.col("ref").cast("string").alias("ref"), F.lit(kind).alias("kind"))
+    known = named(questions, "question").unionByName(named(hypotheses, "hypothesis")).unionByName(steps.select("case_id", "scope", F.col("ref").cast("string").alias("ref"), F.lit("step of episode").alias("kind"))).distinct()
+    asked = refs.withColumn("scope", F.when(F.col("kind") == "step of episode", F.col("entity_id")).otherwise(""))
+    missing = asked.join(known, ["case_id", "scope", "ref", "kind"], "left_anti")
+    return missing.select("entity_id", F.concat(F.lit("unknown "), F.col("kind")).alias("rule"), F.concat_ws(": ", "label", "ref").alias("message"))
+
+
 def event_rules() -> dict[str, tuple[Column, Column]]:
     text = blank_to_null("text")
     return {
@@ -74,37 +210,50 @@ def childless(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
     return parents.select(key).distinct().join(children.select(key).distinct(), key, "left_anti").select(F.col(key).cast("string").alias("entity_id"), F.lit("no_children").alias("rule"), F.lit("").alias("message"))
 
 
-REGISTERED = "case_id string, pos long, item_id string, outcome string"
+REGISTERED = "case_id string, pos long, kind string, item_id string, outcome string, text string, status string, inference_type string, related_question_ids array<string>"
+#: The status of an item that an event introduces, and how it came to be.
+INTRODUCED = {"question": "Open", "hypothesis": "Proposed"}
+INFERRED = "StrongInference"
 
 
 def registered_events(events: DataFrame) -> DataFrame:
-    """What becomes of each event of a case, in order; events: (case_id, pos, ref, text, known array<string>).
+    """What becomes of each event of a case, in order; events: (case_id, pos, kind, ref, text, related array<string>,
+    known_questions array<string>, known_hypotheses array<string>), kind question or hypothesis.
 
-    An event with a known id refers to it. One with a text makes a new item, under the case's id and unique, unless that id
-    is known by then. Anything else is a violation. Later events see items that earlier ones made, so a case is worked
-    through in order; cases are independent and bounded by their length.
+    An event with a known id refers to it. One with a text makes a new item of its kind, under the case's id (a question is
+    open, a hypothesis proposed), unless that id is known by then. Anything else is a violation, and so is a hypothesis that
+    is related to an unknown question. Later events see items that earlier ones made, so a case is worked through in order;
+    cases are independent and bounded by their length.
     """
     import re
 
+    columns = [c.split()[0] for c in REGISTERED.split(", ")]
+
     def slugged(text: str | None, fallback: str) -> str:
         return re.sub(r"[^a-z0-9]+", "-", re.sub("['’]", "", (text or "").strip().lower())).strip("-") or fallback
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", kind="stable")
-        case = pdf["case_id"].iloc[0]
-        known = set(pdf["known"].iloc[0] if pdf["known"].iloc[0] is not None else ())
+        case, first = pdf["case_id"].iloc[0], pdf.iloc[0]
+        listed = lambda x: [] if x is None or isinstance(x, float) else list(x)  # noqa: E731  a missing list is NaN here
+        known = {k: set(listed(first[f"known_{plural}"])) for k, plural in (("question", "questions"), ("hypothesis", "hypotheses"))}
         rows = []
-        for pos, ref, text in zip(pdf["pos"], pdf["ref"], pdf["text"], strict=True):
-            ref, text = (None if pd.isna(x) or x == "" else x for x in (ref, text))
-            if ref in known:
-                rows.append((case, pos, ref, "known"))
+        for pos, kind, ref, text, related in zip(pdf["pos"], pdf["kind"], pdf["ref"], pdf["text"], pdf["related"], strict=True):
+            ref, text = (None if x is None or x != x or x == "" else x for x in (ref, text))
+            related = listed(related) if kind == "hypothesis" else []
+            row = dict.fromkeys(columns) | {"case_id": case, "pos": pos, "kind": kind, "item_id": ref, "outcome": "violation"}
+            if not set(related) <= known["question"]:
+                pass
+            elif ref in known[kind]:
+                row["outcome"] = "known"
             elif text:
-                name = ref or slugged(text, f"{case}.question-{len(known) + 1}")
+                name = ref or slugged(text, f"{case}.{kind}-{len(known[kind]) + 1}")
                 name = name if name.startswith(f"{case}.") else f"{case}.{name}"
-                rows.append((case, pos, name, "known" if name in known else "created"))
-                known.add(name)
-            else:
-                rows.append((case, pos, ref, "violation"))
-        return pd.DataFrame(rows, columns=["case_id", "pos", "item_id", "outcome"])
+                row |= {"item_id": name, "outcome": "known" if name in known[kind] else "created"}
+                if name not in known[kind]:
+                    row |= {"text": text, "status": INTRODUCED[kind], "inference_type": INFERRED, "related_question_ids": related or None}
+                known[kind].add(name)
+            rows.append(row)
+        return pd.DataFrame(rows, columns=columns, dtype=object)
 
     return events.groupBy("case_id").applyInPandas(run, REGISTERED)

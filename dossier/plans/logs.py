@@ -56,10 +56,11 @@ def manifest_integrity(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").join(known, "o_custkey", "left_anti").groupBy("o_custkey").agg(F.count("*").alias("n_orders"))
 
 
-@query("""SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND event_id < 200)""")
+@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')""")
 def resume_antijoin(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    return pending(e.select("user_id").distinct(), e.where("event_type = 'error' and event_id < 200"), key="user_id")
+    """Customers are the samples, their urgent finished orders the log."""
+    log = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return pending(table(spark, d, "customer").select("c_custkey"), log, key="c_custkey")
 
 
 @query("""SELECT user_id, count_if(event_type IN ('click','view'))::bigint AS processed, count_if(event_type = 'signup')::bigint AS skipped, count_if(event_type = 'error')::bigint AS failed FROM events GROUP BY 1""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.text import paired
 from ..operators import context, report, validation
@@ -45,10 +46,10 @@ def semantic_payload(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
     none = F.lit(None).cast("string")
     rows = x.select(
-        "doc_id", F.when(F.col("quality").isNotNull(), "told").alias("narrative"), F.when(F.col("lang") == "en", "seen").alias("evidence"), F.when(F.col("quality") == 1, "read").otherwise("").alias("intent"),
-        F.when(F.col("toxic") == 1, "warn").alias("strategy"), none.alias("operation"), none.alias("observations"), none.alias("decision"), none.alias("outcome"),
+        "doc_id", F.when(F.col("quality").isNotNull(), "told").alias("narrative"), F.when(F.col("lang") == "en", "seen").alias("evidence"), F.when(F.col("quality") == 1, "read").otherwise("").alias("intent_text"),
+        F.when(F.col("toxic") == 1, F.array(F.lit("warn"))).otherwise(F.array().cast("array<string>")).alias("observations"), none.alias("outcome_summary"),
     )
-    return validation.violations(rows, F.col("doc_id"), validation.step_rules())
+    return validation.violations(rows, F.col("doc_id"), validation.step_rules(rows))
 
 
 @query("""SELECT p_partkey, p_partkey % 5 = 0 OR upper(p_name)[1] = p_type[1] AS ok FROM part""")
@@ -63,14 +64,77 @@ def xor_rule(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", validation.either_style(kind, F.when(k.isin(0, 2), F.col("p_type")), F.when(k.isin(1, 2), F.col("p_name"))).alias("ok"))
 
 
-@query()
+@query("""WITH e AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'question' ELSE 'hypothesis' END AS kind, 'case-' || conv_id || '.t-' || (turn // 2) AS ref, role <> 'system' AS told, turn % 5 = 4 AS odd FROM conversations),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, kind, ref ORDER BY turn) AS n FROM e WHERE told AND NOT (kind = 'hypothesis' AND odd))
+SELECT 'case-' || e.conv_id AS case_id, e.turn AS pos, e.kind, e.ref AS item_id, CASE WHEN f.n = 1 THEN 'created' WHEN f.n > 1 THEN 'known' ELSE 'violation' END AS outcome,
+CASE WHEN f.n = 1 THEN CASE WHEN e.kind = 'question' THEN 'Open' ELSE 'Proposed' END END AS status, CASE WHEN f.n = 1 THEN 'StrongInference' END AS inference_type
+FROM e LEFT JOIN f ON f.conv_id = e.conv_id AND f.turn = e.turn""")
 def event_registration(spark: SparkSession, d: str) -> DataFrame:
-    """Turns of a conversation as events: some refer to a known question, some introduce one, some have neither."""
-    c = table(spark, d, "conversations")
+    """Turns of a conversation as events: even ones are questions, odd ones hypotheses; what a system says has no text, and every
+    fifth turn is related to a question that nobody asked."""
+    c, turn = table(spark, d, "conversations"), F.col("turn")
     case = F.concat(F.lit("case-"), F.col("conv_id"))
-    ref = F.when(F.col("turn") % 3 == 0, F.concat(case, F.lit(".question-1"))).when(F.col("turn") % 5 == 4, "unknown")
-    text = F.when(F.col("turn") % 3 != 2, F.substring_index("text", " ", 3))
-    return validation.registered_events(c.select(case.alias("case_id"), F.col("turn").alias("pos"), ref.alias("ref"), text.alias("text"), F.array(F.concat(case, F.lit(".question-1"))).alias("known")))
+    none = F.array().cast("array<string>")
+    events = c.select(
+        case.alias("case_id"), turn.alias("pos"), F.when(turn % 2 == 0, "question").otherwise("hypothesis").alias("kind"), F.concat(case, F.lit(".t-"), F.floor(turn / 2)).alias("ref"),
+        F.when(F.col("role") != "system", F.col("text")).alias("text"), F.when(turn % 5 == 4, F.array(F.lit("nobody"))).otherwise(none).alias("related"), none.alias("known_questions"), none.alias("known_hypotheses"),
+    )
+    return validation.registered_events(events).select("case_id", "pos", "kind", "item_id", "outcome", "status", "inference_type")
+
+
+@query("""WITH stage AS (SELECT o_custkey AS w, o_orderkey AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, CASE WHEN o_orderstatus = 'P' THEN 1 END AS idx FROM orders),
+edge AS (SELECT o_custkey AS w, o_orderkey AS a, o_orderkey + 1 AS b FROM orders)
+SELECT c_custkey::varchar AS entity_id, 'no_children' AS rule, '' AS message FROM customer WHERE c_custkey NOT IN (SELECT w FROM stage)
+UNION ALL SELECT w || '/' || s, 'stage_index', idx || ' is not ' || pos FROM stage WHERE idx <> pos
+UNION ALL SELECT w::varchar, 'target_stage', w || '/' || b FROM edge WHERE NOT EXISTS (SELECT 1 FROM stage WHERE stage.w = edge.w AND stage.s = edge.b)""")
+def workflow_integrity(spark: SparkSession, d: str) -> DataFrame:
+    """Customers are workflows, their orders the stages in order; a stage leads to the next key, which another customer may have."""
+    o = table(spark, d, "orders")
+    pos = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    stages = o.select(F.col("o_custkey").alias("workflow_id"), F.col("o_orderkey").alias("stage_id"), pos.alias("pos"), F.when(F.col("o_orderstatus") == "P", 1).alias("stage_index"))
+    edges = o.select(F.col("o_custkey").alias("workflow_id"), F.col("o_orderkey").alias("source_stage_id"), (F.col("o_orderkey") + 1).alias("target_stage_id"))
+    return validation.workflow_violations(table(spark, d, "customer").select(F.col("c_custkey").alias("workflow_id")), stages, edges)
+
+
+@query("""WITH li AS (SELECT l_orderkey AS k, l_linenumber AS n, l_suppkey AS s, s_nationkey AS sub, n_regionkey AS v, l_returnflag = 'R' AS wrong FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)
+SELECT k || '-' || n AS entity_id, 'source_capability_parent' AS rule, v || '/' || sub || '/' || s AS message FROM li WHERE wrong AND sub <> 0
+UNION ALL SELECT k || '-' || n, 'source_capability', v || '/' || sub || '/' || s FROM li WHERE s % 5 = 0
+UNION ALL SELECT k || '-' || n, 'target_capability_parent', v || '/' || sub || '/' || s FROM li WHERE v <> 1
+UNION ALL SELECT k || '-' || n, 'target_capability', v || '/' || sub || '/' || s FROM li WHERE s % 5 = 0""")
+def coordination_integrity(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as coordinations from a supplier's nation (returned ones: from nation 0) to the whole view of region 1."""
+    li = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    text = lambda c: F.col(c).cast("string")
+    place = lambda v, s: F.struct(v.alias("view_id"), s.alias("subview_id"))
+    own = F.struct(text("n_regionkey").alias("view_id"), text("s_nationkey").alias("subview_id"), text("l_suppkey").alias("capability_id"))
+    source = F.when(F.col("l_returnflag") == "R", place(F.lit("0"), F.lit("0"))).otherwise(place(text("n_regionkey"), text("s_nationkey")))
+    target = place(F.lit("1"), text("s_nationkey"))
+    rows = li.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), source.alias("source"), own.alias("source_capability"), F.array(target).alias("targets"), F.array(own).alias("target_capabilities"),
+        F.array(place(text("n_regionkey"), text("s_nationkey")), place(F.lit("0"), F.lit("0")), target).alias("known_views"), F.when(F.col("l_suppkey") % 5 != 0, F.array(own)).alias("known_capabilities"),
+    )
+    return validation.violations(rows, F.col("id"), validation.coordination_rules())
+
+
+@query("""WITH li AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem), q AS (SELECT l_orderkey AS k, l_suppkey AS s FROM lineitem WHERE l_linestatus = 'O')
+SELECT l.l_orderkey || '.' || l.l_linenumber AS entity_id, 'unknown question' AS rule, 'questions_addressed: ' || l.l_suppkey AS message FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.k = l.l_orderkey AND q.s = l.l_suppkey)
+UNION ALL SELECT l.l_orderkey || '.' || l.l_linenumber, 'unknown hypothesis', 'state_after.active_hypotheses: ' || l.l_partkey FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_orderkey = l.l_orderkey AND r.l_partkey = l.l_partkey AND r.l_returnflag = 'R')
+UNION ALL SELECT l.l_orderkey::varchar, 'unknown step of episode', 'target_step: ' || l.l_orderkey || '.' || (l.l_linenumber + 1) FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM li WHERE li.k = l.l_orderkey AND li.n = l.l_linenumber + 1)""")
+def case_references(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as cases of one episode, lines as steps: questions are suppliers of open lines, hypotheses parts of returned ones; each
+    step leads to the next line number."""
+    li, text = table(spark, d, "lineitem"), lambda c: F.col(c).cast("string")
+    step_id = lambda n: F.concat_ws(".", F.col("l_orderkey").cast("string"), n.cast("string"))
+    step = F.struct(step_id(F.col("l_linenumber")).alias("step_id"), F.array(text("l_suppkey")).alias("questions_addressed"), F.struct(F.array(text("l_partkey")).alias("active_hypothesis_ids")).alias("state_after"))
+    move = F.struct(step_id(F.col("l_linenumber")).alias("source_step_id"), step_id(F.col("l_linenumber") + 1).alias("target_step_id"))
+    none = F.array().cast("array<string>")
+    own = li.groupBy("l_orderkey").agg(
+        F.collect_set(F.when(F.col("l_linestatus") == "O", F.struct(text("l_suppkey").alias("question_id")))).alias("questions"),
+        F.collect_set(F.when(F.col("l_returnflag") == "R", F.struct(text("l_partkey").alias("hypothesis_id"), none.alias("related_question_ids")))).alias("hypotheses"),
+        F.collect_list(step).alias("steps"), F.collect_list(move).alias("transitions"),
+    )
+    episode = F.struct(text("l_orderkey").alias("episode_id"), "steps", "transitions")
+    return validation.unknown_case_references(own.select(text("l_orderkey").alias("case_id"), "questions", "hypotheses", F.array(episode).alias("episodes")))
 
 
 def tree(spark: SparkSession, d: str) -> DataFrame:
@@ -136,20 +200,21 @@ def judge_payload_flatten(spark: SparkSession, d: str) -> DataFrame:
     return own.select("r_regionkey", F.array_join(F.transform("p", lambda x: F.concat_ws("/", x["view_id"], x["subview_id"])), "|").alias("pairs"))
 
 
-@query("""SELECT p_brand AS doc, string_agg(p_name || '=' || p_type, '|' ORDER BY p_name, p_type) AS categories FROM part WHERE p_size <= 25 GROUP BY 1""")
+@query("""SELECT p_brand AS doc, string_agg(p_name || '=' || p_type, '|' ORDER BY p_name, p_type) AS categories FROM part GROUP BY 1""")
 def category_flatten(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of outer and inner categories as texts; here the outer ones are names and the inner ones types."""
-    own = table(spark, d, "part").where("p_size <= 25").groupBy(F.col("p_brand").alias("doc")).agg(F.array_sort(F.collect_list(F.struct(F.col("p_name").alias("name"), F.array("p_type").alias("inner")))).alias("c"))
+    own = table(spark, d, "part").groupBy(F.col("p_brand").alias("doc")).agg(F.array_sort(F.collect_list(F.struct(F.col("p_name").alias("name"), F.array("p_type").alias("inner")))).alias("c"))
     return own.select("doc", F.array_join(F.transform(paired("c", "inner"), lambda x: F.replace(x, F.lit(" > "), F.lit("="))), "|").alias("categories"))
 
 
-@query("""WITH m AS (SELECT doc_id % 50 AS doc, doc_id AS f, lang FROM documents WHERE doc_id % 50 < 20), r AS (SELECT page_id % 50 AS doc, page_id AS f, 'page' AS lang FROM pages WHERE page_id % 50 BETWEEN 10 AND 39), docs AS (SELECT range::bigint AS doc FROM range(50))
-SELECT docs.doc, coalesce((SELECT string_agg(f || ':' || lang, '|' ORDER BY f::varchar) FROM m WHERE m.doc = docs.doc), (SELECT string_agg(f || ':' || lang, '|' ORDER BY f::varchar) FROM r WHERE r.doc = docs.doc), '') AS figures,
-CASE WHEN docs.doc IN (SELECT doc FROM m) THEN 'manifest' WHEN docs.doc IN (SELECT doc FROM r) THEN 'raw' ELSE 'none' END AS source FROM docs""")
+@query("""WITH m AS (SELECT o_custkey AS doc, o_orderkey AS f, o_orderpriority AS c FROM orders WHERE o_orderstatus = 'O'), r AS (SELECT o_custkey AS doc, o_orderkey AS f, o_orderpriority AS c FROM orders WHERE o_orderstatus <> 'O'),
+ms AS (SELECT doc, string_agg(f || ':' || c, '|' ORDER BY f::varchar) AS figures FROM m GROUP BY 1), rs AS (SELECT doc, string_agg(f || ':' || c, '|' ORDER BY f::varchar) AS figures FROM r GROUP BY 1)
+SELECT c_custkey AS doc, coalesce(ms.figures, rs.figures, '') AS figures, CASE WHEN ms.doc IS NOT NULL THEN 'manifest' WHEN rs.doc IS NOT NULL THEN 'raw' ELSE 'none' END AS source
+FROM customer LEFT JOIN ms ON ms.doc = c_custkey LEFT JOIN rs ON rs.doc = c_custkey""")
 def condensed_figures(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "documents").select((F.col("doc_id") % 50).alias("doc"), F.col("doc_id").cast("string").alias("fig_id"), F.col("lang").alias("caption")).where("doc < 20")
-    r = table(spark, d, "pages").select((F.col("page_id") % 50).alias("doc"), F.col("page_id").cast("string").alias("fig_id"), F.lit("page").alias("caption")).where("doc between 10 and 39")
-    got = report.condensed_figures(spark.range(50).withColumnRenamed("id", "doc"), m, r)
+    """Customers are the documents, their open orders the figures of a manifest, their other orders raw figures."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").cast("string").alias("fig_id"), F.col("o_orderpriority").alias("caption"), "o_orderstatus")
+    got = report.condensed_figures(table(spark, d, "customer").select(F.col("c_custkey").alias("doc")), o.where("o_orderstatus = 'O'"), o.where("o_orderstatus <> 'O'"))
     return got.select("doc", F.array_join(F.transform("figures", lambda f: F.concat_ws(":", f["fig_id"], f["caption"])), "|").alias("figures"), "source")
 
 

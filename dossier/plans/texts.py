@@ -30,10 +30,7 @@ def ordered_dedupe_cs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {WORDS}, f AS (SELECT doc_id, arg_min(w, pos) AS w, min(pos) AS pos FROM word GROUP BY doc_id, lower(w)) SELECT doc_id, string_agg(w, '|' ORDER BY pos) AS w FROM f GROUP BY 1")
 def ordered_dedupe_ci(spark: SparkSession, d: str) -> DataFrame:
-    """Words of whole texts: one row each, so that a text of many words needs no list of lists; lists of a record use distinct_ignoring_case."""
-    placed = words(spark, d).select("doc_id", F.posexplode("w").alias("pos", "w")).where("w <> ''")
-    first = placed.groupBy("doc_id", F.lower("w").alias("k")).agg(F.min(F.struct("pos", "w")).alias("f"))
-    return first.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("f")), lambda x: x["w"]), "|").alias("w"))
+    return words(spark, d).select("doc_id", F.coalesce(distinct_ignoring_case("w"), F.array().cast("array<string>")).alias("w")).where("size(w) > 0").select("doc_id", listed_as(F.col("w")).alias("w"))
 
 
 @query("""WITH item AS (SELECT p_partkey, unnest(['  ' || p_brand, upper(p_brand), p_type || ' ', p_brand, NULL, '', lower(p_type), p_name]) AS w, generate_subscripts([1,2,3,4,5,6,7,8], 1) AS pos FROM part),
@@ -139,9 +136,14 @@ def view_id_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- blocks of pages and documents
 
-BLOCK = """body AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style|nav|footer|header|head)[ >].*?</(script|style|nav|footer|header|head)>|<!--.*?-->', ' ', 'g') AS b FROM pages),
-found AS (SELECT page_id, unnest(regexp_extract_all(b, '(?is)<(?:h[1-6]|p)(?: [^>]*)?>[^<]*')) AS m, generate_subscripts(regexp_extract_all(b, '(?is)<(?:h[1-6]|p)(?: [^>]*)?>[^<]*'), 1) AS pos FROM body),
-block AS (SELECT page_id, pos, CASE WHEN lower(m[2]) = 'h' THEN 'title' ELSE 'paragraph' END AS type, trim(regexp_replace(regexp_replace(m, '^<[^>]*>', ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS text FROM found)"""
+# pieces between tags; a piece belongs to the last tag of a block before it
+BLOCK = """piece AS (SELECT page_id, unnest(string_split(b, '<')) AS x, generate_subscripts(string_split(b, '<'), 1) AS i
+  FROM (SELECT page_id, regexp_replace(html, '(?is)<(script|style|nav|footer|header|head)[ >].*?</(script|style|nav|footer|header|head)>|<!--.*?-->', ' ', 'g') AS b FROM pages)),
+tagged AS (SELECT page_id, i, CASE WHEN i > 1 THEN lower(regexp_extract(x, '^/?[a-zA-Z0-9]+')) ELSE '' END AS t, CASE WHEN i > 1 THEN x[position('>' IN x) + 1:] ELSE x END AS s FROM piece),
+parted AS (SELECT *, sum((ltrim(t, '/') IN ('h1','h2','h3','h4','h5','h6','p','li','ul','ol','div','article','section','main','body','html','table','tr','td','th','blockquote','pre','hr'))::int) OVER (PARTITION BY page_id ORDER BY i) AS pos FROM tagged),
+block AS (SELECT page_id, pos, CASE WHEN arg_min(t, i)[1] = 'h' THEN 'title' ELSE 'paragraph' END AS type,
+  trim(regexp_replace(string_agg(CASE WHEN t = 'br' THEN ' ' || s ELSE s END, '' ORDER BY i), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS text
+  FROM parted GROUP BY page_id, pos HAVING arg_min(t, i) IN ('h1','h2','h3','h4','h5','h6','p','li'))"""
 
 
 @query(f"WITH {BLOCK} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS order_index, type, text FROM block WHERE text <> ''")

@@ -16,9 +16,11 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value) of text lines, in file order; classify them with operators.resultlog."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"))
-    return lines.select("file", "line_no", "value")
+    """(file, line_no, value) of text lines; classify them with operators.resultlog. line_no orders lines by file, part of the
+    file and place in that part, however parts are packed into tasks."""
+    part = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.text(path).select("value", part.alias("line_no"))
+    return lines.select("line_no.file", "line_no", "value")
 
 
 def strict_json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

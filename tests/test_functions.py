@@ -261,10 +261,16 @@ def test_coordination_id(spark):
 
 
 def test_registered_events(spark):
-    rows = [("c", 0, None, "What now?"), ("c", 1, "c.known", None), ("c", 2, "c.what-now", "again"), ("c", 3, "other", None), ("c", 4, "other", "text"), ("c", 5, "c.other", None), ("c", 6, None, "…")]
-    df = spark.createDataFrame(rows, "case_id string, pos long, ref string, text string").withColumn("known", F.array(F.lit("c.known")))
-    got = [(r.item_id, r.outcome) for r in validation.registered_events(df).orderBy("pos").collect()]
-    assert got == [("c.what-now", "created"), ("c.known", "known"), ("c.what-now", "known"), ("other", "violation"), ("c.other", "created"), ("c.other", "known"), ("c.question-4", "created")]
+    q, h = "question", "hypothesis"
+    rows = [("c", 0, q, None, "What now?", None), ("c", 1, q, "c.known", None, None), ("c", 2, q, "c.what-now", "again", None), ("c", 3, q, "other", None, None), ("c", 4, q, "other", "text", None), ("c", 5, q, "c.other", None, None), ("c", 6, q, None, "…", None)]
+    rows += [("c", 7, h, None, "It grows", ["c.known", "c.other"]), ("c", 8, h, "c.it-grows", None, None), ("c", 9, h, None, "no", ["nobody"]), ("c", 10, h, "c.what-now", None, None), ("c", 11, h, "c.h0", None, None)]
+    df = spark.createDataFrame(rows, "case_id string, pos long, kind string, ref string, text string, related array<string>")
+    df = df.withColumn("known_questions", F.array(F.lit("c.known"))).withColumn("known_hypotheses", F.array(F.lit("c.h0")))
+    got = validation.registered_events(df).orderBy("pos").collect()
+    want = [("c.what-now", "created"), ("c.known", "known"), ("c.what-now", "known"), ("other", "violation"), ("c.other", "created"), ("c.other", "known"), ("c.question-4", "created")]
+    want += [("c.it-grows", "created"), ("c.it-grows", "known"), (None, "violation"), ("c.what-now", "violation"), ("c.h0", "known")]
+    assert [(r.item_id, r.outcome) for r in got] == want
+    assert (got[0].status, got[7].status, got[7].inference_type, got[7].related_question_ids, got[1].status) == ("Open", "Proposed", "StrongInference", ["c.known", "c.other"], None)
 
 
 def test_rules(spark):
@@ -275,6 +281,21 @@ def test_rules(spark):
 
 # ---------------------------------------------------------------- blocks and contexts
 
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<p>First <b>bold</b> and the rest of it</p>", [("paragraph", "First bold and the rest of it")]),
+        ("<h2 class=x>A <em>t</em>itle</h2><ul><li>one<br/>two</li><li><p>inner</p></li></ul>tail", [("title", "A title"), ("paragraph", "one two"), ("paragraph", "inner")]),
+        ("<p>unclosed <i>one<p>next <span>x</span></div>outside", [("paragraph", "unclosed one"), ("paragraph", "next x")]),
+        ("<nav><li>no</li></nav><pre>no</pre><p>yes", [("paragraph", "yes")]),
+        (None, []),
+    ],
+)
+def test_blocks_hold_their_whole_text(spark, html, want):
+    got = blocks.html_blocks(spark.createDataFrame([(1, html)], "id long, html string"), "id", "html").orderBy("pos").collect()
+    assert [(r.type, r.text) for r in got] == want
+
 TEI = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><abstract><p>In the header</p></abstract></teiHeader><text><body><div><head>One <hi>title</hi></head><p>First.</p>
 <figure><head>no</head><figDesc>Fig. 1: D</figDesc></figure><figure><head>Fig. 2</head> bare</figure></div><div><p>First.</p></div></body><back><p>gone</p></back></text></TEI>"""
 
@@ -320,10 +341,11 @@ def test_prefixes(spark):
     episodes = spark.createDataFrame([("c", 1, "a"), ("c", 2, "b")], "case_id string, episode int, v string")
     ask = lambda p: spark.createDataFrame([("s", "c", p)], "sample_id string, case_id string, prefix array<int>")
     assert [r.v for r in context.prefix_episodes(ask([2, 1]), episodes).orderBy("place").collect()] == ["b", "a"]
-    with pytest.raises(KeyError):
-        context.prefix_episodes(ask([3]), episodes)
-    with pytest.raises(KeyError):
-        context.first_match(episodes, spark.createDataFrame([("d",)], "case_id string"), ["case_id"], "episode")
+    with pytest.raises(Exception, match="no episode for"):
+        context.prefix_episodes(ask([3]), episodes).collect()
+    assert context.prefix_episodes(ask([3]), episodes, strict=False).count() == 0
+    with pytest.raises(Exception, match="no row for"):
+        context.first_match(episodes, spark.createDataFrame([("d",)], "case_id string"), ["case_id"], "episode").collect()
     assert one(spark, [5, 6], "array<int>", lambda c: F.array(context.nth(c, F.lit(2)), context.nth(c, F.lit(3)), context.nth(c, F.lit(0)))) == [6, None, None]
 
 

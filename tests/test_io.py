@@ -90,8 +90,22 @@ def test_pending_and_manifest(spark):
     samples = spark.createDataFrame([("a",), ("b",)], "sample_id string")
     log = spark.createDataFrame([("a", "error")], "sample_id string, status string")
     assert [r.sample_id for r in resultlog.pending(samples, log).collect()] == ["b"] and resultlog.pending(samples, log, overwrite=True).count() == 2
-    with pytest.raises(ValueError, match="manifest"):
-        resultlog.checked_join(samples, log, "sample_id")
+    with pytest.raises(Exception, match="no manifest row for b"):
+        resultlog.checked_join(samples, log, "sample_id").collect()
+
+
+def test_lines_of_several_files_keep_their_order(spark, tmp_path):
+    """The last row wins by file and line, though a long file's parts are read before a short one's."""
+    for name, rows in (("a", 1), ("b", 4000), ("c", 3)):
+        lines = [f'{{"sample_id": "s", "n": "{name}{k}"}}' for k in range(rows)]
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = resultlog.last_results(readers.json_lines(spark, str(tmp_path))).select(F.try_variant_get("row", "$.n", "string").alias("n")).collect()
+        only = resultlog.last_results(readers.json_lines(spark, str(tmp_path / "b.jsonl"))).select(F.try_variant_get("row", "$.n", "string").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.n for r in got] == ["c2"] and [r.n for r in only] == ["b3999"]
 
 
 def test_retries():
