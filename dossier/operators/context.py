@@ -54,10 +54,10 @@ def nth(items: Column, n: Column) -> Column:
 
 
 def steps_by_ref(episodes: DataFrame) -> DataFrame:
-    """(case_id, ref, step): steps by '<episode>.<index>'; episodes: (case_id, episode, steps array<struct<step_index, ...>>), the first of equal refs wins."""
+    """(case_id, ref, step): steps by '<episode>.<index>'; episodes: (case_id, episode, steps array<struct<step_index, ...>>), the last of equal refs wins."""
     flat = episodes.select("case_id", "episode", F.posexplode("steps").alias("p", "step"))
     ref = F.concat_ws(".", F.col("episode").cast("string"), F.coalesce(F.col("step.step_index"), F.lit(0)).cast("string"))
-    return flat.select("case_id", ref.alias("ref"), "p", "step").withColumn("_n", F.row_number().over(W.Window.partitionBy("case_id", "ref").orderBy("p"))).where("_n = 1").drop("_n", "p")
+    return flat.select("case_id", ref.alias("ref"), "p", "step").withColumn("_n", F.row_number().over(W.Window.partitionBy("case_id", "ref").orderBy(F.desc("p")))).where("_n = 1").drop("_n", "p")
 
 
 def prefix_episodes(samples: DataFrame, episodes: DataFrame, strict: bool = True) -> DataFrame:

@@ -173,12 +173,3 @@ def retrieval_payload(hits: Column) -> Column:
             F.coalesce(h["score"].cast("double"), F.lit(0.0)).alias("score"),
         ),
     )
-
-
-def assembled(samples: DataFrame, cases: DataFrame) -> DataFrame:
-    """Benchmark records: metadata, input and gold of each sample with its case; a sample without a case is an error."""
-    if missing := samples.join(cases, "benchmark_case_id", "left_anti").take(1):
-        raise KeyError(f"no case {missing[0]['benchmark_case_id']!r}")
-    meta = F.struct("sample_id", "benchmark_case_id", "paper_name", F.col("case_index").cast("int").alias("case_index"), F.size("prefix").alias("prefix_length"), F.col("prefix").alias("prefix_episode_indices"), F.col("target").cast("int").alias("target_episode_index"))
-    gold = F.struct(blank_to_null("gold_next_goal").alias("gold_next_goal"), F.coalesce("gold_next_views", F.array()).alias("gold_next_views"), F.coalesce("gold_next_capabilities", F.array()).alias("gold_next_capabilities"))
-    return samples.join(cases, "benchmark_case_id").select(meta.alias("metadata"), F.struct(F.col("system").alias("system_context"), F.col("workflow").alias("workflow_context")).alias("model_input"), gold.alias("gold"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.jsonx import ladder, string_field
+
 #: A client answers (prompt, json_mode) with text, or raises.
 Client = Callable[[str, bool], str]
 RESULT = "sample_id string, status string, attempt_count int, response string, error string"
@@ -39,6 +42,33 @@ def run_model(prompts: DataFrame, make_client: Callable[[], Client], attempts: i
     return prompts.select(F.col("sample_id").cast("string"), "prompt").mapInPandas(run, RESULT)
 
 
+def run_samples(prompts: DataFrame, log: str, make_client: Callable[[], Client], attempts: int = 5, overwrite: bool = False, dry_run: bool = False, wanted: list[str] | None = None, most: int | None = None) -> dict[str, int]:
+    """Run the samples (sample_id, prompt) that a log of JSON lines doesn't have yet, whatever their status there, append what comes
+    of them, and count: processed, skipped, failed. `wanted` and `most` choose samples first (in the order of their ids; less
+    than none is none). An answer's prediction is the object in it; a dry run asks nobody.
+    """
+    from ..sources.readers import exists, json_lines
+    from .report import write_jsonl
+    from .resultlog import classified, pending
+
+    spark, run = prompts.sparkSession, uuid.uuid4().hex
+    chosen = prompts if wanted is None else prompts.where(F.col("sample_id").isin(list(wanted)))
+    chosen = chosen if most is None else chosen.orderBy("sample_id").limit(max(0, most))
+    todo = chosen
+    if exists(spark, log) and not overwrite:
+        done = classified(json_lines(spark, log)).where("not line_error").select(string_field("row", "sample_id").alias("sample_id"))
+        todo = pending(chosen, done.where("sample_id is not null"))
+    if dry_run:
+        told = todo.select(F.col("sample_id").cast("string").alias("sample_id"), F.lit("dry_run").alias("status"), F.lit(0).alias("attempt_count"), F.lit(None).cast("string").alias("response"), F.lit(None).cast("string").alias("error"))
+    else:
+        told = run_model(todo, make_client, attempts)
+    total = chosen.count()
+    write_jsonl(told.withColumn("prediction", F.to_json(ladder("response"))).withColumn("run_id", F.lit(run)), log, mode="append")
+    written = spark.read.schema("sample_id string, status string, run_id string").json(log).where(F.col("run_id") == run)
+    n, failed = written.agg(F.count("*"), F.count_if(F.col("status") == "error")).first()
+    return {"processed": n - failed, "skipped": total - n, "failed": failed}
+
+
 def cache_misses(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     """(sample_id, repeat_index, judge_model, prompt_version) rows that the cache has no judgment for."""
     keys = ["sample_id", "repeat_index", "judge_model", "prompt_version"]

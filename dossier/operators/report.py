@@ -40,12 +40,27 @@ def found_name(names: DataFrame, wanted: DataFrame) -> DataFrame:
     return close.groupBy("doc").agg(F.min_by("stem", F.struct(F.col("stem") != F.col("doc"), F.col("stem"))).alias("stem"))
 
 
+#: The sections of a document's summary, and what each says of itself.
+SECTIONS = {
+    "Paper": "Which document this is.",
+    "Passages": "Where the passages taken from it are.",
+    "Figures": "Where its figures are, and a condensed list of them.",
+    "View Images": "Where the parts cut from its interface figure are.",
+}
+
+
 def markdown(rows: DataFrame) -> DataFrame:
-    """(doc, text) of documents with title, n_passages, figures and missing."""
-    figures = F.array_join(F.transform("figures", lambda f: F.concat(F.lit("- "), f["fig_id"], F.lit(": "), F.coalesce(f["caption"], F.lit("")))), "\n")
-    missing = F.when(F.size("missing") > 0, F.concat(F.lit("\nMissing: "), F.array_join("missing", ", "))).otherwise("")
-    text = F.concat(F.lit("# "), F.coalesce("title", "doc"), F.lit("\n\nPassages: "), F.col("n_passages").cast("string"), F.lit("\n\n## Figures\n\n"), figures, missing, F.lit("\n"))
-    return rows.select("doc", text.alias("text"))
+    """(doc, text) of documents with title, passages_path, figures_path, figures and views_path: one section for each, its contents
+    as indented JSON; what is missing is null there."""
+    held = {
+        "Paper": F.struct(F.col("doc").alias("paper_name"), F.col("title").alias("paper_full_name")),
+        "Passages": F.struct(F.col("passages_path").alias("path")),
+        "Figures": F.struct(F.col("figures_path").alias("directory"), F.col("figures").alias("items")),
+        "View Images": F.struct(F.col("views_path").alias("directory")),
+    }
+    head = F.concat(F.lit("# Preprocess Summary: "), F.col("doc"), F.lit("\n\nWhat was taken from one document, and where it is.\n"))
+    body = [F.concat(F.lit(f"\n## {name}\n\n{told}\n\n```json\n"), F.to_json(held[name], {"ignoreNullFields": "false", "pretty": "true"}), F.lit("\n```\n")) for name, told in SECTIONS.items()]
+    return rows.select("doc", F.concat(head, *body).alias("text"))
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -77,14 +92,15 @@ def write_once(df: DataFrame, path: str, overwrite: bool = False) -> str:
 
 def write_evaluation(scores: DataFrame, runs: DataFrame, config: dict, folder: str, groups: tuple[str, ...] = ("paper_name", "prefix_length", "segmentation_mode")) -> None:
     """All artifacts of an evaluation: score rows, review queue and judge runs as JSON lines, the summary twice (as itself and
-    as config), and a CSV for each grouping. The score rows are read several times, so they should be a written table."""
+    as config), and a CSV for each grouping. Scores are computed once: everything else reads the rows that were written."""
     from .summaries import summary
 
-    spark = scores.sparkSession
+    spark, schema = scores.sparkSession, scores.schema
+    write_jsonl(scores, f"{folder}/sample_scores.jsonl")
+    scores = spark.read.schema(schema).json(f"{folder}/sample_scores.jsonl")
     whole = {**config, "aggregate": summary(scores).first().asDict(recursive=True)}
     for name in ("config", "summary"):
         write_document(spark, whole, f"{folder}/{name}.json")
-    write_jsonl(scores, f"{folder}/sample_scores.jsonl")
     write_jsonl(scores.where("needs_review"), f"{folder}/review_queue.jsonl")
     write_jsonl(runs, f"{folder}/goal_judge_runs.jsonl")
     for g in groups:

@@ -111,11 +111,5 @@ def test_messages_and_records(spark):
         df.withColumn("i", F.transform("i", lambda x: F.struct(x["label"].alias("label"), F.lit(None).cast("string").alias("data_url")))).select(extraction.messages("x", F.struct("a"), F.col("i"))).collect()
     hits = spark.createDataFrame([([(None, "t", None, None, None)],)], "h array<struct<paper_name: string, source_type: string, source_id: string, reason: string, score: float>>")
     assert tuple(hits.select(extraction.retrieval_payload(F.col("h"))).first()[0][0]) == ("", "t", "", "", 0.0)
-    samples = spark.createDataFrame([("s", "c", "p", "1", [1, 2], "3", "", None, ["x"])], "sample_id string, benchmark_case_id string, paper_name string, case_index string, prefix array<int>, target string, gold_next_goal string, gold_next_views array<string>, gold_next_capabilities array<string>")
-    cases = spark.createDataFrame([("c", "sys", "wf")], "benchmark_case_id string, system string, workflow string")
-    r = extraction.assembled(samples, cases).first()
-    assert r.metadata.prefix_length == 2 and r.metadata.case_index == 1 and r.gold.gold_next_goal is None and r.gold.gold_next_views == [] and r.model_input.system_context == "sys"
-    with pytest.raises(KeyError):
-        extraction.assembled(samples, cases.limit(0))
     names, titles = spark.createDataFrame([("b",), ("a",)], "doc string"), spark.createDataFrame([("a", "A"), ("b", None)], "paper string, full_name string")
     assert [tuple(r) for r in extraction.index_rows(names, titles).collect()] == [("a", "A"), ("b", None)]

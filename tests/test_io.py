@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.operators import report, resultlog, summaries
-from dossier.operators.modelcall import answered, cache_misses, data_urls, run_model
+from dossier.operators.modelcall import answered, cache_misses, data_urls, run_model, run_samples
 from dossier.sources import readers
 from dossier.streaming import resultlog as stream
 
@@ -69,8 +69,34 @@ def test_sinks(spark, tmp_path):
     report.write_document(spark, {"a": "é", "b": None}, str(tmp_path / "doc"))
     assert json.loads("".join(f.read_text() for f in (tmp_path / "doc").glob("part*"))) == {"a": "é", "b": None}
     assert [report.write_once(df, str(tmp_path / "once")), report.write_once(df, str(tmp_path / "once")), report.write_once(df, str(tmp_path / "once"), True)] == ["CREATED", "SKIPPED", "OVERWRITTEN"]
-    text = report.markdown(spark.createDataFrame([("d", None, 3, [("fig_1", "c")], ["views"])], "doc string, title string, n_passages int, figures array<struct<fig_id: string, caption: string>>, missing array<string>")).first().text
-    assert text.startswith("# d\n") and "- fig_1: c" in text and "Missing: views" in text
+    rows = [("d", None, "p.json", "/f", [("fig_1", "ü")], None)]
+    text = report.markdown(spark.createDataFrame(rows, "doc string, title string, passages_path string, figures_path string, figures array<struct<fig_id: string, caption: string>>, views_path string")).first().text
+    assert text.startswith("# Preprocess Summary: d\n") and [x[3:] for x in text.splitlines() if x.startswith("## ")] == ["Paper", "Passages", "Figures", "View Images"]
+    held = [json.loads(x.split("```")[0]) for x in text.split("```json\n")[1:]]
+    assert held == [{"paper_name": "d", "paper_full_name": None}, {"path": "p.json"}, {"directory": "/f", "items": [{"fig_id": "fig_1", "caption": "ü"}]}, {"directory": None}]
+
+
+def test_run_samples(spark, tmp_path):
+    """Resume, calls, log and counters as one operation."""
+    prompts = spark.createDataFrame([(k, k * 2) for k in "abcd"], "sample_id string, prompt string")
+    log = str(tmp_path / "log")
+
+    def make():
+        def ask(prompt, json_mode):
+            if prompt == "bb":
+                raise RuntimeError("no")
+            return 'Here: {"predicted_next_goal": "%s"}' % prompt
+
+        return ask
+
+    assert run_samples(prompts, log, make, attempts=2, wanted=["a", "b"]) == {"processed": 1, "skipped": 0, "failed": 1}
+    assert run_samples(prompts, log, make, most=3) == {"processed": 1, "skipped": 2, "failed": 0}
+    assert run_samples(prompts, log, make, dry_run=True) == {"processed": 1, "skipped": 3, "failed": 0}
+    assert run_samples(prompts, log, make, most=-1) == {"processed": 0, "skipped": 0, "failed": 0}
+    assert run_samples(prompts, log, make, wanted=["a"], overwrite=True) == {"processed": 1, "skipped": 0, "failed": 0}
+    rows = resultlog.last_results(readers.json_lines(spark, log))
+    got = {r.sample_id: (r.s, r.p) for r in rows.select("sample_id", F.try_variant_get("row", "$.status", "string").alias("s"), F.try_variant_get("row", "$.prediction", "string").alias("p")).collect()}
+    assert got == {"a": ("ok", '{"predicted_next_goal":"aa"}'), "b": ("error", None), "c": ("ok", '{"predicted_next_goal":"cc"}'), "d": ("dry_run", None)}
 
 
 def test_evaluation_artifacts(spark, tmp_path):
