@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import paired
-from ..operators import context, report, validation
+from ..operators import context, records, report, validation
 from .registry import query, table
 
 
@@ -229,3 +229,52 @@ def missing_parts(spark: SparkSession, d: str) -> DataFrame:
 def paper_names(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "documents").select(F.concat(F.lit("/figures/"), F.col("source"), F.lit("/figures.json")).alias("path"))
     return report.document_names([a, table(spark, d, "pages").select(F.col("url").alias("path"))], ["/figures/([^/]+)/figures[.]json$", "/([a-z]{2})/[0-9]+"])
+
+
+def record_tables(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """(samples, cases, systems, workflows, usage): an order is a paper, a case and a sample, its lines are its episodes, stages and
+    steps; the prefix is its first two line numbers, as far as there are so many."""
+    li, key = table(spark, d, "lineitem"), F.col("l_orderkey").cast("string")
+    text = lambda x: x.cast("string")
+    own = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))).alias("x"))
+    episode = lambda x: F.struct(
+        x["l_linenumber"].alias("benchmark_episode_index"), text(x["l_partkey"]).alias("benchmark_episode_title"), x["l_returnflag"].alias("local_goal"), F.array(text(x["l_suppkey"]), text(x["l_suppkey"])).alias("used_views"),
+        F.array().cast("array<string>").alias("used_capabilities"), F.array().cast("array<string>").alias("source_step_ids"), F.array(F.concat(F.lit("1."), text(x["l_linenumber"])), F.lit("9.9")).alias("source_step_refs"),
+        F.when(x["l_returnflag"] == "R", F.concat(F.lit("/i/"), text(x["l_partkey"]))).alias("composite_path"),
+    )
+    step = lambda x: F.struct(
+        text(x["l_partkey"]).alias("step_id"), x["l_linenumber"].alias("step_index"), F.array(F.struct(text(x["l_suppkey"]).alias("view_id"), F.when(x["l_returnflag"] == "N", F.concat(text(x["l_suppkey"]), F.lit(".s"))).alias("subview_id"))).alias("used_views"),
+        F.array(F.struct(F.lit("").alias("capability_id"))).alias("used_capabilities"), F.array(F.struct(x["l_returnflag"].alias("description"))).alias("observations"), F.array().cast("array<struct<description: string>>").alias("produced_insights"), F.lit("").alias("outcome_summary"),
+    )
+    none = F.lit(None).cast("string")
+    stage = lambda x: F.struct(text(x["l_partkey"]).alias("stage_id"), x["l_linenumber"].alias("stage_index"), none.alias("stage_title"), none.alias("stage_goal"), F.array(text(x["l_suppkey"])).alias("used_views"), F.array().cast("array<string>").alias("used_capabilities"))
+    samples = own.select(
+        key.alias("sample_id"), key.alias("benchmark_case_id"), key.alias("paper_name"), F.lit("1").alias("case_index"), F.slice(F.array_distinct(F.transform("x", lambda x: x["l_linenumber"])), 1, 2).alias("prefix"), F.lit("3").alias("target"),
+        F.lit("t").alias("target_title"), F.lit("").alias("target_image"), F.lit("g").alias("gold_next_goal"), F.array(F.lit("v")).alias("gold_next_views"), F.array(F.lit("c")).alias("gold_next_capabilities"),
+    )
+    workflow = F.array(F.struct(F.lit("w").alias("workflow_id"), F.lit("W").alias("workflow_title"), F.transform("x", stage).alias("stages")))
+    scenario = F.struct(*(F.lit(c).alias(c) for c in ("domain_problem", "analysis_goal", "dataset_context", "initial_question")))
+    usage = own.select(
+        key.alias("paper_name"), F.lit(1).alias("case_index"), scenario.alias("scenario"), F.array().cast("array<struct<question_id: string, question_text: string, status: string>>").alias("questions"),
+        F.array().cast("array<struct<hypothesis_id: string, hypothesis_text: string, status: string, related_question_ids: array<string>>>").alias("hypotheses"), F.array(F.struct(F.transform("x", step).alias("steps"))).alias("usage_episodes"),
+    )
+    return samples, own.select(key.alias("benchmark_case_id"), F.transform("x", episode).alias("episodes")), own.select(key.alias("paper_name"), F.struct(key.alias("system_name")).alias("system_context")), own.select(key.alias("paper_name"), F.struct(workflow.alias("workflows")).alias("workflow_context")), usage
+
+
+@query("""WITH li AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_returnflag AS f FROM lineitem),
+last AS (SELECT *, dense_rank() OVER (PARTITION BY k ORDER BY n) AS place, row_number() OVER (PARTITION BY k, n ORDER BY p DESC, s DESC, f DESC) AS r FROM li),
+pre AS (SELECT * FROM last WHERE place <= 2 AND r = 1)
+SELECT k::varchar AS sample_id, count(*) FILTER (place <= 2 AND r = 1) AS prefix_length, string_agg(n || ':' || p || ':' || f || ':' || CASE WHEN f = 'N' THEN s || '.s' ELSE s::varchar END, '|' ORDER BY n) FILTER (place <= 2 AND r = 1) AS prefix,
+coalesce(string_agg('/i/' || p, '|' ORDER BY n) FILTER (place <= 2 AND r = 1 AND f = 'R'), '') AS images, string_agg('w/' || p || '/' || n || '/' || s, '|' ORDER BY n, p, s, f) AS stages FROM last GROUP BY k""")
+def benchmark_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records of orders: their prefixes with steps, their images, and the stages that a judge is told of."""
+    held = records.built_records(*record_tables(spark, d), "Predict.")
+    told = records.judge_payloads(held, held.select(F.col("metadata.sample_id").alias("sample_id"), F.lit("x").alias("prediction"))).select("sample_id", F.col("payload.workflow_stages").alias("s"))
+    episodes, images = F.col("model_input.case_context.prefix_episodes"), F.col("model_input.visual_context.prefix_episode_images")
+    each = lambda e: F.concat_ws(":", e["benchmark_episode_index"].cast("string"), e["episode_title"], e["local_goal"], F.get(F.get(e["steps"], F.lit(0))["used_views"], F.lit(0)))
+    out = held.select(
+        F.col("metadata.sample_id").alias("sample_id"), F.col("metadata.prefix_length").cast("long").alias("prefix_length"), F.array_join(F.transform(episodes, each), "|").alias("prefix"),
+        F.array_join(F.transform(images, lambda i: i["image_path"]), "|").alias("images"),
+    )
+    stages = F.array_join(F.transform("s", lambda x: F.concat_ws("/", x["workflow_id"], x["stage_id"], x["stage_index"].cast("string"), F.get(x["used_views"], F.lit(0)))), "|")
+    return out.join(told.select("sample_id", stages.alias("stages")), "sample_id")
