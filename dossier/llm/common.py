@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,22 +17,39 @@ from pyspark.sql import functions as F
 WHITESPACE = b" \t\n\r\x0b\x0c"
 
 
-#: Bytes of an Arrow batch: what a task holds twice, in the JVM and in Python, however long the texts are.
-BATCH_BYTES = 8 << 20
+#: Bytes of text that a task turns into Python objects at once, however large its Arrow batches are.
+SLICE_BYTES = 8 << 20
 
 
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches have at most BATCH_BYTES (a lower limit of the session's own stays)."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", str(conf.get(key)).lower()).groups()
-    if int(number) << 10 * " kmgt".index(unit or " ") > BATCH_BYTES:
-        conf.set(key, BATCH_BYTES)
-    return df
+def sliced(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most SLICE_BYTES of text each, or of one row. Slices share the batch's memory."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def kept_rows(df: DataFrame, text_col: str, judge: Callable[[Iterator[pa.RecordBatch], str], Iterator[tuple[pa.RecordBatch, pa.Array]]]) -> DataFrame:
+    """The rows of df, with all their columns, that judge keeps: from slices and the name of their text column it makes each
+    slice with a mask. No join is needed, and nothing leaves its task."""
+    name = next(n for n in ("text", *(f"text{k}" for k in range(len(df.columns)))) if n not in df.columns or n == text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, mask in judge(sliced(batches, name), name):
+            yield part.filter(mask)
+
+    if dict(df.dtypes)[text_col] == "string" and name == text_col:
+        return df.mapInArrow(run, df.schema)
+    held = df.withColumn(name, F.col(f"`{text_col}`").cast("string"))
+    return held.mapInArrow(run, held.schema).select(*(f"`{c}`" for c in df.columns))
 
 
 def text_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id LONG, text STRING) of a table, whatever other columns it has."""
-    return bounded_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def checkpoint_dir(spark: SparkSession) -> str | None:

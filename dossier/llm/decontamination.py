@@ -24,20 +24,17 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialized, text_rows
-from .exchange import MB, placed
+from .common import kept_rows, materialized, sliced, text_rows
+from .exchange import placed
 
 SPAN = "struct<start: long, end: long>"
 MATCH = "struct<item_id: string, doc_start: long, item_start: long, n_words: long>"
 RESULT = f"doc_id long, n_words long, n_hit long, hit_spans array<{SPAN}>, matches array<{MATCH}>, items array<string>"
-SHARD = 8 * MB
 #: Bytes that separate words become spaces, A-Z become a-z.
 FOLD = bytes(32 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -187,27 +184,23 @@ def spans_of(flags: np.ndarray) -> list[dict[str, int]]:
     return [{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def searched_batch(searched: Searched, window: int, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Search a block of items in a batch with columns doc_id and text, shard by shard; other columns come after the result's."""
-    ids, raws, at = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), 0
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(raws), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    others = [c for c in batch.schema.names if c not in ("doc_id", "text")]
-    while at < len(ids):
-        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SHARD, side="right")))
-        told = Shard([r or b"" for r in raws.slice(at, end - at).to_pylist()], searched, window).told(ids[at:end])
-        yield pa.RecordBatch.from_arrays([*told.columns, *(batch.column(c).slice(at, end - at) for c in others)], [*told.schema.names, *others])
-        at = end
-
-
 def searching(block: Broadcast, window: int):
+    """Arrow work: search a block of items in rows with columns doc_id and text; other columns come after the result's."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searched = Searched(block.value, window)
-        for batch in batches:
-            yield from searched_batch(searched, window, batch)
+        for shard in sliced(batches):
+            told = Shard(texts_of(shard), searched, window).told(shard.column("doc_id").to_pylist())
+            others = [c for c in shard.schema.names if c not in ("doc_id", "text")]
+            yield pa.RecordBatch.from_arrays([*told.columns, *(shard.column(c) for c in others)], [*told.schema.names, *others])
 
     return run
 
 
+def texts_of(shard: pa.RecordBatch, column: str = "text") -> list[bytes]:
+    return [t or b"" for t in shard.column(column).cast(pa.binary()).to_pylist()]
+
+
 def blocks(benchmark: DataFrame, block_words: int, item_col: str, text_col: str) -> Iterator[Block]:
     """The test items in blocks, at least one; one block is held at a time."""
     block: Block = []
@@ -271,24 +264,21 @@ def together(done: list[DataFrame]) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 2_000_000, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """The documents without a hit, with all their columns; the search runs as a column, so no join is needed."""
-    context, docs = docs.sparkSession.sparkContext, bounded_batches(docs)
+    """The documents without a hit, with all their columns; with several blocks one pass after the other."""
+    context = docs.sparkSession.sparkContext
     for block, last in followed(blocks(benchmark, block_words, item_col, text_col)):
         shared = context.broadcast(block)
-        docs = docs.where(hits_of(shared, window)(F.col(text_col).cast("string")) == 0)
+        docs = kept_rows(docs, text_col, unhit(shared, window))
         if not last:
             docs = materialized(docs, "clean")
             shared.destroy()
     return docs
 
 
-def hits_of(block: Broadcast, window: int):
-    @F.pandas_udf("long")
-    def hits(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def unhit(block: Broadcast, window: int):
+    def judge(parts: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
         searched = Searched(block.value, window)
-        for s in series:
-            batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(s))), pa.array(s, pa.string())], ["doc_id", "text"])
-            told = [t.column("n_hit").to_numpy() for t in searched_batch(searched, window, batch)]
-            yield pd.Series(np.concatenate(told) if told else np.zeros(0, np.int64))
+        for part in parts:
+            yield part, pa.array([not spans for spans in Shard(texts_of(part, text), searched, window).spans], pa.bool_())
 
-    return hits
+    return judge

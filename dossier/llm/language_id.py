@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import bounded_batches
+from .common import sliced
 from .exchange import mixed
 
 #: Whether a code point below 0x3000 is a letter; the scripts above count as letters.
@@ -112,7 +112,7 @@ def document_frequencies(docs: DataFrame, dims: int) -> tuple[np.ndarray, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(dims, np.int64), 0
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             for k in range(0, len(texts), 256):
                 total += (gram_counts([t or "" for t in texts[k : k + 256]], dims) > 0).sum(axis=0)
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, how: Centroids) -> dict | None:
     import zlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             packed = [zlib.compress(np.minimum(gram_counts([t], how.dims)[0], 65535).astype("<u2").tobytes(), 1) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(packed, pa.binary())], ["lang", "counts"])
 
@@ -172,13 +172,13 @@ def fit(docs: DataFrame, how: Centroids) -> dict | None:
 def identify(docs: DataFrame, allowed: Column | None = None, how: Centroids | None = None) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) of every document, learned from the rows for which `allowed` holds."""
     how = how or Centroids()
-    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = fit(rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if allowed is None else allowed)), how)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             texts, lang, score, away = batch.column("text").to_pylist(), ["und"] * batch.num_rows, np.zeros(batch.num_rows), [True] * batch.num_rows
             for k in range(0, len(texts) if model else 0, 256):
                 own = [t or "" for t in texts[k : k + 256]]

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import materialized, text_rows
+from .common import materialized, sliced, text_rows
+from .exchange import placed as placed_rows
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -248,7 +249,7 @@ def cut(tokenizer_path: str, capacity: int, end_id: int, max_words: int):
         import zlib
 
         words, end = word_ids(tokenizer_path, max_words), np.array([end_id], "<u4")
-        for batch in batches:
+        for batch in sliced(batches):
             cols: list[list[int]] = [[], [], [], [], []]
             texts = [x or "" for x in batch.column("text").to_pylist()]
             for doc, ids in zip(batch.column("doc_id").to_pylist(), words.encode_many(texts), strict=True):
@@ -283,11 +284,12 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     plan = minimum_slack(histogram, capacity)
     table = spark.sparkContext.broadcast(slot_arrays(slots(plan)))
     salts = max(8, -(-max(histogram.values(), default=1) // rows_per_salt))
-    salted = made.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    made, place = placed_rows(made)
+    salted = made.withColumn("place", place).withColumn("salt", F.pmod("place", F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "salt").count()
     before = W.Window.partitionBy("length").orderBy("salt").rowsBetween(W.Window.unboundedPreceding, -1)
     offsets = counts.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
-    rank = F.row_number().over(W.Window.partitionBy("length", "salt").orderBy("doc_id", "piece"))
+    rank = F.row_number().over(W.Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "place"))
     ranked = salted.withColumn("rank", rank.cast("long")).join(F.broadcast(offsets) if salts * len(histogram) <= 100_000 else offsets, ["length", "salt"])
     placed = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("ahead") + F.col("rank") - 1).alias("rank"))
     return placed.mapInArrow(seated(table), f"{PIECES}, sequence_id long, offset long")

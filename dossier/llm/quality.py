@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_rows
+from .common import sliced, text_rows
 from .quality_rules import SYMBOLS, duplicate_lines, repeated_words
 
 UPPER, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
@@ -80,7 +80,7 @@ def with_properties(texts: DataFrame) -> DataFrame:
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
+        for batch in sliced(batches):
             x = [properties(t.as_py(), compress) for t in batch.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
 
@@ -186,7 +186,7 @@ def quality(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, l
         import zstandard
 
         compress, model = zstandard.ZstdCompressor(level=1).compress, shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             score = np.full(batch.num_rows, 0.5)
             if model and batch.num_rows:
                 x = np.array([properties(t.as_py(), compress) for t in batch.column("text").cast(pa.binary())])

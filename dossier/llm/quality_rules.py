@@ -21,9 +21,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_rows
+from .common import kept_rows, sliced, text_rows
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -90,7 +89,7 @@ def judged(bands: Bands):
         compress = zstandard.ZstdCompressor(level=bands.level).compress
         names = [c.strip().split()[0] for c in SCHEMA.split(",")]
         types = [pa.int64()] * 6 + [pa.bool_(), pa.bool_(), pa.float64(), pa.int64(), pa.int64(), pa.string()]
-        for batch in batches:
+        for batch in sliced(batches):
             ids, out = batch.column("doc_id"), []
             for text in batch.column("text").cast(pa.binary()):
                 out.append(_row(text.as_py(), bands, compress))
@@ -138,15 +137,14 @@ def quality_rules(docs: DataFrame, bands: Bands | None = None, id_col: str = "do
 
 
 def filtered(docs: DataFrame, bands: Bands | None = None) -> DataFrame:
-    """The documents that pass, with all their columns: the check runs as a column, so no join is needed."""
+    """The documents that pass, with all their columns."""
     rules = bands or Bands()
 
-    @F.pandas_udf("boolean")
-    def kept(texts):
-        import pandas as pd
+    def judge(parts: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=rules.level).compress
-        return pd.Series([_row(None if t is None else t.encode(), rules, compress)[6] for t in texts], dtype=bool)
+        for part in parts:
+            yield part, pa.array([_row(t.as_py(), rules, compress)[6] for t in part.column(text).cast(pa.binary())], pa.bool_())
 
-    return bounded_batches(docs).where(kept(F.col("text").cast("string")))
+    return kept_rows(docs, "text", judge)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialized, remove_path, scratch_path, text_rows
+from .common import materialized, remove_path, scratch_path, sliced, text_rows
 from .components import connected_components
 from .exchange import placed
 
@@ -66,7 +66,7 @@ def fingerprints(texts: DataFrame, shingle: int = 3, seed: int = 42) -> DataFram
     """The rows with fp LONG, of the whole text, instead of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             raws = batch.column("text").cast(pa.binary())
             made = pa.array([fingerprint(t.as_py(), shingle, seed) for t in raws], pa.int64())
             others = [c for c in batch.schema.names if c != "text"]
@@ -154,7 +154,7 @@ def one_of_each(docs: DataFrame, radius: int = 2, shingle: int = 3, seed: int =
     name = next(n for n in ("row", *(f"row{k}" for k in range(len(docs.columns)))) if n not in docs.columns)
     docs, place = placed(docs)
     keyed = docs.select("*", place.alias(name))
-    texts = bounded_batches(keyed).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(name).alias("row"))
+    texts = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(name).alias("row"))
     made, fps = grouped(texts, radius, shingle, seed, cell_cap)
     # copies collapse before anything is joined, so that a fingerprint of many rows is one row
     first = made.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")).alias("first"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_rows
+from .common import sliced, text_rows
 from .decontamination import FOLD
 from .exchange import mixed
 
@@ -105,7 +105,7 @@ def packed_features(sample: DataFrame, bits: int) -> list[tuple[np.ndarray, int]
     """The training features, hashed by the tasks; what comes to the driver is bounded by the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             raws = batch.column("text").cast(pa.binary()).to_pylist()
             packed = [np.unique(grams([raw], bits)[1]).astype("<u4").tobytes() for raw in raws]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(packed, pa.binary())], ["doc_id", "label", "features"])
@@ -125,7 +125,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, allowed: Column | None = None,
         dense = np.zeros(1 << how.bits)
         if model.value:
             dense[model.value[0]] = model.value[1]
-        for batch in batches:
+        for batch in sliced(batches):
             raws, score = batch.column("text").cast(pa.binary()).to_pylist(), np.zeros(batch.num_rows)
             for k in range(0, len(raws), 512):
                 own = raws[k : k + 512]
