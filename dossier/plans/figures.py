@@ -74,7 +74,11 @@ def best_caption(spark: SparkSession, d: str) -> DataFrame:
     return best_captions(captions(spark, d).select("doc", F.col("p_partkey").alias("order"), kind.alias("type"), F.col("caption").alias("text")))
 
 
-@query()
+@query(r"""WITH RECURSIVE line AS (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents),
+fold(doc_id, w, i, last, kept) AS (SELECT doc_id, w, 0, NULL::varchar, '' FROM line
+  UNION ALL SELECT doc_id, w, i + 1, CASE WHEN skip THEN last ELSE x END, CASE WHEN skip THEN kept ELSE kept || ' ' || x END
+  FROM (SELECT *, w[i + 1] AS x, last IS NOT NULL AND (w[i + 1] = last OR contains(lower(last), lower(w[i + 1]))) AS skip FROM fold WHERE i < len(w)))
+SELECT doc_id, trim(regexp_replace(kept, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS caption FROM fold WHERE i = len(w)""")
 def caption_merge(spark: SparkSession, d: str) -> DataFrame:
     """Lines of each document as blocks in reading order, repeats of the part before left out."""
     return table(spark, d, "documents").select("doc_id", merged_captions(F.split("text", "\n")).alias("caption"))

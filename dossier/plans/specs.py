@@ -184,7 +184,10 @@ def case_prefix_context(spark: SparkSession, d: str) -> DataFrame:
     return got.select("sample_id", "place", "episode", "view_id", "step")
 
 
-@query()
+@query("""WITH e AS (SELECT l_orderkey, l_linenumber AS n, '/img/' || l_partkey || '.png' AS p FROM lineitem WHERE l_linenumber % 4 <> 0),
+i AS (SELECT l_orderkey, string_agg('{"episode":' || n || ',"image_path":"attached_image_' || k || '"}', ',' ORDER BY k) AS images FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n, p) AS k FROM e) GROUP BY 1)
+SELECT o.l_orderkey, 'Predict the next step.' || chr(10) || chr(10) || 'Context (JSON):' || chr(10) || '{"sample_id":' || o.l_orderkey || ',"images":[' || coalesce(images, '') || '],"note":null}' AS prompt
+FROM (SELECT DISTINCT l_orderkey FROM lineitem) o LEFT JOIN i USING (l_orderkey)""")
 def prompt_payload(spark: SparkSession, d: str) -> DataFrame:
     """Prompts of orders: their lines as episodes, images by position."""
     li = table(spark, d, "lineitem")
