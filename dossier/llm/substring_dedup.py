@@ -1,7 +1,7 @@
 """Log-structured fingerprint index for repeated word windows.
 
 The index is a folder of runs. A run is the sorted window hashes of one batch, cut into hash buckets and never changed; each
-bucket of it is one row of a bucketed table, so that a bucket of all runs is read by one task without a shuffle. A batch's
+bucket of it is some rows of a bucketed table, so that a bucket of all runs is read by one task without a shuffle. A batch's
 own windows are dealt to the buckets, each chunk of texts sending its sorted, different windows; there they are merge-joined
 with the runs of history and with each other. A window is removed where history has it, or where a smaller document of the
 batch has it. A match of the 64-bit hash is verified by a second hash of 24 bits that is computed independently. Windows that
@@ -39,6 +39,8 @@ RESULT = "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 s
 SENT = "bucket int, chunk int, payload binary"
 #: A run's table has the run itself in rows of no chunk, and in a column of their own the answers to its batch's chunks.
 KEPT = f"{SENT}, answer binary"
+#: Windows in one row of a run.
+PART = 1 << 16
 
 
 class Windows:
@@ -118,9 +120,16 @@ def sent_run(w: Windows, n_buckets: int) -> list[tuple[int, bytes]]:
     return [(b, parts(pack_run(k.first[i:j], k.second[i:j]), pack(least[i:j]))) for b, i, j in by_bucket(k.first, n_buckets)]
 
 
-def in_run(first: np.ndarray, second: np.ndarray, run: bytes) -> np.ndarray:
-    """Merge-join of rising keys with a run: which of them it has. Equal first hashes are verified by the second ones."""
-    theirs, verify = unpack_run(run)
+def mark_known(keys: Keys, run: bytes, known: np.ndarray) -> None:
+    """Merge-join of rising keys with a part of a run, whose range is all that is looked at."""
+    theirs = unpack_run(run)
+    if len(theirs[0]):
+        i, j = np.searchsorted(keys.first, theirs[0][0]), np.searchsorted(keys.first, theirs[0][-1], side="right")
+        known[i:j] |= in_run(keys.first[i:j], keys.second[i:j], *theirs)
+
+
+def in_run(first: np.ndarray, second: np.ndarray, theirs: np.ndarray, verify: np.ndarray) -> np.ndarray:
+    """Which of some rising keys a run has. Equal first hashes are verified by the second ones."""
     out = np.zeros(len(first), bool)
     at = np.searchsorted(theirs, first)
     while len(left := np.flatnonzero((at < len(theirs)) & ~out)):
@@ -138,7 +147,7 @@ def judged(sent: pa.Table, history: pa.Table) -> pa.Table:
     """Work on a bucket of a batch: a bit for each window that a chunk sent, 1 if history or a smaller document has it; and
     the batch's own run, of the windows that history doesn't have."""
     if not sent.num_rows:
-        return kept_rows(0, [], None)
+        return run_rows(0, [], [])
     runs, ids = [], []
     for raw in sent.column("payload").to_pylist():
         run, owners = unparts(raw)
@@ -146,28 +155,31 @@ def judged(sent: pa.Table, history: pa.Table) -> pa.Table:
         ids.append(unpack(owners))
     keys = Keys(np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]))
     known = np.zeros(len(keys.first), bool)
-    for raw in history.column("payload").to_pylist():
-        known |= in_run(keys.first, keys.second, raw)
+    for raw in history.column("payload"):
+        mark_known(keys, raw.as_py(), known)
     late = keys.late(np.concatenate(ids), known)
     ends = np.cumsum([len(i) for i in ids]).tolist()
     bits = [late[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
     told = [(chunk, np.packbits(own).tobytes()) for chunk, own in zip(sent.column("chunk").to_pylist(), bits, strict=True) if own.any()]
-    return kept_rows(sent.column("bucket")[0].as_py(), told, pack_run(keys.first[~known], keys.second[~known]))
+    return run_rows(sent.column("bucket")[0].as_py(), told, run_parts(keys.first[~known], keys.second[~known]))
+
+
+def run_parts(first: np.ndarray, second: np.ndarray) -> list[bytes]:
+    """A bucket of a run in rows of some hundred KB each, in rising order."""
+    return [pack_run(first[k : k + PART], second[k : k + PART]) for k in range(0, len(first), PART)]
 
 
-def kept_rows(bucket: int, answers: list[tuple[int, bytes]], run: bytes | None) -> pa.Table:
-    chunks, told = [c for c, _ in answers], [p for _, p in answers]
-    if run is not None:
-        chunks, told = [*chunks, None], [*told, None]
-    payload = [None] * len(answers) + [run] * (run is not None)
-    return rows({"bucket": ([bucket] * len(chunks), pa.int32()), "chunk": (chunks, pa.int32()), "payload": (payload, pa.binary()), "answer": (told, pa.binary())})
+def run_rows(bucket: int, answers: list[tuple[int, bytes]], run: list[bytes]) -> pa.Table:
+    n, m = len(answers), len(run)
+    columns = {"bucket": [bucket] * (n + m), "chunk": [c for c, _ in answers] + [None] * m, "payload": [None] * n + run, "answer": [p for _, p in answers] + [None] * m}
+    return rows({c: (v, pa.int32() if c in ("bucket", "chunk") else pa.binary()) for c, v in columns.items()})
 
 
 def merged(table: pa.Table) -> pa.Table:
     """Work on a bucket of some runs: one run of all of them."""
     runs = [unpack_run(p) for p in table.column("payload").to_pylist()]
     keys = Keys(np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]))
-    return kept_rows(table.column("bucket")[0].as_py(), [], pack_run(keys.first, keys.second))
+    return run_rows(table.column("bucket")[0].as_py(), [], run_parts(keys.first, keys.second))
 
 
 def late_windows(w: Windows, answers: pa.Table, n_buckets: int) -> np.ndarray:

@@ -8,11 +8,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from dossier.llm import substring_dedup as substring_module
 from dossier.llm.components import connected_components
 from dossier.llm.esa import maximal_repeats
 from dossier.llm.exchange import pack, pack_sorted, unpack, unpack_sorted
 from dossier.llm.simhash import fingerprint, near_duplicates, one_of_each
-from dossier.llm.substring_dedup import KEPT, FingerprintIndex, Keys, in_run, merged, pack_run, substring_dedup, substring_dedup_rows
+from dossier.llm.substring_dedup import KEPT, FingerprintIndex, Keys, in_run, mark_known, merged, pack_run, run_parts, substring_dedup, substring_dedup_rows, unpack_run
 from dossier.llm.suffix_dedup import Anchored, reaches, repeat_groups, suffix_dedup
 
 from .fixtures import docs, prose, texts
@@ -73,8 +74,21 @@ def test_two_windows_with_one_first_hash():
     keys = Keys(a, b)
     assert keys.first.tolist() == [5, 5, 9] and keys.second.tolist() == [1, 7, 2]
     assert keys.late(np.array([3, 3, 3, 8]), np.array([False, False, True])).tolist() == [False, True, False, True]
-    run = pack_run(np.array([5, 5, 9], np.uint64), np.array([1, 7, 3], np.uint64))
-    assert in_run(keys.first, keys.second, run).tolist() == [True, True, False]
+    run = unpack_run(pack_run(np.array([5, 5, 9], np.uint64), np.array([1, 7, 3], np.uint64)))
+    assert in_run(keys.first, keys.second, *run).tolist() == [True, True, False]
+
+
+def test_parts_of_a_run(monkeypatch):
+    """However many rows a bucket of a run has, its windows are known."""
+    rng = np.random.default_rng(2)
+    own, theirs = (Keys(rng.integers(0, 900, 500, dtype=np.uint64), rng.integers(0, 2, 500, dtype=np.uint64)) for _ in range(2))
+    pairs = set(zip(theirs.first.tolist(), theirs.second.tolist(), strict=True))
+    for part in (1, 7, 1 << 16):
+        monkeypatch.setattr(substring_module, "PART", part)
+        known = np.zeros(len(own.first), bool)
+        for raw in run_parts(theirs.first, theirs.second):
+            mark_known(own, raw, known)
+        assert known.tolist() == [p in pairs for p in zip(own.first.tolist(), own.second.tolist(), strict=True)]
 
 
 def test_substring_dedup_empty(spark):
