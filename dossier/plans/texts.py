@@ -187,9 +187,11 @@ def abstract_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def similar_passages(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of documents and benchmark items that are much alike: every pair that reaches the threshold."""
-    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("text")).where("text <> ''").distinct()
+    """Lines of documents, and items that were copied with another first word (negative ids), that are much like benchmark items:
+    every pair that reaches the threshold."""
     items = table(spark, d, "benchmark").select("item_id", F.regexp_replace("text", "\n", " ").alias("text"))
+    copied = items.select((-1 - F.col("item_id")).alias("doc_id"), F.regexp_replace("text", r"^\S+", "Another").alias("text"))
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("text")).union(copied).where("text <> ''").distinct()
     pairs = similar_pairs(lines.withColumnRenamed("text", "a"), items.withColumnRenamed("text", "b"), "a", "b")
     return pairs.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity")).distinct()
 

@@ -7,7 +7,9 @@ from decimal import Decimal
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from dossier.functions.text import compare_form, nfkc
 from dossier.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -50,3 +52,25 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_similar_passages_against_all_pairs(spark, sql):
+    """Every pair of a line and an item whose ratio reaches the threshold, by comparing them all."""
+    import re
+    from difflib import SequenceMatcher
+
+    got = {(r.doc_id, r.item_id): r.similarity for r in catalog.queries()["similar_passages"](spark, DATA).collect()}
+    forms = dict(spark.createDataFrame([(t,) for t in sorted({t for (t,) in sql.sql("SELECT text FROM benchmark").fetchall()})], "t string").select("t", compare_form(nfkc(F.regexp_replace("t", "\n", " ")))).collect())
+    items = [(i, forms[t], re.sub(r"^\S+", "Another", t.replace("\n", " "))) for i, t in sql.sql("SELECT item_id, text FROM benchmark").fetchall()]
+    changed = dict(spark.createDataFrame([(t,) for _, _, t in items], "t string").select("t", compare_form(nfkc("t"))).collect())
+    lines = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", F.explode(F.split("text", "\n")).alias("t")).where("t <> ''").distinct().select("doc_id", compare_form(nfkc("t")).alias("f")).collect()
+    lines = [(r.doc_id, r.f) for r in lines] + [(-1 - i, changed[t]) for i, _, t in items]
+    want = {}
+    for item, form, _ in items:
+        for doc, line in lines:
+            m, n = len(line), len(form)
+            if m and n and abs(m - n) <= 0.25 * max(m, n) and 2 * min(m, n) / (m + n) >= 0.92:
+                ratio = SequenceMatcher(None, line, form).ratio()
+                if ratio >= 0.92:
+                    want[doc, item] = max(want.get((doc, item), 0), round(ratio, 6))
+    assert got.keys() == want.keys() and len(want) >= len(items) / 2
