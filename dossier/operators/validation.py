@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import distinct_ignoring_case
-from ..functions.text import blank_to_null
+from ..functions.text import blank_to_null, slug
+from .ids import unique_ids
 from .summaries import first_wins
 
 VIOLATION = "entity_id string, rule string, message string"
@@ -95,6 +96,7 @@ def coordination_rules() -> dict[str, tuple[Column, Column]]:
         "source": (~among(source, "known_views", place), name(source, place)),
         "source_capability": (own.isNotNull() & ~among(own, "known_capabilities", part), name(own, part)),
         "source_capability_parent": (own.isNotNull() & ~same(own, source, place), name(own, part)),
+        "some_capability": (own.isNull() & (F.size(F.coalesce("target_capabilities", F.array())) == 0), F.lit("a coordination needs a capability")),
         **told,
     }
 
@@ -206,6 +208,18 @@ def contiguous_from_one(rows: DataFrame, parent: str, index: str) -> DataFrame:
     return own.where("low <> 1 or high <> n or d <> n").select(F.col(parent).cast("string").alias("entity_id"), F.lit("contiguous").alias("rule"), F.concat_ws("..", "low", "high").alias("message"))
 
 
+def unique_case_ids(cases: DataFrame) -> DataFrame:
+    """cases (spec_id, pos, case_id, case_title) with case_id: as given, else a slug of the title, else case-<n>; unique in the specification."""
+    base = F.coalesce(blank_to_null("case_id"), slug("case_title", F.concat(F.lit("case-"), F.col("pos").cast("string"))))
+    named = unique_ids(cases.select(F.col("spec_id").cast("string").alias("scope"), base.alias("base"), F.col("pos").cast("long").alias("pos"), "spec_id"))
+    return cases.drop("case_id").join(named.select("spec_id", F.col("pos"), F.col("id").alias("case_id")), ["spec_id", "pos"])
+
+
+def distinct_claims(claims: Column | str) -> Column:
+    """Claims without repeats, whatever their case; null if there are none."""
+    return distinct_ignoring_case(claims)
+
+
 def childless(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
     return parents.select(key).distinct().join(children.select(key).distinct(), key, "left_anti").select(F.col(key).cast("string").alias("entity_id"), F.lit("no_children").alias("rule"), F.lit("").alias("message"))
 
