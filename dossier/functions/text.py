@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: White space of all scripts, and the four ASCII separators.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
+#: What a figure's number, its label and body text look like.
 FIGURE_NUMBER = r"(?i)\bfig(?:ure)?\.?\s*(\d+)\b"
 FIGURE_PREFIX = r"(?i)^\s*fig(?:ure)?\.?\s*\d+\b"
 BODY_TEXT = r"(?i)\b(Abstract|Introduction|CCS Concepts)\b"
@@ -17,8 +18,9 @@ BODY_TEXT = r"(?i)\b(Abstract|Introduction|CCS Concepts)\b"
 CAPTION_LABELS = (r"\bfig\.\s*", r"\bfig\s*", r"\bfigure\s*")
 CAPTION_MARK = "\\s*[.:：\\-–—]"
 #: Characters that a comparison drops, and those that it reads as a hyphen.
-ZERO_WIDTH = "​‌‍﻿"
-DASHES = "‐‑‒–—―−­"
+ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
+DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\u00ad"
+#: The flags that speak against a caption.
 HARD_FLAGS = ("empty_caption", "caption_prefix_unexpected", "caption_number_mismatch", "caption_contains_body_text")
 
 

@@ -151,12 +151,14 @@ def content_score(kinds: Column, image: float, drawing: float, mixed_text: float
 def teaser_score(box: Column, kinds: Column, caption: Column, page_height: Column) -> Column:
     """How likely a cluster belongs to the caption below it; null if it can't: not above, too small or too far."""
     gap = F.greatest(F.lit(0.0), caption["y0"] - box["y1"])
+    # fixed values: all thresholds and weights of the two scores
     able = (box["y1"] <= caption["y0"]) & (area(box) >= 2500) & (gap <= 0.28 * page_height)
     return F.when(able, content_score(kinds, 25.0, 20.0, 8.0) + F.least(F.lit(30.0), area(box) / 4000) - gap / 3)
 
 
 def front_page_score(box: Column, kinds: Column, title_bottom: Column, abstract: Column, page_height: Column) -> Column:
     """How likely a cluster on the first page is its teaser, without a caption; null if it is too small or too low."""
+    # fixed values, as above
     able = (area(box) >= 4000) & (box["y0"] <= 0.68 * page_height)
     band = F.when(box["y0"] >= title_bottom, 20.0).otherwise(-15.0)
     above = 25.0 - F.greatest(F.lit(0.0), abstract["y0"] - box["y1"]) / 3
