@@ -43,7 +43,7 @@ PLACE = np.uint64((1 << 28) - 1)
 class Anchored:
     """A chunk's bytes in one buffer, and the runs of windows that have the same anchor."""
 
-    def __init__(self, texts: pa.Table, least: int, segment: int = 2 * MB, block: int = 128 * MB) -> None:
+    def __init__(self, texts: pa.Table, least: int, segment: int = 64 << 10, block: int = 64 << 10) -> None:
         self.least = least
         self.ids = texts.column("doc_id").to_pylist()
         self.rows = texts.column("row").to_pylist() if "row" in texts.column_names else []
@@ -81,7 +81,7 @@ class Anchored:
                 k += 1
 
     def _runs(self, block: int) -> None:
-        """Runs of all windows; the buffer in blocks of whole segments, so that a place in a block has PLACE bits."""
+        """Runs of all windows; the buffer in blocks of whole segments, which fit the processor's caches, and whose places fit PLACE."""
         done, first = [], 0
         for k, (_, _, at, size) in enumerate(self.segments):
             last = k + 1 == len(self.segments)
