@@ -4,10 +4,11 @@ The fingerprint's 64 bits form 32 segments of two. The popcounts of the segments
 dimensions, and the Manhattan distance there never exceeds the number of differing bits. Written in unary (0, 1, 2 as
 00, 01, 11), the popcounts fill 64 bits again, so that their Manhattan distance is the bit count of an exclusive or.
 
-Two points at distance r (up to 2) or less differ in at most r of r + 3 groups of dimensions, so they share a grid cell in some
-projection to three of the groups. The join on those cells keeps pairs by Manhattan distance and verifies them by the
-bits. A cell of more than `cell_cap` fingerprints isn't joined with itself: its fingerprints are linked through common neighbours at one bit, 65 rows each, which finds the same links without pairs. Only different
-fingerprints take part; copies are counted at their fingerprint and come back at the end.
+Two points at distance r (up to 2) or less differ in at most r of r + 3 groups of dimensions, so they share a grid cell in
+some projection to three of the groups. The join on those cells keeps pairs by Manhattan distance and verifies them by
+the bits. A cell of more than `cell_cap` fingerprints isn't joined with itself: its fingerprints are linked through
+common neighbours at one bit, 65 rows each, which finds the same links without pairs. Only different fingerprints take
+part; copies are counted at their fingerprint and come back at the end.
 
 Defined results: null, empty and white-space texts have fingerprint zero and are linked like others. Repeated rows come
 back each. A null id has the component of its fingerprint; component_id is the smallest id that isn't null. Very long
