@@ -69,13 +69,17 @@ class Windows:
         self.second = self._sums((hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15), 3)[self.at] >> np.uint64(40) if len(self.at) else np.zeros(0, np.uint64)
         self.keys = Keys(self.first, self.second)
 
-    def _sums(self, hashes: np.ndarray, seed: int) -> np.ndarray:
-        """A hash of the window from each word on."""
+    def _sums(self, hashes: np.ndarray, seed: int, block: int = 1 << 14) -> np.ndarray:
+        """A hash of the window from each word on, in blocks that fit the processor's caches."""
         out = np.zeros(len(hashes) - self.window + 1, np.uint64)
         factors = mixed(np.arange(seed * 64 + 1, seed * 64 + 1 + self.window, dtype=np.uint64)) | np.uint64(1)
-        for j in range(self.window):
-            out += hashes[j : j + len(out)] * factors[j]
-        return mixed(out)
+        held = np.empty(block, np.uint64)
+        for at in range(0, len(out), block):
+            own = out[at : at + block]
+            for j in range(self.window):
+                own += np.multiply(hashes[at + j : at + j + len(own)], factors[j], out=held[: len(own)])
+            own[:] = mixed(own)
+        return out
 
 
 class Keys:
