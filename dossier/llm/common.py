@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,6 +31,14 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE_BYTES, side="right")))
             yield batch.slice(at, end - at)
             at = end
+    released()
+
+
+def released() -> None:
+    """Give memory that is free back to the system: a worker lives on after its task, beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def kept_rows(df: DataFrame, text_col: str, judge: Callable[[Iterator[pa.RecordBatch], str], Iterator[tuple[pa.RecordBatch, pa.Array]]]) -> DataFrame:
