@@ -22,13 +22,14 @@ WHITESPACE = b" \t\n\r\x0b\x0c"
 SLICE_BYTES = 8 << 20
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most SLICE_BYTES of text each, or of one row. Slices share the batch's memory."""
+def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `size` or else SLICE_BYTES of text each, or of one row. Slices share the batch's memory."""
+    size = size or SLICE_BYTES
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
         while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + size, side="right")))
             yield batch.slice(at, end - at)
             at = end
     released()
