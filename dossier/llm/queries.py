@@ -92,6 +92,14 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
 
+def op12_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .online_packing import pack_online
+
+    return pack_online(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")), capacity=2048, end_id=1)
+
+
 def queries() -> dict[str, Query]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
