@@ -100,6 +100,12 @@ def op12_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_online(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")), capacity=2048, end_id=1)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -141,8 +147,29 @@ s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (5
 SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50
 """
 
+AUDIT = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda w: w <> '') AS w FROM documents),
+e AS (SELECT text, min(doc_id) AS first_id FROM d GROUP BY text),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+v AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text), regexp_matches(text, '[#$%&*|]'), doc_id > first_id] AS fails
+  FROM d JOIN e USING (text) LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, count_if(good) AS n_good, count_if(toxic) AS n_toxic FROM v GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a JOIN x b ON a.x <> b.x JOIN x c ON c.x NOT IN (a.x, b.x) JOIN x d ON d.x NOT IN (a.x, b.x, c.x) JOIN x e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+s AS (SELECT filter_order, step, list_transform(string_split(filter_order, ''), lambda y: ascii(y) - 64) AS f FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step, f[step] AS own, fails[f[step]] AS failed, list_bool_or(list_transform(f[1 : step - 1], lambda i: fails[i])) AS gone,
+  len(list_filter(fails, lambda y: y)) = 1 AS alone, n, n_good, n_toxic FROM s, c),
+m AS (SELECT part, filter_order, step, any_value(own) AS own,
+  coalesce(sum(n) FILTER (WHERE NOT coalesce(gone, false) AND NOT failed), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE NOT coalesce(gone, false) AND failed), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (WHERE coalesce(gone, false) AND failed), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE failed AND alone), 0)::BIGINT AS unique_fails,
+  coalesce(sum(n_good) FILTER (WHERE NOT coalesce(gone, false) AND failed), 0)::BIGINT AS good_lost, coalesce(sum(n_toxic) FILTER (WHERE NOT coalesce(gone, false) AND failed), 0)::BIGINT AS toxic_lost
+  FROM r GROUP BY part, filter_order, step)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM m
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     from .license_scan import oracle
 
-    return {"op3_license_scan": oracle(), "op7_substring_dedup": SUBSTRINGS, "op9_benchmark_decontamination": HITS, "op11_ranked_search": RANKED}
+    return {"op3_license_scan": oracle(), "op7_substring_dedup": SUBSTRINGS, "op9_benchmark_decontamination": HITS, "op11_ranked_search": RANKED, "op13_filter_audit": AUDIT}
