@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, strip
+from .text import col, let, strip
 
 
 def or_empty(c: Column | str, kind: str = "array<string>") -> Column:
@@ -18,13 +18,13 @@ def distinct_stripped(c: Column | str) -> Column:
 
 
 def distinct_ignoring_case(c: Column | str) -> Column:
-    """As distinct_stripped, but spellings that differ in case are one, the first stays, and an empty list is null. By sorting, so
-    that a long list costs little more than a short one for each entry."""
+    """As distinct_stripped, but spellings that differ in case are one, the first stays, and an empty list is null. By sorting, each
+    list once, so that a long list costs little more than a short one for each entry."""
     own = F.filter(F.transform(or_empty(c), strip), lambda x: x.isNotNull() & (x != ""))
-    placed = F.array_sort(F.transform(own, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x"))))
-    first = F.flatten(F.transform(F.array(placed), lambda s: F.filter(s, lambda e, i: (i == 0) | (e["k"] != F.get(s, i - 1)["k"]))))
-    kept = F.transform(F.array_sort(F.transform(first, lambda e: F.struct(e["i"], e["x"]))), lambda e: e["x"])
-    return F.when(F.size(kept) > 0, kept)
+    placed = F.sort_array(F.transform(own, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x"))))
+    first = let(placed, lambda s: F.filter(s, lambda e, i: (i == 0) | (e["k"] != F.get(s, i - 1)["k"])))
+    kept = F.transform(F.sort_array(F.transform(first, lambda e: F.struct(e["i"], e["x"]))), lambda e: e["x"])
+    return let(kept, lambda k: F.when(F.size(k) > 0, k))
 
 
 def strings_of(variant: Column | str) -> Column:
@@ -48,7 +48,7 @@ def same_set(a: Column | str, b: Column | str) -> Column:
 def with_missing(own: Column | str, needed: Column | str, in_order: bool = True) -> Column:
     """A list and what it lacks of another one: behind its own entries, or all sorted (nulls first)."""
     both = F.array_union(col(own), col(needed))
-    return both if in_order else F.array_sort(both)
+    return both if in_order else F.sort_array(both)
 
 
 def contiguous(c: Column | str) -> Column:

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 
 def matched_rows(df: DataFrame, other: DataFrame, keys: str | list[str], message: str) -> DataFrame:
-    """df with the rows of the other table; a row without one is an error when it is read, so that there is one join and no job
-    before it."""
+    """df with the rows of the other table; a row without one is an error. The check is a filter on the join, so it holds whatever
+    columns are read, rows that are only counted included; there is one join and no job before it."""
     keys = [keys] if isinstance(keys, str) else keys
     joined = df.join(other.withColumn("_there", F.lit(True)), keys, "left")
     told = F.concat(F.lit(message), F.to_json(F.struct(*keys)) if len(keys) > 1 else F.coalesce(F.col(keys[0]).cast("string"), F.lit("null")))
-    checked = F.when(F.col("_there"), F.col(keys[0])).otherwise(F.raise_error(told).cast(df.schema[keys[0]].dataType))
-    return joined.withColumn(keys[0], checked).drop("_there")
+    return joined.where(F.when(F.col("_there"), F.lit(True)).otherwise(F.raise_error(told).cast("boolean"))).drop("_there")

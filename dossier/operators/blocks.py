@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from ..functions.text import compare_form, nfkc, squeeze
+from .similar import alike
 
 SKIPPED = r"(?is)<(script|style|nav|footer|header|head)[ >].*?</(script|style|nav|footer|header|head)>|<!--.*?-->"
 #: Tags that end a block, opening or closing; all others are inside one.
@@ -111,13 +107,6 @@ def numbered(blocks: DataFrame, id_col: str) -> DataFrame:
     return blocks.withColumn("order_index", F.row_number().over(W.Window.partitionBy(id_col).orderBy("pos")).cast("long") - 1)
 
 
-@F.pandas_udf(T.DoubleType())
-def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-    from difflib import SequenceMatcher
-
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
 def similarity(a: Column, b: Column) -> Column:
     """Matching-block ratio of two comparison forms; null where lengths differ by more than a quarter or one is empty.
 
@@ -128,84 +117,6 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(near, alike(F.when(near, a).otherwise(""), F.when(near, b).otherwise("")))
 
 
-BINS = 64
-
-
-def histograms(texts: list[str]) -> np.ndarray:
-    """How often each text has the characters of each bin (code point modulo BINS)."""
-    lens = np.fromiter(map(len, texts), np.int64, len(texts))
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) % BINS
-    rows = np.repeat(np.arange(len(texts)), lens)
-    return np.bincount(rows * BINS + codes, minlength=len(texts) * BINS).reshape(-1, BINS).astype(np.int32)
-
-
-def close_texts(left: list[str], right: list[str], threshold: float) -> Iterator[tuple[int, int, float]]:
-    """(index in left, index in right, ratio) of all pairs that pass the length test and reach the threshold.
-
-    A ratio is 2 M / (m + n) for M matched of m and n characters. M is at most the number of characters that both have,
-    and so each pair is compared whose lengths and character counts leave room for the threshold; no other can reach it.
-    """
-    from difflib import SequenceMatcher
-
-    order = sorted((i for i, t in enumerate(left) if t), key=lambda i: len(left[i]))
-    if not order:
-        return
-    lens, held = np.array([len(left[i]) for i in order]), histograms([left[i] for i in order])
-    slack = 1 - threshold + 1e-9
-    for j, (text, own) in enumerate(zip(right, histograms(right), strict=True)):
-        n = len(text)
-        if not n:
-            continue
-        lo, hi = np.searchsorted(lens, 0.75 * n - 1), np.searchsorted(lens, n / 0.75 + 1, side="right")
-        m = lens[lo:hi]
-        fits = (np.abs(m - n) <= 0.25 * np.maximum(m, n)) & (np.abs(m - n) <= slack * (m + n))
-        rows = lo + np.flatnonzero(fits)
-        apart = np.abs(held[rows] - own).sum(axis=1)
-        matcher = SequenceMatcher(None, "", text)
-        for k in rows[apart <= slack * (lens[rows] + n)].tolist():
-            matcher.set_seq1(left[order[k]])
-            ratio = matcher.ratio()
-            if ratio >= threshold:
-                yield order[k], j, ratio
-
-
-def similar_pairs(left: DataFrame, right: DataFrame, a: str, b: str, threshold: float = 0.92, block_chars: int = 4_000_000) -> DataFrame:
-    """All pairs that pass the length test of `similarity` and reach the threshold.
-
-    The right texts are sent to all tasks in blocks of about `block_chars` characters; a task holds one block and one
-    Arrow batch of left texts. Work grows with the product of both sides, as far as lengths are near: the right side
-    should be the small one. Left texts don't move.
-    """
-    x = left.withColumn("_fa", compare_form(nfkc(a)))
-    y = right.withColumn("_fb", compare_form(nfkc(b))).where("_fb <> ''")
-    blocks, block, size = [], [], 0
-    for (text,) in y.select("_fb").distinct().toLocalIterator():
-        if block and size + len(text) > block_chars:
-            blocks.append(left.sparkSession.sparkContext.broadcast(block))
-            block, size = [], 0
-        block.append(text)
-        size += len(text)
-    blocks.append(left.sparkSession.sparkContext.broadcast(block))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            forms = batch.column("_fa").to_pylist()
-            rows: dict[str, list[int]] = {}
-            for i, form in enumerate(forms):
-                rows.setdefault(form or "", []).append(i)
-            texts = list(rows)
-            for block in blocks:
-                own = block.value
-                for i, j, ratio in close_texts(texts, own, threshold):
-                    at = rows[texts[i]]
-                    out = batch.take(pa.array(at)).drop_columns(["_fa"])
-                    yield out.append_column("_fb", pa.array([own[j]] * len(at))).append_column("similarity", pa.array([ratio] * len(at)))
-
-    kind = T.StructType([*left.schema.fields, T.StructField("_fb", T.StringType()), T.StructField("similarity", T.DoubleType())])
-    met = x.mapInArrow(run, kind)
-    return met.join(y, "_fb").drop("_fb").select(*left.columns, *right.columns, "similarity").distinct()
-
-
 def abstract_prefixed(blocks: DataFrame, abstracts: DataFrame, id_col: str, threshold: float = 0.92) -> DataFrame:
     """Blocks of documents with an abstract behind a title 'Abstract' and, if no block is similar to it, the abstract itself."""
     texts = abstracts.select(id_col, squeeze("abstract").alias("abstract")).where("abstract <> ''")

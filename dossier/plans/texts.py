@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import distinct_ignoring_case, distinct_stripped, listed, strings_of, with_missing
 from ..functions.jsonx import first_object, is_object, ladder, parsed
 from ..functions.text import abstract, compare_form, initials, labelled_score, nfkc, pipe_list, safe_name, slug, squeeze, view_id
-from ..operators.blocks import abstract_prefixed, deduplicated, html_blocks, numbered, similar_pairs
+from ..operators.blocks import abstract_prefixed, deduplicated, html_blocks, numbered
 from ..operators.ids import coordination_id, hierarchical_ids, is_identifier, is_open_value, unique_ids
+from ..operators.similar import similar_pairs
 from .registry import query, table
 
 WORDS = """word AS (SELECT doc_id, pos, w FROM (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+') AS w FROM documents)) WHERE w <> '')"""
 
 
-def words(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.split("text", r"[ \t\n\x0B\f\r]+").alias("w"))
+def words(spark: SparkSession, d: str, which: Column | None = None) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return (docs if which is None else docs.where(which)).select("doc_id", F.split("text", r"[ \t\n\x0B\f\r]+").alias("w"))
 
 
 def listed_as(spark_list):
@@ -30,7 +32,8 @@ def ordered_dedupe_cs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {WORDS}, f AS (SELECT doc_id, arg_min(w, pos) AS w, min(pos) AS pos FROM word GROUP BY doc_id, lower(w)) SELECT doc_id, string_agg(w, '|' ORDER BY pos) AS w FROM f GROUP BY 1")
 def ordered_dedupe_ci(spark: SparkSession, d: str) -> DataFrame:
-    return words(spark, d).select("doc_id", F.coalesce(distinct_ignoring_case("w"), F.array().cast("array<string>")).alias("w")).where("size(w) > 0").select("doc_id", listed_as(F.col("w")).alias("w"))
+    """Documents without a word have no row; that is asked of the text, as a test of the list would compute it twice."""
+    return words(spark, d, F.col("text").rlike(r"[^ \t\n\x0B\f\r]")).select("doc_id", listed_as(distinct_ignoring_case("w")).alias("w"))
 
 
 @query("""WITH item AS (SELECT p_partkey, unnest(['  ' || p_brand, upper(p_brand), p_type || ' ', p_brand, NULL, '', lower(p_type), p_name]) AS w, generate_subscripts([1,2,3,4,5,6,7,8], 1) AS pos FROM part),

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from dossier.functions import arrays, geometry, jsonx, numbers, text
-from dossier.operators import blocks, context, figures, ids, validation
+from dossier.operators import blocks, context, figures, ids, similar, validation
 
 
 def one(spark, value, kind, expr):
@@ -311,7 +311,7 @@ def test_tei(spark):
 def test_similar_pairs(spark):
     a = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog today"), (2, "something else entirely in here for once")], "i long, a string")
     b = spark.createDataFrame([(7, "the quick brown fox jumps over the lazy dog today!"), (8, "x")], "j long, b string")
-    assert [(r.i, r.j) for r in blocks.similar_pairs(a, b, "a", "b").collect()] == [(1, 7)]
+    assert [(r.i, r.j) for r in similar.similar_pairs(a, b, "a", "b").collect()] == [(1, 7)]
 
 
 def test_similar_pairs_are_all_pairs(spark):
@@ -331,12 +331,43 @@ def test_similar_pairs_are_all_pairs(spark):
     ratio = lambda x, y: SequenceMatcher(None, x, y).ratio()
     near = lambda x, y: abs(len(x) - len(y)) <= 0.25 * max(len(x), len(y))
     want = {(i, j) for i, x in enumerate(lines) if x for j, y in enumerate(items) if near(x, y) and ratio(x, y) >= 0.92}
-    for size in (4_000_000, 500):
-        got = [(r.i, r.j) for r in blocks.similar_pairs(a, b, "a", "b", block_chars=size).collect()]
+    for bits in (26, 8):  # a bitmap that is full keeps nothing back
+        got = [(r.i, r.j) for r in similar.similar_pairs(a, b, "a", "b", bits=bits).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert (0, 0) in want and len(want) > 200
 
 
+@pytest.mark.parametrize("threshold", [0.65, 0.8, 0.92, 0.97])
+def test_similar_pairs_at_any_threshold(spark, threshold):
+    """Edits in every block of characters, insertions and deletions that shift what follows, texts of 1 to 7 words."""
+    from difflib import SequenceMatcher
+
+    rng = random.Random(int(threshold * 100))
+    items = ["".join(rng.choice("ab cde") for _ in range(n)).strip() or "a" for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 12, 17, 18, 23, 40, 41, 60, 100, 160) for _ in range(3)]
+    lines = []
+    for t in items:
+        for share in (0.03, 0.08, 0.15, 0.3):
+            own = list(t)
+            for k in range(max(1, int(share * len(t)))):
+                at = rng.randrange(len(own) + 1)
+                own[at : at + rng.choice([0, 0, 1])] = [rng.choice("abxyz")] * rng.choice([0, 1, 1])
+            lines.append("".join(own).strip())
+    a, b = spark.createDataFrame(list(enumerate(lines)), "i long, a string"), spark.createDataFrame(list(enumerate(items)), "j long, b string")
+    form = lambda t: re.sub(" +", " ", t)
+    near = lambda x, y: abs(len(x) - len(y)) <= 0.25 * max(len(x), len(y))
+    want = {(i, j) for i, x in enumerate(map(form, lines)) if x for j, y in enumerate(map(form, items)) if near(x, y) and SequenceMatcher(None, x, y).ratio() >= threshold}
+    assert {(r.i, r.j) for r in similar.similar_pairs(a, b, "a", "b", threshold).collect()} == want and len(want) > 60
+
+
+def test_similar_pairs_join_is_an_index(spark):
+    """No side goes to all tasks as a whole, and no pair is made without a common key."""
+    a = spark.createDataFrame([(1, "the quick brown fox jumps")], "i long, a string")
+    plan = similar.similar_pairs(a, a.select(F.col("i").alias("j"), F.col("a").alias("b")), "a", "b")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join Inner, .*key#\d+L = key#", plan) and "Cross" not in plan
+    with pytest.raises(ValueError):
+        similar.similar_pairs(a, a.withColumnRenamed("a", "b"), "a", "b", threshold=0.5)
+
+
 def test_prefixes(spark):
     episodes = spark.createDataFrame([("c", 1, "a"), ("c", 2, "b")], "case_id string, episode int, v string")
     ask = lambda p: spark.createDataFrame([("s", "c", p)], "sample_id string, case_id string, prefix array<int>")

@@ -4,6 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from dossier.functions import frames
 from dossier.operators import report, resultlog, summaries
 from dossier.operators.modelcall import answered, cache_misses, data_urls, run_model, run_samples
 from dossier.sources import readers
@@ -120,6 +121,20 @@ def test_pending_and_manifest(spark):
         resultlog.checked_join(samples, log, "sample_id").collect()
 
 
+def test_checks_hold_whatever_is_read(spark):
+    records = spark.createDataFrame([("a", 1), ("b", 2)], "sample_id string, v int")
+    manifest = spark.createDataFrame([("a", "case")], "sample_id string, title string")
+    joined = resultlog.checked_join(records, manifest, "sample_id")
+    reads = [lambda: joined.count(), lambda: joined.select("v").collect(), lambda: joined.select("title").distinct().count(), lambda: joined.agg({"v": "sum"}).collect(), lambda: joined.select("sample_id").collect(), lambda: joined.where("title is null or v > 0").count()]
+    for read in reads:
+        with pytest.raises(Exception, match="no manifest row for b"):
+            read()
+    assert resultlog.checked_join(records.where("v = 1"), manifest, "sample_id").count() == 1
+    pairs = frames.matched_rows(records, manifest.withColumn("v", F.lit(1)), ["sample_id", "v"], "no pair ")
+    with pytest.raises(Exception, match=r'no pair \{"sample_id":"b","v":2\}'):
+        pairs.count()
+
+
 def test_lines_of_several_files_keep_their_order(spark, tmp_path):
     """The last row wins by file and line, though a long file's parts are read before a short one's."""
     for name, rows in (("a", 1), ("b", 4000), ("c", 3)):
