@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share. Where none is set, a session in one process uses one below
+    its warehouse; on a cluster that may be a local disk, so it is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def matched_rows(df: DataFrame, other: DataFrame, keys: str | list[str], message: str) -> DataFrame:
     """df with the rows of the other table; a row without one is an error. The check is a filter on the join, so it holds whatever
     columns are read, rows that are only counted included; there is one join and no job before it."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.frames import matched_rows
@@ -36,6 +38,27 @@ def log_counters(lines: DataFrame, key: str = "sample_id") -> DataFrame:
     )
 
 
+def observed_results(lines: DataFrame, key: str = "sample_id", order: str = "line_no") -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """last_results, and its log_counters without another pass: they are observed by the job that reads the rows, on the lines as they
+    are read and on the rows that remain. The second value gives them as soon as a job has read all rows; before that it waits.
+    A task that is run again is counted once."""
+    read, kept = Observation(), Observation()
+    held = classified(lines).withColumn("_key", F.when(~F.col("line_error"), string_field("row", key)))
+    held = held.observe(read, F.count_if(F.col("line_error")).alias("errors"), F.count_if(~F.col("line_error")).alias("rows"), F.count("_key").alias("named"))
+    rows = last_wins(held.where("_key is not null"), "_key", order).observe(kept, F.count(F.lit(1)).alias("different")).withColumnRenamed("_key", key)
+
+    def counters() -> dict[str, int]:
+        lines_, different = read.get, kept.get["different"]
+        return {
+            "result_line_parse_error_count": lines_["errors"],
+            "result_rows_without_sample_id_count": lines_["rows"] - lines_["named"],
+            "duplicate_result_row_count": lines_["named"] - different,
+            "result_row_count": lines_["rows"],
+        }
+
+    return rows, counters
+
+
 def evaluation_status(found: Column, status: Column, prediction: Column, valid: Column) -> Column:
     """What became of a sample, in the order of what is checked first."""
     return (

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import removed, shared_path
 from ..functions.jsonx import parsed, payload
 from ..operators.modelcall import cache_misses, run_model
-from ..operators.resultlog import evaluation_status, last_results, log_counters, pending
+from ..operators.report import write_jsonl
+from ..operators.resultlog import evaluation_status, last_results, log_counters, observed_results, pending
 from ..operators.summaries import repeat_summary, repeated
+from ..streaming.lastwins import followed, named_rows, stateful, states
 from .registry import query, table
 
 
@@ -21,6 +24,13 @@ def log_lines(spark: SparkSession, d: str) -> DataFrame:
     return e.select(k.alias("line_no"), text.alias("value"))
 
 
+def file_lines(spark: SparkSession, d: str, files: int = 8) -> str:
+    """The log as a folder of JSON lines, dealt to files by a hash, so that later lines come in earlier files."""
+    path = shared_path(spark, "log")
+    write_jsonl(log_lines(spark, d).repartition(files, F.xxhash64("line_no")), path)
+    return path
+
+
 LOG = """log AS (SELECT event_id AS line_no, user_id, event_type, props, event_id % 17 IN (0, 1) AS bad, event_id % 17 = 2 AS blank, event_id % 13 = 0 AS no_id FROM events)"""
 
 
@@ -35,6 +45,30 @@ def result_log_stats(spark: SparkSession, d: str) -> DataFrame:
     return log_counters(log_lines(spark, d))
 
 
+@query(f"""WITH {LOG} SELECT 'u' || user_id AS sample_id, max(line_no) AS line_no, arg_max(event_type, line_no) AS status, count(*) AS n_rows FROM log WHERE NOT bad AND NOT blank AND NOT no_id GROUP BY user_id""")
+def result_log_replayed(spark: SparkSession, d: str) -> DataFrame:
+    """The log as a stream of files, three at a time: the states after the last batch."""
+    own, folder, made = stateful(spark), file_lines(spark, d), shared_path(spark, "states")
+    lines = own.readStream.schema("line_no long, value string").option("maxFilesPerTrigger", 3).json(folder)
+    followed(named_rows(lines), f"{made}/changes", f"{made}/checkpoint").awaitTermination()
+    states(own, f"{made}/checkpoint").write.parquet(f"{made}/last")
+    for path in (folder, f"{made}/changes", f"{made}/checkpoint"):
+        removed(spark, path)
+    return spark.read.parquet(f"{made}/last").select("sample_id", F.col("place").alias("line_no"), "status", "n_rows")
+
+
+@query(f"""WITH {LOG}, c AS (SELECT count_if(bad)::bigint AS result_line_parse_error_count, count_if(NOT bad AND NOT blank AND no_id)::bigint AS result_rows_without_sample_id_count,
+count_if(NOT bad AND NOT blank AND NOT no_id)::bigint - count(DISTINCT CASE WHEN NOT bad AND NOT blank AND NOT no_id THEN user_id END) AS duplicate_result_row_count, count_if(NOT bad AND NOT blank)::bigint AS result_row_count FROM log)
+SELECT 'u' || user_id AS sample_id, max(line_no) AS line_no, {", ".join(f"any_value({n}) AS {n}" for n in ("result_line_parse_error_count", "result_rows_without_sample_id_count", "duplicate_result_row_count", "result_row_count"))} FROM log, c WHERE NOT bad AND NOT blank AND NOT no_id GROUP BY user_id""")
+def result_log_observed(spark: SparkSession, d: str) -> DataFrame:
+    """The last rows of a log in files, with the counters that the same job observed."""
+    folder, made = file_lines(spark, d), shared_path(spark, "results")
+    rows, counters = observed_results(spark.read.schema("line_no long, value string").json(folder))
+    rows.select("sample_id", "line_no").write.parquet(made)
+    removed(spark, folder)
+    return spark.read.parquet(made).select("sample_id", "line_no", *(F.lit(n).cast("long").alias(c) for c, n in counters().items()))
+
+
 @query(f"""WITH {LOG}, last AS (SELECT user_id, arg_max(event_type, line_no) AS status, arg_max(CASE WHEN line_no % 3 = 0 THEN NULL ELSE props END, line_no) FILTER (line_no % 3 <> 0) AS p, max(line_no) AS line_no FROM log WHERE NOT bad AND NOT blank AND NOT no_id GROUP BY 1)
 SELECT o_orderkey, CASE WHEN l.user_id IS NULL THEN 'missing_result' WHEN status <> 'click' THEN 'result_status_' || status WHEN line_no % 3 = 0 THEN 'prediction_missing_or_non_json' WHEN line_no % 3 = 1 AND line_no % 2 = 0 THEN 'schema_invalid' ELSE 'ok' END AS evaluation_status
 FROM orders LEFT JOIN last l ON o_custkey % 400 = l.user_id""", name="evaluation_status")
