@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.geometry import area, expanded, intersects
-from ..functions.text import caption_flags, caption_quality, caption_start, from_caption_start, id_number, number_in, squeeze
+from ..functions.text import caption_flags, caption_quality, caption_start, from_caption_start, id_number, let, number_in, squeeze
 
 #: Roles of a figure, in the order that decides ties.
 ROLES = ("interface", "view", "intended_workflow", "case_study", "evaluation", "other")
@@ -113,33 +110,36 @@ def clusters(primitives: DataFrame, tolerance: float = 14.0, least_area: float =
     """(page, cluster, x0, y0, x1, y1, kinds, n) of primitives (page, kind, x0, y0, x1, y1).
 
     One pass from top to bottom: a primitive joins all clusters near it and they become one. The pass isn't repeated, so
-    clusters that come near each other later stay apart; connected components would differ. A page's primitives are
-    bounded, and pages are independent.
+    clusters that come near each other later stay apart; connected components would differ. It is a fold over the page's sorted
+    list, whose state is the list of clusters. A page's primitives are bounded, and pages are independent.
     """
+    cluster = "struct<x0: double, y0: double, x1: double, y1: double, kinds: array<string>, n: bigint>"
+
+    def near(c: Column, p: Column) -> Column:
+        across = F.least(c["x1"] + tolerance, p["x1"]) > F.greatest(c["x0"] - tolerance, p["x0"])
+        return across & (F.least(c["y1"] + tolerance, p["y1"]) > F.greatest(c["y0"] - tolerance, p["y0"]))
+
+    def joined(a: Column, b: Column) -> Column:
+        corners = [f(a[k], b[k]).alias(k) for k, f in (("x0", F.least), ("y0", F.least), ("x1", F.greatest), ("y1", F.greatest))]
+        return F.struct(*corners, F.array_union(a["kinds"], b["kinds"]).alias("kinds"), (a["n"] + b["n"]).alias("n"))
+
+    def step(made: Column, p: Column) -> Column:
+        own = F.struct(*(p[k].alias(k) for k in ("x0", "y0", "x1", "y1")), F.array(p["kind"]).alias("kinds"), F.lit(1).cast("long").alias("n"))
+        first = F.array_position(F.transform(made, lambda c: near(c, p)), True).cast("int")
+
+        def placed(at: Column) -> Column:
+            grown = F.aggregate(F.filter(made, lambda c: near(c, p)), own, joined)
+            rest = F.filter(F.slice(made, at + 1, F.size(made)), lambda c: ~near(c, p))
+            return F.when(at == 0, F.array_append(made, own)).otherwise(F.concat(F.slice(made, 1, F.greatest(at - 1, F.lit(0))), F.array(grown), rest))
+
+        return let(first, placed)
 
-    def merged(page: list) -> list[tuple]:
-        made: list[list] = []
-        for p in page:
-            grown = [p["x0"], p["y0"], p["x1"], p["y1"], {p["kind"]}, 1]
-            near = [k for k, c in enumerate(made) if min(c[2] + tolerance, p["x1"]) > max(c[0] - tolerance, p["x0"]) and min(c[3] + tolerance, p["y1"]) > max(c[1] - tolerance, p["y0"])]
-            for c in (made[k] for k in near):
-                grown = [min(grown[0], c[0]), min(grown[1], c[1]), max(grown[2], c[2]), max(grown[3], c[3]), grown[4] | c[4], grown[5] + c[5]]
-            if near:
-                made[near[0]] = grown
-                made = [c for k, c in enumerate(made) if k not in near[1:]]
-            else:
-                made.append(grown)
-        kept = [c for c in made if (c[2] - c[0]) * (c[3] - c[1]) >= least_area]
-        return [(k, *c[:4], ",".join(sorted(c[4])), c[5]) for k, c in enumerate(kept)]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(page, *c) for page, own in zip(batch["page"], batch["own"], strict=True) for c in merged(own)]
-            yield pd.DataFrame(rows, columns=["page", "cluster", "x0", "y0", "x1", "y1", "kinds", "n"])
-
-    kind = primitives.schema["page"].dataType.simpleString()
-    pages = primitives.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "x1", "y1", "kind"))).alias("own"))
-    return pages.mapInPandas(run, f"page {kind}, cluster long, x0 double, y0 double, x1 double, y1 double, kinds string, n long")
+    doubles = [F.col(k).cast("double").alias(k) for k in ("y0", "x0", "x1", "y1")]
+    pages = primitives.groupBy("page").agg(F.sort_array(F.collect_list(F.struct(*doubles, "kind"))).alias("own"))
+    made = F.aggregate("own", F.array().cast(f"array<{cluster}>"), step)
+    kept = F.filter(made, lambda c: (c["x1"] - c["x0"]) * (c["y1"] - c["y0"]) >= least_area)
+    rows = pages.select("page", F.posexplode(kept).alias("cluster", "c"))
+    return rows.select("page", F.col("cluster").cast("long").alias("cluster"), "c.x0", "c.y0", "c.x1", "c.y1", F.array_join(F.sort_array("c.kinds"), ",").alias("kinds"), "c.n")
 
 
 def content_score(kinds: Column, image: float, drawing: float, mixed_text: float) -> Column:

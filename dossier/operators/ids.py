@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from ..functions.text import blank_to_null, col, initials, slug
@@ -21,34 +20,67 @@ def is_open_value(c: Column | str, vocabulary: list[str]) -> Column:
     return F.coalesce(col(c).isin(vocabulary) | col(c).rlike(r"^others\(.+\)$"), F.lit(False))
 
 
-def unique_ids(rows: DataFrame) -> DataFrame:
-    """rows (scope, base, pos, ...) with id: the first of equal bases keeps it, later ones get -2, -3, ...
+#: A base that looks like another one with a suffix that this module makes.
+SUFFIXED = r"^(.*)-([1-9]\d{0,17})$"
+
 
-    A suffix must also avoid ids that are taken already, so a scope in which a base looks like another with a suffix is
-    worked through in order; all other scopes need only a window. Both see each row once.
+def unique_ids(rows: DataFrame) -> DataFrame:
+    """rows (scope, base, pos, ...) with id: in the order of pos, the first of equal bases keeps it, later ones get -2, -3, ..., and
+    nobody gets an id that is taken already. pos is unique in a scope.
+
+    No scope is worked through row by row. The rows of a base that don't keep it take the free numbers from 2 on in turn, so the
+    number of a row is its rank, and one more for each taken number that isn't above it. A number k is taken if base-k is a base
+    itself and comes before its turn: that is known from the count of rows before it and of smaller taken numbers, by a fold over the sorted
+    suffixes of the base. Whether base-k keeps its name decides in turn how its own rows are ranked, one level of suffixes after the other.
+    Where no base looks like another with a suffix there is one window and nothing else.
     """
-    n = F.row_number().over(W.Window.partitionBy("scope", "base").orderBy("pos"))
-    named = rows.withColumn("_n", n).withColumn("id", F.when(F.col("_n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("_n").cast("string"))))
-    bases = rows.select("scope", "base").distinct()
-    suffixed = bases.where(F.col("base").rlike(r"-\d+$")).select("scope", F.regexp_replace("base", r"-\d+$", "").alias("base"))
-    unclear = suffixed.join(bases, ["scope", "base"], "left_semi").select("scope").distinct()
-    plain = named.join(unclear, "scope", "left_anti").drop("_n")
-
-    def in_order(pdf):
-        seen: set[str] = set()
-        ids = []
-        pdf = pdf.sort_values("pos", kind="stable")
-        for base in pdf["base"]:
-            name, k = base, 1
-            while name in seen:
-                k += 1
-                name = f"{base}-{k}"
-            seen.add(name)
-            ids.append(name)
-        return pdf.assign(id=ids)
-
-    sequential = rows.join(unclear, "scope", "left_semi").groupBy("scope").applyInPandas(in_order, T.StructType([*rows.schema.fields, T.StructField("id", T.StringType())]))
-    return plain.select(*rows.columns, "id").unionByName(sequential)
+    bases = rows.groupBy("scope", "base").agg(F.min("pos").alias("first"))
+    child = bases.select("scope", F.regexp_extract("base", SUFFIXED, 1).alias("base"), F.col("base").alias("child"), F.try_to_number(blank_to_null(F.regexp_extract("base", SUFFIXED, 2)), F.lit("9" * 18)).cast("long").alias("k"), "first")
+    child = child.where("k >= 2").join(bases.select("scope", "base"), ["scope", "base"], "left_semi")
+    levels = child.agg(F.max(F.size(F.split(F.regexp_extract("child", r"(?:-[1-9]\d*)+$", 0), "-")) - 1)).first()[0]
+    order = W.Window.partitionBy("scope", "base").orderBy("pos")
+    if levels is None:
+        n = F.row_number().over(order)
+        return rows.withColumn("_n", n).withColumn("id", F.when(F.col("_n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("_n").cast("string")))).drop("_n")
+
+    # one pass for the ranks of rows and for how many rows stand before each base that looks like this one
+    marks = child.select("scope", "base", F.col("first").alias("pos"), F.struct("k", "child").alias("_child"))
+    both = rows.withColumn("_child", F.lit(None).cast("struct<k: long, child: string>")).unionByName(marks, allowMissingColumns=True)
+    counted = both.withColumn("_n", F.count_if(F.col("_child").isNull()).over(order.rowsBetween(W.Window.unboundedPreceding, 0)))
+    ranked = counted.where("_child is null").drop("_child")
+    kids = counted.where("_child is not null").groupBy("scope", "base").agg(F.sort_array(F.collect_list(F.struct("_child.k", F.col("_n").alias("n"), "_child.child"))).alias("kids"))
+
+    level = kids.join(child.select("scope", F.col("child").alias("base")), ["scope", "base"], "left_anti").withColumn("bare", F.lit(True))
+    known = []
+    for _ in range(levels):
+        told = level.withColumn("kept", kept_suffixes(F.col("kids"), F.col("bare")))
+        known.append(told.select("scope", "base", "bare", F.filter("kept", lambda x: x["ok"]).alias("kept")))
+        after = told.select("scope", F.explode("kept").alias("x")).select("scope", F.col("x.child").alias("base"), F.col("x.ok").alias("bare"))
+        known.append(after.join(kids, ["scope", "base"], "left_anti").select("scope", "base", "bare", F.array().cast("array<struct<k: long, child: string, ok: boolean>>").alias("kept")))
+        level = after.join(kids, ["scope", "base"])
+    every = known[0]
+    for df in known[1:]:
+        every = every.unionByName(df)
+    # how many free numbers lie below each taken one
+    free = F.transform("kept", lambda x, i: x["k"] - 2 - i)
+    joined = ranked.join(every.select("scope", "base", "bare", free.alias("_free")), ["scope", "base"], "left")
+    bare = F.coalesce("bare", F.lit(True))
+    turn = F.col("_n") - bare.cast("int")
+    number = turn + 1 + F.coalesce(F.size(F.filter("_free", lambda f: f < turn)), F.lit(0))
+    own = F.when(turn == 0, F.col("base")).otherwise(F.concat("base", F.lit("-"), number.cast("string")))
+    return joined.withColumn("id", own).select(*rows.columns, "id")
+
+
+def kept_suffixes(kids: Column, bare: Column) -> Column:
+    """Which bases with a suffix keep their name: kids are (k, n, child) by rising k, n rows of the base itself standing before. A
+    base keeps it if the rows before it that need a number, and the smaller taken numbers, leave k free."""
+    start = F.struct(F.lit(0).cast("long").alias("c"), F.array().cast("array<struct<k: long, child: string, ok: boolean>>").alias("made"))
+
+    def step(held: Column, x: Column) -> Column:
+        ok = x["n"] - F.when(bare & (x["n"] > 0), 1).otherwise(0) + held["c"] <= x["k"] - 2
+        return F.struct((held["c"] + ok.cast("long")).alias("c"), F.array_append(held["made"], F.struct(x["k"].alias("k"), x["child"].alias("child"), ok.alias("ok"))).alias("made"))
+
+    return F.aggregate(kids, start, step, lambda held: held["made"])
 
 
 def under(parent: Column | str, own: Column | str) -> Column:

@@ -172,7 +172,18 @@ def teaser_top1(spark: SparkSession, d: str) -> DataFrame:
     return best_of(scored, "l_orderkey", "score", "l_linenumber").select("l_orderkey", "l_linenumber", F.round("score", 6).alias("score"))
 
 
-@query()
+def near(c: str) -> str:
+    return f"least({c}.x1 + 14, b.x1) > greatest({c}.x0 - 14, b.x0) AND least({c}.y1 + 14, b.y1) > greatest({c}.y0 - 14, b.y0)"
+
+
+@query(f"""WITH RECURSIVE {PAGE},
+b AS (SELECT l_orderkey AS page, CASE l_returnflag WHEN 'A' THEN 'image' ELSE 'drawing' END AS kind, x0::double AS x0, y0::double AS y0, x1::double AS x1, y1::double AS y1, row_number() OVER (PARTITION BY l_orderkey ORDER BY y0, x0, x1, y1, CASE l_returnflag WHEN 'A' THEN 'image' ELSE 'drawing' END) AS i FROM geo WHERE x1 > x0 AND y1 > y0),
+s AS (SELECT page, i, [{{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'kinds': [kind], 'n': 1}}] AS made FROM b WHERE i = 1
+UNION ALL SELECT s.page, b.i, CASE WHEN h.n IS NULL THEN list_append(made, {{'x0': b.x0, 'y0': b.y0, 'x1': b.x1, 'y1': b.y1, 'kinds': [b.kind], 'n': 1}})
+  ELSE made[1 : h.at - 1] || [{{'x0': least(b.x0, h.x0), 'y0': least(b.y0, h.y0), 'x1': greatest(b.x1, h.x1), 'y1': greatest(b.y1, h.y1), 'kinds': list_append(h.kinds, b.kind), 'n': (h.n + 1)::int}}] || list_filter(made[h.at + 1 :], lambda c: NOT ({near('c')})) END
+  FROM s JOIN b ON b.page = s.page AND b.i = s.i + 1, LATERAL (SELECT min(k) AS at, min(c.x0) AS x0, min(c.y0) AS y0, max(c.x1) AS x1, max(c.y1) AS y1, flatten(list(c.kinds)) AS kinds, sum(c.n) AS n FROM (SELECT unnest(made) AS c, generate_subscripts(made, 1) AS k) WHERE {near('c')}) h),
+f AS (SELECT page, unnest(list_filter(arg_max(made, i), lambda c: (c.x1 - c.x0) * (c.y1 - c.y0) >= 600)) AS c, generate_subscripts(list_filter(arg_max(made, i), lambda c: (c.x1 - c.x0) * (c.y1 - c.y0) >= 600), 1) - 1 AS cluster FROM s GROUP BY page)
+SELECT page, cluster::bigint AS cluster, c.x0 AS x0, c.y0 AS y0, c.x1 AS x1, c.y1 AS y1, array_to_string(list_sort(list_distinct(c.kinds)), ',') AS kinds, c.n::bigint AS n FROM f""")
 def primitive_clusters(spark: SparkSession, d: str) -> DataFrame:
     boxes = page_boxes(spark, d).select(F.col("l_orderkey").alias("page"), F.when(F.col("l_returnflag") == "A", "image").otherwise("drawing").alias("kind"), "region.*")
     return clusters(boxes.where("x1 > x0 and y1 > y0"))

@@ -252,6 +252,24 @@ def test_unique_ids_avoid_taken_ones(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_unique_ids_in_turn(spark, seed):
+    """Any order of bases that look like each other with one, two or three suffixes, against row by row."""
+    rng = random.Random(seed)
+    names = ["a", "a", "a", "a-2", "a-3", "a-2-2", "a-5", "a-12", "a-02", "a-1", "a-2-2-2", "b", "b-2", "-2", "", f"a-{10 ** 20}"]
+    rows = [(scope, rng.choice(names[: rng.choice([4, 8, len(names)])]), pos) for scope in ("s", "t", "u") for pos in range(60)]
+    got = {(r.scope, r.pos): r.id for r in ids.unique_ids(spark.createDataFrame(rows, "scope string, base string, pos long").repartition(3)).collect()}
+    want, seen = {}, set()
+    for scope, base, pos in rows:
+        name, k = base, 1
+        while (scope, name) in seen:
+            k += 1
+            name = f"{base}-{k}"
+        seen.add((scope, name))
+        want[scope, pos] = name
+    assert got == want
+
+
 def test_coordination_id(spark):
     import hashlib
 
