@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import removed, shared_path
 from ..functions.text import blank_to_null
 
 
@@ -80,28 +82,67 @@ def write_document(spark: SparkSession, value: object, path: str) -> None:
 
 
 def write_once(df: DataFrame, path: str, overwrite: bool = False) -> str:
-    """CREATED, OVERWRITTEN or SKIPPED; with overwrite always OVERWRITTEN, even if nothing was there."""
+    """CREATED, OVERWRITTEN or SKIPPED; with overwrite always OVERWRITTEN, even if nothing was there.
+
+    Rows are written beside the path and moved there when complete, so a write that fails leaves nothing, and what was there stays
+    until its successor is complete. Of several writers one moves its rows there and says CREATED; the others are SKIPPED.
+    """
     spark = df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-    if there and not overwrite:
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    target, beside = path_of(path), path_of(f"{path.rstrip('/')}.{uuid.uuid4().hex}.writing")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target) and not overwrite:
         return "SKIPPED"
-    df.write.mode("overwrite").json(path)
-    return "OVERWRITTEN" if overwrite else "CREATED"
+    try:
+        df.write.json(beside.toString())
+        if overwrite:
+            old = path_of(f"{beside.toString()}.old")
+            there = files.exists(target) and files.rename(target, old)
+            if not moved(files, beside, target):
+                if there:
+                    files.rename(old, target)
+                raise OSError(f"another writer is at {path}")
+            files.delete(old, True)
+            return "OVERWRITTEN"
+        return "CREATED" if moved(files, beside, target) else "SKIPPED"
+    finally:
+        files.delete(beside, True)
+
+
+def moved(files, source, target) -> bool:
+    """Whether a folder could be moved to a path that nothing had. A move onto a folder that another writer has made meanwhile puts
+    it inside, or fails; either is undone."""
+    if files.exists(target):
+        return False
+    try:
+        done = files.rename(source, target)
+    except Exception:  # noqa: BLE001  a file system may raise where others say no
+        done = False
+    stray = target.suffix(f"/{source.getName()}")
+    if done and files.exists(stray):
+        files.delete(stray, True)
+        return False
+    return bool(done)
 
 
 def write_evaluation(scores: DataFrame, runs: DataFrame, config: dict, folder: str, groups: tuple[str, ...] = ("paper_name", "prefix_length", "segmentation_mode")) -> None:
     """All artifacts of an evaluation: score rows, review queue and judge runs as JSON lines, the summary twice (as itself and
-    as config), and a CSV for each grouping. Scores are computed once: everything else reads the rows that were written."""
-    from .summaries import summary
+    as config), and a CSV for each grouping. Scores are computed once, everything else reads the rows that were written, and all
+    summaries come from one pass over them."""
+    from .summaries import all_summaries, summary
 
     spark, schema = scores.sparkSession, scores.schema
     write_jsonl(scores, f"{folder}/sample_scores.jsonl")
     scores = spark.read.schema(schema).json(f"{folder}/sample_scores.jsonl")
-    whole = {**config, "aggregate": summary(scores).first().asDict(recursive=True)}
+    made, held = all_summaries(scores, groups), shared_path(spark, "summaries")
+    made.write.parquet(held)
+    every = spark.read.schema(made.schema).parquet(held)
+    own = every.where("group_by is null").drop("group_by", "group_value").first() or summary(scores).first()
+    whole = {**config, "aggregate": own.asDict(recursive=True)}
     for name in ("config", "summary"):
         write_document(spark, whole, f"{folder}/{name}.json")
     write_jsonl(scores.where("needs_review"), f"{folder}/review_queue.jsonl")
     write_jsonl(runs, f"{folder}/goal_judge_runs.jsonl")
     for g in groups:
-        write_csv(summary(scores, g), f"{folder}/summary_by_{g}.csv")
+        write_csv(every.where(F.col("group_by") == g).drop("group_by").withColumnRenamed("group_value", g).orderBy(g), f"{folder}/summary_by_{g}.csv")
+    removed(spark, held)

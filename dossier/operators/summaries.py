@@ -21,12 +21,8 @@ SUMS = (
 )
 
 
-def summary(scores: DataFrame, group: str | None = None) -> DataFrame:
-    """Counts, rates and means of score rows; grouped rows have the group as text (null is 'None') and sort by it.
-
-    Rates over samples are 0 without samples; rates over runs, ids or parts are null without any. Columns that the score
-    rows lack are taken as null.
-    """
+def summary_parts(scores: DataFrame) -> list[Column]:
+    """The aggregates that `finished` makes a summary of. Columns that the score rows lack are taken as null."""
     have = set(scores.columns)
     own = lambda c: F.col(c) if c in have else F.lit(None).cast("double")
     true = lambda c: F.count_if(own(c).cast("boolean"))
@@ -37,13 +33,12 @@ def summary(scores: DataFrame, group: str | None = None) -> DataFrame:
     parts += [F.count_if(own("goal_judge_status").isin("judge_not_configured", "multi_run_not_configured")).alias("goal_judge_not_configured_count")]
     parts += [F.count_if(F.startswith(own("goal_judge_status").cast("string"), F.lit("multi_run_"))).alias("goal_judge_multi_run_count"), true("needs_review").alias("review_queue_count")]
     parts += [true(f"{k}_exact_match").alias(f"_n_{k}_exact_match") for k in ("view", "capability", "joint")]
-    parts += [F.avg(own(m)).alias(m) for m in MEANS]
-    if group:
-        grouped = scores.groupBy(F.coalesce(F.col(group).cast("string"), F.lit("None")).alias(group)).agg(*parts)
-    else:
-        grouped = scores.agg(*parts)
+    return parts + [F.avg(own(m)).alias(m) for m in MEANS]
+
+
+def finished(grouped: DataFrame, keys: list[str]) -> DataFrame:
     n = "sample_count"
-    out = [*([F.col(group)] if group else []), F.col(n)]
+    out = [*(F.col(k) for k in keys), F.col(n)]
     for c in COUNTS:
         name = "completed" if c == "completion" else c
         out += [F.col(f"_n_{c}").alias(f"{name}_count"), share(f"_n_{c}", n).alias(f"{c}_rate")]
@@ -55,9 +50,34 @@ def summary(scores: DataFrame, group: str | None = None) -> DataFrame:
         out += [F.col(f"_s_invalid_{k}_id_count").alias(f"invalid_{k}_id_count"), ratio(f"_s_invalid_{k}_id_count", f"_s_raw_predicted_{k}_count").alias(f"invalid_{k}_id_rate")]
     out += [ratio(f"_s_workflow_{k}_supported_count", f"_s_predicted_{k}_count").alias(f"workflow_{k}_support_rate_micro") for k in ("view", "capability")]
     out += [ratio("_s_internal_consistency_supported_count", "_s_internal_consistency_total_count").alias("internal_consistency_rate_micro"), F.col("review_queue_count")]
-    out += [F.col(m) for m in MEANS]
-    result = grouped.select(*out)
-    return result.orderBy(group) if group else result
+    return grouped.select(*out, *(F.col(m) for m in MEANS))
+
+
+def as_group(group: str) -> Column:
+    return F.coalesce(F.col(group).cast("string"), F.lit("None"))
+
+
+def summary(scores: DataFrame, group: str | None = None) -> DataFrame:
+    """Counts, rates and means of score rows; grouped rows have the group as text (null is 'None') and sort by it.
+
+    Rates over samples are 0 without samples; rates over runs, ids or parts are null without any.
+    """
+    parts = summary_parts(scores)
+    if not group:
+        return finished(scores.agg(*parts), [])
+    return finished(scores.groupBy(as_group(group).alias(group)).agg(*parts), [group]).orderBy(group)
+
+
+def all_summaries(scores: DataFrame, groups: tuple[str, ...]) -> DataFrame:
+    """(group_by, group_value, ...): the summaries of all rows together (both null) and by each group, in one pass over the scores.
+    An empty table has no rows here, as grouping sets have none."""
+    keys = [f"_g_{g}" for g in groups]
+    named = scores.select("*", *(as_group(g).alias(k) for g, k in zip(groups, keys, strict=True)))
+    grouped = named.groupingSets([[], *([k] for k in keys)], *keys).agg(*summary_parts(scores), *(F.grouping(k).alias(f"_off{k}") for k in keys))
+    which, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for g, k in zip(groups, keys, strict=True):
+        which, value = F.when(F.col(f"_off{k}") == 0, g).otherwise(which), F.when(F.col(f"_off{k}") == 0, F.col(k)).otherwise(value)
+    return finished(grouped.withColumn("group_by", which).withColumn("group_value", value), ["group_by", "group_value"])
 
 
 def repeat_summary(runs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from ..functions.arrays import same_set
 from ..operators.evaluation import computed, with_matches, with_reviews, with_structure, with_support
 from ..operators.hierarchy import supported_views, view_dimension
 from ..operators.matching import capability_matches, scored, strict_matches, support_counts, view_matches
-from ..operators.summaries import summary
+from ..operators.summaries import all_summaries, summary
 from .registry import query, table
 
 
@@ -294,6 +294,15 @@ def summary_by_paper(spark: SparkSession, d: str) -> DataFrame:
     return rounded(summary(score_rows(spark, d), "paper_name"))
 
 
+GROUPS = ("paper_name", "prefix_length", "segmentation_mode")
+
+
+@query(summary_sql(None).replace(" FROM r1 ", f""", {"CASE " + " ".join(f"WHEN grouping({g}) = 0 THEN '{g}'" for g in GROUPS) + " END"} AS group_by, {"CASE " + " ".join(f"WHEN grouping({g}) = 0 THEN coalesce({g}::varchar, 'None')" for g in GROUPS) + " END"} AS group_value FROM r1 GROUP BY GROUPING SETS ((), {", ".join(f"({g})" for g in GROUPS)})"""))
+def summary_all(spark: SparkSession, d: str) -> DataFrame:
+    """All four summaries from one pass over the score rows."""
+    return rounded(all_summaries(score_rows(spark, d), GROUPS))
+
+
 @query(summary_sql("prefix_length"))
 def summary_by_prefix(spark: SparkSession, d: str) -> DataFrame:
     return rounded(summary(score_rows(spark, d), "prefix_length"))

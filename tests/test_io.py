@@ -8,6 +8,7 @@ from dossier.functions import frames
 from dossier.operators import report, resultlog, summaries
 from dossier.operators.modelcall import answered, cache_misses, data_urls, run_model, run_samples
 from dossier.sources import readers
+from dossier.streaming import lastwins
 from dossier.streaming import resultlog as stream
 
 
@@ -77,6 +78,52 @@ def test_sinks(spark, tmp_path):
     assert held == [{"paper_name": "d", "paper_full_name": None}, {"path": "p.json"}, {"directory": "/f", "items": [{"fig_id": "fig_1", "caption": "ü"}]}, {"directory": None}]
 
 
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    bad = spark.range(40).repartition(4).select(F.when(F.col("id") == 37, F.raise_error(F.lit("no"))).otherwise(F.col("id")).alias("id"))
+    good = spark.createDataFrame([(1,)], "id long")
+    with pytest.raises(Exception, match="no"):
+        report.write_once(bad, str(tmp_path / "out"))
+    assert list(tmp_path.iterdir()) == []
+    assert report.write_once(good, str(tmp_path / "out")) == "CREATED"
+    with pytest.raises(Exception, match="no"):
+        report.write_once(bad, str(tmp_path / "out"), overwrite=True)
+    assert [p.name for p in tmp_path.iterdir()] == ["out"] and spark.read.json(str(tmp_path / "out")).collect() == [(1,)]
+
+
+def test_one_of_several_writers_says_created(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "out")
+    with ThreadPoolExecutor(6) as pool:
+        said = list(pool.map(lambda k: report.write_once(spark.createDataFrame([(k,)] * 5, "k int"), path), range(6)))
+    assert sorted(said) == ["CREATED"] + ["SKIPPED"] * 5
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+    rows = spark.read.json(path).collect()
+    assert len(rows) == 5 and {r.k for r in rows} == {said.index("CREATED")}
+    # a writer that finds out only when it moves its rows
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    spark.createDataFrame([(9,)], "k int").write.json(str(tmp_path / "late"))
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    late = type("Files", (), {"exists": lambda self, p: files.exists(p) and p.toString() != path, "rename": lambda self, a, b: files.rename(a, b), "delete": lambda self, p, r: files.delete(p, r)})()
+    assert not report.moved(late, path_of(str(tmp_path / "late")), path_of(path))
+    assert len(spark.read.json(path).collect()) == 5
+
+
+def test_all_summaries_in_one_pass(spark, tmp_path):
+    columns = "sample_id string, paper_name string, prefix_length int, segmentation_mode string, completion boolean, structure_score double, needs_review boolean"
+    scores = spark.createDataFrame([("a", "p", 1, "m", True, 0.5, True), ("b", None, 10, "m", False, None, False), ("c", "p", 1, None, None, 1.0, None)], columns)
+    groups = ("paper_name", "prefix_length", "segmentation_mode")
+    got = summaries.all_summaries(scores, groups)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+    for g in groups:
+        mine = got.where(F.col("group_by") == g).drop("group_by").withColumnRenamed("group_value", g).orderBy(g).collect()
+        assert mine == summaries.summary(scores, g).collect()
+    assert got.where("group_by is null").drop("group_by", "group_value").collect() == summaries.summary(scores).collect()
+    assert summaries.all_summaries(scores.limit(0), groups).count() == 0
+    report.write_evaluation(scores.limit(0), scores.select("sample_id"), {}, str(tmp_path / "none"))
+    assert json.loads("".join(f.read_text() for f in (tmp_path / "none" / "summary.json").glob("part*")))["aggregate"]["sample_count"] == 0
+
+
 def test_run_samples(spark, tmp_path):
     """Resume, calls, log and counters as one operation."""
     prompts = spark.createDataFrame([(k, k * 2) for k in "abcd"], "sample_id string, prompt string")
@@ -149,6 +196,66 @@ def test_lines_of_several_files_keep_their_order(spark, tmp_path):
     assert [r.n for r in got] == ["c2"] and [r.n for r in only] == ["b3999"]
 
 
+def put(folder, name, rows):
+    (folder / f"{name}.json").write_text("\n".join(json.dumps({"line_no": k, "value": v}) for k, v in rows))
+
+
+@pytest.mark.parametrize("cut", [1, 2, 5])
+def test_last_rows_after_any_cut(spark, tmp_path, cut):
+    """A log in one to five files, in any order of lines, with a stop and a start from the checkpoint after each file."""
+    import random
+
+    rng = random.Random(cut)
+    log = [(k, json.dumps({"sample_id": f"s{rng.randrange(6)}", "status": rng.choice(["ok", "error"]), "k": k})) for k in range(60)]
+    log += [(60, "broken"), (61, '{"sample_id": 5}'), (62, "[1]"), (63, "")]
+    dealt = rng.sample(log, len(log))
+    folder = tmp_path / "in"
+    folder.mkdir()
+    own = lastwins.stateful(spark)
+    for n in range(cut):
+        put(folder, n, dealt[n::cut])
+        lines = own.readStream.schema("line_no long, value string").json(str(folder))
+        lastwins.followed(lastwins.named_rows(lines), str(tmp_path / "log"), str(tmp_path / "ck")).awaitTermination(120)
+    put(folder, "again", dealt[:20])  # delivered twice: no row changes
+    lines = own.readStream.schema("line_no long, value string").json(str(folder))
+    lastwins.followed(lastwins.named_rows(lines), str(tmp_path / "log"), str(tmp_path / "ck")).awaitTermination(120)
+    whole = spark.createDataFrame(log, "line_no long, value string")
+    want = {r.sample_id: (r.line_no, r.s) for r in resultlog.last_results(whole).select("sample_id", "line_no", F.try_variant_get("row", "$.status", "string").alias("s")).collect()}
+    held = lastwins.states(own, str(tmp_path / "ck")).collect()
+    assert {r.sample_id: (r.place, r.status) for r in held} == want
+    told = spark.read.json(str(tmp_path / "log")).collect()
+    assert sum(r.n_replaced for r in held) == sum(1 for r in told if r.change == "replaced") and sum(1 for r in told if r.change == "new") == len(want)
+    chain = {(r.sample_id, r.replaced) for r in told if r.change == "replaced"}
+    assert chain <= {(r.sample_id, r.place) for r in told}  # each replaced row was told before
+
+
+def test_settled_samples_are_told(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    put(folder, 0, [(1, '{"sample_id": "a", "status": "ok"}')])
+    own = lastwins.stateful(spark)
+    go = lambda: lastwins.followed(lastwins.named_rows(own.readStream.schema("line_no long, value string").json(str(folder))), str(tmp_path / "log"), str(tmp_path / "ck"), quiet=0.001).awaitTermination(120)
+    go()
+    put(folder, 1, [(2, '{"sample_id": "b", "status": "ok"}')])
+    go()
+    told = [(r.sample_id, r.place, r.change) for r in spark.read.json(str(tmp_path / "log")).collect()]
+    assert ("a", 1, "settled") in told and ("b", 2, "new") in told
+
+
+def test_counters_come_with_the_rows(spark, tmp_path):
+    path = tmp_path / "log.jsonl"
+    path.write_text('{"sample_id": "a", "status": "error"}\n\n   \nbroken\n[1]\n{"sample_id": 5}\n{"status": "ok"}\n{"sample_id": "a", "status": "ok"}\n{"sample_id": "b", "n": null}\n')
+    rows, counters = resultlog.observed_results(readers.json_lines(spark, str(path)))
+    # a job for the rows and none for the counters; jobs are numbered
+    ran = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    got = rows.select("sample_id", F.try_variant_get("row", "$.status", "string").alias("s")).collect()
+    before = ran()
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Scan text") == 1
+    assert sorted(got) == [("a", "ok"), ("b", None)]
+    assert tuple(counters().values()) == (2, 2, 1, 5) and ran() == before
+    assert list(counters()) == resultlog.log_counters(readers.json_lines(spark, str(path))).columns
+
+
 def test_retries():
     seen = []
 
