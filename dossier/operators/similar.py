@@ -27,13 +27,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import compare_form, nfkc
+from ..functions.text import DASHES, ZERO_WIDTH
 
-BINS, PLACES, SLACK = 64, 16, 1e-9
+PLACES, SLACK = 16, 1e-9
 #: Lengths of right texts fall into classes that grow by this factor.
 CLASS = 1.2
 
 
+#: What a comparison drops, and what it reads as a hyphen.
+REPLACED = dict.fromkeys(map(ord, ZERO_WIDTH), "") | dict.fromkeys(map(ord, DASHES), "-")
+
+
+@F.pandas_udf(T.StringType())
+def comparable(s: pd.Series) -> pd.Series:
+    """The comparison form of functions.text, compatibility forms unified, in one call."""
+    from unicodedata import normalize
+
+    def form(t: str | None) -> str | None:
+        if t is None:
+            return None
+        return " ".join((t if t.isascii() else normalize("NFKC", t).translate(REPLACED)).split())
+
+    return pd.Series([form(t) for t in s], dtype=object)
+
+
 def longest_partner(n: int, threshold: float) -> float:
     """How many characters the partner of a text of n can have: all n match, and lengths differ by a quarter at most."""
     return min(2 * n / threshold - n, n / 0.75) + SLACK
@@ -87,51 +104,77 @@ def keys(hashed: np.ndarray, class_: int, range_: np.ndarray) -> np.ndarray:
 
 
 def right_keys(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """(key, y, n, segment, at) of right texts; a segment has a key for each range of places where the left text may have it."""
+    """(key, y, n, class, segment, at) of right texts; a segment has a key for each range of places where the left text may have it."""
     for batch in batches:
         out: list[tuple] = []
-        for y, text in zip(batch.column("y").to_pylist(), batch.column("form").to_pylist(), strict=True):
-            n, code = len(text), codes(text)
+        for y, text in dict(zip(batch.column("y").to_pylist(), batch.column("form").to_pylist(), strict=True)).items():
+            if not (n := len(text or "")):
+                continue
+            code = codes(text)
             at, q = segments(n, threshold)
             number = np.arange(len(at))
             own = hashes(code, q)[at]
             first, last = np.maximum(at - number, 0) // PLACES, (at + number) // PLACES
             for step in range(int((last - first).max()) + 1):
                 k = np.flatnonzero(first + step <= last)
-                out.append((keys(own[k], class_of(n), (first + step)[k]), np.full(len(k), y), np.full(len(k), n), number[k], at[k]))
+                out.append((keys(own[k], class_of(n), (first + step)[k]), np.full(len(k), y), np.full(len(k), n), np.full(len(k), class_of(n)), number[k], at[k]))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["key", "y", "n", "segment", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["key", "y", "n", "class", "segment", "at"])
+
+
+#: Characters that are hashed at once.
+CHARS = 1_000_000
 
 
-def left_keys(bits: Broadcast, threshold: float):
-    """(key, x, m, at) of the left texts' substrings that the bitmap knows."""
+def packed_texts(numbers: list[int], texts: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """The different texts with their numbers, about CHARS characters at a time."""
+    held: dict[int, str] = {}
+    size = 0
+    for n, text in zip(numbers, texts, strict=True):
+        if n not in held:
+            held[n] = text
+            size += len(text)
+            if size > CHARS:
+                yield np.array(list(held), np.int64), list(held.values())
+                held, size = {}, 0
+    if held:
+        yield np.array(list(held), np.int64), list(held.values())
+
+
+def left_keys(bits: Broadcast, classes: frozenset[int], threshold: float):
+    """(key, x, m, at) of the left texts' substrings that the bitmap knows, for the classes of length that right texts have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = bits.value
+        known, asks = bits.value, {}
+
+        def wanted(m: int) -> list[tuple[int, int]]:
+            if m not in asks:
+                asks[m] = [(q, c) for q, c in asked(m, threshold) if c in classes and q <= m]
+            return asks[m]
+
         size = np.uint64(8 * len(known) - 1)
         for batch in batches:
-            out: list[tuple] = []
-            held = 0
-            for x, text in zip(batch.column("x").to_pylist(), batch.column("form").to_pylist(), strict=True):
-                m, code = len(text), codes(text)
-                made: dict[int, np.ndarray] = {}
-                for q, class_ in asked(m, threshold):
-                    if q > m:
-                        continue
-                    if q not in made:
-                        made[q] = hashes(code, q)
-                    at = np.arange(len(made[q]))
-                    key = keys(made[q], class_, at // PLACES)
+            own = [(x, t) for x, t in zip(batch.column("x").to_pylist(), batch.column("form").to_pylist(), strict=True) if t and wanted(len(t))]
+            for x, texts in packed_texts([x for x, _ in own], [t for _, t in own]):
+                m = np.fromiter(map(len, texts), np.int64, len(texts))
+                start, code = np.cumsum(m) - m, codes("".join(texts))
+                lines: dict[tuple[int, int], list[int]] = {}
+                for k, n in enumerate(m.tolist()):
+                    for ask in wanted(n):
+                        lines.setdefault(ask, []).append(k)
+                made = {q: hashes(code, q) for q in {q for q, _ in lines}}
+                out = []
+                for (q, class_), asking in lines.items():
+                    k = np.array(asking)
+                    n = m[k] - q + 1
+                    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    line = np.repeat(k, n)
+                    key = keys(made[q][start[line] + at], class_, at // PLACES)
                     bit = key.view(np.uint64) & size
                     hit = np.flatnonzero(known[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
-                    if len(hit):
-                        out.append((key[hit], np.full(len(hit), x), np.full(len(hit), m), hit))
-                        held += len(hit)
-                if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["key", "x", "m", "at"])
-                    out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["key", "x", "m", "at"])
+                    out.append((key[hit], x[line[hit]], m[line[hit]], at[hit]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "x", "m", "at"])
 
     return run
 
@@ -146,38 +189,61 @@ def bitmap(keyed: DataFrame, bits: int) -> np.ndarray:
     return out[: (1 << bits) // 8]
 
 
-def histograms(texts: list[str]) -> np.ndarray:
-    """How often each text has the characters of each bin (code point modulo BINS)."""
+def histograms(texts: list[str], width: int, bins: int) -> np.ndarray:
+    """How often each text has the substrings of `width` characters of each bin."""
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
-    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) % BINS
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     rows = np.repeat(np.arange(len(texts)), lens)
-    return np.bincount(rows * BINS + code, minlength=len(texts) * BINS).reshape(-1, BINS).astype(np.int32)
+    value = code[: max(len(code) - width + 1, 0)]
+    for k in range(1, width):
+        value = value * 31 + code[k : k + len(value)]
+    own = rows[: len(value)] == rows[width - 1 :]  # not over the end of a text
+    return np.bincount((rows[: len(value)] * bins + value % bins)[own], minlength=len(texts) * bins).reshape(-1, bins).astype(np.int32)
+
+
+#: Pairs whose histograms are held at once.
+AT_ONCE = 4000
+
+
+def apart(x: list[str], y: list[str], width: int, bins: int) -> np.ndarray:
+    """How far the histograms of pairs are from each other; each different text has one."""
+    (of_x, x), (of_y, y) = ((np.array([number.setdefault(t, len(number)) for t in texts]), list(number)) for texts, number in ((x, {}), (y, {})))
+    return np.abs(histograms(x, width, bins)[of_x] - histograms(y, width, bins)[of_y]).sum(axis=1)
 
 
 def ratios(a: list[str], b: list[str], threshold: float) -> np.ndarray:
-    """Matching-block ratios of pairs; NaN for those whose character counts or exact ratio stay below the threshold."""
+    """Matching-block ratios of pairs; NaN for those that stay below the threshold. An edit changes the count of one character,
+    and of three pairs of adjoining characters at most, so most pairs are told apart by counting."""
     from difflib import SequenceMatcher
 
-    out = np.full(len(a), np.nan)
-    if not len(a):
-        return out
-    lens = np.fromiter(map(len, a), np.int64, len(a)) + np.fromiter(map(len, b), np.int64, len(b))
-    apart = np.abs(histograms(a) - histograms(b)).sum(axis=1)
+    out, known = np.full(len(a), np.nan), {}
     matcher = SequenceMatcher(None, "", "")
-    for i in sorted(np.flatnonzero(apart <= (1 - threshold + SLACK) * lens).tolist(), key=b.__getitem__):
-        if matcher.b is not b[i]:
-            matcher.set_seq2(b[i])
-        matcher.set_seq1(a[i])
-        if (ratio := matcher.ratio()) >= threshold:
-            out[i] = ratio
+    for first in range(0, len(a), AT_ONCE):
+        x, y = a[first : first + AT_ONCE], b[first : first + AT_ONCE]
+        edits = (1 - threshold + SLACK) * (np.fromiter(map(len, x), np.int64, len(x)) + np.fromiter(map(len, y), np.int64, len(y)))
+        near = np.arange(len(x))
+        for width, bins in ((1, 64), (2, 512)):
+            if len(near):
+                near = near[apart([x[i] for i in near], [y[i] for i in near], width, bins) <= (2 * width - 1) * edits[near]]
+        for i in sorted(near.tolist(), key=y.__getitem__):
+            pair = x[i], y[i]
+            if pair not in known:
+                if matcher.b is not y[i]:
+                    matcher.set_seq2(y[i])
+                matcher.set_seq1(x[i])
+                known[pair] = matcher.ratio()
+            if known[pair] >= threshold:
+                out[first + i] = known[pair]
     return out
 
 
 def candidates(left: DataFrame, right: DataFrame, threshold: float, bits: int) -> DataFrame:
-    """(x, y): numbers of left forms (x, form) and right ones (y, form) that have a segment in common where an edit script allows it."""
-    y = right.mapInArrow(lambda batches: right_keys(batches, threshold), "key long, y long, n long, segment long, at long")
+    """(x, y): numbers of left forms (x, form) and right ones (y, form) that have a segment in common where an edit script allows it.
+    Forms may be repeated."""
+    y = right.mapInArrow(lambda batches: right_keys(batches, threshold), "key long, y long, n long, class long, segment long, at long")
     shared = left.sparkSession.sparkContext.broadcast(bitmap(y, bits))
-    x = left.mapInArrow(left_keys(shared, threshold), "key long, x long, m long, at long").withColumnRenamed("at", "x_at")
+    classes = frozenset(r[0] for r in y.select("class").distinct().collect())  # they grow by a factor, so there are few, however many texts
+    x = left.mapInArrow(left_keys(shared, classes, threshold), "key long, x long, m long, at long").withColumnRenamed("at", "x_at")
     met = x.join(y, "key")
     shift, more = F.col("x_at") - F.col("at"), F.col("m") - F.col("n")
     rest = F.floor((1 - threshold) * (F.col("m") + F.col("n")) + SLACK) - F.col("segment")
@@ -188,25 +254,24 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float, bits: int) -
 def similar_pairs(left: DataFrame, right: DataFrame, a: str, b: str, threshold: float = 0.92, bits: int = 26) -> DataFrame:
     """All pairs of different rows, with their similarity, whose texts differ in length by at most a quarter and reach the threshold.
 
-    Equal forms are compared once. The threshold must be over 0.6, as segments would be empty otherwise. Texts that are null
-    or empty in the comparison form match nothing.
+    Left texts are read twice and shuffled once. The threshold must be over 0.6, as segments would be empty otherwise. Texts that
+    are null or empty in the comparison form match nothing.
     """
     if threshold <= 0.6:
         raise ValueError("the threshold must be over 0.6")
-    numbered = lambda df, c, form, n: df.withColumn(form, compare_form(nfkc(c))).where(F.col(form) != "").withColumn(n, F.xxhash64(form))
+    # rows without a text make no keys, so they need no filter, which would compute the form once more
+    numbered = lambda df, c, form, n: df.withColumn(form, comparable(c)).withColumn(n, F.xxhash64(form))
     x, y = numbered(left, a, "_fa", "x"), numbered(right, b, "_fb", "y")
-    forms = lambda df, form, n: df.select(n, F.col(form).alias("form")).distinct()
-    found = candidates(forms(x, "_fa", "x"), forms(y, "_fb", "y"), threshold, bits)
+    found = candidates(x.select("x", F.col("_fa").alias("form")), y.select("y", F.col("_fb").alias("form")), threshold, bits)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ratio = ratios(batch.column("_fa").to_pylist(), batch.column("_fb").to_pylist(), threshold)
-            kept = batch.append_column("similarity", pa.array(ratio))
-            yield kept.filter(pa.array(~np.isnan(ratio)))
+            yield batch.append_column("similarity", pa.array(ratio)).filter(pa.array(~np.isnan(ratio)))
 
-    pairs = found.join(forms(x, "_fa", "x").withColumnRenamed("form", "_fa"), "x").join(forms(y, "_fb", "y").withColumnRenamed("form", "_fb"), "y").select("_fa", "_fb")
-    near = pairs.mapInArrow(compared, "_fa string, _fb string, similarity double")
-    return near.join(x.drop("x"), "_fa").join(y.drop("y"), "_fb").select(*left.columns, *right.columns, "similarity").distinct()
+    pairs = x.join(found, "x").join(y.select("y", "_fb").distinct(), "y").drop("x", "y")
+    near = pairs.mapInArrow(compared, T.StructType([*pairs.schema.fields, T.StructField("similarity", T.DoubleType())]))
+    return near.join(y.drop("y"), "_fb").select(*left.columns, *right.columns, "similarity").distinct()
 
 
 @F.pandas_udf(T.DoubleType())
