@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -29,72 +28,6 @@ def html_blocks(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return found.select(id_col, F.col("pos").cast("long").alias("pos"), kind.alias("type"), squeeze(text).alias("text")).where("text <> ''")
 
 
-def tei_blocks(documents: DataFrame, id_col: str, xml_col: str) -> DataFrame:
-    """(id, pos, type, text) of TEI documents: abstract paragraphs first (those in the text, else in the header), then the
-    text in order: heads are titles, p paragraphs, figures captions (their descriptions, if they have any); back matter is
-    skipped. A document that isn't XML gives one row of type error."""
-
-    def run(batches):
-        for batch in batches:
-            rows = [(i, k, kind, text) for i, xml in zip(batch[id_col], batch[xml_col], strict=True) for k, (kind, text) in enumerate(tei(xml or ""))]
-            yield pd.DataFrame(rows, columns=[id_col, "pos", "type", "text"])
-
-    made = documents.select(id_col, xml_col).mapInPandas(run, f"{id_col} {documents.schema[id_col].dataType.simpleString()}, pos long, type string, text string")
-    return made.withColumn("text", squeeze("text")).where("text <> ''")
-
-
-def tei(xml: str) -> list[tuple[str, str]]:
-    from xml.etree import ElementTree
-
-    try:
-        root = ElementTree.fromstring(xml)
-    except ElementTree.ParseError as e:
-        return [("error", str(e))]
-    name = lambda e: e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
-
-    def pick(node, wanted, skip=()):
-        """Descendants of a name, not inside a skipped one."""
-        for child in node:
-            if name(child) in skip:
-                continue
-            if name(child) == wanted:
-                yield child
-            yield from pick(child, wanted, skip)
-
-    def flat(node, skip=()):
-        inner = "".join(("" if name(c) in skip else flat(c, skip)) + (c.tail or "") for c in node)
-        return (node.text or "") + inner
-
-    out: list[tuple[str, str]] = []
-    body = next((e for e in root.iter() if name(e) == "text"), None)
-    fronts = [e for t in root.iter() if name(t) == "text" for e in t.iter() if name(e) == "div" and e.get("type") == "abstract"]
-    teasers: list[str] = []
-    for nodes in (fronts, [e for h in root.iter() if name(h) == "teiHeader" for e in h.iter() if name(e) == "abstract"]):
-        if not teasers:
-            for node in nodes:
-                paragraphs = list(pick(node, "p", ("figure",)))
-                teasers += [flat(p) for p in paragraphs] if paragraphs else [flat(node, ("figure",))]
-            teasers = [t for t in teasers if t.strip()]
-    out += [("paragraph", t) for t in teasers]
-
-    def walk(node) -> None:
-        for child in node:
-            kind = name(child)
-            if kind == "p":
-                out.append(("paragraph", flat(child)))
-            elif kind == "figure":
-                told = [flat(e) for e in child.iter() if name(e) == "figDesc"]
-                out.append(("caption", " ".join(told) if told else flat(child)))
-            elif kind != "back":
-                if kind == "head":
-                    out.append(("title", flat(child)))
-                walk(child)
-
-    if body is not None:
-        walk(body)
-    return out
-
-
 def deduplicated(blocks: DataFrame, id_col: str, canonical: Column | None = None) -> DataFrame:
     """The first of the blocks of a document that have the same type and the same comparison form."""
     form = compare_form(nfkc("text")) if canonical is None else canonical

@@ -11,6 +11,7 @@ from ..functions.text import abstract, compare_form, initials, labelled_score, n
 from ..operators.blocks import abstract_prefixed, deduplicated, html_blocks, numbered
 from ..operators.ids import coordination_id, hierarchical_ids, is_identifier, is_open_value, unique_ids
 from ..operators.similar import similar_pairs
+from ..operators.tei import tei_blocks
 from .registry import query, table
 
 WORDS = """word AS (SELECT doc_id, pos, w FROM (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+') AS w FROM documents)) WHERE w <> '')"""
@@ -94,6 +95,18 @@ def unique_slug(spark: SparkSession, d: str) -> DataFrame:
     return unique_ids(named).select("p_partkey", "id")
 
 
+@query("""WITH RECURSIVE b AS (SELECT p_partkey, split_part(p_name, ' ', 1) || CASE WHEN p_size % 3 = 0 THEN '-' || (p_size % 11 + 1) ELSE '' END || CASE WHEN p_partkey % 10 = 0 THEN '-2' WHEN p_partkey % 10 = 1 THEN '-03' ELSE '' END AS base FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY p_partkey) AS i FROM (SELECT *, regexp_replace(base, '(-[0-9]+)+$', '') AS root FROM b)),
+s AS (SELECT root, i, p_partkey, base AS id, [base] AS seen FROM r WHERE i = 1 UNION ALL
+SELECT root, i, p_partkey, id, list_append(seen, id) FROM (SELECT r.root, r.i, r.p_partkey, seen, CASE WHEN NOT list_contains(seen, base) THEN base ELSE base || '-' || list_min(list_filter(range(2, len(seen) + 3), lambda k: NOT list_contains(seen, base || '-' || k))) END AS id FROM s JOIN r ON r.root = s.root AND r.i = s.i + 1))
+SELECT p_partkey, id FROM s""")
+def unique_suffixes(spark: SparkSession, d: str) -> DataFrame:
+    """All parts in one scope; many bases look like others with a suffix, of one or two levels."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    base = F.concat(F.substring_index("p_name", " ", 1), F.when(n % 3 == 0, F.concat(F.lit("-"), n % 11 + 1)).otherwise(""), F.when(k % 10 == 0, "-2").when(k % 10 == 1, "-03").otherwise(""))
+    return unique_ids(table(spark, d, "part").select("p_partkey", F.lit("all").alias("scope"), base.alias("base"), k.alias("pos"))).select("p_partkey", "id")
+
+
 @query("""SELECT n_nationkey, 'coord-' || 'n' || (n_nationkey::varchar)[1] || '-r' || '-' || 'ls' || '-' || md5('n-' || n_nationkey || '||linked.select|r-' || n_regionkey || ':')[1:6] AS id FROM nation""")
 def coordination_ids(spark: SparkSession, d: str) -> DataFrame:
     src = F.concat(F.lit("n-"), F.col("n_nationkey"))
@@ -160,6 +173,30 @@ def page_block_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return numbered(own, "page_id").select("page_id", "order_index", "type", "text")
 
 
+TEI_ROWS = """part AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS k, type, text FROM block WHERE text <> ''),
+said AS (SELECT page_id, -1.0 AS o, 'paragraph' AS type, CASE WHEN page_id % 3 = 0 THEN 'Front ' ELSE 'About ' END || page_id AS text FROM (SELECT DISTINCT page_id FROM part) WHERE page_id % 3 = 0 OR page_id % 2 = 0
+UNION ALL SELECT page_id, k, CASE WHEN type = 'paragraph' AND k % 3 = 0 THEN 'caption' ELSE type END, text || CASE WHEN type = 'paragraph' THEN ['  inner', '', ' & more'][k % 3 + 1] ELSE '' END FROM part)"""
+
+
+@query(f"""WITH {BLOCK}, {TEI_ROWS}, f AS (SELECT page_id, type, regexp_replace(text, ' +', ' ', 'g') AS text, min(o) AS o FROM said GROUP BY 1, 2, 3)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY o) - 1 AS order_index, type, text FROM f""")
+def tei_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as TEI: heads, paragraphs with references and CDATA, figures inside figures with descriptions, back matter, and abstracts
+    in the text or in the header; the blocks once each, numbered."""
+    own = numbered(html_blocks(table(spark, d, "pages"), "page_id", "html"), "page_id")
+    text = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    k, of = F.col("order_index") % 3, lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    caption = of('<figure n="a>b"><head>no</head><figDesc>', text, "</figDesc><figure><figDesc>inner</figDesc></figure></figure>")
+    part = F.when(F.col("type") == "title", of("<head>", text, "</head>")).when(k == 0, caption).when(k == 1, of("<p>", text, "</p>")).otherwise(of("<div><p><ref>", text, "</ref><![CDATA[ & more]]></p></div>"))
+    pages = own.withColumn("part", part).groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("order_index", "part"))), lambda x: x["part"]), "\n").alias("body"))
+    n = F.col("page_id")
+    header = F.when(n % 2 == 0, of("<abstract><p>About ", n.cast("string"), "</p></abstract>")).otherwise("")
+    front = F.when(n % 3 == 0, of('<front><div type="abstract"><p>Front ', n.cast("string"), "</p></div></front>")).otherwise("")
+    xml = of('<?xml version="1.0"?>\n<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader>', header, "</teiHeader><!-- <p>no</p> --><text>", front, "<body>", F.col("body"), "</body><back><p>gone</p></back></text></TEI>")
+    made = deduplicated(tei_blocks(pages.select("page_id", xml.alias("xml")), "page_id", "xml"), "page_id", canonical=squeeze("text"))
+    return numbered(made, "page_id").select("page_id", "order_index", "type", "text")
+
+
 @query(name="abstract_finder", sql="""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE 'Some title' || chr(10) || 'Abstract: ' || text || CASE WHEN doc_id % 3 = 1 THEN chr(10) || 'Introduction follows' || chr(10) || 'x' ELSE '' END END AS text FROM documents WHERE NOT regexp_matches(text, '(?im)abstract|^\\s*(key\\s*words?|index|introduction|background|related|1\\s*[.)]|i\\s*[.)]|section|chapter)')),
 a AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]*\\n[ \\t\\n\\x0B\\f\\r]*', ' ', 'g')) AS text FROM (SELECT doc_id, trim(regexp_replace(documents.text, '[ \\t]+', ' ', 'g'), E' \\n\\t\\r') AS text FROM documents JOIN (SELECT doc_id FROM t WHERE doc_id % 3 <> 0) USING (doc_id)))
 SELECT doc_id, CASE WHEN length(a.text) >= 20 THEN a.text END AS abstract FROM t LEFT JOIN a USING (doc_id)""")
@@ -194,7 +231,7 @@ def similar_passages(spark: SparkSession, d: str) -> DataFrame:
     every pair that reaches the threshold."""
     items = table(spark, d, "benchmark").select("item_id", F.regexp_replace("text", "\n", " ").alias("text"))
     copied = items.select((-1 - F.col("item_id")).alias("doc_id"), F.regexp_replace("text", r"^\S+", "Another").alias("text"))
-    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("text")).union(copied).where("text <> ''").distinct()
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("text")).union(copied)
     pairs = similar_pairs(lines.withColumnRenamed("text", "a"), items.withColumnRenamed("text", "b"), "a", "b")
     return pairs.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity")).distinct()
 

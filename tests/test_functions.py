@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from dossier.functions import arrays, geometry, jsonx, numbers, text
-from dossier.operators import blocks, context, figures, ids, similar, validation
+from dossier.operators import blocks, context, figures, ids, similar, tei, validation
 
 
 def one(spark, value, kind, expr):
@@ -318,9 +318,86 @@ TEI = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><abstract><p>In the
 <figure><head>no</head><figDesc>Fig. 1: D</figDesc></figure><figure><head>Fig. 2</head> bare</figure></div><div><p>First.</p></div></body><back><p>gone</p></back></text></TEI>"""
 
 
+def random_tei(rng, depth=4, in_p=False, in_abstract=False):
+    """Any nesting but a paragraph in a paragraph and an abstract in an abstract, which count as a part there."""
+    name = rng.choice(["div", "div", "head", "figure", "figDesc", "ref", "back", "list"] + ([] if in_p else ["p", "p", "t:p"]))
+    attr = rng.choice(['' if in_abstract else ' type="abstract"', ' n="a>b"', "", ""]) if name == "div" else ""
+    if rng.random() < 0.1:
+        return f"<{name}{attr}/>"
+    inside = in_p or name.endswith("p"), in_abstract or "abstract" in attr
+    one = lambda: rng.choice([f" t{rng.randrange(99)} ", "&amp;x&#65;", "&lt;q&gt;", "<![CDATA[<p>]]>", "<!-- <p>no</p> -->", random_tei(rng, depth - 1, *inside) if depth else "e"])
+    return f"<{name}{attr}>{''.join(one() for _ in range(rng.randrange(6)))}</{name}>"
+
+
+def walked(xml):
+    from xml.etree import ElementTree
+
+    try:
+        root = ElementTree.fromstring(xml)
+    except ElementTree.ParseError as e:
+        return [("error", str(e))]
+    name = lambda e: e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
+
+    def pick(node, wanted, skip=()):
+        """Descendants of a name, not inside a skipped one."""
+        for child in node:
+            if name(child) in skip:
+                continue
+            if name(child) == wanted:
+                yield child
+            yield from pick(child, wanted, skip)
+
+    def flat(node, skip=()):
+        inner = "".join(("" if name(c) in skip else flat(c, skip)) + (c.tail or "") for c in node)
+        return (node.text or "") + inner
+
+    out = []
+    body = next((e for e in root.iter() if name(e) == "text"), None)
+    fronts = [e for t in root.iter() if name(t) == "text" for e in t.iter() if name(e) == "div" and e.get("type") == "abstract"]
+    teasers = []
+    for nodes in (fronts, [e for h in root.iter() if name(h) == "teiHeader" for e in h.iter() if name(e) == "abstract"]):
+        if not teasers:
+            for node in nodes:
+                paragraphs = list(pick(node, "p", ("figure",)))
+                teasers += [flat(p) for p in paragraphs] if paragraphs else [flat(node, ("figure",))]
+            teasers = [t for t in teasers if t.strip()]
+    out += [("paragraph", t) for t in teasers]
+
+    def walk(node):
+        for child in node:
+            kind = name(child)
+            if kind == "p":
+                out.append(("paragraph", flat(child)))
+            elif kind == "figure":
+                told = [flat(e) for e in child.iter() if name(e) == "figDesc"]
+                out.append(("caption", " ".join(told) if told else flat(child)))
+            elif kind != "back":
+                if kind == "head":
+                    out.append(("title", flat(child)))
+                walk(child)
+
+    if body is not None:
+        walk(body)
+    return out
+
+
+def test_tei_against_a_tree_walk(spark):
+    rng = random.Random(3)
+    docs = []
+    for i in range(150):
+        texts = "".join(f"<text>{''.join(random_tei(rng) for _ in range(4))}</text>" for _ in range(rng.choice([0, 1, 1, 2])))
+        docs.append((i, f'<?xml version="1.0"?><TEI xmlns="u" xmlns:t="u"><teiHeader><p>x</p><abstract>{random_tei(rng, 2, in_abstract=True)}</abstract></teiHeader>{texts}</TEI>'))
+    got = {}
+    for r in tei.tei_blocks(spark.createDataFrame(docs, "id long, xml string"), "id", "xml").orderBy("id", "pos").collect():
+        got.setdefault(r.id, []).append((r.type, r.text))
+    for i, xml in docs:
+        want = [(k, " ".join(t.split())) for k, t in walked(xml)]
+        assert got.get(i, []) == [w for w in want if w[1]], xml
+
+
 def test_tei(spark):
     df = spark.createDataFrame([(1, TEI), (2, "<broken"), (3, None)], "id long, xml string")
-    got = blocks.tei_blocks(df, "id", "xml")
+    got = tei.tei_blocks(df, "id", "xml")
     own = blocks.numbered(blocks.deduplicated(got.where("id = 1"), "id"), "id").orderBy("order_index").collect()
     assert [(r.type, r.text) for r in own] == [("paragraph", "In the header"), ("title", "One title"), ("paragraph", "First."), ("caption", "Fig. 1: D"), ("caption", "Fig. 2 bare")]
     assert {r.type for r in got.where("id > 1").collect()} == {"error"}
