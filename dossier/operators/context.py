@@ -35,10 +35,29 @@ def system_context(views: Column | str) -> Column:
     return F.transform(F.filter(F.coalesce(v, F.array()), has("view")), lambda x: F.struct(*named(x, "view"), subs(x).alias("subviews")))
 
 
+def coordinations(items: Column | str) -> Column:
+    """Coordinations of a system (coordination_id, coordination_type, evidence.reasoning, source and targets as references): those without
+    an id go, the reason is the description, references become ids, targets once each."""
+    given = F.filter(F.coalesce(F.col(items) if isinstance(items, str) else items, F.array()), lambda c: blank_to_null(c["coordination_id"]).isNotNull())
+    return F.transform(
+        given,
+        lambda c: F.struct(
+            c["coordination_id"].alias("coordination_id"), blank_to_null(c["coordination_type"]).alias("coordination_type"), blank_to_null(c["evidence"]["reasoning"]).alias("description"),
+            view_ref(c["source"]).alias("source_id"), distinct_stripped(F.transform(F.coalesce(c["targets"], F.array()), view_ref)).alias("target_ids"),
+        ),
+    )
+
+
 def workflow_context(stages: DataFrame, transitions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stages of named workflows and transitions between named stages; rows without those ids go."""
+    """Stages of named workflows and transitions between named stages; rows without those ids go. What a stage uses, its views,
+    capabilities and coordinations, are lists of ids, or of references to views and structs with an id."""
     kept = stages.where("coalesce(workflow_id, '') <> '' and coalesce(stage_id, '') <> ''")
-    kept = kept.withColumn("stage_title", F.coalesce(blank_to_null("stage_title"), F.col("stage_id"))).withColumn("used_views", distinct_stripped("used_views"))
+    kept = kept.withColumn("stage_title", F.coalesce(blank_to_null("stage_title"), F.col("stage_id")))
+    ids = {"used_views": view_ref, "used_capabilities": lambda x: x["capability_id"], "used_coordinations": lambda x: x["coordination_id"]}
+    for column, id_of in ids.items():
+        if column in stages.columns:
+            plain = stages.schema[column].dataType.elementType.typeName() == "string"
+            kept = kept.withColumn(column, distinct_stripped(column if plain else F.transform(column, id_of)))
     return kept, transitions.where("coalesce(source_stage_id, '') <> '' and coalesce(target_stage_id, '') <> ''")
 
 

@@ -14,8 +14,6 @@ from ..functions.text import blank_to_null
 from .context import field_of, view_ref
 
 #: Fixed values of the record format.
-SCHEMA_VERSION = "next-analytic-move.v1"
-TASK_NAME = "next_analytic_move_prediction"
 REQUIREMENTS = {"output_format": "json", "predicted_views_unit": "canonical_subview_or_view_id", "predicted_capabilities_unit": "canonical_capability_id", "workflow_prediction_optional": True, "use_only_ids_from_context": True}
 INPUT_MODE = "ordered_episode_images"
 EPISODE = ("benchmark_episode_index", "episode_title", "local_goal", "used_views", "used_capabilities")
@@ -57,13 +55,13 @@ def prefix_episode(index: Column) -> Column:
     return F.get(F.transform(F.array(found), of), F.lit(0))
 
 
-def built_records(samples: DataFrame, cases: DataFrame, systems: DataFrame, workflows: DataFrame, usage: DataFrame, instruction: str) -> DataFrame:
+def built_records(samples: DataFrame, cases: DataFrame, systems: DataFrame, workflows: DataFrame, usage: DataFrame, instruction: str, schema_version: str, task_name: str) -> DataFrame:
     """(metadata, model_input, gold) of each sample.
 
     samples: sample_id, benchmark_case_id, paper_name, case_index, prefix (episode indexes), target, target_title, target_image
     and gold_next_goal, gold_next_views, gold_next_capabilities; cases: benchmark_case_id, episodes; systems and workflows:
     paper_name and system_context or workflow_context; usage: paper_name, case_index, scenario, questions, hypotheses,
-    usage_episodes. A sample without its case, specifications or episodes is an error when it is read.
+    usage_episodes. The format's version and the task's name are the caller's. A sample without its case, specifications or episodes is an error when it is read.
     """
     own = matched_rows(samples.withColumn("case_index", F.col("case_index").cast("int")), cases.select("benchmark_case_id", "episodes"), "benchmark_case_id", "no case ")
     own = matched_rows(own, systems.select("paper_name", "system_context"), "paper_name", "no system specification of ")
@@ -82,7 +80,7 @@ def built_records(samples: DataFrame, cases: DataFrame, systems: DataFrame, work
     images = F.transform(F.filter("_prefix", lambda e: e["image_path"].isNotNull()), lambda e: F.struct(e["benchmark_episode_index"], e["episode_title"], e["image_path"]))
     visual = F.struct(F.lit(INPUT_MODE).alias("input_mode"), images.alias("prefix_episode_images"))
     given = F.struct(
-        F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(TASK_NAME).alias("task_name"), "sample_id", F.lit(instruction).alias("task_instruction"), "system_context", "workflow_context",
+        F.lit(schema_version).alias("schema_version"), F.lit(task_name).alias("task_name"), "sample_id", F.lit(instruction).alias("task_instruction"), "system_context", "workflow_context",
         case.alias("case_context"), visual.alias("visual_context"), F.struct(*(F.lit(v).alias(k) for k, v in REQUIREMENTS.items())).alias("response_requirements"),
     )
     meta = F.struct("sample_id", "benchmark_case_id", "paper_name", "case_index", F.size("prefix").alias("prefix_length"), F.col("prefix").alias("prefix_episode_indices"), F.col("target").cast("int").alias("target_episode_index"))

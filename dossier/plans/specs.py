@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import paired
-from ..operators import context, records, report, validation
+from ..operators import context, records, report, rules, validation
 from .registry import query, table
 
+#: The record format's version and its task.
+VERSION, TASK = "v1", "next_move"
+
 
 @query("""SELECT l_orderkey::varchar AS entity_id, 'contiguous' AS rule, min(l_linenumber) || '..' || max(l_linenumber) AS message FROM lineitem GROUP BY l_orderkey HAVING min(l_linenumber) <> 1 OR max(l_linenumber) <> count(*) OR count(DISTINCT l_linenumber) <> count(*)""")
 def sequence_contiguity(spark: SparkSession, d: str) -> DataFrame:
@@ -150,6 +153,35 @@ def tree(spark: SparkSession, d: str) -> DataFrame:
     return r.select("r_regionkey", F.array(view, F.struct(F.lit("").alias("view_id"), F.col("r_name").alias("view_name"), F.lit("x").alias("description"), F.col("subviews"))).alias("views"))
 
 
+@query("""SELECT l_orderkey AS k, 'c-' || l_partkey || '-' || l_linenumber AS coordination_id, CASE WHEN l_linenumber % 4 <> 0 THEN l_returnflag END AS coordination_type, CASE WHEN l_linenumber % 3 = 0 THEN 'because ' || l_linenumber END AS description,
+CASE WHEN l_linenumber % 2 = 0 THEN 'v.s-' || l_suppkey WHEN l_linenumber % 5 <> 0 THEN 'v' END AS source_id, CASE WHEN l_suppkey % 2 = 0 THEN 'v.s-' || l_suppkey || '|v' ELSE 'v' END AS target_ids FROM lineitem WHERE l_partkey % 6 <> 0""")
+def system_coordinations(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as coordinations of their order: some without an id, a type, a reason or a source, targets repeated and empty."""
+    n, s = F.col("l_linenumber"), F.col("l_suppkey")
+    ref = lambda view, sub: F.struct(view.alias("view_id"), sub.alias("subview_id"))
+    none, sub, view = F.lit(None).cast("string"), F.concat(F.lit("v.s-"), s), F.lit("v")
+    targets = F.array(ref(view, F.when(s % 2 == 0, sub).otherwise("")), ref(view, none), ref(F.lit(""), none), ref(view, F.lit("")))
+    one = F.struct(
+        F.when(F.col("l_partkey") % 6 != 0, F.concat(F.lit("c-"), F.col("l_partkey"), F.lit("-"), n)).otherwise("").alias("coordination_id"), F.when(n % 4 != 0, F.col("l_returnflag")).otherwise("").alias("coordination_type"),
+        F.struct(F.when(n % 3 == 0, F.concat(F.lit("because "), n)).alias("reasoning")).alias("evidence"), ref(F.when((n % 2 == 0) | (n % 5 != 0), view), F.when(n % 2 == 0, sub)).alias("source"), targets.alias("targets"),
+    )
+    own = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list(one).alias("x"))
+    rows = own.select("k", F.explode(context.coordinations("x")).alias("c"))
+    return rows.select("k", "c.coordination_id", "c.coordination_type", "c.description", "c.source_id", F.array_join("c.target_ids", "|").alias("target_ids"))
+
+
+@query("""SELECT 'w-' || s_nationkey AS workflow_id, 's-' || s_suppkey AS stage_id, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'k-' || s_suppkey || '|x' END AS used_capabilities, CASE WHEN s_suppkey % 2 = 0 THEN 'c-' || s_suppkey ELSE '' END AS used_coordinations FROM supplier""")
+def stage_uses(spark: SparkSession, d: str) -> DataFrame:
+    """Capabilities and coordinations that stages use, from references of which some have no id and some are repeated."""
+    s, k = table(spark, d, "supplier"), F.col("s_suppkey")
+    ref = lambda name, *ids: F.array(*(F.struct(i.alias(name)) for i in ids))
+    own = F.concat(F.lit("k-"), k)
+    caps = F.when(k % 3 == 0, ref("capability_id", F.lit(""))).otherwise(ref("capability_id", own, F.lit("x"), own))
+    stages = s.select(F.concat(F.lit("w-"), F.col("s_nationkey")).alias("workflow_id"), F.concat(F.lit("s-"), k).alias("stage_id"), F.lit("t").alias("stage_title"), caps.alias("used_capabilities"), F.when(k % 2 == 0, ref("coordination_id", F.concat(F.lit("c-"), k), F.lit(""))).alias("used_coordinations"))
+    kept, _ = context.workflow_context(stages, stages.select(F.col("stage_id").alias("source_stage_id"), F.col("stage_id").alias("target_stage_id")))
+    return kept.select("workflow_id", "stage_id", *(F.array_join(c, "|").alias(c) for c in ("used_capabilities", "used_coordinations")))
+
+
 @query("""SELECT 'r-' || r_regionkey AS view_id, r_name AS view_name, 'n-' || n_nationkey AS subview_id, 'n-' || n_nationkey AS subview_name, 's-' || s_suppkey AS capability_id, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 's-' || s_suppkey END AS capability_name, NULL::varchar AS description
 FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey WHERE s_suppkey % 9 <> 0""", name="system_context")
 def systems(spark: SparkSession, d: str) -> DataFrame:
@@ -271,7 +303,7 @@ SELECT k::varchar AS sample_id, count(*) FILTER (place <= 2 AND r = 1) AS prefix
 coalesce(string_agg('/i/' || p, '|' ORDER BY n) FILTER (place <= 2 AND r = 1 AND f = 'R'), '') AS images, string_agg('w/' || p || '/' || n || '/' || s, '|' ORDER BY n, p, s, f) AS stages FROM last GROUP BY k""")
 def benchmark_records(spark: SparkSession, d: str) -> DataFrame:
     """Records of orders: their prefixes with steps, their images, and the stages that a judge is told of."""
-    held = records.built_records(*record_tables(spark, d), "Predict.")
+    held = records.built_records(*record_tables(spark, d), "Predict.", VERSION, TASK)
     told = records.judge_payloads(held, held.select(F.col("metadata.sample_id").alias("sample_id"), F.lit("x").alias("prediction"))).select("sample_id", F.col("payload.workflow_stages").alias("s"))
     episodes, images = F.col("model_input.case_context.prefix_episodes"), F.col("model_input.visual_context.prefix_episode_images")
     each = lambda e: F.concat_ws(":", e["benchmark_episode_index"].cast("string"), e["episode_title"], e["local_goal"], F.get(F.get(e["steps"], F.lit(0))["used_views"], F.lit(0)))
@@ -281,3 +313,19 @@ def benchmark_records(spark: SparkSession, d: str) -> DataFrame:
     )
     stages = F.array_join(F.transform("s", lambda x: F.concat_ws("/", x["workflow_id"], x["stage_id"], x["stage_index"].cast("string"), F.get(x["used_views"], F.lit(0)))), "|")
     return out.join(told.select("sample_id", stages.alias("stages")), "sample_id")
+
+
+@query("""WITH n AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1),
+stage AS (SELECT k, '$.model_input.workflow_context.workflows[0].stages[' || i || '].' AS p FROM (SELECT k, unnest(range(n)) AS i FROM n WHERE k % 5 <> 3)),
+x AS (SELECT k, CASE k % 5 WHEN 0 THEN '$.metadata.case_index' WHEN 1 THEN '$.gold.gold_next_goal' WHEN 2 THEN '$.gold.gold_next_views[0]' WHEN 3 THEN '$' ELSE '$.model_input.schema_version' END AS path, ['type', 'missing', 'pattern', 'not_json', 'value'][k % 5 + 1] AS rule FROM n)
+SELECT k, path, rule FROM x UNION ALL SELECT k, p || 'workflow_id', 'missing' FROM stage UNION ALL SELECT k, p || 'stage_title', 'missing' FROM stage""")
+def record_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark records as lines, each with one more defect: their stages lack two fields anyway."""
+    held = records.built_records(*record_tables(spark, d), "Predict.", VERSION, TASK)
+    k, line = F.col("metadata.sample_id").cast("long"), F.to_json(F.struct("metadata", "model_input", "gold"), {"ignoreNullFields": "false"})
+    defects = (('"case_index":1', '"case_index":"one"'), ('"gold_next_goal":', '"gold_goal":'), ('"gold_next_views":[', '"gold_next_views":["Bad Id",'))
+    value = F.when(k % 5 == 3, F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(F.replace(line, F.lit(f'"{VERSION}"'), F.lit('"v0"')))
+    for n, (old, new) in enumerate(defects):
+        value = F.when(k % 5 == n, F.replace(line, F.lit(old), F.lit(new))).otherwise(value)
+    found = rules.checked(held.select(k.alias("k"), value.alias("value")), rules.record_rule(VERSION, TASK))
+    return found.select("k", F.explode("problems").alias("p")).select("k", "p.path", "p.rule")

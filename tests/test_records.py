@@ -29,10 +29,10 @@ def tables(spark, prefix=(2, 1)):
 
 
 def test_records(spark):
-    r = records.built_records(*tables(spark), "Predict.").first()
+    r = records.built_records(*tables(spark), "Predict.", "v1", "next_move").first()
     assert (r.metadata.prefix_length, r.metadata.case_index, r.metadata.target_episode_index) == (2, 1, 3)
     given = r.model_input
-    assert (given.schema_version, given.task_instruction, given.system_context.system_name, given.response_requirements.use_only_ids_from_context) == ("next-analytic-move.v1", "Predict.", "sys", True)
+    assert (given.schema_version, given.task_instruction, given.system_context.system_name, given.response_requirements.use_only_ids_from_context) == ("v1", "Predict.", "sys", True)
     case = given.case_context
     assert tuple(case.scenario) == ("dp", None, None, "iq") and [tuple(q) for q in case.questions] == [("q1", "Q?", None)] and case.hypotheses[0].related_question_ids == ["q1"]
     two, one = case.prefix_episodes
@@ -46,15 +46,15 @@ def test_records(spark):
 
 def test_missing_parts_are_errors(spark):
     with pytest.raises(Exception, match="no episode 7 for s1"):
-        records.built_records(*tables(spark, (1, 7)), "x").collect()
+        records.built_records(*tables(spark, (1, 7)), "x", "v1", "next_move").collect()
     samples, cases, systems, flows, usage = tables(spark)
     for broken, message in (((samples, cases.limit(0), systems, flows, usage), "no case c1"), ((samples, cases, systems, flows, usage.limit(0)), "no usage case")):
         with pytest.raises(Exception, match=message):
-            records.built_records(*broken, "x").collect()
+            records.built_records(*broken, "x", "v1", "next_move").collect()
 
 
 def test_what_is_told(spark):
-    held = records.built_records(*tables(spark), "Predict.")
+    held = records.built_records(*tables(spark), "Predict.", "v1", "next_move")
     told = json.loads(held.select(F.to_json(records.prompt_input("model_input"))).first()[0])
     assert told["visual_context"]["prefix_episode_images"] == [{"benchmark_episode_index": 1, "episode_title": "One", "image_ref": "attached_image_1"}]
     predictions = spark.createDataFrame([("s1", "guess"), ("s2", "none")], "sample_id string, prediction string")
