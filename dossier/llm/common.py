@@ -62,6 +62,19 @@ def text_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def nearest_ids(df: DataFrame, most: int) -> DataFrame:
+    """The `most` different rows of df (doc_id and perhaps more) with the smallest hashes of the id; rows without an id go.
+
+    Only rows below a hash rate that leaves twice as many ids are made different and sorted, so the ids of the whole table aren't
+    shuffled. The rate follows from an estimate of their number, whose error is far below that factor.
+    """
+    known = df.where("doc_id is not null")
+    n = known.agg(F.approx_count_distinct("doc_id")).first()[0]
+    rate = min(1.0, (2 * most + 1000) / max(n, 1))
+    near = known if rate == 1 else known.where(F.xxhash64("doc_id") < int(rate * (1 << 64)) - (1 << 63))
+    return near.distinct().orderBy(F.xxhash64("doc_id"), *df.columns).limit(most)
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None)
 

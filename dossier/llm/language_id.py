@@ -6,9 +6,9 @@ of the centroid with the greatest cosine. Each centroid also has a radius: a tex
 own sample is marked as rejected (the nearest language is given all the same, as a result needs one).
 
 Document frequencies are counted over all documents of the learning fold. The sample for the centroids is bounded:
-`per_language` documents of each language and `sample` in all, chosen by the hash of the id at a rate that follows from the
-language's count. What is learned are the `languages` most frequent values of lang, so that centroids stay small enough to
-be sent to all tasks however many stray values there are.
+`per_language` documents of each language and `sample` in all, or one of each language if there are more, chosen by the hash of the
+id at a rate that follows from the language's count. Every value of lang is learned, each in a task of its own. Centroids are sent to
+all tasks in blocks of `block` of them; with several blocks there is one pass over the texts for each, and the best of them counts.
 
 Defined results: null texts and texts without a letter are `und` with score 0. Texts of a null language are not learned
 from. With no known language every text is `und`. Repeated rows are judged each. Very long texts are read whole, in
@@ -22,12 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import sliced
-from .exchange import mixed
+from .common import materialized, sliced
+from .exchange import mixed, placed
 
 #: Whether a code point below 0x3000 is a letter; the scripts above count as letters.
 LETTER = np.array([chr(i).isalpha() for i in range(0x3000)] + [True])
@@ -38,10 +39,10 @@ class Centroids:
     dims: int = 4096
     per_language: int = 1_200
     sample: int = 20_000
-    languages: int = 500
     clusters: int = 4
     rounds: int = 12
     reject: float = 0.001
+    block: int = 2_048
 
 
 def gram_counts(texts: list[str], dims: int, block: int = 1_000_000) -> np.ndarray:
@@ -123,71 +124,107 @@ def document_frequencies(docs: DataFrame, dims: int) -> tuple[np.ndarray, int]:
     return np.array([counted.get(k, 0) for k in range(dims)], np.float64), counted.get(-1, 0)
 
 
+#: Languages whose counts are sent to all tasks; more are joined as a table.
+SENT = 100_000
+
+
 def learning_sample(docs: DataFrame, how: Centroids) -> DataFrame:
     """(lang, text) of a bounded number of rows of each language: a hash rate of a little more first, so no window holds a whole
-    language. The counts of the most frequent languages, a bounded number, are what is joined."""
-    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(how.languages)
+    language."""
+    counts = docs.groupBy("lang").count()
     n_languages = counts.count()
     per = max(1, min(how.per_language, how.sample // max(n_languages, 1)))
-    rate = F.least(F.lit(1 << 30), F.floor(F.lit(3 * per << 30) / (2 * F.col("count"))))
-    near = docs.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate)
+    rate = F.least(F.lit(1 << 30), F.floor(F.lit((3 * per + 16) << 30) / (2 * F.col("count"))))
+    near = docs.join(F.broadcast(counts) if n_languages <= SENT else counts, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate)
     order = W.Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per).select("lang", "text")
 
 
-def fit(docs: DataFrame, how: Centroids) -> dict | None:
-    """Centroids of each language from (doc_id, text, lang) rows."""
+def weights(df: np.ndarray, n: int) -> np.ndarray:
+    """The root of the usual weight, for plain counts: in a text of two languages the longer part decides."""
+    return np.sqrt(np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32)
+
+
+def fit(docs: DataFrame, how: Centroids) -> tuple[np.ndarray, DataFrame]:
+    """(weights, (lang, centre, radius) of the centroids of each language) from (doc_id, text, lang) rows. Each language is clustered
+    by one task, from at most `per_language` rows, and the table is written to the shared folder."""
     import zlib
 
+    idf = weights(*document_frequencies(docs, how.dims))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            packed = [zlib.compress(np.minimum(gram_counts([t], how.dims)[0], 65535).astype("<u2").tobytes(), 1) for t in batch.column("text").to_pylist()]
+            packed = [zlib.compress(gram_counts([t], how.dims)[0].astype("<u4").tobytes(), 1) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(packed, pa.binary())], ["lang", "counts"])
 
-    df, n = document_frequencies(docs, how.dims)
-    held = learning_sample(docs, how).mapInArrow(run, "lang string, counts binary").collect()
-    if not held:
-        return None
-    # plain counts and the root of the usual weight: in a text of two languages the longer part decides
-    idf = np.sqrt(np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32)
-    centres, langs, radius = [], [], []
-    for lang in sorted({r.lang for r in held}):
-        packed = sorted(r.counts for r in held if r.lang == lang)
-        x = vectors(np.stack([np.frombuffer(zlib.decompress(p), "<u2") for p in packed]).astype(np.float32), idf)
+    def clustered(rows: pa.Table) -> pa.Table:
+        packed = sorted(rows.column("counts").to_pylist())
+        x = vectors(np.stack([np.frombuffer(zlib.decompress(p), "<u4") for p in packed]).astype(np.float32), idf)
         x = x[x.any(axis=1)]  # a text without a letter tells nothing
-        if not len(x):
-            continue
-        own = k_means(x, how.clusters, how.rounds)
+        own = k_means(x, how.clusters, how.rounds) if len(x) else x
         near = x @ own.T
-        for k in range(len(own)):
-            mine = near[near.argmax(axis=1) == k, k]
-            centres.append(own[k])
-            langs.append(lang)
-            radius.append(float(np.quantile(mine, how.reject)) if len(mine) else 0.0)
-    if not langs:
-        return None
-    return {"idf": idf, "centres": np.stack(centres).astype(np.float32), "langs": langs, "radius": np.array(radius)}
+        mine = [near[near.argmax(axis=1) == k, k] for k in range(len(own))]
+        radius = [float(np.quantile(m, how.reject)) if len(m) else 0.0 for m in mine]
+        return pa.table({"lang": pa.array(rows.column("lang").to_pylist()[:1] * len(own), pa.string()), "centre": pa.array([c.astype("<f4").tobytes() for c in own], pa.binary()), "radius": pa.array(radius, pa.float64())})
 
+    held = learning_sample(docs, how).mapInArrow(run, "lang string, counts binary")
+    return idf, materialized(held.groupBy("lang").applyInArrow(clustered, "lang string, centre binary, radius double"), "centroids")
 
-def identify(docs: DataFrame, allowed: Column | None = None, how: Centroids | None = None) -> DataFrame:
-    """(doc_id, lang_pred, score, rejected) of every document, learned from the rows for which `allowed` holds."""
-    how = how or Centroids()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    model = fit(rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if allowed is None else allowed)), how)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+def blocks(centroids: DataFrame, most: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """(languages, centres, radii) of some centroids at a time, at least once."""
+    held, some = [], False
+    for row in centroids.orderBy("lang", "centre").toLocalIterator():
+        if len(held) == most:
+            yield unpacked(held)
+            held, some = [], True
+        held.append(row)
+    if held or not some:
+        yield unpacked(held)
+
+
+def unpacked(rows: list) -> tuple[list[str], np.ndarray, np.ndarray]:
+    return [r.lang for r in rows], np.stack([np.frombuffer(r.centre, "<f4") for r in rows]) if rows else np.zeros((0, 0), np.float32), np.array([r.radius for r in rows])
+
+
+def nearest(shared: Broadcast, dims: int):
+    """Arrow work: the best centroid of a block for each text, beside all columns but the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        idf, (langs, centres, radius) = shared.value
         for batch in sliced(batches):
             texts, lang, score, away = batch.column("text").to_pylist(), ["und"] * batch.num_rows, np.zeros(batch.num_rows), [True] * batch.num_rows
-            for k in range(0, len(texts) if model else 0, 256):
+            for k in range(0, len(texts) if langs else 0, 256):
                 own = [t or "" for t in texts[k : k + 256]]
-                counts = gram_counts(own, how.dims)
-                near = vectors(counts, model["idf"]) @ model["centres"].T
+                counts = gram_counts(own, dims)
+                near = vectors(counts, idf) @ centres.T
                 for j in np.flatnonzero(counts.any(axis=1)):
-                    if counts[j].any() and any(c.isalpha() for c in own[j]):
+                    if any(c.isalpha() for c in own[j]):
                         best = int(near[j].argmax())
-                        lang[k + j], score[k + j], away[k + j] = model["langs"][best], min(max(float(near[j, best]), 0.0), 1.0), bool(near[j, best] < model["radius"][best])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang), pa.array(score), pa.array(away)], ["doc_id", "lang_pred", "score", "rejected"])
+                        lang[k + j], score[k + j], away[k + j] = langs[best], min(max(float(near[j, best]), 0.0), 1.0), bool(near[j, best] < radius[best])
+            others = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(lang), pa.array(score), pa.array(away)], [*others, "lang_pred", "score", "rejected"])
+
+    return run
 
-    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+
+def identify(docs: DataFrame, allowed: Column | None = None, how: Centroids | None = None) -> DataFrame:
+    """(doc_id, lang_pred, score, rejected) of every document, learned from the rows for which `allowed` holds."""
+    how = how or Centroids()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    idf, centroids = fit(rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if allowed is None else allowed)), how)
+    context, texts, result = docs.sparkSession.sparkContext, rows.select("doc_id", "text"), "doc_id long, lang_pred string, score double, rejected boolean"
+    if centroids.count() <= how.block:
+        return texts.mapInArrow(nearest(context.broadcast((idf, next(blocks(centroids, how.block)))), how.dims), result)
+    texts, place = placed(texts)
+    texts, done = texts.select("doc_id", place.alias("place"), "text"), []
+    for block in blocks(centroids, how.block):
+        shared = context.broadcast((idf, block))
+        done.append(materialized(texts.mapInArrow(nearest(shared, how.dims), result.replace(", ", ", place long, ", 1)), "nearest"))
+        shared.destroy()
+    every = done[0]
+    for df in done[1:]:
+        every = every.union(df)
+    # a row is told by its id and place; of equal scores the first language in order counts, as in one block
+    best = F.min_by(F.struct("lang_pred", "score", "rejected"), F.struct(-F.col("score"), F.col("lang_pred") == "und", "lang_pred"))
+    return every.groupBy("doc_id", "place").agg(best.alias("x")).select("doc_id", "x.*")

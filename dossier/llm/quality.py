@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, text_rows
+from .common import nearest_ids, sliced, text_rows
 from .quality_rules import SYMBOLS, duplicate_lines, repeated_words
 
 UPPER, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
@@ -123,7 +123,7 @@ def adam(model: Additive, steps: int, rate: float, l2: float, gradient) -> None:
 
 def prior_of(positive: np.ndarray, unlabelled: np.ndarray, how: NonNegative, chance: float = 0.1) -> float:
     """Share of positives in unlabelled text: the least ratio of shares above a score, by scores of models that haven't seen
-    the row."""
+    the row. Estimates outside 0.05 to 0.95 count as those, as the risk needs both classes."""
     p, u = np.zeros(len(positive)), np.zeros(len(unlabelled))
     model = Additive(np.concatenate([positive, unlabelled]), how.bins)
     of_p, of_u = model.active(positive), model.active(unlabelled)
@@ -161,13 +161,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, how: NonNega
     return model
 
 
-def nearest_ids(df: DataFrame, most: int) -> DataFrame:
-    return df.where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-
-
 def sampled(docs: DataFrame, ids: DataFrame) -> np.ndarray:
-    """Properties of the chosen documents, at the driver; the ids are bounded by a limit."""
-    held = with_properties(docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text")).collect()
+    """Properties of the chosen documents, at the driver: one row for each id, however often it occurs, and ids are bounded by a limit."""
+    held = with_properties(docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text")).groupBy("doc_id").agg(F.min("x").alias("x")).collect()
     held.sort(key=lambda r: (r.doc_id, r.x))
     return np.array([r.x for r in held]).reshape(-1, len(PROPERTIES))
 

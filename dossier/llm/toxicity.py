@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, text_rows
+from .common import nearest_ids, sliced, text_rows
 from .decontamination import FOLD
 from .exchange import mixed
 
@@ -39,7 +39,7 @@ class Ftrl:
     l1: float = 6.0
     l2: float = 0.0
     epochs: int = 5
-    train_rows: int = 10_000
+    train_rows: int = 16_000
 
 
 def grams(raws: list[bytes | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,17 +92,17 @@ def fit(samples: list[tuple[np.ndarray, int]], how: Ftrl) -> tuple[np.ndarray, n
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, label) of at most `most` labelled documents of the allowed fold, those with the smallest hash of the id.
+    """(doc_id, label, text) of at most `most` different labelled ids of the allowed fold, those with the smallest hash of the id.
 
     The bound is applied to the labels' ids, so that only texts that are used meet them, by a join with a small side.
     """
-    chosen = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & allowed)
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
-    return text_rows(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
+    chosen = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & allowed)
+    return text_rows(docs, id_col, text_col).join(F.broadcast(nearest_ids(chosen, most)), "doc_id")
 
 
 def packed_features(sample: DataFrame, bits: int) -> list[tuple[np.ndarray, int]]:
-    """The training features, hashed by the tasks; what comes to the driver is bounded by the sample."""
+    """The training features, hashed by the tasks, one row for each id and label, however often they occur; what comes to the driver
+    is bounded by the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -110,8 +110,8 @@ def packed_features(sample: DataFrame, bits: int) -> list[tuple[np.ndarray, int]
             packed = [np.unique(grams([raw], bits)[1]).astype("<u4").tobytes() for raw in raws]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(packed, pa.binary())], ["doc_id", "label", "features"])
 
-    held = sample.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, features binary").collect()
-    held.sort(key=lambda r: (r.doc_id, r.label, r.features))
+    held = sample.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, features binary").groupBy("doc_id", "label").agg(F.min("features").alias("features")).collect()
+    held.sort(key=lambda r: (r.doc_id, r.label))
     return [(np.frombuffer(r.features, "<u4"), r.label) for r in held]
 
 

@@ -190,3 +190,54 @@ def test_nothing_to_learn_from(spark):
     assert {r.lang_pred for r in identify(docs(spark, rows).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     for df in (quality(docs(spark, []), none), toxicity(docs(spark, []), none), identify(docs(spark, []))):
         assert df.count() == 0
+
+
+def test_an_id_is_learned_from_once(spark):
+    """However often a document or a label occurs, one row of it comes to the driver, and the model stays the same."""
+    from dossier.llm.quality import sampled
+    from dossier.llm.toxicity import packed_features, training_sample
+
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 60, 3000)) for i in range(60)]
+    table = spark.createDataFrame([(i, i % 2, i % 3 == 0) for i in range(60)], "doc_id long, quality int, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
+    once = docs(spark, rows)
+    hot = once.union(once.where("doc_id = 6").crossJoin(spark.range(10_000)).select(*once.columns))
+    labels = table.union(table.where("doc_id = 6").crossJoin(spark.range(10_000)).select(*table.columns))
+    assert len(sampled(hot.select("doc_id", "text"), table.select("doc_id"))) == 60
+    assert len(packed_features(training_sample(hot, labels, "toxic", F.lit(True), 40), 12)) == 40
+    small = NonNegative(positives=20, unlabelled=40, steps=20)
+    for fitted in (lambda d, t: quality(d, t, how=small), lambda d, t: toxicity(d, t, how=Ftrl(bits=12))):
+        many = {r.doc_id: r.score for r in fitted(hot, labels).collect()}
+        assert many == {r.doc_id: r.score for r in fitted(once, table).collect()}
+
+
+def test_nearest_ids_are_those_with_the_smallest_hashes(spark):
+    from dossier.llm.common import nearest_ids
+
+    df = spark.range(50_000).selectExpr("case when id % 3 = 0 then null else id % 20000 end as doc_id").repartition(3)
+    want = df.where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id")).limit(300).collect()
+    assert nearest_ids(df, 300).collect() == want
+    assert nearest_ids(df, 10**6).count() == df.where("doc_id is not null").distinct().count()
+
+
+@pytest.mark.parametrize("block", [2_048, 3])
+def test_every_language_is_learned(spark, block):
+    """Hundreds of values of lang, most of them with one document, in one block of centroids or in many."""
+    rng = random.Random(9)
+    letters = [chr(c) for c in range(0x4E00, 0x9000)]
+    rows = [(i, "".join(rng.sample(letters, 40)), f"l{i % 120}" if i < 240 else f"rare{i}") for i in range(260)]
+    rows += [(1000 + i, t, None) for i, t, _ in rows] + [rows[3], (2000, None, "l1"), (2001, "1 2", "l1"), (None, rows[0][1], None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = identify(frame, how=Centroids(dims=512, clusters=2, block=block)).collect()
+    assert len(got) == len(rows)
+    by_id = {r.doc_id: r for r in got}
+    assert all(by_id[1000 + i].lang_pred == lang for i, _, lang in rows[:260])
+    assert by_id[2000].lang_pred == by_id[2001].lang_pred == "und" and by_id[None].lang_pred == "l0"
+
+
+def test_counts_of_long_texts_keep_their_direction(spark):
+    """A letter that occurs 200,000 times in a learned text counts as often."""
+    rows = [(1, "a " * 200_000 + "b " * 60_000, "aa"), (2, "b " * 100, "bb"), (3, "a a a b", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in identify(frame, how=Centroids(dims=256)).collect()}
+    assert got[1].lang_pred == "aa" and got[1].score > 0.99999
