@@ -25,26 +25,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept_rows, materialized, sliced, text_rows
 from .exchange import placed
+from .terms import encoded, tokens, words_of
 
 SPAN = "struct<start: long, end: long>"
 MATCH = "struct<item_id: string, doc_start: long, item_start: long, n_words: long>"
 RESULT = f"doc_id long, n_words long, n_hit long, hit_spans array<{SPAN}>, matches array<{MATCH}>, items array<string>"
-#: Bytes that separate words become spaces, A-Z become a-z.
-FOLD = bytes(32 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 Block = list[tuple[str | None, bytes]]
 
 
-def words_of(raw: bytes) -> list[bytes]:
-    return raw.translate(FOLD).split()
-
-
 class Searched:
     """A block of test items: their words one after the other, and all suffixes that are as long as needed."""
 
@@ -58,6 +54,9 @@ class Searched:
                 self.words += own
                 ends.append(len(self.words))
         self.ends = np.array(ends, np.int64)
+        self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64) if ends else self.ends
+        held = pa.array(self.words, pa.binary()).dictionary_encode()
+        self.names, self.codes = held.dictionary, held.indices.to_numpy()
         counts = np.diff(self.ends, prepend=0)
         need = np.minimum(counts, window)
         suffixes = counts - need + 1
@@ -70,18 +69,13 @@ class Searched:
 class ShardSuffixes:
     """The suffix array of one shard of documents. Codes are the words' numbers; 0 stands behind each document."""
 
-    def __init__(self, docs: list[bytes], depth: int) -> None:
-        self.code: dict[bytes, int] = {}
-        counts, codes = [], []
-        add = self.code.setdefault
-        for raw in docs:
-            words = words_of(raw)
-            counts.append(len(words))
-            codes += [add(w, len(self.code) + 1) for w in words]
-            codes.append(0)
-        self.counts = np.array(counts, np.int64)
+    def __init__(self, docs: pa.Array, depth: int) -> None:
+        data, first, end, doc = tokens(docs)
+        self.names, code = encoded(data, first, end)
+        self.counts = np.bincount(doc, minlength=len(docs))
         self.ends = np.cumsum(self.counts + 1) - 1
-        self.codes = np.array(codes, np.int64)
+        self.codes = np.zeros(len(code) + len(docs), np.int32)
+        self.codes[np.arange(len(code)) + doc] = code + 1
         self.order = self._sorted(depth)
 
     def _sorted(self, depth: int) -> np.ndarray:
@@ -100,8 +94,8 @@ class ShardSuffixes:
 
     def codes_of(self, searched: Searched) -> np.ndarray:
         """The items' words in this shard's numbers; -1 for words that it doesn't have."""
-        get = self.code.get
-        return np.fromiter((get(w, -1) for w in searched.words), np.int64, len(searched.words))
+        at = pc.fill_null(pc.index_in(searched.names, value_set=self.names), -2).to_numpy()[searched.codes]
+        return at.astype(np.int64) + 1
 
     def range_of(self, wanted: np.ndarray, searched: Searched) -> tuple[np.ndarray, np.ndarray]:
         """Binary search of all test suffixes at once: which part of the array agrees with each in the words it needs."""
@@ -127,46 +121,68 @@ class ShardSuffixes:
             left = left[(differ == 0) & (need[left] > k)]
         return out
 
-    def longest(self, place: np.ndarray, wanted: np.ndarray, at: np.ndarray, end: np.ndarray, need: np.ndarray) -> np.ndarray:
-        """How many words agree from some places on, given that the needed ones do."""
-        out, left = need.copy(), np.arange(len(place))
-        while len(left := left[at[left] + out[left] < end[left]]):
-            left = left[self.codes[place[left] + out[left]] == wanted[at[left] + out[left]]]
-            out[left] += 1
-        return out
+    def longest(self, place: int, wanted: np.ndarray, at: np.ndarray, end: int, need: int) -> tuple[int, int]:
+        """(first word, words) of the suffix of an item that agrees in the most words from a place on, given that all agree in `need`."""
+        n, ahead = need, np.arange(32)
+        while True:
+            here = self.codes[np.minimum(place + n + ahead, len(self.codes) - 1)]
+            word = at[:, None] + (n + ahead)
+            same = (word < end) & (wanted[np.minimum(word, len(wanted) - 1)] == here)
+            more = np.where(same.all(axis=1), len(ahead), same.argmin(axis=1))
+            if more.max() < len(ahead):
+                return int(at[more.argmax()]), n + int(more.max())
+            at, n = at[more == len(ahead)], n + len(ahead)
 
 
 class Shard:
-    """What the suffixes of a block of items find in the documents of one shard."""
+    """What the suffixes of a block of items find in the documents of one shard.
 
-    def __init__(self, docs: list[bytes], searched: Searched, window: int) -> None:
-        array = ShardSuffixes(docs, window)
+    Suffixes of equal needed words have one range of the array, so a place is taken once for each item, however often the words are repeated
+    on either side. With `told`, what covers the hit words of each item is told as longest matches from left to right: at a place the
+    suffix that agrees farthest, drawn out to the left as well, and then the first place whose needed words go beyond it.
+    """
+
+    def __init__(self, docs: pa.Array, searched: Searched, window: int, told: bool = True) -> None:
+        self.array, self.searched = ShardSuffixes(docs, window), searched
+        array = self.array
         self.counts = array.counts.tolist()
+        self.wanted = array.codes_of(searched)
+        first, last = array.range_of(self.wanted, searched)
         self.matches: dict[int, list[dict]] = defaultdict(list)
-        covered = np.zeros(len(array.codes) + 1, np.int64)
-        wanted = array.codes_of(searched)
-        first, last = array.range_of(wanted, searched)
-        each = last - first
-        suffix = np.repeat(np.arange(len(each)), each)
-        place = array.order[np.arange(each.sum()) + np.repeat(first - np.cumsum(each) + each, each)]
-        item = searched.item[suffix]
-        n = array.longest(place, wanted, searched.at[suffix], searched.ends[item], searched.need[suffix])
-        np.add.at(covered, place, 1)
-        np.add.at(covered, place + n, -1)
+        covered = np.zeros(len(array.codes) + 1, np.int32)
+        some = np.flatnonzero(last > first)
+        ranges = np.unique(np.stack([first[some], last[some], searched.need[some]], axis=1), axis=0)
+        for a, b, need in ranges.tolist():
+            np.add.at(covered, array.order[a:b], 1)
+            np.add.at(covered, array.order[a:b] + need, -1)
         gone = np.cumsum(covered[:-1]) > 0
-        starts = array.ends - array.counts
-        doc = np.searchsorted(array.ends, place)
-        item_start = searched.at[suffix] - np.concatenate([[0], searched.ends[:-1]])[item] if len(item) else item
-        # along a diagonal a match is told once, from its first word on
-        order = np.lexsort((place, place - item_start, item, doc))
-        reached, along = -1, None
-        for d, i, p, s, k in zip(*(x[order].tolist() for x in (doc, item, place, item_start, n)), strict=True):
-            if (d, i, p - s) != along:
-                reached, along = -1, (d, i, p - s)
-            if p + k > reached:
-                self.matches[d].append({"item_id": searched.ids[i], "doc_start": p - int(starts[d]), "item_start": s, "n_words": k})
-                reached = p + k
-        self.spans = [spans_of(gone[a:b]) for a, b in zip(starts.tolist(), array.ends.tolist(), strict=True)]
+        self.starts = array.ends - array.counts
+        self.spans = [spans_of(gone[a:b]) for a, b in zip(self.starts.tolist(), array.ends.tolist(), strict=True)]
+        if told and len(some):
+            edges = np.flatnonzero(np.diff(searched.item[some])) + 1
+            for own in np.split(some, edges):
+                self._tell(int(searched.item[own[0]]), own, first[own], last[own], int(searched.need[own[0]]))
+
+    def _tell(self, item: int, suffix: np.ndarray, first: np.ndarray, last: np.ndarray, need: int) -> None:
+        """The matches of one item; `suffix` are its suffixes that occur and [first, last) their ranges."""
+        array, start, end = self.array, int(self.searched.starts[item]), int(self.searched.ends[item])
+        order = np.argsort(first, kind="stable")
+        cut = np.flatnonzero(np.diff(first[order])) + 1
+        same = np.split(order, cut)  # suffixes of one range
+        places = np.concatenate([array.order[first[k[0]] : last[k[0]]] for k in same])
+        which = np.repeat(np.arange(len(same)), [last[k[0]] - first[k[0]] for k in same])
+        by_place = np.argsort(places, kind="stable")
+        places, which = places[by_place], which[by_place]
+        i = 0
+        while i < len(places):
+            place = int(places[i])
+            at, n = array.longest(place, self.wanted, self.searched.at[suffix[same[which[i]]]], end, need)
+            reached = place + n
+            while at > start and place > 0 and array.codes[place - 1] and array.codes[place - 1] == self.wanted[at - 1]:
+                at, place, n = at - 1, place - 1, n + 1
+            doc = int(np.searchsorted(array.ends, place))
+            self.matches[doc].append({"item_id": self.searched.ids[item], "doc_start": place - int(self.starts[doc]), "item_start": at - start, "n_words": n})
+            i = int(np.searchsorted(places, reached - need + 1))
 
     def told(self, ids: list[int | None]) -> pa.RecordBatch:
         n_hit = [sum(x["end"] - x["start"] for x in own) for own in self.spans]
@@ -190,17 +206,13 @@ def searching(block: Broadcast, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searched = Searched(block.value, window)
         for shard in sliced(batches):
-            told = Shard(texts_of(shard), searched, window).told(shard.column("doc_id").to_pylist())
+            told = Shard(shard.column("text"), searched, window).told(shard.column("doc_id").to_pylist())
             others = [c for c in shard.schema.names if c not in ("doc_id", "text")]
             yield pa.RecordBatch.from_arrays([*told.columns, *(shard.column(c) for c in others)], [*told.schema.names, *others])
 
     return run
 
 
-def texts_of(shard: pa.RecordBatch, column: str = "text") -> list[bytes]:
-    return [t or b"" for t in shard.column(column).cast(pa.binary()).to_pylist()]
-
-
 def blocks(benchmark: DataFrame, block_words: int, item_col: str, text_col: str) -> Iterator[Block]:
     """The test items in blocks, at least one; one block is held at a time."""
     block: Block = []
@@ -279,6 +291,6 @@ def unhit(block: Broadcast, window: int):
     def judge(parts: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
         searched = Searched(block.value, window)
         for part in parts:
-            yield part, pa.array([not spans for spans in Shard(texts_of(part, text), searched, window).spans], pa.bool_())
+            yield part, pa.array([not spans for spans in Shard(part.column(text), searched, window, told=False).spans], pa.bool_())
 
     return judge

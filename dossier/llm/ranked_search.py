@@ -40,48 +40,12 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from .common import materialized, remove_path, scratch_path, sliced, text_rows
-from .decontamination import FOLD, words_of
 from .exchange import MB, pack, placed, unpack
+from .terms import encoded, tokens, words_of
 
 #: Postings of a block.
 BLOCK = 128
 INDEX = "shard long, term binary, n_docs int, first array<int>, last array<int>, most array<long>, blocks array<binary>"
-FOLDED = np.frombuffer(FOLD, np.uint8)
-IS_TERM = FOLDED != 32
-
-
-# ---------------------------------------------------------------- terms
-
-
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(lower-cased bytes, first and end byte of each term, the text that it is in) of an Arrow array of texts."""
-    raw = pc.fill_null(texts.cast(pa.binary()), b"")
-    edges = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
-    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
-    edges = (edges - edges[0]).astype(np.int64)
-    inside = np.zeros(len(data) + 1, bool)
-    inside[:-1] = IS_TERM[data]
-    begins, ends = inside.copy(), inside.copy()
-    begins[1:] &= ~inside[:-1]
-    ends[:-1] &= ~inside[1:]
-    # a term never goes on in the next text
-    begins[edges] = inside[edges]
-    cut = edges[edges > 0] - 1
-    ends[cut] = inside[cut]
-    first, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    return FOLDED[data], first, end, np.searchsorted(edges, first, side="right") - 1
-
-
-def encoded(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """(the different terms, the number of each term in turn)"""
-    offsets = np.zeros(len(first) + 1, np.int64)
-    np.cumsum(end - first, out=offsets[1:])
-    marks = np.zeros(len(data) + 1, np.int8)
-    marks[first] += 1
-    marks[end] -= 1
-    packed = np.ascontiguousarray(data[np.cumsum(marks[:-1], dtype=np.int8) > 0])
-    got = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).dictionary_encode()
-    return got.dictionary.cast(pa.binary()), got.indices.to_numpy()
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import nearest_ids, sliced, text_rows
-from .decontamination import FOLD
+from .terms import FOLD
 from .exchange import mixed
 
 
