@@ -4,7 +4,8 @@ The index is a folder of runs. A run is the sorted window hashes of one batch, c
 bucket of it is some rows of a bucketed table, so that a bucket of all runs is read by one task without a shuffle. A batch's
 own windows are dealt to the buckets, each chunk of texts sending its sorted, different windows; there they are merge-joined
 with the runs of history and with each other. A window is removed where history has it, or where a smaller document of the
-batch has it. A match of the 64-bit hash is verified by a second hash of 24 bits that is computed independently. Windows that
+batch has it. A match of the 64-bit hash is verified by a second hash of 24 bits, made from other halves of the words' digests, so
+that words which collide in one don't in the other; words are not compared. Windows that
 no run has become the batch's own run. Compaction merges runs of like age, so that their number grows with the logarithm of
 the number of batches.
 
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialized, remove_path, scratch_path, shuffles_removed, text_rows
-from .exchange import MB, by_bucket, chunk_plan, chunked, mixed, pack, pack_sorted, parts, placed, rows, sizes, unpack, unpack_sorted, unparts
+from .exchange import MB, by_bucket, chunked, mixed, pack, pack_sorted, parts, placed, rows, sizes, unpack, unpack_sorted, unparts
 
 NO_ID = (1 << 63) - 1
 RESULT = "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
@@ -47,7 +48,7 @@ class Windows:
     """The words of a chunk's texts, one after the other, and the hashes of their windows."""
 
     def __init__(self, texts: pa.Table, window: int) -> None:
-        from xxhash import xxh3_64_intdigest
+        from xxhash import xxh3_128_digest
 
         self.window = window
         self.ids = np.array([NO_ID if i is None else i for i in texts.column("doc_id").to_pylist()], np.int64)
@@ -59,14 +60,15 @@ class Windows:
             ends.append(len(self.words))
         self.ends = np.array(ends, np.int64)
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64) if ends else self.ends
-        hashes = np.fromiter(map(xxh3_64_intdigest, self.words), np.uint64, len(self.words))
+        # two halves of a word's digest, for two hashes of a window that don't depend on each other
+        hashes = np.frombuffer(b"".join(map(xxh3_128_digest, self.words)), ">u8").reshape(-1, 2).T.astype(np.uint64)
         counts = np.maximum(self.ends - self.starts - window + 1, 0)
         #: first words of windows, and the id of the document that each lies in
         self.at = np.arange(counts.sum()) + np.repeat(self.starts - np.cumsum(counts) + counts, counts)
         self.owner = np.repeat(self.ids, counts)
-        #: 64 bits and, independently, 24
-        self.first = self._sums(hashes, 2)[self.at] if len(self.at) else np.zeros(0, np.uint64)
-        self.second = self._sums((hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15), 3)[self.at] >> np.uint64(40) if len(self.at) else np.zeros(0, np.uint64)
+        #: 64 bits of one half and 24 of the other
+        self.first = self._sums(hashes[0], 2)[self.at] if len(self.at) else np.zeros(0, np.uint64)
+        self.second = self._sums(hashes[1], 3)[self.at] >> np.uint64(40) if len(self.at) else np.zeros(0, np.uint64)
         self.keys = Keys(self.first, self.second)
 
     def _sums(self, hashes: np.ndarray, seed: int, block: int = 1 << 14) -> np.ndarray:
@@ -230,12 +232,13 @@ class FingerprintIndex:
 
     Each batch adds one run. Runs are levelled by how many batches they hold: before a batch is added, `fan` neighbouring runs
     that hold equally many are merged. A run is written elsewhere and moved to its name when it is complete, so that a batch
-    that failed can be added again and one that is there can't be added twice. One batch is added at a time. The number of
-    buckets is set by the first batch and stays; give one that suits the size the index will have.
+    that failed can be added again and one that is there can't be added twice. One batch is added at a time. The first batch
+    sets the number of buckets. Where a bucket of history has come to more than `bucket_bytes`, or a later batch asks for more buckets, all
+    runs are compacted into one whose buckets are split in two as often as is needed, so no task holds a bucket that grows with history.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, window: int = 13, n_buckets: int | None = None, fan: int = 2) -> None:
-        self.spark, self.folder, self.window, self.fan = spark, folder.rstrip("/"), window, fan
+    def __init__(self, spark: SparkSession, folder: str, window: int = 13, n_buckets: int | None = None, fan: int = 2, bucket_bytes: int = 48 * MB) -> None:
+        self.spark, self.folder, self.window, self.fan, self.bucket_bytes = spark, folder.rstrip("/"), window, fan, bucket_bytes
         self._asked = n_buckets
 
     def _hadoop(self, path: str):
@@ -248,7 +251,7 @@ class FingerprintIndex:
         named = (str(f.getPath().getParent()) for f in system.globStatus(path) or ())
         found = [Run(p, *map(int, re.fullmatch(r"run-(\d+)-(\d+)-b(\d+)", p.rpartition("/")[2]).groups())) for p in named]
         out: list[Run] = []
-        for run in sorted(found, key=lambda r: (r.first, -r.last)):
+        for run in sorted(found, key=lambda r: (r.first, -r.last, -r.n_buckets)):
             if not out or run.last > out[-1].last:
                 out.append(run)
         return out
@@ -260,8 +263,10 @@ class FingerprintIndex:
         """The batch's documents as `substring_dedup` returns them, judged by all earlier batches and the batch itself: a window
         of an earlier batch goes whatever its id, since that batch is already out. `batch` is its number, by default the next."""
         docs = text_rows(docs)
-        n_chunks, wanted = chunk_plan(docs, chunk_bytes)
+        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n_chunks, wanted = sizes(total, chunk_bytes)
         self._asked = self._asked or wanted
+        self._split(sizes(total, chunk_bytes, least=1)[1])
         chunks, window, n_buckets = chunked(docs, n_chunks), self.window, self.n_buckets()
         answers = self.absorb(chunks, batch)
         finished = finishing(window, n_buckets, with_text)
@@ -305,6 +310,32 @@ class FingerprintIndex:
             remove_path(self.spark, run.path)
         return Run(path, first, last, n_buckets)
 
+    def _split(self, wanted: int) -> None:
+        """Compact into more buckets if there are too few: buckets are ranges of hashes, so each is cut into equal ones."""
+        if not (runs := self.runs()):
+            return
+        held = 0
+        for run in runs:
+            path, system = self._hadoop(run.path)
+            held += system.getContentSummary(path).getLength()
+        old = new = runs[0].n_buckets
+        while new < max(wanted, -(-held // self.bucket_bytes)):
+            new *= 2
+        if new == old:
+            return
+
+        def dealt(batches):
+            for batch in batches:
+                for raw in batch.column("payload"):
+                    first, second = unpack_run(raw.as_py())
+                    parts_ = [(b, pack_run(first[i:j], second[i:j])) for b, i, j in by_bucket(first, new)]
+                    yield from rows({"bucket": ([b for b, _ in parts_], pa.int32()), "chunk": ([None] * len(parts_), pa.int32()), "payload": ([p for _, p in parts_], pa.binary())}).to_batches()
+
+        with self._tables(runs) as tables:
+            self._written(self._rows(tables).mapInArrow(dealt, SENT).groupBy("bucket").applyInArrow(merged, KEPT), runs[0].first, runs[-1].last, new)
+        for run in runs:
+            remove_path(self.spark, run.path)
+
     def _tables(self, runs: list[Run]) -> Tables:
         return Tables(self.spark, [(r.path, r.n_buckets) for r in runs])
 
@@ -324,6 +355,11 @@ class FingerprintIndex:
         return whole
 
 
+def quoted(path: str) -> str:
+    """A path for a string of SQL."""
+    return path.replace("\\", "\\\\").replace("'", "\\'")
+
+
 class Tables:
     """Folders as bucketed tables of the session's catalog, by new names, for as long as they are needed; the folders stay."""
 
@@ -333,7 +369,7 @@ class Tables:
 
     def __enter__(self) -> list[str]:
         for name, (path, n_buckets) in zip(self.names, self.folders, strict=True):
-            self.spark.sql(f"CREATE TABLE {name} ({KEPT}) USING parquet OPTIONS (compression 'uncompressed', 'parquet.enable.dictionary' 'false') CLUSTERED BY (bucket) INTO {n_buckets} BUCKETS LOCATION '{path}'")
+            self.spark.sql(f"CREATE TABLE {name} ({KEPT}) USING parquet OPTIONS (compression 'uncompressed', 'parquet.enable.dictionary' 'false') CLUSTERED BY (bucket) INTO {n_buckets} BUCKETS LOCATION '{quoted(path)}'")
         return self.names
 
     def __exit__(self, *_: object) -> None:

@@ -131,6 +131,38 @@ def test_index_by_batches(spark, tmp_path):
     assert all(r.n_removed == r.n_words or r.n_words < 13 for r in again)
 
 
+def test_buckets_split_when_the_index_grows(spark, tmp_path):
+    """A second batch of more than fifty times the first, and history beyond its bound: more buckets, the same rows; in a folder with a
+    quotation mark in its name."""
+    rows = sorted({r[0]: r for r in texts() if r[0] is not None}.values())
+    first = [r for r in rows if r[0] < 2]
+    folder = str(tmp_path / "it's an index")
+    got = as_rows(FingerprintIndex(spark, folder, n_buckets=2).add(docs(spark, first), chunk_bytes=4000).select("doc_id", "n_words", "n_removed", "kept_sha256"))
+    index = FingerprintIndex(spark, folder)
+    assert index.n_buckets() == 2
+    got += as_rows(index.add(docs(spark, [r for r in rows if r[0] >= 2]), chunk_bytes=1000).select("doc_id", "n_words", "n_removed", "kept_sha256"))
+    assert sorted(got, key=repr) == brute_words(rows, 13) and index.n_buckets() >= 32
+    small = FingerprintIndex(spark, folder, bucket_bytes=1000)
+    again = small.add(docs(spark, [(10_000, rows[5][1])]), chunk_bytes=1 << 20).collect()
+    assert again[0].n_removed == again[0].n_words and small.n_buckets() >= 64 and len(small.runs()) == 2
+
+
+def test_the_two_hashes_of_a_window_are_independent():
+    """Words whose first halves collide differ in the second hash: it is made from other bits."""
+    import pyarrow as pa
+
+    from dossier.llm.substring_dedup import Windows
+
+    words = [f"w{k}" for k in range(4000)]
+    w = Windows(pa.table({"doc_id": [1], "text": [" ".join(words)]}), 1)
+    from xxhash import xxh3_128_digest
+
+    halves = np.frombuffer(b"".join(xxh3_128_digest(x.encode()) for x in words), ">u8").reshape(-1, 2).astype(np.uint64)
+    assert (w.first == w._sums(halves[:, 0], 2)).all() and (w.second == w._sums(halves[:, 1], 3) >> np.uint64(40)).all()
+    high, low = (w.first >> np.uint64(63)).astype(int), (w.second >> np.uint64(23)).astype(int)
+    assert abs(np.corrcoef(high, low)[0, 1]) < 0.06
+
+
 def test_runs_are_read_where_they_are(spark, tmp_path):
     """History is not shuffled: a bucket of all runs is read by one task."""
     index = FingerprintIndex(spark, str(tmp_path / "index"), n_buckets=4)
