@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation, figures, logs, parts, scoring, specs, texts  # noqa: F401  the modules register their queries
+from . import evaluation, figures, logs, parts, roundtrips, scoring, specs, texts  # noqa: F401  the modules register their queries
 from .registry import QUERIES, SQL, Query
 
 
