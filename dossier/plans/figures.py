@@ -189,11 +189,11 @@ def primitive_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clusters(boxes.where("x1 > x0 and y1 > y0"))
 
 
-@query(f"""WITH {CAPTION}, f AS (SELECT doc, p_partkey AS "index", own AS number, caption, 'tool' AS source FROM flags WHERE own IS NOT NULL AND p_partkey % 7 <> 3),
+@query(f"""WITH {CAPTION}, f AS (SELECT doc, p_partkey AS "index", own AS number, caption, 'tool' AS source FROM flags WHERE own IS NOT NULL AND number > 5),
 t AS (SELECT doc, min(caption) AS caption FROM flags GROUP BY 1) SELECT * FROM f UNION ALL SELECT doc, 0, 1, coalesce(nullif(caption, ''), 'Figure 1'), 'teaser_fallback' FROM t WHERE doc NOT IN (SELECT doc FROM f WHERE number = 1)""")
 def fallback_insert(spark: SparkSession, d: str) -> DataFrame:
     c = captions(spark, d).withColumn("own", figure_number(F.lit(""), "caption"))
-    figures = c.where("own is not null and p_partkey % 7 <> 3").select("doc", F.col("p_partkey").alias("index"), F.col("own").alias("number"), "caption", F.lit("tool").alias("source"))
+    figures = c.where("own is not null and number > 5").select("doc", F.col("p_partkey").alias("index"), F.col("own").alias("number"), "caption", F.lit("tool").alias("source"))
     return with_fallbacks(figures, c.groupBy("doc").agg(F.min("caption").alias("caption")))
 
 

@@ -277,9 +277,9 @@ def stage_pair_validity(spark: SparkSession, d: str) -> DataFrame:
     return ask.join(pairs, ["n", "stage"], "left").select("sample_id", "line", F.when(F.col("n").isNotNull(), F.coalesce("known", F.lit(False))).alias("workflow_stage_valid"))
 
 
-@query("""SELECT l_orderkey AS sample_id, l_suppkey AS id, min(l_linenumber) AS first_line FROM lineitem WHERE l_linestatus = 'O' AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 11 <> 0) GROUP BY 1, 2""")
+@query("""SELECT l_orderkey AS sample_id, l_suppkey AS id, min(l_linenumber) AS first_line FROM lineitem WHERE l_linestatus = 'O' AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0) GROUP BY 1, 2""")
 def invalid_ids(spark: SparkSession, d: str) -> DataFrame:
-    valid = table(spark, d, "supplier").where("s_suppkey % 11 <> 0").select(F.col("s_suppkey").alias("id"))
+    valid = table(spark, d, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("id"))
     predicted = table(spark, d, "lineitem").where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("sample_id"), F.col("l_suppkey").alias("id"), "l_linenumber")
     return predicted.join(valid, "id", "left_anti").groupBy("sample_id", "id").agg(F.min("l_linenumber").alias("first_line"))
 

@@ -19,17 +19,17 @@ def sequence_contiguity(spark: SparkSession, d: str) -> DataFrame:
     return validation.contiguous_from_one(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
 
 
-@query("""SELECT o_orderkey::varchar AS entity_id, 'customer' AS rule, o_custkey::varchar AS message FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 17 <> 0)
-UNION ALL SELECT l_orderkey::varchar, 'part_supplier', l_partkey || '/' || l_suppkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part, supplier WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND p_partkey % 3 = s_suppkey % 3)
+@query("""SELECT o_orderkey::varchar AS entity_id, 'customer' AS rule, o_custkey::varchar AS message FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)
+UNION ALL SELECT l_orderkey::varchar, 'part_supplier', l_partkey || '/' || l_suppkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part, supplier WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND (p_size > 25) = (s_acctbal >= 0))
 UNION ALL SELECT DISTINCT o_orderkey::varchar, 'no_children', '' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
 def fk_violations(spark: SparkSession, d: str) -> DataFrame:
     orders, li = table(spark, d, "orders"), table(spark, d, "lineitem")
-    customers = table(spark, d, "customer").where("c_custkey % 17 <> 0").select(F.col("c_custkey").alias("o_custkey"))
+    customers = table(spark, d, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("o_custkey"))
     a = validation.unknown_refs(orders.select(F.col("o_orderkey").alias("entity_id"), "o_custkey"), customers, ["o_custkey"], "customer")
-    # pairs that exist: both keys do, and they agree modulo 3; the second key is checked through the first
+    # pairs that exist: both keys do, and large parts have suppliers without debts, small ones those with debts
     refs = li.select(F.col("l_orderkey").alias("entity_id"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
-    known = refs.select("p", "s").distinct().join(table(spark, d, "part").select(F.col("p_partkey").alias("p")), "p", "left_semi").join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("s")), "s", "left_semi")
-    b = validation.unknown_refs(refs, known.where("p % 3 = s % 3"), ["p", "s"], "part_supplier")
+    known = refs.select("p", "s").distinct().join(table(spark, d, "part").select(F.col("p_partkey").alias("p"), (F.col("p_size") > 25).alias("large")), "p").join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("s"), (F.col("s_acctbal") >= 0).alias("free")), "s")
+    b = validation.unknown_refs(refs, known.where("large = free"), ["p", "s"], "part_supplier")
     c = validation.childless(orders.select(F.col("o_orderkey").alias("o")), li.select(F.col("l_orderkey").alias("o")), "o")
     return a.unionByName(b).unionByName(c)
 
@@ -203,16 +203,17 @@ def workflows(spark: SparkSession, d: str) -> DataFrame:
     return a.union(edges.select(F.lit(None).cast("string"), "source_stage_id", "target_stage_id", F.lit("transition")))
 
 
-@query("""SELECT l.l_orderkey AS sample_id, l.l_linenumber - 1 AS place, l.l_linenumber AS episode, l.l_suppkey AS view_id, s.l_partkey AS step FROM lineitem l JOIN orders ON o_orderkey = l.l_orderkey LEFT JOIN lineitem s ON s.l_orderkey = l.l_orderkey AND s.l_linenumber = l.l_linenumber
-WHERE l.l_linenumber <= 3 AND l.l_orderkey NOT IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) <> max(l_linenumber) OR count(*) <> count(DISTINCT l_linenumber) OR count(*) < 3)""")
+@query("""WITH e AS (SELECT l_orderkey, l_linenumber, max(l_suppkey) AS view_id, max(l_partkey) AS step FROM lineitem GROUP BY 1, 2)
+SELECT l_orderkey AS sample_id, place::int AS place, l_linenumber AS episode, view_id, step FROM (SELECT *, row_number() OVER w - 1 AS place, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) AS back FROM e WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)) WHERE back > 1""")
 def case_prefix_context(spark: SparkSession, d: str) -> DataFrame:
-    """An order is a case, its lines the episodes; samples are orders of three or more lines with the first three as prefix."""
+    """An order is a case and a sample, its line numbers the episodes; the prefix is all of them but the last."""
     li = table(spark, d, "lineitem")
-    episodes = li.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("episode"), F.col("l_suppkey").alias("view_id"), F.array(F.struct(F.lit(None).cast("int").alias("step_index"), F.col("l_partkey").alias("part"))).alias("steps"))
-    whole = li.groupBy(F.col("l_orderkey").alias("case_id")).agg(F.count("*").alias("n"), F.max("l_linenumber").alias("m"), F.count_distinct("l_linenumber").alias("u")).where("n = m and n = u and n >= 3")
-    samples = whole.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id")), "case_id", "left_semi").select(F.col("case_id").alias("sample_id"), "case_id", F.expr("array(1, 2, 3)").alias("prefix"))
+    step = F.struct(F.lit(None).cast("int").alias("step_index"), F.col("l_partkey").alias("part"))
+    episodes = li.groupBy(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("episode")).agg(F.max("l_suppkey").alias("view_id"), F.sort_array(F.collect_list(step)).alias("steps"))
+    lines = F.sort_array(F.collect_set("l_linenumber"))
+    samples = li.groupBy(F.col("l_orderkey").alias("case_id")).agg(lines.alias("all")).select(F.col("case_id").alias("sample_id"), "case_id", F.slice("all", 1, F.size("all") - 1).alias("prefix"))
     steps = context.steps_by_ref(episodes.select("case_id", "episode", "steps")).select("case_id", F.split("ref", r"\.")[0].cast("int").alias("episode"), F.col("step.part").alias("step"))
-    got = context.prefix_episodes(samples, episodes.drop("steps"), strict=False).join(steps, ["case_id", "episode"], "left")
+    got = context.prefix_episodes(samples, episodes.drop("steps")).join(steps, ["case_id", "episode"], "left")
     return got.select("sample_id", "place", "episode", "view_id", "step")
 
 
