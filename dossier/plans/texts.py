@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import distinct_ignoring_case, distinct_stripped, listed, strings_of, with_missing
 from ..functions.jsonx import first_object, is_object, ladder, parsed
-from ..functions.text import abstract, compare_form, initials, labelled_score, nfkc, pipe_list, safe_name, slug, squeeze, view_id
+from ..functions.text import ABSTRACT_ENDS, abstract, compare_form, initials, labelled_score, nfkc, pipe_list, safe_name, slug, squeeze, view_id
 from ..operators.blocks import abstract_prefixed, deduplicated, html_blocks, numbered
 from ..operators.ids import coordination_id, hierarchical_ids, is_identifier, is_open_value, unique_ids
 from ..operators.similar import similar_pairs
@@ -197,20 +197,33 @@ def tei_passages(spark: SparkSession, d: str) -> DataFrame:
     return numbered(made, "page_id").select("page_id", "order_index", "type", "text")
 
 
-@query(name="abstract_finder", sql="""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE 'Some title' || chr(10) || 'Abstract: ' || text || CASE WHEN doc_id % 3 = 1 THEN chr(10) || 'Introduction follows' || chr(10) || 'x' ELSE '' END END AS text FROM documents WHERE NOT regexp_matches(text, '(?im)abstract|^\\s*(key\\s*words?|index|introduction|background|related|1\\s*[.)]|i\\s*[.)]|section|chapter)')),
-a AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]*\\n[ \\t\\n\\x0B\\f\\r]*', ' ', 'g')) AS text FROM (SELECT doc_id, trim(regexp_replace(documents.text, '[ \\t]+', ' ', 'g'), E' \\n\\t\\r') AS text FROM documents JOIN (SELECT doc_id FROM t WHERE doc_id % 3 <> 0) USING (doc_id)))
-SELECT doc_id, CASE WHEN length(a.text) >= 20 THEN a.text END AS abstract FROM t LEFT JOIN a USING (doc_id)""")
-def abstracts(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as abstracts between a title and a heading, without a heading, or as they are; no document is left out.
+def abstract_sql(made: str) -> str:
+    """The whole rule: where an abstract begins, which of the end patterns cuts it off, and how it is tidied."""
+    ends = " ".join(f"WHEN regexp_matches(body, '(?im)^\\s*{p}\\b') THEN regexp_extract(body, '(?ims)\\A(.*?)^\\s*{p}\\b', 1)" for p in ABSTRACT_ENDS)
+    blank = "E' \\n\\t\\r\\x0B\\f'"
+    return f"""WITH made AS ({made}),
+tidy AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), {blank}) AS t FROM made),
+rest AS (SELECT doc_id, regexp_replace(nullif(regexp_extract(t, '(?is)(?:^|\\n)([^\\n]*\\babstract\\b.*)$', 1), ''), '(?i)^\\s*(abstract|摘要)\\s*[:：\\-—]*\\s*', '') AS body FROM tidy),
+cut AS (SELECT doc_id, trim(regexp_replace(trim(CASE {ends} ELSE body END, {blank}), '\\s*\\n\\s*', ' ', 'g'), {blank}) AS x FROM rest)
+SELECT doc_id, CASE WHEN length(x) >= 20 THEN x END AS abstract FROM cut"""
+
+
+MADE = """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE 'Some title' || chr(10) || 'Abstract: ' || text END || CASE doc_id % 7 WHEN 1 THEN chr(10) || 'Introduction follows' WHEN 2 THEN chr(10) || ' KEY  words: a' WHEN 3 THEN chr(10) || '1 . First' || chr(10) || 'Index' WHEN 4 THEN chr(10) || 'i) First' || chr(10) || 'Background' WHEN 5 THEN chr(10) || 'Related' || chr(10) || 'work' WHEN 6 THEN chr(10) || 'Section 1 x' ELSE '' END AS text FROM documents"""
 
-    The SQL leaves out documents that have words of the rule themselves, so rows are the same only for tables without them.
-    """
-    k, text = F.col("doc_id") % 3, F.col("text")
-    made = F.when(k == 0, text).otherwise(F.concat(F.lit("Some title\nAbstract: "), text, F.when(k == 1, "\nIntroduction follows\nx").otherwise("")))
+
+@query(name="abstract_finder", sql=abstract_sql(MADE))
+def abstracts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as abstracts behind a title, or as they are, with one of six headings that end an abstract, or none, behind them."""
+    k, text, line = F.col("doc_id"), F.col("text"), "\n"
+    ends = {1: "Introduction follows", 2: " KEY  words: a", 3: f"1 . First{line}Index", 4: f"i) First{line}Background", 5: f"Related{line}work", 6: "Section 1 x"}
+    end = F.lit("")
+    for n, heading in ends.items():
+        end = F.when(k % 7 == n, line + heading).otherwise(end)
+    made = F.concat(F.when(k % 3 == 0, text).otherwise(F.concat(F.lit("Some title\nAbstract: "), text)), end)
     return table(spark, d, "documents").select("doc_id", abstract(made).alias("abstract"))
 
 
-@query()
+@query(abstract_sql("SELECT doc_id, text FROM documents"))
 def document_abstracts(spark: SparkSession, d: str) -> DataFrame:
     """The abstract in each document's own text; null without one."""
     return table(spark, d, "documents").select("doc_id", abstract("text").alias("abstract"))
