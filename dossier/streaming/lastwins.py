@@ -88,9 +88,10 @@ def changes(rows: DataFrame, quiet: float | None = None) -> DataFrame:
 
 
 def followed(rows: DataFrame, log: str, checkpoint: str, quiet: float | None = None, **trigger: object) -> StreamingQuery:
-    """Append the changes to a folder of JSON lines; all that is there now, and then end, unless another trigger is given."""
+    """Append the changes to a folder of JSON lines: all that is there now, and then end, unless another trigger is given. With quiet,
+    the query looks for new rows and settled samples each second until it is stopped, as timers go on without new rows."""
     out = changes(rows, quiet).writeStream.format("json").outputMode("append").option("path", log).option("checkpointLocation", checkpoint)
-    return out.trigger(**(trigger or {"availableNow": True})).start()
+    return out.trigger(**(trigger or ({"availableNow": True} if quiet is None else {"processingTime": "1 second"}))).start()
 
 
 def states(spark: SparkSession, checkpoint: str) -> DataFrame:

@@ -104,7 +104,8 @@ def test_abstract_queries_over_all_documents(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
 
     def made(i, t):
-        return t if t is None or i % 3 == 0 else f"Some title\nAbstract: {t}" + ("\nIntroduction follows\nx" if i % 3 == 1 else "")
+        ends = ["", "\nIntroduction follows", "\n KEY  words: a", "\n1 . First\nIndex", "\ni) First\nBackground", "\nRelated\nwork", "\nSection 1 x"]
+        return None if t is None else (t if i % 3 == 0 else f"Some title\nAbstract: {t}") + ends[i % 7]
 
     for name, own in (("abstract_finder", made), ("document_abstracts", lambda _, t: t)):
         got = {r.doc_id: r.abstract for r in catalog.queries()[name](spark, str(tmp_path)).collect()}

@@ -230,16 +230,25 @@ def test_last_rows_after_any_cut(spark, tmp_path, cut):
 
 
 def test_settled_samples_are_told(spark, tmp_path):
+    import time
+
     folder = tmp_path / "in"
     folder.mkdir()
     put(folder, 0, [(1, '{"sample_id": "a", "status": "ok"}')])
     own = lastwins.stateful(spark)
-    go = lambda: lastwins.followed(lastwins.named_rows(own.readStream.schema("line_no long, value string").json(str(folder))), str(tmp_path / "log"), str(tmp_path / "ck"), quiet=0.001).awaitTermination(120)
-    go()
-    put(folder, 1, [(2, '{"sample_id": "b", "status": "ok"}')])
-    go()
-    told = [(r.sample_id, r.place, r.change) for r in spark.read.json(str(tmp_path / "log")).collect()]
-    assert ("a", 1, "settled") in told and ("b", 2, "new") in told
+    lines = own.readStream.schema("line_no long, value string").json(str(folder))
+    query = lastwins.followed(lastwins.named_rows(lines), str(tmp_path / "log"), str(tmp_path / "ck"), quiet=0.5)
+    told: set = set()
+    try:
+        for _ in range(120):
+            time.sleep(0.5)
+            if any((tmp_path / "log").glob("part-*")):
+                told = {(r.sample_id, r.place, r.change) for r in spark.read.schema(lastwins.CHANGE).json(str(tmp_path / "log")).collect()}
+            if ("a", 1, "settled") in told:
+                break
+    finally:
+        query.stop()
+    assert told == {("a", 1, "new"), ("a", 1, "settled")}
 
 
 def test_counters_come_with_the_rows(spark, tmp_path):
