@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import nearest_ids, sliced, text_rows
+from .common import materialized, nearest_ids, sliced, text_rows
 from .terms import FOLD
 from .exchange import mixed
 
@@ -110,9 +110,10 @@ def packed_features(sample: DataFrame, bits: int) -> list[tuple[np.ndarray, int]
             packed = [np.unique(grams([raw], bits)[1]).astype("<u4").tobytes() for raw in raws]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(packed, pa.binary())], ["doc_id", "label", "features"])
 
-    held = sample.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, features binary").groupBy("doc_id", "label").agg(F.min("features").alias("features")).collect()
-    held.sort(key=lambda r: (r.doc_id, r.label))
-    return [(np.frombuffer(r.features, "<u4"), r.label) for r in held]
+    hashed = sample.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, features binary").groupBy("doc_id", "label").agg(F.min("features").alias("features"))
+    # one partition after the other, so that the driver doesn't hold them in both of its processes
+    held = sorted(((r.doc_id, r.label, np.frombuffer(r.features, "<u4")) for r in materialized(hashed, "features").toLocalIterator()), key=lambda r: r[:2])
+    return [(features, label) for _, label, features in held]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, label: str = "toxic", threshold: float = 0.3, how: Ftrl | None = None) -> DataFrame:
