@@ -245,7 +245,7 @@ class LexicalIndex:
         self.spark, self.path, self.n_docs, self.n_terms = spark, path, n_docs, n_terms
 
     @classmethod
-    def built(cls, docs: DataFrame, path: str, shard_bytes: int = 16 * MB, id_col: str = "doc_id", text_col: str = "text") -> LexicalIndex:
+    def built(cls, docs: DataFrame, path: str, shard_bytes: int = 8 * MB, id_col: str = "doc_id", text_col: str = "text") -> LexicalIndex:
         texts, place = placed(text_rows(docs, id_col, text_col))
         n_docs, n_terms = texts.select("text").mapInArrow(counted, "docs long, terms long").agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
         texts.select("doc_id", "text", place.alias("place")).mapInArrow(indexing(n_docs, n_terms, shard_bytes), INDEX).write.parquet(path)
@@ -305,7 +305,7 @@ def queries(items: DataFrame, item_col: str, text_col: str, block_words: int) ->
         yield block
 
 
-def ranked_search(docs: DataFrame, items: DataFrame, k: int = 50, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shard_bytes: int = 16 * MB, block_words: int = 2_000_000) -> DataFrame:
+def ranked_search(docs: DataFrame, items: DataFrame, k: int = 50, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shard_bytes: int = 8 * MB, block_words: int = 2_000_000) -> DataFrame:
     """The k best documents for each row of items, by an index that lives as long as the search. The shards' lists are written to the
     shared folder, so the result doesn't read the index any more."""
     path = scratch_path(docs.sparkSession, "lexical")
