@@ -96,5 +96,34 @@ def test_names():
 
     names = list(__spark_entry__.queries())
     assert [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0]))
-    assert {f"op{k}_" for k in range(1, 11)} <= {n.split("_")[0] + "_" for n in names} and "pipeline" in names
+    assert {f"op{k}_" for k in range(1, 14)} <= {n.split("_")[0] + "_" for n in names} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    docs(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.count() == 0 and got.columns[:3] == ["doc_id", "piece", "start"]
+
+
+def test_stages_with_other_columns_and_a_long_text(spark, tmp_path):
+    """Names that operators use inside, a text of some MB, rows without an id or a text: a stage returns the columns of documents."""
+    rng = random.Random(17)
+    long = prose(rng, 300_000, 90_000)
+    rows = [(1, long), (2, prose(rng, 300, 5000)), (3, None), (None, prose(rng, 200, 5000)), (4, ""), (2, None)]
+    names = ["row", "chunk", "bucket", "payload", "rest", "fp", "root", "first", "least", "u", "text0", "place", "item", "keep", "n", "spans"]
+    frame = docs(spark, rows).drop("chunk", "bucket", "payload")
+    for name in names:
+        frame = frame.selectExpr("*", f"'x' as `{name}`")
+    spark.createDataFrame([(1, " ".join(long.split()[-30:-5]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    counts = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, frame, str(tmp_path))
+        assert got.columns == list(corpus_pipeline.COLUMNS)
+        counts.append(sorted((r.doc_id for r in got.collect()), key=repr))
+    assert [i for i in counts[0] if i != 1] == sorted((i for i, t in rows[1:] if kept_by_bands(t)), key=repr)
+    # the rows without words are one group of near-duplicates, of which the smallest id stays
+    assert counts[1] == [1, 2, 2, None] and counts[2] == [1, 2, 2, 3, 4, None] and counts[3] == [2, 2, 3, 4, None]
+    packed = corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path))
+    assert packed.groupBy("doc_id").sum("length").count() == 5
