@@ -80,7 +80,7 @@ def json_document_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT s_suppkey::int AS s_suppkey, s_name, CASE WHEN s_nationkey % 2 = 0 THEN s_nationkey ELSE 0 END::int AS pages FROM supplier""")
-def optional_csv_scan(spark: SparkSession, d: str) -> DataFrame:
+def missing_csv_scan(spark: SparkSession, d: str) -> DataFrame:
     """A CSV whose missing numbers are 0, and one that isn't there."""
     path, schema = shared_path(spark, "suppliers"), "s_suppkey int, s_name string, pages int"
     report.write_csv(table(spark, d, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_nationkey") % 2 == 0, F.col("s_nationkey")).alias("pages")), path)
