@@ -29,10 +29,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialized, remove_path, scratch_path, shuffles_removed, text_rows
+from .common import materialized, released, remove_path, scratch_path, shuffles_removed, text_rows
 from .exchange import MB, by_bucket, chunked, mixed, pack, pack_sorted, parts, placed, rows, sizes, unpack, unpack_sorted, unparts
 
 NO_ID = (1 << 63) - 1
@@ -60,8 +61,11 @@ class Windows:
             ends.append(len(self.words))
         self.ends = np.array(ends, np.int64)
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64) if ends else self.ends
-        # two halves of a word's digest, for two hashes of a window that don't depend on each other
-        hashes = np.frombuffer(b"".join(map(xxh3_128_digest, self.words)), ">u8").reshape(-1, 2).T.astype(np.uint64)
+        # two halves of a word's digest, for two hashes of a window that don't depend on each other; some words at a time
+        hashes = np.empty((2, len(self.words)), np.uint64)
+        for k in range(0, len(self.words), 1 << 15):
+            own = b"".join(map(xxh3_128_digest, self.words[k : k + (1 << 15)]))
+            hashes[:, k : k + (1 << 15)] = np.frombuffer(own, ">u8").reshape(-1, 2).T
         counts = np.maximum(self.ends - self.starts - window + 1, 0)
         #: first words of windows, and the id of the document that each lies in
         self.at = np.arange(counts.sum()) + np.repeat(self.starts - np.cumsum(counts) + counts, counts)
@@ -283,6 +287,7 @@ class FingerprintIndex:
 
         def sent(key: tuple, texts: pa.Table) -> pa.Table:
             got = sent_run(Windows(texts, window), n_buckets)
+            released()
             return rows({"bucket": ([b for b, _ in got], pa.int32()), "chunk": ([key[0].as_py()] * len(got), pa.int32()), "payload": ([p for _, p in got], pa.binary())})
 
         mine = chunks.groupBy("chunk").applyInArrow(sent, SENT)
@@ -380,7 +385,10 @@ class Tables:
 def finishing(window: int, n_buckets: int, with_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def finished(texts: pa.Table, answers: pa.Table) -> pa.Table:
         w = Windows(texts, window)
-        return cleaned(w, late_windows(w, answers, n_buckets), with_text)
+        out = cleaned(w, late_windows(w, answers, n_buckets), with_text)
+        del w
+        released()
+        return out
 
     return finished
 
@@ -444,8 +452,11 @@ def substring_dedup_rows(docs: DataFrame, window: int = 13, batches: int = 4, ch
         removed, words = done.column("n_removed").to_numpy(), done.column("n_words").to_numpy()
         stays = pa.array((removed == 0) | (removed < words))
         changed = pa.array(removed > 0)
-        text = [new if gone else old for gone, new, old in zip((removed > 0).tolist(), done.column("kept_text").to_pylist(), held.column("text").to_pylist(), strict=True)]
-        return pa.table({"doc_id": held.column("doc_id"), "text": pa.array(text, pa.string()), "rest": held.column("rest"), "changed": changed}).filter(stays)
+        text = pc.if_else(changed, done.column("kept_text"), held.column("text"))
+        out = pa.table({"doc_id": held.column("doc_id"), "text": text, "rest": held.column("rest"), "changed": changed}).filter(stays)
+        del w, done, text
+        released()
+        return out
 
     out = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finished, schema)
     kept = {c: F.col(f"rest.c{k}") for k, c in enumerate(others)}
