@@ -143,12 +143,12 @@ def run_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", extraction.run_name("a/model v1.5", F.col("o_orderdate").cast("timestamp")).alias("name"))
 
 
-BLOCKS = """b AS (SELECT l_orderkey AS page, l_linenumber AS pos, l_partkey, l_suppkey, l_returnflag || CASE WHEN l_linenumber % 3 = 0 THEN ' ABSTRACT ' ELSE ' text ' END || l_partkey || '.' || l_suppkey || '.' || l_linenumber || ';' AS text, l_quantity::double AS x0, (l_suppkey % 50)::double AS y0 FROM lineitem)"""
+BLOCKS = """b AS (SELECT l_orderkey AS page, l_linenumber AS pos, l_partkey, l_suppkey, l_returnflag || CASE WHEN l_linenumber % 3 = 0 THEN ' ABSTRACT ' ELSE ' text ' END || l_partkey || '.' || l_suppkey || '.' || l_quantity::int || '.' || l_linenumber || ';' AS text, l_quantity::double AS x0, (l_suppkey % 50)::double AS y0 FROM lineitem)"""
 
 
 def page_texts(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("l_linenumber")
-    text = of(F.col("l_returnflag"), F.when(n % 3 == 0, " ABSTRACT ").otherwise(" text "), F.col("l_partkey"), ".", F.col("l_suppkey"), ".", n, ";")
+    text = of(F.col("l_returnflag"), F.when(n % 3 == 0, " ABSTRACT ").otherwise(" text "), F.col("l_partkey"), ".", F.col("l_suppkey"), ".", F.col("l_quantity").cast("int"), ".", n, ";")
     x, y = F.col("l_quantity").cast("double"), (F.col("l_suppkey") % 50).cast("double")
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), n.alias("pos"), "l_partkey", "l_suppkey", text.alias("text"), rect(x, y, x + 10, y + 5).alias("box"))
 
