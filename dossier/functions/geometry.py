@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers import half_even
 from .text import FIGURE_NUMBER, col
 
 
@@ -58,7 +59,7 @@ def pixel_box(box: Column, image_width: Column, image_height: Column, scale: int
     """Pixels of a box in thousandths: halves round to even, sides stay in the image, no side below `least` if there is room."""
 
     def at(c: Column, size: Column) -> Column:
-        return F.bround(c.cast("double") / scale * size).cast("long")
+        return half_even(c.cast("double") / scale * size).cast("long")
 
     left, top = F.greatest(F.lit(0).cast("long"), at(box["x0"], image_width)), F.greatest(F.lit(0).cast("long"), at(box["y0"], image_height))
     right, bottom = F.least(image_width, at(box["x1"], image_width)), F.least(image_height, at(box["y1"], image_height))

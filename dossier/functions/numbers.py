@@ -18,6 +18,12 @@ def share(a: Column | str, b: Column | str) -> Column:
     return F.coalesce(ratio(a, b), F.lit(0.0))
 
 
+def half_even(c: Column | str, places: int = 0) -> Column:
+    """Rounded to decimal places, halves to even. What is a half is told in doubles, after the multiplication, not by the decimals
+    that a double is printed with."""
+    return F.rint(col(c).cast("double") * float(10**places)) / float(10**places)
+
+
 def f1(p: Column | str, r: Column | str) -> Column:
     """Harmonic mean; 0 if both are 0, null if one is null."""
     p, r = col(p), col(r)

@@ -15,6 +15,7 @@ from pyspark.sql import window as W
 
 from ..functions.geometry import above_caption, area, clipped, expanded, height, intersects, width
 from ..functions.jsonx import is_object, parsed
+from ..functions.numbers import half_even
 from ..functions.text import backfilled, blank_to_null, figure_number, merged_captions, number_in, padded, safe_name
 
 
@@ -92,7 +93,7 @@ def captions_at(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
     Blocks that touch the box grown by 40 and 28 points count, for figures other than the first only those with a label;
     without any, those that start from 8 above to 48 below it, within 42 points of the first one's end.
     """
-    near = blocks.join(anchors, "page").withColumn("o", F.struct(F.bround("box.y0", 1).alias("y"), F.col("box.x0").alias("x")))
+    near = blocks.join(anchors, "page").withColumn("o", F.struct(half_even("box.y0", 1).alias("y"), F.col("box.x0").alias("x")))
     a = F.col("anchor")
     touching = intersects(expanded(a, 40.0, 28.0), F.col("box")) & ((F.col("number") == 1) | number_in("text").isNotNull())
     below = (F.col("box.y0") >= a["y0"] - 8) & (F.col("box.y0") <= a["y1"] + 48)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.geometry import area, expanded, intersects
+from ..functions.numbers import half_even
 from ..functions.text import caption_flags, caption_quality, caption_start, from_caption_start, id_number, let, number_in, squeeze
 
 #: Roles of a figure, in the order that decides ties.
@@ -195,7 +196,7 @@ def captions_below(blocks: DataFrame, regions: DataFrame) -> DataFrame:
     """
     pad = F.greatest(F.lit(24.0), 0.08 * (F.col("rx1") - F.col("rx0")))
     inside = (F.col("y0") >= F.col("ry1") - 6) & (F.col("y1") <= F.least("height", F.col("ry1") + 0.18 * F.col("height"))) & (F.col("x1") >= F.greatest(F.lit(0.0), F.col("rx0") - pad)) & (F.col("x0") <= F.least("width", F.col("rx1") + pad))
-    near = blocks.join(regions, "page").where(inside & (F.length("text") <= 600)).withColumn("o", F.struct(F.bround("y0", 1), "x0"))
+    near = blocks.join(regions, "page").where(inside & (F.length("text") <= 600)).withColumn("o", F.struct(half_even("y0", 1), "x0"))
     seed = near.groupBy("page").agg(F.min_by(F.struct("o", "y1"), F.when(number_in("text") == F.col("number"), F.col("o"))).alias("s"), F.min_by(F.struct("o", "y1"), "o").alias("f"))
     start = seed.select("page", F.coalesce("s.o", "f.o").alias("from"), F.when(F.col("s").isNotNull(), F.col("s.y1") + 48).otherwise(F.col("f.y1") + 42).alias("end"))
     from ..functions.text import merged_captions

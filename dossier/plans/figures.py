@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.geometry import above_caption, clipped, is_box, is_visual_text, pixel_box, rect
+from ..functions.numbers import half_even
 from ..functions.text import backfilled, caption_flags, caption_quality, caption_start, figure_number, from_caption_start, id_number, merged_captions
 from ..operators.extraction import chosen_figures, exported
 from ..operators.figures import ROLES, best_captions, best_of, clusters, front_page_score, label_box, manifests, primary_role, ranked, review, teaser_score, with_fallbacks
@@ -199,7 +200,7 @@ def fallback_insert(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY round_even(l_extendedprice / 7, 1), l_discount, l_linenumber)::int AS place FROM lineitem""")
 def reading_order(spark: SparkSession, d: str) -> DataFrame:
-    order = W.Window.partitionBy("l_orderkey").orderBy(F.bround(F.col("l_extendedprice") / 7, 1), "l_discount", "l_linenumber")
+    order = W.Window.partitionBy("l_orderkey").orderBy(half_even(F.col("l_extendedprice") / 7, 1), "l_discount", "l_linenumber")
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(order).alias("place"))
 
 
