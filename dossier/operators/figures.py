@@ -144,9 +144,9 @@ def clusters(primitives: DataFrame, tolerance: float = 14.0, least_area: float =
 
 
 def content_score(kinds: Column, image: float, drawing: float, mixed_text: float) -> Column:
-    has = lambda k: F.array_contains(F.split(kinds, ","), k)
+    has = lambda k: F.contains(F.concat(F.lit(","), kinds, F.lit(",")), F.lit(f",{k},"))
     points = lambda of, n: F.when(of, F.lit(n)).otherwise(0.0)
-    return points(has("image"), image) + points(has("drawing"), drawing) + points(has("text") & (F.size(F.split(kinds, ",")) > 1), mixed_text)
+    return points(has("image"), image) + points(has("drawing"), drawing) + points(has("text") & F.contains(kinds, F.lit(",")), mixed_text)
 
 
 def teaser_score(box: Column, kinds: Column, caption: Column, page_height: Column) -> Column:
@@ -169,9 +169,11 @@ def front_page_score(box: Column, kinds: Column, title_bottom: Column, abstract:
 
 
 def best_of(rows: DataFrame, key: str, score: str, order: str) -> DataFrame:
-    """The row with the greatest score of each key; the first of equals; none without a score."""
+    """The row with the greatest score of each key; the first of equals; none without a score. A score is computed once for each row:
+    a filter on what a generator gives doesn't repeat its expression."""
     n = F.row_number().over(W.Window.partitionBy(key).orderBy(F.desc(score), order))
-    return rows.where(F.col(score).isNotNull()).withColumn("_n", n).where("_n = 1").drop("_n")
+    once = rows.select(*(c for c in rows.columns if c != score), F.inline(F.array(F.struct(score)))).select(*rows.columns)
+    return once.where(F.col(score).isNotNull()).withColumn("_n", n).where("_n = 1").drop("_n")
 
 
 def with_fallbacks(figures: DataFrame, teasers: DataFrame) -> DataFrame:

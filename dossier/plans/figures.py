@@ -9,6 +9,7 @@ from pyspark.sql import window as W
 from ..functions.geometry import above_caption, clipped, is_box, is_visual_text, pixel_box, rect
 from ..functions.numbers import half_even
 from ..functions.text import backfilled, caption_flags, caption_quality, caption_start, figure_number, from_caption_start, id_number, merged_captions
+from ..operators.evaluation import computed
 from ..operators.extraction import chosen_figures, exported
 from ..operators.figures import ROLES, best_captions, best_of, clusters, front_page_score, label_box, manifests, primary_role, ranked, review, teaser_score, with_fallbacks
 from .registry import query, table
@@ -219,7 +220,8 @@ def front_page_top1(spark: SparkSession, d: str) -> DataFrame:
     """The best cluster of a first page; every third line has no abstract on its page."""
     kinds = F.when(F.col("l_returnflag") == "A", "image").when(F.col("l_returnflag") == "N", "drawing").otherwise("image,text")
     abstract = F.when(F.col("l_linenumber") % 3 != 0, F.col("caption"))
-    scored = page_boxes(spark, d).withColumn("score", front_page_score(F.col("region"), kinds, F.lit(100.0), abstract, F.lit(792.0)))
+    placed = computed(page_boxes(spark, d), {"kinds": kinds, "abstract": abstract})
+    scored = placed.withColumn("score", front_page_score(F.col("region"), F.col("kinds"), F.lit(100.0), F.col("abstract"), F.lit(792.0)))
     return best_of(scored, "l_orderkey", "score", "l_linenumber").select("l_orderkey", "l_linenumber", F.round("score", 6).alias("score"))
 
 

@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from dossier.functions import numbers
+from dossier.operators import figures
 from dossier.plans import catalog
 
 
@@ -34,3 +35,15 @@ def test_reading_order_of_halves(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_extendedprice double, l_discount double").coalesce(1).write.parquet(path)
     got = rows_of(catalog.queries()["reading_order"](spark, str(tmp_path)))
     assert got == sql_rows(catalog.oracle_sql()["reading_order"], lineitem=f"{path}/*.parquet")
+
+
+def told_plan(df, capsys):
+    df.explain()
+    return capsys.readouterr().out
+
+
+def test_a_score_is_computed_once(spark, capsys):
+    rows = spark.range(9).select((F.col("id") % 2).alias("k"), "id", F.col("id").cast("double").alias("x"))
+    best = figures.best_of(rows.withColumn("score", F.log10(F.col("x") - 3)), "k", "score", "id")
+    assert told_plan(best, capsys).count("LOG10(") == 1
+    assert rows_of(best.select("id", "k")) == [(7, 1), (8, 0)]
