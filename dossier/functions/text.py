@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import unicodedata
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,13 +56,25 @@ def compare_form(c: Column | str) -> Column:
 
 
 def nfkc(c: Column | str) -> Column:
-    """Unicode compatibility composition, which has no built-in; pure ASCII batches pass through unchanged."""
+    """Unicode compatibility composition, which has no built-in. Only texts with other characters than ASCII go to Python, and there a
+    slice of about a megabyte at a time becomes Python strings, however long a batch is."""
 
-    @F.pandas_udf("string")
-    def composed(s: pd.Series) -> pd.Series:
-        return s.str.normalize("NFKC")
+    @F.arrow_udf("string")
+    def composed(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array((t if t is None else unicodedata.normalize("NFKC", t) for t in part.to_pylist()), pa.string(), size=len(part)) for part in slices(texts)] or [texts])
 
-    return composed(col(c))
+    own = col(c)
+    return F.coalesce(composed(F.when(own.rlike(r"[^\x00-\x7F]"), own)), own)
+
+
+def slices(texts: pa.Array, size: int = 1 << 20) -> Iterator[pa.Array]:
+    """An array cut where its texts add up to a size; a longer text is alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, side="right")))
+        yield texts.slice(start, end - start)
+        start = end
 
 
 def slug(c: Column | str, fallback: Column | str) -> Column:

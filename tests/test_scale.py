@@ -1,9 +1,12 @@
 """What the larger tables showed: ties of rounding, plans that grow faster than their input, shapes that are read once."""
 
+import unicodedata
+
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from dossier.functions import numbers
+from dossier.functions import numbers, text
 from dossier.operators import figures
 from dossier.plans import catalog
 
@@ -47,3 +50,13 @@ def test_a_score_is_computed_once(spark, capsys):
     best = figures.best_of(rows.withColumn("score", F.log10(F.col("x") - 3)), "k", "score", "id")
     assert told_plan(best, capsys).count("LOG10(") == 1
     assert rows_of(best.select("id", "k")) == [(7, 1), (8, 0)]
+
+
+def test_nfkc_by_slices(spark):
+    texts = pa.array(["é" * 700_000, None, "", "plain", "①" * 10, "ﬁ" * 600_000, "a"])
+    parts = list(text.slices(texts))
+    assert pa.concat_arrays(parts).equals(texts) and [len(p) for p in parts] == [1, 4, 1, 1]
+    assert list(text.slices(texts.slice(0, 0))) == []
+    own = [("é ﬁ ①",), ("plain",), (None,), ("",), ("한글 " * 3,)]
+    got = [r[0] for r in spark.createDataFrame(own, "t string").coalesce(1).select(text.nfkc("t")).collect()]
+    assert got == [t if t is None else unicodedata.normalize("NFKC", t) for (t,) in own]
