@@ -24,6 +24,17 @@ def removed(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def dealt(rows: DataFrame, key: str, share: int = 4 << 20) -> DataFrame:
+    """rows dealt by a key to one partition for each share of their input files' bytes, so that a task's part of them stays the same
+    however large the input is; the session's number of partitions is the least, and is all there is for rows that aren't from files."""
+    spark, size = rows.sparkSession, 0
+    for file in rows.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        size += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    many = -(-size // share)
+    return rows.repartition(many, key) if many > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(key)
+
+
 def matched_rows(df: DataFrame, other: DataFrame, keys: str | list[str], message: str) -> DataFrame:
     """df with the rows of the other table; a row without one is an error. The check is a filter on the join, so it holds whatever
     columns are read, rows that are only counted included; there is one join and no job before it."""

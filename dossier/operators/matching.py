@@ -2,7 +2,8 @@
 
 Weights fall with the distance in a hierarchy (equal 1, same subview 0.5, same view 0.25), so matching from the bottom
 up is optimal: equal ids first, then what is left within each subview, then within each view. That is three nested
-aggregations. Rows are dealt once by sample; all further grouping keeps that partitioning, so there is one shuffle.
+aggregations. Rows are dealt once by sample, to more partitions the more input there is; all further grouping keeps that
+partitioning, so there is one shuffle, and what a task's hash tables hold doesn't grow with the input.
 """
 
 from __future__ import annotations
@@ -10,13 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import dealt
 from ..functions.numbers import f1, precision_of, recall_of
 
 
 def sided(items: DataFrame, *keys: str) -> DataFrame:
     """One row for each id of a sample with p and g (1 or 0): predicted, gold. Rows of a sample are in one partition."""
     flag = lambda side: F.max(F.when(F.col("side") == side, 1).otherwise(0)).cast("long")
-    return items.repartition("sample_id").groupBy("sample_id", *keys).agg(flag("pred").alias("p"), flag("gold").alias("g"))
+    return dealt(items, "sample_id").groupBy("sample_id", *keys).agg(flag("pred").alias("p"), flag("gold").alias("g"))
 
 
 def strict_matches(items: DataFrame, id_col: str) -> DataFrame:

@@ -6,7 +6,7 @@ import duckdb
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from dossier.functions import numbers, text
+from dossier.functions import frames, numbers, text
 from dossier.operators import figures
 from dossier.plans import catalog
 
@@ -60,3 +60,14 @@ def test_nfkc_by_slices(spark):
     own = [("é ﬁ ①",), ("plain",), (None,), ("",), ("한글 " * 3,)]
     got = [r[0] for r in spark.createDataFrame(own, "t string").coalesce(1).select(text.nfkc("t")).collect()]
     assert got == [t if t is None else unicodedata.normalize("NFKC", t) for (t,) in own]
+
+
+def test_more_input_means_more_partitions(spark, tmp_path):
+    """A task's rows stay as many however large the files are; a sample's rows stay together."""
+    spark.range(400_000).select((F.col("id") % 5000).alias("sample_id"), F.rand(1).alias("x")).coalesce(1).write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t")
+    parts = lambda df: df.select(F.spark_partition_id().alias("p"), "sample_id")
+    few, many = parts(frames.dealt(rows, "sample_id")), parts(frames.dealt(rows, "sample_id", 100_000))
+    assert few.agg(F.count_distinct("p")).first()[0] <= 4 < 20 < many.agg(F.count_distinct("p")).first()[0]
+    assert many.groupBy("sample_id").agg(F.count_distinct("p").alias("n")).where("n > 1").count() == 0
+    assert frames.dealt(spark.range(3).withColumnRenamed("id", "sample_id"), "sample_id").count() == 3
