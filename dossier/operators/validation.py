@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -131,10 +132,12 @@ STEP_REFS = (
 )
 
 
-def case_references(cases: DataFrame) -> DataFrame:
+def case_references(cases: DataFrame, known: dict[str, Callable[[], Column]] | None = None) -> DataFrame:
     """(case_id, entity_id, kind, label, ref) of every reference in case studies to a question, a hypothesis or a step of the same
     episode. cases: case_id, hypotheses, episodes (with steps and transitions), final_outcome; parts that the schema lacks are
-    left out."""
+    left out. With known (lists of ids by kind, from columns of cases whose names start with _), only references that they lack."""
+    kept = [c for c in cases.columns if c.startswith("_")]
+    lacking = lambda k, ids: F.filter(ids, lambda r: F.col("case_id").isNull() | ~F.coalesce(F.array_contains(known[k](), r), F.lit(False))) if known else ids
 
     def has(kind: T.DataType, path: str) -> bool:
         for field in path.split("."):
@@ -146,19 +149,19 @@ def case_references(cases: DataFrame) -> DataFrame:
 
     def told(rows: DataFrame, entity: Column, refs: list[tuple[str, str, Column]]) -> DataFrame:
         kind = "array<struct<kind: string, label: string, refs: array<string>>>"
-        every = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(label).alias("label"), ids.cast("array<string>").alias("refs")) for k, label, ids in refs)) if refs else F.array().cast(kind)
+        every = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(label).alias("label"), lacking(k, ids.cast("array<string>")).alias("refs")) for k, label, ids in refs)) if refs else F.array().cast(kind)
         flat = rows.select("case_id", entity.cast("string").alias("entity_id"), F.explode(every).alias("r"))
         return flat.select("case_id", "entity_id", "r.kind", "r.label", F.explode("r.refs").alias("ref"))
 
     schema, of = cases.schema, lambda item, path: reduce(lambda c, f: c[f], path.split("."), item)
-    hypotheses = cases.select("case_id", F.explode("hypotheses").alias("h"))
+    hypotheses = cases.select("case_id", *kept, F.explode("hypotheses").alias("h"))
     out = told(hypotheses, F.col("h.hypothesis_id"), [("question", "related_questions", F.col("h.related_question_ids"))])
-    episodes = cases.select("case_id", F.explode("episodes").alias("e"))
+    episodes = cases.select("case_id", *kept, F.explode("episodes").alias("e"))
     found = [("question", "focus_questions", F.col("e.focus_question_ids"))] if has(schema["episodes"].dataType, "focus_question_ids") else []
     if has(schema["episodes"].dataType, "transitions"):
         found += [("step of episode", f"{end}_step", F.transform("e.transitions", of_end(end))) for end in ("source", "target")]
     out = out.unionByName(told(episodes, F.col("e.episode_id"), found))
-    steps = episodes.select("case_id", F.explode("e.steps").alias("s"))
+    steps = episodes.select("case_id", *kept, F.explode("e.steps").alias("s"))
     kind = steps.schema["s"].dataType
     found = [(k, label, of(F.col("s"), path)) for k, label, path in STEP_REFS if has(kind, path)]
     found += [(k, f"insight.{k}", F.flatten(F.transform("s.produced_insights", of_list(f"related_{k}_ids")))) for k in ("question", "hypothesis") if has(kind, f"produced_insights.related_{k}_ids")]
@@ -182,15 +185,13 @@ def of_list(field: str):
 
 
 def unknown_case_references(cases: DataFrame) -> DataFrame:
-    """Violations of `case_references`: ids that the case (for steps: the episode) doesn't have."""
-    refs = case_references(cases)
-    questions = cases.select("case_id", F.explode("questions.question_id").alias("ref"))
-    hypotheses = cases.select("case_id", F.explode("hypotheses.hypothesis_id").alias("ref"))
-    steps = cases.select("case_id", F.explode("episodes").alias("e")).select("case_id", F.col("e.episode_id").cast("string").alias("scope"), F.explode("e.steps.step_id").alias("ref"))
-    named = lambda df, kind: df.select("case_id", F.lit("").alias("scope"), F.col("ref").cast("string").alias("ref"), F.lit(kind).alias("kind"))
-    known = named(questions, "question").unionByName(named(hypotheses, "hypothesis")).unionByName(steps.select("case_id", "scope", F.col("ref").cast("string").alias("ref"), F.lit("step of episode").alias("kind"))).distinct()
-    asked = refs.withColumn("scope", F.when(F.col("kind") == "step of episode", F.col("entity_id")).otherwise(""))
-    missing = asked.join(known, ["case_id", "scope", "ref", "kind"], "left_anti")
+    """Violations of `case_references`: ids that the case (for steps: the episode) doesn't have. A case is one row, and what it knows is
+    looked up there, so nothing is shuffled."""
+    ids = lambda path: F.coalesce(F.col(path).cast("array<string>"), F.array().cast("array<string>"))
+    places = F.transform("episodes", lambda e: F.struct(e["episode_id"].cast("string").alias("id"), F.transform(e["steps"], lambda s: s["step_id"].cast("string")).alias("steps")))
+    held = cases.withColumns({"_questions": ids("questions.question_id"), "_hypotheses": ids("hypotheses.hypothesis_id"), "_episodes": places})
+    of_episode = lambda: F.flatten(F.transform(F.filter("_episodes", lambda p: p["id"] == F.col("e.episode_id").cast("string")), lambda p: F.coalesce(p["steps"], F.array().cast("array<string>"))))
+    missing = case_references(held, {"question": lambda: F.col("_questions"), "hypothesis": lambda: F.col("_hypotheses"), "step of episode": of_episode})
     return missing.select("entity_id", F.concat(F.lit("unknown "), F.col("kind")).alias("rule"), F.concat_ws(": ", "label", "ref").alias("message"))
 
 

@@ -127,15 +127,17 @@ def case_references(spark: SparkSession, d: str) -> DataFrame:
     """Orders as cases of one episode, lines as steps: questions are suppliers of open lines, hypotheses parts of returned ones; each
     step leads to the next line number."""
     li, text = table(spark, d, "lineitem"), lambda c: F.col(c).cast("string")
-    step_id = lambda n: F.concat_ws(".", F.col("l_orderkey").cast("string"), n.cast("string"))
-    step = F.struct(step_id(F.col("l_linenumber")).alias("step_id"), F.array(text("l_suppkey")).alias("questions_addressed"), F.struct(F.array(text("l_partkey")).alias("active_hypothesis_ids")).alias("state_after"))
-    move = F.struct(step_id(F.col("l_linenumber")).alias("source_step_id"), step_id(F.col("l_linenumber") + 1).alias("target_step_id"))
-    none = F.array().cast("array<string>")
-    own = li.groupBy("l_orderkey").agg(
-        F.collect_set(F.when(F.col("l_linestatus") == "O", F.struct(text("l_suppkey").alias("question_id")))).alias("questions"),
-        F.collect_set(F.when(F.col("l_returnflag") == "R", F.struct(text("l_partkey").alias("hypothesis_id"), none.alias("related_question_ids")))).alias("hypotheses"),
-        F.collect_list(step).alias("steps"), F.collect_list(move).alias("transitions"),
-    )
+    own = li.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_linestatus", "l_returnflag")).alias("x"))
+    step_id = lambda n: F.concat_ws(".", text("l_orderkey"), n.cast("string"))
+    of = lambda x, c: x[c].cast("string")
+    step = lambda x: F.struct(step_id(x["l_linenumber"]).alias("step_id"), F.array(of(x, "l_suppkey")).alias("questions_addressed"), F.struct(F.array(of(x, "l_partkey")).alias("active_hypothesis_ids")).alias("state_after"))
+    move = lambda x: F.struct(step_id(x["l_linenumber"]).alias("source_step_id"), step_id(x["l_linenumber"] + 1).alias("target_step_id"))
+    open_, returned = F.filter("x", lambda x: x["l_linestatus"] == "O"), F.filter("x", lambda x: x["l_returnflag"] == "R")
+    own = own.withColumns({
+        "questions": F.array_distinct(F.transform(open_, lambda x: F.struct(of(x, "l_suppkey").alias("question_id")))),
+        "hypotheses": F.array_distinct(F.transform(returned, lambda x: F.struct(of(x, "l_partkey").alias("hypothesis_id"), F.array().cast("array<string>").alias("related_question_ids")))),
+        "steps": F.transform("x", step), "transitions": F.transform("x", move),
+    })
     episode = F.struct(text("l_orderkey").alias("episode_id"), "steps", "transitions")
     return validation.unknown_case_references(own.select(text("l_orderkey").alias("case_id"), "questions", "hypotheses", F.array(episode).alias("episodes")))
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from dossier.functions import frames, numbers, text
-from dossier.operators import figures
+from dossier.operators import figures, validation
 from dossier.plans import catalog
 
 
@@ -71,3 +71,13 @@ def test_more_input_means_more_partitions(spark, tmp_path):
     assert few.agg(F.count_distinct("p")).first()[0] <= 4 < 20 < many.agg(F.count_distinct("p")).first()[0]
     assert many.groupBy("sample_id").agg(F.count_distinct("p").alias("n")).where("n > 1").count() == 0
     assert frames.dealt(spark.range(3).withColumnRenamed("id", "sample_id"), "sample_id").count() == 3
+
+
+def test_case_references_are_looked_up_in_their_row(spark, capsys):
+    kind = "case_id string, questions array<struct<question_id: string>>, hypotheses array<struct<hypothesis_id: string, related_question_ids: array<string>>>, episodes array<struct<episode_id: string, steps: array<struct<step_id: string, questions_addressed: array<string>>>, transitions: array<struct<source_step_id: string, target_step_id: string>>>>"
+    one = ("c", [("q",), (None,)], [("h", ["q", "z", "z"])], [("e", [("s", ["q", None])], [("s", "t")]), (None, [("t", ["r"])], [("t", "t")])])
+    got = validation.unknown_case_references(spark.createDataFrame([one, ("d", None, None, None)], kind))
+    assert "Exchange" not in told_plan(got, capsys)
+    want = [("h", "unknown question", "related_questions: z")] * 2 + [("s", "unknown question", "questions_addressed"), ("t", "unknown question", "questions_addressed: r"), ("e", "unknown step of episode", "target_step: t")]
+    want += [(None, "unknown step of episode", "source_step: t"), (None, "unknown step of episode", "target_step: t")]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
