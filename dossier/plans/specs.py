@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.frames import dealt
 from ..functions.text import paired
 from ..operators import context, records, report, rules, validation
 from .registry import query, table
@@ -272,9 +273,9 @@ def paper_names(spark: SparkSession, d: str) -> DataFrame:
 def record_tables(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     """(samples, cases, systems, workflows, usage): an order is a paper, a case and a sample, its lines are its episodes, stages and
     steps; the prefix is its first two line numbers, as far as there are so many."""
-    li, key = table(spark, d, "lineitem"), F.col("l_orderkey").cast("string")
+    li, key = table(spark, d, "lineitem").withColumn("key", F.col("l_orderkey").cast("string")), F.col("key")
     text = lambda x: x.cast("string")
-    own = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))).alias("x"))
+    own = dealt(li, "key", 1 << 20).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))).alias("x"))
     episode = lambda x: F.struct(
         x["l_linenumber"].alias("benchmark_episode_index"), text(x["l_partkey"]).alias("benchmark_episode_title"), x["l_returnflag"].alias("local_goal"), F.array(text(x["l_suppkey"]), text(x["l_suppkey"])).alias("used_views"),
         F.array().cast("array<string>").alias("used_capabilities"), F.array().cast("array<string>").alias("source_step_ids"), F.array(F.concat(F.lit("1."), text(x["l_linenumber"])), F.lit("9.9")).alias("source_step_refs"),

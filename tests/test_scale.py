@@ -81,3 +81,8 @@ def test_case_references_are_looked_up_in_their_row(spark, capsys):
     want = [("h", "unknown question", "related_questions: z")] * 2 + [("s", "unknown question", "questions_addressed"), ("t", "unknown question", "questions_addressed: r"), ("e", "unknown step of episode", "target_step: t")]
     want += [(None, "unknown step of episode", "source_step: t"), (None, "unknown step of episode", "target_step: t")]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_parts_of_records_meet_without_another_shuffle(spark, capsys):
+    told = told_plan(catalog.queries()["benchmark_records"](spark, "/root/testdata/sf0.001"), capsys)
+    assert "hashpartitioning(key#" in told and not any(f"hashpartitioning({c}" in told for c in ("benchmark_case_id", "paper_name", "sample_id"))
