@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import distinct_stripped, or_empty, strings_of
-from ..functions.frames import matched_rows
+from ..functions.frames import computed, matched_rows
 from ..functions.jsonx import payload, string_field
 from ..functions.numbers import f1, next_move_score, precision_of, ratio, recall_of, structure_score
 from .ids import IDENTIFIER
@@ -41,12 +41,6 @@ def crossed(p: Column, g: Column) -> Column:
     return common(views(p), parts(g), "view_id") + common(views(g), parts(p), "view_id")
 
 
-def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """df with columns that are computed once for each row, however often and wherever they are used later: a generator keeps
-    their expressions from being repeated in filters and other columns."""
-    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
-
-
 def with_matches(df: DataFrame) -> DataFrame:
     """df with <kind>_n_pred, _n_gold, _exact and _matched, from lists without repeats in pred_<kind> and gold_<kind> (structs VIEW
     and CAPABILITY; an id outside the hierarchy is its own view and subview)."""

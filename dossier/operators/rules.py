@@ -10,16 +10,21 @@ A description is made of Text, Whole, Number, Flag, Items and Fields. The expres
     not_json    a line isn't JSON at all
 
 Fields that a description doesn't name are ignored. What stands below a value of a wrong type isn't looked at.
+
+A value is read once, as the type that its description has, with variants only where the leaves are: taking nested variants apart
+level by level copies all that is below at each level.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import computed
 from ..functions.jsonx import parsed
 from ..functions.text import let
 from .ids import IDENTIFIER
@@ -82,12 +87,54 @@ def first(*cases: tuple[Column, Column]) -> Column:
     return reduce(lambda rest, case: F.when(case[0], case[1]).otherwise(rest), reversed(cases), F.array().cast(PROBLEMS))
 
 
-def problems(value: Column, rule: Rule, path: Column | str = "$") -> Column:
+def empty(v: Column) -> Column:
+    return v.isNull() | F.is_variant_null(v)
+
+
+def absent(rule: Rule, path: Column) -> Column:
+    return told(path, "missing") if rule.required else F.array().cast(PROBLEMS)
+
+
+def problems(value: Column, rule: Rule) -> Column:
     """All violations of a variant as (path, rule), in the order of the description."""
-    path = F.lit(path) if isinstance(path, str) else path
-    absent = told(path, "missing") if rule.required else F.array().cast(PROBLEMS)
-    empty = lambda v: v.isNull() | F.is_variant_null(v)
-    return let(value, lambda v: F.when(empty(v), absent).otherwise(present(v, rule, path)))
+    if kind_of(rule) == "variant":
+        return let(value, lambda v: of_variant(v, rule, F.lit("$")))
+    return let(value, lambda v: let(F.try_variant_get(v, "$", kind_of(rule)), lambda x: of_typed(x, rule, F.lit("$"), v)))
+
+
+def kind_of(rule: Rule) -> str:
+    """The type that a variant is read as: structs and lists of structs down to variants. Those are single values and lists of them,
+    lists whose entries are compared, structs of which some fields exclude each other, and structs whose fields' names don't make
+    a type or a path."""
+    if isinstance(rule, Items) and not rule.different and kind_of(rule.of) != "variant":
+        return f"array<{kind_of(rule.of)}>"
+    if isinstance(rule, Fields) and rule.of and not rule.exactly_one:
+        names = {n.lower() for n in rule.of if re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", n)}
+        if len(names) == len(rule.of):
+            return f"struct<{', '.join(f'`{n}`: {kind_of(r)}' for n, r in rule.of.items())}>"
+    return "variant"
+
+
+def of_typed(x: Column, rule: Rule, path: Column, whole: Column) -> Column:
+    """Problems of what was read as kind_of(rule) at a path of the whole variant. Where a list or a struct wasn't read, that path tells
+    whether there is nothing or something else."""
+    if kind_of(rule) == "variant":
+        return of_variant(x, rule, path)
+    lost = let(F.try_variant_get(whole, path, "variant"), lambda v: F.when(empty(v), absent(rule, path)).otherwise(told(path, "type")))
+    if isinstance(rule, Items):
+        few = [first((F.size(x) < rule.least, told(path, "too_few")))] if rule.least else []
+        below = [*few, F.flatten(F.transform(x, lambda v, i: of_typed(v, rule.of, entry(path, i), whole)))]
+    else:
+        below = [of_typed(x[name], inner, F.concat(path, F.lit(f".{name}")), whole) for name, inner in rule.of.items()]
+    return F.when(x.isNull(), lost).otherwise(F.concat(*below))
+
+
+def of_variant(v: Column, rule: Rule, path: Column) -> Column:
+    return F.when(empty(v), absent(rule, path)).otherwise(present(v, rule, path))
+
+
+def entry(path: Column, i: Column) -> Column:
+    return F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
 
 
 def present(v: Column, rule: Rule, path: Column) -> Column:
@@ -112,7 +159,8 @@ def present(v: Column, rule: Rule, path: Column) -> Column:
 
 
 def fields(x: Column, rule: Fields, path: Column) -> Column:
-    below = [problems(F.try_element_at(x, F.lit(name)), inner, F.concat(path, F.lit(f".{name}"))) for name, inner in rule.of.items()]
+    one = lambda name, inner: let(F.try_element_at(x, F.lit(name)), lambda v: of_variant(v, inner, F.concat(path, F.lit(f".{name}"))))
+    below = [one(name, inner) for name, inner in rule.of.items()]
     if rule.exactly_one:
         given = lambda n: let(F.try_element_at(x, F.lit(n)), lambda v: (v.isNotNull() & ~F.is_variant_null(v)).cast("int"))
         below.append(first((reduce(Column.__add__, map(given, rule.exactly_one)) != 1, told(path, "one_of"))))
@@ -120,19 +168,18 @@ def fields(x: Column, rule: Fields, path: Column) -> Column:
 
 
 def items(x: Column, rule: Items, path: Column) -> Column:
-    at = lambda i: F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
     parts = [first((F.size(x) < rule.least, told(path, "too_few")))] if rule.least else []
     if rule.different:
         as_text = F.transform(x, lambda v: F.to_json(v))
         parts.append(first((F.size(F.array_distinct(as_text)) < F.size(x), told(path, "repeated"))))
-    return F.concat(*parts, F.flatten(F.transform(x, lambda v, i: problems(v, rule.of, at(i)))))
+    return F.concat(*parts, F.flatten(F.transform(x, lambda v, i: of_variant(v, rule.of, entry(path, i)))))
 
 
 def checked(rows: DataFrame, rule: Rule, text: str = "value") -> DataFrame:
-    """rows with `problems` of the JSON in a text column; blank texts are no rows of a log and go."""
+    """rows with `problems` of the JSON in a text column, found once whatever is made of them; blank texts are no rows of a log and go."""
     held = rows.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "")
     own = let(parsed(text), lambda v: F.when(v.isNull(), told(F.lit("$"), "not_json")).otherwise(problems(v, rule)))
-    return held.withColumn("problems", own)
+    return computed(held, {"problems": own})
 
 
 def valid_rows(rows: DataFrame, rule: Rule, schema: str, text: str = "value") -> DataFrame:

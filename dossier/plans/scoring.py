@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import same_set
-from ..operators.evaluation import computed, with_matches, with_reviews, with_structure, with_support
+from ..functions.frames import computed
+from ..operators.evaluation import with_matches, with_reviews, with_structure, with_support
 from ..operators.hierarchy import supported_views, view_dimension
 from ..operators.matching import capability_matches, scored, strict_matches, support_counts, view_matches
 from ..operators.summaries import all_summaries, summary

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.frames import dealt
+from ..functions.frames import computed, dealt
 from ..functions.text import paired
 from ..operators import context, records, report, rules, validation
 from .registry import query, table
@@ -331,5 +331,6 @@ def record_violations(spark: SparkSession, d: str) -> DataFrame:
     value = F.when(k % 5 == 3, F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(F.replace(line, F.lit(f'"{VERSION}"'), F.lit('"v0"')))
     for n, (old, new) in enumerate(defects):
         value = F.when(k % 5 == n, F.replace(line, F.lit(old), F.lit(new))).otherwise(value)
-    found = rules.checked(held.select(k.alias("k"), value.alias("value")), rules.record_rule(VERSION, TASK))
+    lines = computed(held, {"k": k, "value": value}).select("k", "value")
+    found = rules.checked(lines, rules.record_rule(VERSION, TASK))
     return found.select("k", F.explode("problems").alias("p")).select("k", "p.path", "p.rule")

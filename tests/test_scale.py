@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from dossier.functions import frames, numbers, text
-from dossier.operators import figures, validation
+from dossier.operators import figures, rules, validation
 from dossier.plans import catalog
 
 
@@ -86,3 +86,35 @@ def test_case_references_are_looked_up_in_their_row(spark, capsys):
 def test_parts_of_records_meet_without_another_shuffle(spark, capsys):
     told = told_plan(catalog.queries()["benchmark_records"](spark, "/root/testdata/sf0.001"), capsys)
     assert "hashpartitioning(key#" in told and not any(f"hashpartitioning({c}" in told for c in ("benchmark_case_id", "paper_name", "sample_id"))
+
+
+def test_a_line_is_read_and_checked_once(spark, capsys):
+    told = told_plan(catalog.queries()["record_violations"](spark, "/root/testdata/sf0.001"), capsys)
+    assert told.count("VariantExpressionEvalUtils.parseJson") == 1
+
+
+def test_lists_of_structs_are_read_as_such(spark):
+    """Nothing, null and something else in place of lists and structs, at every depth; names that make no type or differ in case."""
+    F_, I_, T_ = rules.Fields, rules.Items, rules.Text
+    part = F_({"in": F_({"x": T_("^a$")}, required=False), "list": I_(F_({"y": T_()}), least=1, required=False), "tags": I_(T_(), required=False)})
+    rule = F_({"parts": I_(part), "odd name": F_({"z": T_()}), "two": F_({"k": rules.Whole(), "K": rules.Whole()}, required=False), "any": F_({})})
+    assert rules.kind_of(rule) == "variant" and rules.kind_of(I_(part)).startswith("array<struct<`in`: struct<`x`: variant>, `list`: array<struct<")
+    good = '"odd name": {"z": ""}, "two": {"k": 1, "K": 2}, "any": {}'
+    lines = {
+        '{"parts": [{}, {"in": null, "list": null, "tags": null}, {"in": {"x": "a", "w": 1}, "list": [{"y": ""}], "tags": ["", "b"]}], %s}' % good: [],
+        '{"parts": [null, [], {"in": [], "list": {}, "tags": 1}, {"in": {"x": null}, "list": [], "tags": [1, null]}], %s}' % good: [
+            ("$.parts[0]", "missing"), ("$.parts[1]", "type"), ("$.parts[2].in", "type"), ("$.parts[2].list", "type"), ("$.parts[2].tags", "type"),
+            ("$.parts[3].in.x", "missing"), ("$.parts[3].list", "too_few"), ("$.parts[3].tags[0]", "type"), ("$.parts[3].tags[1]", "missing"),
+        ],
+        '{"parts": [{"list": [{"y": "s"}, "s", null, {"y": {}}], "in": {"x": "b"}}], "two": {"k": "1"}, "any": []}': [
+            ("$.parts[0].in.x", "pattern"), ("$.parts[0].list[1]", "type"), ("$.parts[0].list[2]", "missing"), ("$.parts[0].list[3].y", "type"),
+            ("$.odd name", "missing"), ("$.two.k", "type"), ("$.two.K", "missing"), ("$.any", "type"),
+        ],
+    }
+    inner = F_({"whole": F_({"parts": I_(part)})})
+    df = spark.createDataFrame([(v,) for v in lines], "value string")
+    assert [[tuple(p) for p in r.problems] for r in rules.checked(df, rule).collect()] == list(lines.values())
+    under = df.select(F.concat(F.lit('{"whole": '), "value", F.lit("}")).alias("value"))
+    assert [[tuple(p) for p in r.problems] for r in rules.checked(under, inner).collect()] == [[("$.whole" + p[1:], r) for p, r in ps if p.startswith("$.parts")] for ps in lines.values()]
+    odd = spark.createDataFrame([('{"whole": {"parts": 3}}',), ('{"whole": 1}',), ('{"whole": {}}',), ("{}",), ("7",)], "value string")
+    assert [[tuple(p) for p in r.problems] for r in rules.checked(odd, inner).collect()] == [[("$.whole.parts", "type")], [("$.whole", "type")], [("$.whole.parts", "missing")], [("$.whole", "missing")], [("$", "type")]]
