@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank_to_null, col, strip
+from .text import blank_to_null, col, let, strip
 
 
 def parsed(c: Column | str) -> Column:
@@ -24,8 +24,7 @@ def is_list(variant: Column | str) -> Column:
 
 def string_field(variant: Column | str, name: str) -> Column:
     """A field if it is a string; null if it is missing or of another type."""
-    field = F.try_variant_get(col(variant), f"$.{name}", "variant")
-    return F.when(F.schema_of_variant(field) == "STRING", F.try_variant_get(col(variant), f"$.{name}", "string"))
+    return let(F.try_variant_get(col(variant), f"$.{name}", "variant"), lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
 
 
 def first_object(c: Column | str) -> Column:
@@ -66,9 +65,8 @@ def ladder(c: Column | str) -> Column:
 
 def payload(variant: Column | str) -> Column:
     """A prediction: an object as it is, a string that holds one, else null."""
-    v = col(variant)
-    inner = parsed(F.when(F.schema_of_variant(v) == "STRING", strip(F.try_variant_get(v, "$", "string"))))
-    return F.when(is_object(v), v).when(is_object(inner), inner)
+    held = lambda v: parsed(F.when(F.schema_of_variant(v) == "STRING", strip(F.try_variant_get(v, "$", "string"))))
+    return let(col(variant), lambda v: F.when(is_object(v), v).otherwise(let(held(v), lambda inner: F.when(is_object(inner), inner))))
 
 
 def as_json(c: Column | str) -> Column:

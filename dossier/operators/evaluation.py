@@ -8,6 +8,8 @@ hierarchy, from the bottom up.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from ..functions.arrays import distinct_stripped, or_empty, strings_of
 from ..functions.frames import computed, matched_rows
 from ..functions.jsonx import payload, string_field
 from ..functions.numbers import f1, next_move_score, precision_of, ratio, recall_of, structure_score
+from ..functions.text import let
 from .ids import IDENTIFIER
 from .resultlog import evaluation_status
 from .summaries import repeat_summary, review_reasons
@@ -121,8 +124,8 @@ def placed_views(ids: Column | str) -> Column:
 
 
 def placed_capabilities(ids: Column | str) -> Column:
-    found = lambda i, level: F.coalesce(last_of("_capabilities", i)[level], F.concat(F.lit("?"), i)).alias(level)
-    return F.transform(ids, lambda i: F.struct(i.alias("id"), found(i, "subview_id"), found(i, "view_id")))
+    found = lambda i, c, level: F.coalesce(c[level], F.concat(F.lit("?"), i)).alias(level)
+    return F.transform(ids, lambda i: let(last_of("_capabilities", i), lambda c: F.struct(i.alias("id"), found(i, c, "subview_id"), found(i, c, "view_id"))))
 
 
 # ---------------------------------------------------------------- predictions
@@ -130,34 +133,39 @@ def placed_capabilities(ids: Column | str) -> Column:
 
 def valid_prediction(p: Column | str) -> Column:
     """Whether a prediction (a variant) has the required form: a goal that is a text, lists of identifiers, a stage with both ids, a
-    confidence from 0 to 1, and evidence items that name paper, kind and reason. Missing lists are empty; a null list isn't one."""
+    confidence from 0 to 1, and evidence items that name paper, kind and reason. Missing lists are empty; a null list isn't one.
+    Its parts are read once."""
     p = F.col(p) if isinstance(p, str) else p
-    field = lambda v, name, kind="variant": F.try_variant_get(v, f"$.{name}", kind)
     kind = F.schema_of_variant
-    absent = lambda v: v.isNull() | (kind(v) == "VOID")
+    absent = lambda v: v.isNull() | F.is_variant_null(v)
     text = lambda v: F.coalesce(kind(v) == "STRING", F.lit(False))
-    name = lambda v: text(v) & F.coalesce(F.try_variant_get(v, "$", "string").rlike(IDENTIFIER), F.lit(False))
+    name = lambda v: F.when(text(v), F.coalesce(F.try_variant_get(v, "$", "string").rlike(IDENTIFIER), F.lit(False))).otherwise(False)
+    parts = lambda v, *names: F.try_variant_get(v, "$", f"struct<{', '.join(f'{n}: variant' for n in names)}>")
 
     def each(v: Column, rule) -> Column:
-        items = F.try_variant_get(v, "$", "array<variant>")
-        return v.isNull() | (F.startswith(kind(v), F.lit("ARRAY")) & F.coalesce(F.forall(items, rule), F.lit(False)))
-
-    stage, sure = field(p, "predicted_workflow_stage"), field(p, "confidence")
-    evidence = lambda e: text(field(e, "paper_name")) & text(field(e, "source_type")) & text(field(e, "reason")) & (absent(field(e, "source_id")) | text(field(e, "source_id")))
-    number = F.try_variant_get(sure, "$", "double")
-    rules = (
-        text(field(p, "predicted_next_goal")),
-        each(field(p, "predicted_views"), name),
-        each(field(p, "predicted_capabilities"), name),
-        absent(stage) | (name(field(stage, "workflow_id")) & name(field(stage, "stage_id"))),
-        absent(field(p, "rationale")) | text(field(p, "rationale")),
-        absent(sure) | F.coalesce((number >= 0) & (number <= 1), F.lit(False)),
-        each(field(p, "retrieved_evidence"), evidence),
-    )
-    out = rules[0]
-    for rule in rules[1:]:
-        out = out & rule
-    return F.coalesce(out, F.lit(False))
+        return v.isNull() | F.coalesce(F.forall(F.try_variant_get(v, "$", "array<variant>"), rule), F.lit(False))
+
+    def evidence(v: Column) -> Column:
+        own = lambda e: text(e["paper_name"]) & text(e["source_type"]) & text(e["reason"]) & (absent(e["source_id"]) | text(e["source_id"]))
+        return let(parts(v, "paper_name", "source_type", "source_id", "reason"), own)
+
+    def rules(x: Column) -> Column:
+        stage, sure = x["predicted_workflow_stage"], x["confidence"]
+        number = F.try_variant_get(sure, "$", "double")
+        staged = let(parts(stage, "workflow_id", "stage_id"), lambda s: name(s["workflow_id"]) & name(s["stage_id"]))
+        own = (
+            text(x["predicted_next_goal"]),
+            each(x["predicted_views"], name),
+            each(x["predicted_capabilities"], name),
+            absent(stage) | staged,
+            absent(x["rationale"]) | text(x["rationale"]),
+            absent(sure) | F.coalesce((number >= 0) & (number <= 1), F.lit(False)),
+            each(x["retrieved_evidence"], evidence),
+        )
+        return reduce(Column.__and__, own)
+
+    fields = ("predicted_next_goal", "predicted_views", "predicted_capabilities", "predicted_workflow_stage", "rationale", "confidence", "retrieved_evidence")
+    return F.coalesce(let(parts(p, *fields), rules), F.lit(False))
 
 
 # ---------------------------------------------------------------- judges
@@ -241,7 +249,7 @@ def evaluate(records: DataFrame, results: DataFrame, manifest: DataFrame, judge_
         {
             "predicted_workflow_stage": F.when(stage["stage_id"].isNotNull(), pair),
             "workflow_stage_valid": F.when(stage["stage_id"].isNotNull(), F.coalesce(in_order, F.lit(False))),
-            "evaluation_status": evaluation_status(found, F.col("raw_result_status"), F.try_variant_get("row", "$.prediction", "variant"), F.col("schema_valid")),
+            "evaluation_status": evaluation_status(found, F.col("raw_result_status"), F.col("_prediction"), F.col("schema_valid")),
             "status": F.coalesce(F.nullif("raw_result_status", F.lit("")), F.lit("missing_result")),
             "completion": found & F.coalesce(F.col("raw_result_status") == "ok", F.lit(False)),
             "json_valid": F.col("_prediction").isNotNull(),

@@ -7,16 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.frames import matched_rows
+from ..functions.frames import computed, matched_rows
 from ..functions.jsonx import is_object, parsed, payload, string_field
+from ..functions.text import let
 from .summaries import last_wins
 
 
 def classified(lines: DataFrame, text: str = "value") -> DataFrame:
-    """Lines with the variant they hold (objects only) and whether they count as errors; blank lines are neither."""
-    held = lines.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "").withColumn("row", parsed(text))
-    ok = is_object("row")
-    return held.withColumn("line_error", ~ok).withColumn("row", F.when(ok, F.col("row")))
+    """Lines with the variant they hold (objects only) and whether they count as errors; blank lines are neither. A line is parsed
+    once."""
+    held = computed(lines.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != ""), {"row": let(parsed(text), lambda v: F.when(is_object(v), v))})
+    return held.withColumn("line_error", F.col("row").isNull())
 
 
 def last_results(lines: DataFrame, key: str = "sample_id", order: str = "line_no") -> DataFrame:

@@ -63,13 +63,14 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
     return own.join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sample_id")), "sample_id", "left_semi")
 
 
-def sets(spark: SparkSession, d: str) -> DataFrame:
+def sets(spark: SparkSession, d: str, only: tuple[str, ...] | None = None, text: bool = False) -> DataFrame:
     """Each order with a line, and lists of what its lines predict, what is gold and what its workflow uses: one pass over the
-    lines and one shuffle of them, by sample."""
+    lines and one shuffle of them, by sample. Of the lists only those named, if any are; with text, a sample's id is a text."""
+    named = lambda df: df.withColumn("sample_id", F.col("sample_id").cast("string")) if text else df
     s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
     own = lines(spark, d).join(s, F.col("l_suppkey") == F.col("s_suppkey"), "left").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
     line = F.struct("pred", "gold", (F.col("l_linenumber") % 2 == 1).alias("odd"), (F.col("l_quantity").cast("long") % 2 == 1).alias("odd_quantity"), (F.col("l_quantity") <= 25).alias("used"), "l_suppkey", "n_nationkey", "n_regionkey")
-    of_sample = own.groupBy("sample_id").agg(F.collect_list(line).alias("_lines"))
+    of_sample = named(own).groupBy("sample_id").agg(F.collect_list(line).alias("_lines"))
     nation, region, supplier = (lambda x, c=c, k=k: F.concat(F.lit(f"{k}:"), x[c]) for c, k in (("n_nationkey", "n"), ("n_regionkey", "r"), ("l_suppkey", "s")))
     capability = lambda x: F.struct(supplier(x).alias("id"), nation(x).alias("subview_id"), region(x).alias("view_id"))
     view = lambda odd: lambda x: F.struct(F.when(x[odd], nation(x)).otherwise(region(x)).alias("id"), region(x).alias("view_id"))
@@ -87,7 +88,7 @@ def sets(spark: SparkSession, d: str) -> DataFrame:
     }
     o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
     about = o.select(F.col("o_orderkey").alias("sample_id"), F.col("c_mktsegment").alias("paper_name"), F.col("o_orderpriority").alias("prefix_length"), F.col("o_orderstatus").alias("segmentation_mode"))
-    return computed(about.join(of_sample, "sample_id"), listed).drop("_lines")
+    return computed(named(about).join(of_sample, "sample_id"), {c: x for c, x in listed.items() if not only or c in only}).drop("_lines")
 
 
 def bundle(spark: SparkSession, d: str) -> DataFrame:

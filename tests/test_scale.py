@@ -118,3 +118,9 @@ def test_lists_of_structs_are_read_as_such(spark):
     assert [[tuple(p) for p in r.problems] for r in rules.checked(under, inner).collect()] == [[("$.whole" + p[1:], r) for p, r in ps if p.startswith("$.parts")] for ps in lines.values()]
     odd = spark.createDataFrame([('{"whole": {"parts": 3}}',), ('{"whole": 1}',), ('{"whole": {}}',), ("{}",), ("7",)], "value string")
     assert [[tuple(p) for p in r.problems] for r in rules.checked(odd, inner).collect()] == [[("$.whole.parts", "type")], [("$.whole", "type")], [("$.whole.parts", "missing")], [("$.whole", "missing")], [("$", "type")]]
+
+
+def test_results_are_parsed_once_and_lists_made_for_their_reader(spark, capsys):
+    """The log's line is made once and parsed once; the manifest needs no lists, and records meet it without another shuffle."""
+    told = told_plan(catalog.queries()["evaluated_samples"](spark, "/root/testdata/sf0.001"), capsys)
+    assert told.count("VariantExpressionEvalUtils.parseJson(value") == 1 and told.count("collect_list(struct(pred,") == 4
