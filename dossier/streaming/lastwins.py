@@ -7,23 +7,29 @@ no row. A query that stops goes on from its checkpoint.
 
 With `quiet`, a sample that had no new row for so many seconds is told once more as settled, by a timer; its state stays.
 
-Hot samples: a group's rows come to the processor in Arrow batches of bounded size, and only the state is kept.
+Hot samples: a group's rows are read a bounded number at a time, and only the state is kept. Rows stay rows on the way: a sample has
+few in a batch, and a frame for each sample would cost more than they do.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
+from operator import attrgetter
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
+from ..functions.frames import computed
 from ..functions.jsonx import is_object, parsed, string_field
 
 STATE = "place long, status string, value string, n_rows long, n_replaced long"
 CHANGE = "sample_id string, place long, status string, value string, change string, replaced long"
+Change = Row(*(c.split()[0] for c in CHANGE.split(", ")))
+#: How many rows of a sample are sorted at a time.
+SOME = 10_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -35,38 +41,30 @@ class LastRow(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", STATE)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        place, status, value, n_rows, n_replaced = self.last.get() if self.last.exists() else (None, None, None, 0, 0)
-        for batch in rows:
-            told = []
-            n_rows += len(batch)
-            for row in batch.sort_values("place").itertuples(index=False):
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        place, status, value, n_rows, n_replaced = self.last.get() or (None, None, None, 0, 0)
+        for some in iter(lambda: list(islice(rows, SOME)), []):
+            n_rows += len(some)
+            for row in sorted(some, key=attrgetter("place")):
                 if place is None or row.place > place:
-                    told.append((key[0], row.place, row.status, row.value, "new" if place is None else "replaced", place))
+                    yield Change(key[0], row.place, row.status, row.value, "new" if place is None else "replaced", place)
                     n_replaced += place is not None
                     place, status, value = row.place, row.status, row.value
-            if told:
-                yield frame(told)
-        self.last.update((int(place), status, value, int(n_rows), int(n_replaced)))
+        self.last.update((place, status, value, n_rows, n_replaced))
         if self.quiet is not None:
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old)
             self.handle.registerTimer(int(timerValues.getCurrentProcessingTimeInMs() + 1000 * self.quiet))
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         if self.last.exists():
             place, status, value, _, _ = self.last.get()
-            yield frame([(key[0], place, status, value, "settled", place)])
+            yield Change(key[0], place, status, value, "settled", place)
 
     def close(self) -> None:
         pass
 
 
-def frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["sample_id", "place", "status", "value", "change", "replaced"])
-    return out.astype({"place": "Int64", "replaced": "Int64"})
-
-
 def stateful(spark: SparkSession) -> SparkSession:
     """A session of the same application whose streams keep states of any kind; options of the caller's session stay."""
     own = spark.newSession()
@@ -78,13 +76,14 @@ def stateful(spark: SparkSession) -> SparkSession:
 
 def named_rows(lines: DataFrame) -> DataFrame:
     """(sample_id, place, status, value) of the good lines of a stream or table with columns line_no and value."""
-    good = lines.withColumn("row", parsed("value")).where(is_object("row")).withColumn("sample_id", string_field("row", "sample_id")).where("sample_id is not null")
-    return good.select("sample_id", F.col("line_no").cast("long").alias("place"), string_field("row", "status").alias("status"), "value")
+    good = computed(lines, {"row": parsed("value")}).where(is_object("row"))
+    good = computed(good, {"sample_id": string_field("row", "sample_id"), "status": string_field("row", "status")}).where("sample_id is not null")
+    return good.select("sample_id", F.col("line_no").cast("long").alias("place"), "status", "value")
 
 
 def changes(rows: DataFrame, quiet: float | None = None) -> DataFrame:
     """The stream of changes: a row for each that becomes the last one of its sample, and, with quiet, for samples that have settled."""
-    return rows.groupBy("sample_id").transformWithStateInPandas(LastRow(quiet), CHANGE, outputMode="Append", timeMode="None" if quiet is None else "ProcessingTime")
+    return rows.groupBy("sample_id").transformWithState(LastRow(quiet), CHANGE, outputMode="Append", timeMode="None" if quiet is None else "ProcessingTime")
 
 
 def followed(rows: DataFrame, log: str, checkpoint: str, quiet: float | None = None, **trigger: object) -> StreamingQuery:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from dossier.functions import frames, numbers, text
 from dossier.operators import figures, rules, validation
 from dossier.plans import catalog
+from dossier.streaming import lastwins
 
 
 def rows_of(df):
@@ -124,3 +125,27 @@ def test_results_are_parsed_once_and_lists_made_for_their_reader(spark, capsys):
     """The log's line is made once and parsed once; the manifest needs no lists, and records meet it without another shuffle."""
     told = told_plan(catalog.queries()["evaluated_samples"](spark, "/root/testdata/sf0.001"), capsys)
     assert told.count("VariantExpressionEvalUtils.parseJson(value") == 1 and told.count("collect_list(struct(pred,") == 4
+
+
+def test_a_stream_takes_rows_as_they_are(spark, capsys, monkeypatch):
+    """No frame for each sample: rows are read some at a time, each line is parsed once, and the state is read once."""
+    lines = spark.createDataFrame([(1, '{"sample_id": "a", "status": "ok"}'), (2, '{"sample_id": 7}'), (3, "[]"), (4, "no"), (5, None)], "line_no long, value string")
+    named = lastwins.named_rows(lines)
+    assert told_plan(named, capsys).count("VariantExpressionEvalUtils.parseJson") == 1
+    assert [tuple(r) for r in named.collect()] == [("a", 1, "ok", '{"sample_id": "a", "status": "ok"}')]
+
+    class State:
+        value = (5, "old", "v5", 3, 0)
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    own = lastwins.LastRow(None)
+    own.last = State()
+    monkeypatch.setattr(lastwins, "SOME", 2)
+    rows = iter([lastwins.Row(place=p, status="s", value=f"v{p}") for p in (7, 6, 4, 7, 9)])
+    assert [tuple(r) for r in own.handleInputRows(("a",), rows, None)] == [("a", 6, "s", "v6", "replaced", 5), ("a", 7, "s", "v7", "replaced", 6), ("a", 9, "s", "v9", "replaced", 7)]
+    assert own.last.value == (9, "s", "v9", 8, 3)
